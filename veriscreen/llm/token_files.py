@@ -21,6 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ MAGIC = b"DACIDS01"
 GROUP = 512  # bits a rank entry covers
 SHARD_TOKENS = 1 << 22
 END_ID = 2
-CACHE = 400_000  # pieces whose ids an encoder remembers
+KNOWN = 1_500_000  # pieces whose ids an encoder remembers
+LINES = 200  # pieces that go to the library as one text
+CHARS = 1 << 24  # of texts encoded together, but for a longer one
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -149,39 +152,90 @@ class Encoder:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         pre = self.tokenizer.pre_tokenizer
         self.cuts = self.tokenizer.normalizer is None and "ByteLevel(" in str(pre) and "add_prefix_space=False" in str(pre) and "use_regex=True" in str(pre)
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict, pieces: set[str], before: str) -> None:
-        new = list(pieces - known.keys())
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(pieces)
-        good = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        for k in range(0, len(good), 20_000):
-            part = good[k : k + 20_000]
-            known.update(zip(part, self._whole([before + x for x in part])))
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, x in enumerate(texts) if x and (not self.cuts or any(s in x for s in self.special))]
-        split = [(i, x.split(" ")) for i, x in enumerate(texts) if x and self.cuts and not any(s in x for s in self.special)]
-        self._learn(self.first, {x[0] for _, x in split}, "")
-        self._learn(self.rest, {p for _, x in split for p in x[1:]}, " ")
-        for i, (head, *tail) in split:
-            found = [self.first[head], *map(self.rest.__getitem__, tail)]
-            if None in found:
-                whole.append(i)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.cuts else []
+        self.cuts = self.cuts and len(self.line) == 1
+        self.known: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of known pieces in a row, how many each has, and where the given ones are among them."""
+        known, ids, lengths = self.known.setdefault(before, (pa.array([], pieces.type), np.empty(0, np.uint32), np.empty(0, np.int64)))
+        found = pc.index_in(pieces, value_set=known)
+        new = pieces.filter(pc.is_null(found))
+        more, n = self._new_pieces(new, before)
+        ids, lengths = np.concatenate((ids, more)), np.concatenate((lengths, n))
+        known = pa.concat_arrays([known, new])
+        if len(known) <= KNOWN:
+            self.known[before] = known, ids, lengths
+        at = found.to_numpy(zero_copy_only=False)
+        at = np.where(np.isnan(at), 0, at).astype(np.int64) if at.dtype.kind == "f" else at.astype(np.int64)
+        missing = found.is_null().to_numpy(zero_copy_only=False)
+        at[missing] = len(known) - len(new) + np.arange(len(new))
+        return ids, lengths, at
+
+    def _new_pieces(self, pieces: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, each with `before` in front, and how many each has: -1 where a piece must not
+        stand alone. They go to the library as lines of longer texts; a line feed between two other characters is a
+        token of its own, and where counts show otherwise the pieces go one by one."""
+        texts, feeds = pieces.to_pylist(), pc.count_substring(pieces, "\n").to_numpy(zero_copy_only=False)
+        alone = pc.and_(pc.greater(pc.utf8_length(pieces), 0), pc.equal(pc.utf8_trim_whitespace(pieces), pieces))
+        good = np.flatnonzero(alone.to_numpy(zero_copy_only=False))
+        lengths, out = np.full(len(texts), -1, np.int64), [np.empty(0, np.uint32)]
+        for k in range(0, len(good), LINES):
+            own = good[k : k + LINES]
+            ids = self._whole([before + ("\n" + before).join([texts[i] for i in own])])[0]
+            at = np.flatnonzero(ids == self.line[0])
+            ends = np.cumsum(feeds[own] + 1)
+            if len(at) == ends[-1] - 1:
+                at = np.concatenate(([-1], at[ends[:-1] - 1], [len(ids)]))
+                lengths[own] = np.diff(at) - 1
+                out.append(np.delete(ids, at[1:-1]))
             else:
-                out[i] = b"".join(found)
-        for i, x in zip(whole, self._whole([texts[i] for i in whole]) if whole else []):
-            out[i] = x
-        return out
+                each = self._whole([before + texts[i] for i in own])
+                lengths[own] = [len(x) for x in each]
+                out += each
+        return np.concatenate(out), lengths
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with end_id behind, and how many each has. Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        whole = np.full(len(texts), not self.cuts)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, tails = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        offsets -= offsets[0]
+        heads, own = np.unique(codes[offsets[:-1]], return_inverse=True)
+        codes[offsets[:-1]] = len(tails) + own
+        (ids, n, at), (head_ids, head_n, head_at) = self._pieces(tails, " "), self._pieces(tails.take(pa.array(heads)), "")
+        ids, lengths, at = [ids, head_ids], np.concatenate((n, head_n)), np.concatenate((at, head_at + len(n)))
+        codes = at[codes]
+        whole |= np.minimum.reduceat(lengths[codes], offsets[:-1]) < 0 if len(texts) else whole
+        whole &= ~empty
+        which = np.flatnonzero(whole)
+        each = self._whole(texts.take(pa.array(which)).to_pylist())
+        ids = np.concatenate([*ids, *each, np.array([end_id], np.uint32)])
+        lengths = np.concatenate((np.maximum(lengths, 0), [len(x) for x in each], [1])).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        of_whole = dict(zip(which.tolist(), range(len(lengths) - 1 - len(each), len(lengths) - 1)))
+        last, out, sizes, part, held = len(lengths) - 1, [], [], [], 0
+        for i in range(len(texts)):
+            own = [] if empty[i] else [of_whole[i]] if i in of_whole else codes[offsets[i] : offsets[i + 1]]
+            part += [own, [last]]
+            sizes.append(int(lengths[own].sum()) + 1 if len(own) else 1)
+            held += len(own)
+            if held > 1 << 17 or i == len(texts) - 1:
+                own = np.concatenate(part).astype(np.int64)
+                n = lengths[own]
+                ends = np.cumsum(n)
+                out.append(ids[np.arange(ends[-1]) + np.repeat(starts[own] - ends + n, n)])
+                part, held = [], 0
+        return np.concatenate([np.empty(0, np.uint32), *out]), np.array(sizes, np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -197,6 +251,29 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def spans_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about CHARS bytes each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + CHARS, "right")))
+        yield start, stop
+        start = stop
+
+
+def ends_of_shards(sizes: np.ndarray, have: int, most: int) -> Iterator[int]:
+    """Where documents of these sizes bring shards to `most` ids, the first of which has some already; then the end."""
+    for i, n in enumerate(sizes.tolist()):
+        have += n
+        if have >= most:
+            have = 0
+            yield i + 1
+            if i + 1 == len(sizes):
+                return
+    yield len(sizes)
+
+
 IMAGES = "part int, shard int, before long, n_ids long, image binary"
 
 
@@ -210,28 +287,30 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, before = TaskContext.get().partitionId(), 0, 0
-        end, enc = np.array([end_id], "<u4").tobytes(), encoder(tokenizer_path)
-        doc_ids: list = []
-        parts: list[bytes] = []
-        size = 0
+        part, shard, before, enc = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer_path)
+        doc_ids: list[pa.Array] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def image() -> pa.RecordBatch:
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts])))
-            made = Shard.encode(doc_ids, np.frombuffer(b"".join(parts), "<u4"), offsets).to_bytes()
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([made], pa.binary())], ["part", "shard", "before", "n_ids", "image"])
+            names = [x for some in doc_ids for x in some.to_pylist()]
+            made = Shard.encode(names, np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(made)], pa.int64()), pa.array([made.to_bytes()], pa.binary())], ["part", "shard", "before", "n_ids", "image"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
-                    doc_ids.append(doc_id)
-                    parts.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_tokens:
-                        yield image()
-                        shard, before, size, doc_ids, parts = shard + 1, before + size, 0, [], []
-        if doc_ids:
+            for a, b in spans_of(batch.column(1)):
+                own, n = enc.encode(batch.column(1).slice(a, b - a), end_id)
+                at = 0
+                for cut in ends_of_shards(n, sum(map(len, ids)), shard_tokens):
+                    doc_ids.append(batch.column(0).slice(a + at, cut - at))
+                    ids.append(own[: (done := int(n[at:cut].sum()))])
+                    sizes.append(n[at:cut])
+                    own, at = own[done:], cut
+                    if sum(map(len, ids)) >= shard_tokens:
+                        yield (made := image())
+                        shard, before = shard + 1, before + made.column(3)[0].as_py()
+                        doc_ids, ids, sizes = [], [], []
+        if sizes and sum(map(len, sizes)):
             yield image()
 
     ordered.mapInArrow(images, IMAGES).write.parquet(out)
