@@ -105,7 +105,7 @@ def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         total *= _BASE
         total += codes[j : len(codes) - n + 1 + j]
-    return mix(total + np.uint64(n) * _GOLDEN)
+    return mix(total + np.uint64(n * int(_GOLDEN) % 2**64))
 
 
 def shingle_sets(codes: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.ndarray]:
