@@ -147,3 +147,17 @@ def counts_of(answers: list) -> np.ndarray:
     """The counts of a block's codes, in the order of the codes, from what repeats() answered."""
     parts = [np.frombuffer(zlib.decompress(x), np.uint8) for _, x in sorted(answers, key=lambda x: x[0])]
     return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
+
+def frame(blocks: Blocks, packed: RDD, schema: str) -> DataFrame:
+    """A DataFrame of the columns that pack() put into payloads: few large rows cross from Python, not many small ones."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def rows(batches):
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(payload)], names)
+
+    return blocks.spark.createDataFrame(packed.map(lambda x: (x,)), "payload binary").mapInArrow(rows, schema)
