@@ -32,9 +32,9 @@ MAGIC = b"DACIDS01"
 GROUP = 512  # bits a rank entry covers
 SHARD_TOKENS = 1 << 22
 END_ID = 2
-KNOWN = 1_500_000  # pieces whose ids an encoder remembers
+KNOWN = 500_000  # pieces whose ids an encoder remembers
 LINES = 200  # pieces that go to the library as one text
-CHARS = 1 << 24  # of texts encoded together, but for a longer one
+CHARS = 1 << 23  # of texts encoded together, but for a longer one
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
