@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lm, secrets, substring, token_files, toxicity
+from . import decontam, embeddings, jaccard, lm, secrets, substring, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_files": op8_token_files,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.DUCKDB_SQL,
+    "op4_embedding_dedup": embeddings.DUCKDB_SQL,
     "op6_substring_dedup": substring.DUCKDB_SQL,
     "op10_secret_scan": secrets.duckdb_sql(),
 }
