@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embeddings, jaccard, lm, secrets, substring, token_files, toxicity
+from . import decontam, embeddings, jaccard, lm, mixing, secrets, substring, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_pass").alias("pass"), F.col("_block").alias("block"), F.col("_place").alias("place"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,6 +57,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_token_files(spark, folder)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return made.withColumn("record", warc.record(F.col("header"), F.col("block"))).drop("header", "block")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -61,15 +71,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_files": op8_token_files,
+    "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.DUCKDB_SQL,
     "op4_embedding_dedup": embeddings.DUCKDB_SQL,
+    "op5_mixing": mixing.duckdb_sql(),
     "op6_substring_dedup": substring.DUCKDB_SQL,
+    "op9_warc": warc.duckdb_sql(),
     "op10_secret_scan": secrets.duckdb_sql(),
 }
