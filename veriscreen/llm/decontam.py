@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import gram_codes, mix, shingle_sets, word_codes
+from .words import gram_codes, mix, shingle_sets, slices, word_codes
 
 WIDTH = 5
 CONTAINMENT = (3, 4)  # shared shingles / shingles of the item, at least
@@ -113,19 +113,18 @@ def _finder(held, width: int, containment: tuple[int, int]):
         index: Index = held.value
         num, den = containment
         for batch in batches:
-            doc_ids, rows = batch.column(0).to_pylist(), []
-            codes, counts = word_codes(batch.column(1).to_pylist(), True)
-            grams, start = gram_codes(codes, width), 0
-            for doc_id, n in zip(doc_ids, counts.tolist()):
-                own = grams[start : start + n - width + 1] if n >= width else gram_codes(codes[start : start + n], n) if n else grams[:0]
-                start += n
-                if items := index.candidates(own):
-                    unique = np.unique(own)
-                    for item in items:
-                        shared = int(np.isin(index.sets[item], unique, assume_unique=True).sum())
+            for a, b in slices(batch.column(1)):
+                doc_ids, rows = batch.column(0).slice(a, b - a).to_pylist(), []
+                codes, counts = word_codes(batch.column(1).slice(a, b - a).to_pylist(), True)
+                grams, start = gram_codes(codes, width), 0
+                for doc_id, n in zip(doc_ids, counts.tolist()):
+                    own = grams[start : start + n - width + 1] if n >= width else gram_codes(codes[start : start + n], n) if n else grams[:0]
+                    start += n
+                    for item in index.candidates(own):
+                        shared = int(np.isin(index.sets[item], own).sum())
                         if shared * den >= num * len(index.sets[item]):
                             rows.append((doc_id, index.item_ids[item], shared, len(index.sets[item])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "item_id", "n_shared", "n_item"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "item_id", "n_shared", "n_item"])
 
     return run
 

@@ -1,9 +1,9 @@
 """Questions from blocks of documents to buckets of codes, and the answers back, without moving the documents.
 
-A block is one partition of the input, kept as it is read: the documents of a block stay where they are, while compact
+A block is a part of one partition of the input, kept as it is read: the documents of a block stay where they are, while compact
 arrays travel. A block first merges its own repeats, so that the most frequent code in the corpus reaches its bucket
 once a block, not once an occurrence; buckets are chosen by a hash of the code, so that none is hot. Answers go back
-to the block's partition, where a narrow zip joins them to its documents.
+to the block's partition, where one narrow zip joins them to its documents.
 
 DataFrames have no narrow zip of two plans (a join would shuffle all texts for each question), so this module uses RDDs.
 Everything is recomputed from lineage when an executor is lost: a block is a pure function of its input split.
@@ -13,17 +13,22 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark import RDD
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 
-SPLIT = 16 << 20  # bytes of a block's input at most
+from .words import trim
+
+SPLIT = 16 << 20  # bytes of a partition's input at most, where row groups allow it
+PARTS = 16  # blocks of a partition: each is sent to Python, and worked on, by itself
+_ONE = BatchedSerializer(CPickleSerializer(), 1)
 
 
 class Blocks:
-    """Partitions of df as one element each: (block, rows as tuples)."""
+    """The rows of df as PARTS elements a partition, each (block, rows as tuples); the last column of df is the text."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
@@ -37,49 +42,79 @@ class Blocks:
             self.size = rows.getNumPartitions()
         finally:
             conf.set(key, old)
-        self.rdd = rows.mapPartitionsWithIndex(_gather)
         if not self.size:
-            self.rdd = self.spark.sparkContext.parallelize([(0, [])], 1)
-            self.size = 1
+            rows, self.size = self.spark.sparkContext.parallelize([], 1), 1
+        self.rdd = rows.mapPartitionsWithIndex(_gather)
+        self._zipped: dict[tuple[RDD, ...], RDD] = {}
 
-    def buckets(self, per_block: int = 1) -> int:
-        """As many buckets as blocks, so that a bucket's share stays as large as a block's as the corpus grows."""
-        return max(8, self.size * per_block)
+    def buckets(self, per_partition: int = 2) -> int:
+        """In proportion to the partitions, so that a bucket's share stays the same as the corpus grows."""
+        return max(8, self.size * per_partition)
 
     def ask(self, request: Callable, answer: Callable, buckets: int, *known: RDD) -> RDD:
         """request(block, rows, *answers known) yields (bucket, payload); answer(bucket, [(block, payload)]) yields
-        (block, payload). Returns an RDD with one element a block: its answers."""
+        (block, payload). Returns those answers; zipped() brings them home."""
 
         def send(x):
             block, rows, got = x
-            return [(bucket, (block, payload)) for bucket, payload in request(block, rows, *got)]
+            return ((bucket, (block, payload)) for bucket, payload in request(block, rows, *got))
 
-        asked = self.zipped(*known).flatMap(send).partitionBy(buckets, int)
-        return self.home(asked.mapPartitionsWithIndex(lambda i, it: answer(i, [x for _, x in it])))
+        def reply(bucket: int, it: Iterable) -> Iterator:
+            yield from answer(bucket, [x for _, x in it])
+            trim()
 
-    def home(self, rows: RDD) -> RDD:
-        """(block, payload) rows to their blocks: one list a block."""
-        return rows.partitionBy(self.size, int).mapPartitions(lambda it: [[x for _, x in it]])
-
-    def zipped(self, *answers: RDD) -> RDD:
-        """(block, rows, answers) for each block."""
-        width = max([self.size, *(x.getNumPartitions() for x in answers)])
-        out = _padded(self.rdd, self.size, width, lambda j: (j, [])).map(lambda x: (x[0], x[1], ()))
-        for x in answers:
-            n = x.getNumPartitions()
-            out = out.zip(_padded(x, n, width, lambda j: [])).map(lambda p: (p[0][0], p[0][1], (*p[0][2], p[1])))
-        return out
+        return self.each(send, *known).partitionBy(buckets, int).mapPartitionsWithIndex(reply)
 
+    def each(self, function: Callable, *answers: RDD) -> RDD:
+        """What function((block, rows, answers)) yields for all blocks."""
 
-def _gather(block: int, rows: Iterable) -> list:
-    return [(block, [tuple(x) for x in rows])]
+        def run(x) -> Iterator:
+            yield from function(x)
+            trim()
 
+        return self.zipped(*answers).flatMap(run)
 
-def _padded(rdd: RDD, size: int, width: int, empty: Callable) -> RDD:
-    if size == width:
-        return rdd
-    sc = rdd.context
-    return sc.union([rdd, sc.parallelize(range(size, width), width - size).map(empty)])
+    def zipped(self, *answers: RDD) -> RDD:
+        """(block, rows, lists): for each RDD of (block, payload) the list of the block's payloads."""
+        if not answers:
+            return self.rdd.map(lambda x: (*x, ()))
+        if answers not in self._zipped:
+            n = len(answers)
+            tagged = [x.map(lambda y, k=k: (y[0], (k, y[1]))) for k, x in enumerate(answers)]
+            home = self.spark.sparkContext.union(tagged) if n > 1 else tagged[0]
+            home = home.partitionBy(self.size, lambda block: block // PARTS)
+            width = home.getNumPartitions()
+            rows = self.rdd
+            if width > self.size:  # more partitions than asked for: empty blocks for the others
+                size = self.size
+                more = self.spark.sparkContext.parallelize(range(size, width), width - size)
+                rows = self.spark.sparkContext.union([rows, more.flatMap(lambda j: [(j * PARTS + k, []) for k in range(PARTS)])])
+
+            def lists(it: Iterable) -> Iterator:
+                out = [tuple([] for _ in range(n)) for _ in range(PARTS)]
+                for block, (k, payload) in it:
+                    out[block % PARTS][k].append(payload)
+                yield from out
+                del out
+                trim()
+
+            pairs = rows._reserialize(_ONE).zip(home.mapPartitions(lists)._reserialize(_ONE))
+            self._zipped[answers] = pairs.map(lambda x: (*x[0], x[1]))
+        return self._zipped[answers]
+
+
+def _gather(part: int, rows: Iterable) -> Iterator:
+    """The partition's rows in PARTS pieces of about equal length of text."""
+    rows = [tuple(x) for x in rows]
+    ends = np.cumsum([len(x[-1] or "") + 1 for x in rows])
+    cut = np.searchsorted(ends, [len(rows) and ends[-1] * k // PARTS for k in range(1, PARTS + 1)]) + 1
+    at = 0
+    for k, stop in enumerate([*cut[:-1].tolist(), len(rows)]):
+        stop = max(at, stop)
+        yield part * PARTS + k, rows[at:stop]
+        at = stop
+    del rows
+    trim()
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -28,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import Blocks, bucket_of, counts_of, frame, pack, repeats, short, unpack
 from .shared import components, written
-from .words import mix, shingle_sets, word_codes
+from .words import mix, shingle_sets, slices, word_codes
 
 WIDTH = 5
 JACCARD = (3, 4)
@@ -52,15 +52,18 @@ def set_key(codes: np.ndarray) -> np.uint64:
 
 
 def keyed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, key): key is null for an empty set."""
+    """(doc_id, row, n_shingles, key): row is a hash of id and text, key that of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = _sets([(x,) for x in batch.column(1).to_pylist()], width)
-            keys = pa.array([int(set_key(x).view(np.int64)) if len(x) else None for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "n_shingles", "key"])
+            for a, b in slices(batch.column(1)):
+                sizes, keys = [], []
+                for own in _sets([(x,) for x in batch.column(1).slice(a, b - a).to_pylist()], width):
+                    sizes.append(len(own))
+                    keys.append(int(set_key(own).view(np.int64)) if len(own) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "row", "n_shingles", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, key long")
 
 
 def prefix(freq: np.ndarray, num: int, den: int) -> tuple[int, int]:
@@ -88,14 +91,18 @@ def _prefixes(blocks: Blocks, counts: RDD, width: int, num: int, den: int, bucke
     def send(x) -> Iterator:
         block, rows, (answered,) = x
         sets = _sets(rows, width)
-        codes = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]))
-        freq = counts_of(answered)
+        sizes = np.array([len(own) for own in sets], np.int64)
+        freq = counts_of(answered)[np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)[1]]
+        starts = np.cumsum(sizes) - sizes
+        ones = np.add.reduceat(np.append(freq == 1, False).astype(np.int64), starts) if len(sets) else sizes
+        shares = (sizes > 0) & (ones < sizes + num * sizes // -den + 1)  # with a repeated shingle in the shortest prefix
         seen, out, table = set(), [], []
-        for i, own in enumerate(sets):
-            if not len(own) or (key := int(set_key(own))) in seen:
+        for i in np.flatnonzero(shares).tolist():
+            own = sets[i]
+            if (key := int(set_key(own))) in seen:
                 continue
             seen.add(key)
-            f = freq[np.searchsorted(codes, own)]
+            f = freq[starts[i] : starts[i] + sizes[i]]
             order = np.argsort(f, kind="stable")  # rarest first, then by code
             size, matches = prefix(f[order], num, den)
             order = order[:size]
@@ -116,7 +123,7 @@ def _prefixes(blocks: Blocks, counts: RDD, width: int, num: int, den: int, bucke
             used, own = np.unique(owner[a:b], return_inverse=True)
             yield int(to[a]), pack(short(tokens[a:b]), own.astype(np.int32), (np.int64(block) << 32) + place[used].astype(np.int64), key[used].astype(np.uint64), n[used].astype(np.int32), matches[used].astype(np.int8))
 
-    return blocks.zipped(counts).flatMap(send).partitionBy(buckets, int)
+    return blocks.each(send, counts).partitionBy(buckets, int)
 
 
 def _lists(bucket: int, payloads: Iterator[bytes]) -> tuple[np.ndarray, ...] | None:
@@ -170,7 +177,7 @@ def _pivots(token, cls, size, place, n, matches, num: int, den: int) -> tuple[np
 def _verified(blocks: Blocks, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of pairs(a, b), places of documents, whose sets link. The set of b goes once to each block that asks."""
     rows = pairs.rdd.map(tuple)
-    wanted = blocks.home(rows.map(lambda x: (x[1] >> 32, (x[1], x[0] >> 32))).distinct(blocks.size))
+    wanted = rows.map(lambda x: (x[1] >> 32, (x[1], x[0] >> 32))).distinct(blocks.size)
 
     def give(x) -> Iterator:
         _, docs, (asked,) = x
@@ -179,27 +186,24 @@ def _verified(blocks: Blocks, pairs: DataFrame, width: int, num: int, den: int)
         for p, to in asked:
             yield to, (p, sets[p].tobytes())
 
-    def check(x) -> Iterator[bytes]:
+    def check(x) -> Iterator[tuple[int, int]]:
         _, docs, (asked, given) = x
         if not asked:
             return
         other = {p: np.frombuffer(raw, np.uint64) for p, raw in given}
         places = sorted({a for a, _ in asked})
         own = dict(zip(places, _sets([docs[p & 0xFFFFFFFF] for p in places], width)))
-        found = []
         for a, b in asked:
             x, y = own[a], other[b]
             x, y = (x, y) if len(x) <= len(y) else (y, x)
             at = np.searchsorted(y, x)
             both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
             if both * den >= num * (len(x) + len(y) - both):
-                found.append((a, b))
-        if found:
-            yield pack(*np.array(found, np.int64).T.copy())
+                yield a, b
 
-    given = blocks.home(blocks.zipped(wanted).flatMap(give))
-    asked = blocks.home(rows.map(lambda x: (x[0] >> 32, x)))
-    return frame(blocks, blocks.zipped(asked, given).flatMap(check), "a long, b long")
+    given = blocks.each(give, wanted)
+    asked = rows.map(lambda x: (x[0] >> 32, x))
+    return blocks.spark.createDataFrame(blocks.each(check, asked, given), "a long, b long", verifySchema=False)
 
 
 def links(blocks: Blocks, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
@@ -242,31 +246,52 @@ def links(blocks: Blocks, *, width: int = WIDTH, jaccard: tuple[int, int] = JACC
     return written(first.union(_verified(blocks, pairs, width, num, den)), "links")
 
 
+def _named(docs: DataFrame, first: DataFrame, width: int, jaccard: tuple[int, int]) -> DataFrame:
+    """first(key, least) of all classes of docs, with `group`, the same for classes that links connect, and the least of
+    each group as component."""
+    blocks = Blocks(docs.select("doc_id", "text"))
+    places = _keys_of(blocks, links(blocks, width=width, jaccard=jaccard), width)
+    joined = first.join(places, "key", "left")
+    lowest = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"), F.min("key").alias("group"))
+    return joined.join(lowest, "component", "left").select("key", F.coalesce("group", "key").alias("group"), F.coalesce("lowest", "least").alias("lowest"))
+
+
 def join(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text): component_id is the smallest doc_id that
     links reach, the row's own without links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(keyed(docs, width), "keyed")
-    blocks = Blocks(docs)
-    found = links(blocks, width=width, jaccard=jaccard)
-    places = _keys_of(blocks, found, width)
     first = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = first.join(places, "key", "left")
-    lowest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
-    named = written(named.join(lowest, "component", "left").select("key", F.coalesce("lowest", "least").alias("component_id")), "named")
-    return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(_named(docs, first, width, jaccard), "named")
+    return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) without all but one of each group that links connect: the one with the least
+    doc_id stays (of several, or without ids, that with the least hash). Rows without words all stay."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(worded)
+    rows = keyed(own, width)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    first = written(rows.groupBy("key").agg(best.alias("least")), "classes")
+    named = _named(own.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), first, width, jaccard)
+    stay = written(named.select(F.col("lowest.row").alias("_row")).distinct(), "kept")
+    own = own.withColumn("_row", F.xxhash64(F.col("doc_id"), "text"))
+    # equal rows: one of each; Spark limits each task's rows before it shuffles them
+    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1")
+    return docs.where(~worded).unionByName(own.join(stay, "_row", "left_semi").select(*docs.columns))
 
 
 def _keys_of(blocks: Blocks, found: DataFrame, width: int) -> DataFrame:
     """(key, component) of the linked classes, by way of the blocks that hold them."""
     labels = components(found)
-    asked = blocks.home(labels.rdd.map(lambda x: (x[0] >> 32, tuple(x))))
+    asked = labels.rdd.map(lambda x: (x[0] >> 32, tuple(x)))
 
-    def name(x) -> Iterator[bytes]:
+    def name(x) -> Iterator[tuple[int, int]]:
         _, docs, (own,) = x
         if own:
-            keys = [set_key(s) for s in _sets([docs[p & 0xFFFFFFFF] for p, _ in own], width)]
-            yield pack(np.array(keys, np.uint64).view(np.int64), np.array([c for _, c in own], np.int64))
+            for (_, component), s in zip(own, _sets([docs[p & 0xFFFFFFFF] for p, _ in own], width)):
+                yield int(set_key(s).view(np.int64)), component
 
-    return frame(blocks, blocks.zipped(asked).flatMap(name), "key long, component long")
+    return blocks.spark.createDataFrame(blocks.each(name, asked), "key long, component long", verifySchema=False)
 

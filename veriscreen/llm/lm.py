@@ -295,7 +295,7 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = FOLDS, added: flo
             out += [int((mine == 1).sum()), int((mine == 2).sum())]
         yield np.array(out, np.int64)
 
-    sums = blocks.zipped(grams, heads).flatMap(numbers).treeReduce(lambda a, b: a + b)
+    sums = blocks.each(numbers, grams, heads).treeReduce(lambda a, b: a + b)
     discounts = {k: a / (a + 2 * b) if a and b else 0.5 for k, (a, b) in zip(range(2, order + 1), sums[2:].reshape(-1, 2).tolist())}
     model = {"N": int(sums[0]), "V": int(sums[1]), "D": discounts, "added": added}
 
@@ -316,4 +316,4 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = FOLDS, added: flo
             yield doc_id, bool(own.out[i]), int(own.texts.sizes[i] - 1), int(known[i]), model["N"], float(base[i]), float(total[i])
 
     names = [("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
-    return blocks.spark.createDataFrame(blocks.zipped(grams, heads).flatMap(traverse), T.StructType([T.StructField(*x) for x in names]), verifySchema=False)
+    return blocks.spark.createDataFrame(blocks.each(traverse, grams, heads), T.StructType([T.StructField(*x) for x in names]), verifySchema=False)

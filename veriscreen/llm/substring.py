@@ -274,7 +274,7 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, anchor: int = ANCHOR, automato
             yield doc_id, len(own), int(own.sum()), edges.reshape(-1, 2).tolist(), b" ".join(words).decode("utf-8", "surrogatepass")
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.StringType())])
-    return blocks.spark.createDataFrame(blocks.zipped(counts, least).flatMap(keep), schema, verifySchema=False)
+    return blocks.spark.createDataFrame(blocks.each(keep, counts, least), schema, verifySchema=False)
 
 
 DUCKDB_SQL = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
+from .words import slices
 
 MAGIC = b"DACIDS01"
 GROUP = 512  # bits a rank entry covers
@@ -34,7 +35,7 @@ SHARD_TOKENS = 1 << 22
 END_ID = 2
 KNOWN = 500_000  # pieces whose ids an encoder remembers
 LINES = 200  # pieces that go to the library as one text
-CHARS = 1 << 23  # of texts encoded together, but for a longer one
+CHARS = 1 << 23  # bytes of texts encoded together, but for a longer one
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -251,17 +252,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def spans_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about CHARS bytes each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(texts):
-        before = size[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(size, before + CHARS, "right")))
-        yield start, stop
-        start = stop
-
-
 def ends_of_shards(sizes: np.ndarray, have: int, most: int) -> Iterator[int]:
     """Where documents of these sizes bring shards to `most` ids, the first of which has some already; then the end."""
     for i, n in enumerate(sizes.tolist()):
@@ -298,7 +288,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(made)], pa.int64()), pa.array([made.to_bytes()], pa.binary())], ["part", "shard", "before", "n_ids", "image"])
 
         for batch in batches:
-            for a, b in spans_of(batch.column(1)):
+            for a, b in slices(batch.column(1), CHARS):
                 own, n = enc.encode(batch.column(1).slice(a, b - a), end_id)
                 at = 0
                 for cut in ends_of_shards(n, sum(map(len, ids)), shard_tokens):

@@ -8,16 +8,26 @@ about n**2 / 2**65 (10**8 words: 0.0003). Null texts have no words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-CHUNK = 1 << 20  # bytes looked at together
+CHUNK = 1 << 18  # bytes looked at together
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, as worker processes stay while others start."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that leaves no visible structure (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -121,3 +131,15 @@ def shingle_sets(codes: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.n
         else:
             yield np.empty(0, np.uint64)
         start += count
+
+
+def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow array of texts with about `most` bytes each, one text at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + most, "right")))
+        yield start, stop
+        trim()
+        start = stop
