@@ -19,6 +19,7 @@ import numpy as np
 from pyspark import RDD
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import trim
 
@@ -47,9 +48,11 @@ class Blocks:
         self.rdd = rows.mapPartitionsWithIndex(_gather)
         self._zipped: dict[tuple[RDD, ...], RDD] = {}
 
-    def buckets(self, per_partition: int = 2) -> int:
-        """In proportion to the partitions, so that a bucket's share stays the same as the corpus grows."""
-        return max(8, self.size * per_partition)
+        self.bytes = df.select(F.sum(F.octet_length(df.columns[-1]))).first()[0] or 0
+
+    def buckets(self, share: int = 1 << 24) -> int:
+        """One for each `share` bytes of text, so that a bucket's part stays the same as the corpus grows."""
+        return max(8, self.bytes // share)
 
     def ask(self, request: Callable, answer: Callable, buckets: int, *known: RDD) -> RDD:
         """request(block, rows, *answers known) yields (bucket, payload); answer(bucket, [(block, payload)]) yields
@@ -75,14 +78,15 @@ class Blocks:
         return self.zipped(*answers).flatMap(run)
 
     def zipped(self, *answers: RDD) -> RDD:
-        """(block, rows, lists): for each RDD of (block, payload) the list of the block's payloads."""
+        """(block, rows, lists): for each RDD of (block, payload) the list of the block's payloads. A payload for
+        to_all(partition) comes to all blocks of the partition, but moves there once."""
         if not answers:
             return self.rdd.map(lambda x: (*x, ()))
         if answers not in self._zipped:
             n = len(answers)
             tagged = [x.map(lambda y, k=k: (y[0], (k, y[1]))) for k, x in enumerate(answers)]
             home = self.spark.sparkContext.union(tagged) if n > 1 else tagged[0]
-            home = home.partitionBy(self.size, lambda block: block // PARTS)
+            home = home.partitionBy(self.size, lambda block: block // PARTS if block >= 0 else -1 - block)
             width = home.getNumPartitions()
             rows = self.rdd
             if width > self.size:  # more partitions than asked for: empty blocks for the others
@@ -93,7 +97,8 @@ class Blocks:
             def lists(it: Iterable) -> Iterator:
                 out = [tuple([] for _ in range(n)) for _ in range(PARTS)]
                 for block, (k, payload) in it:
-                    out[block % PARTS][k].append(payload)
+                    for own in [out[block % PARTS]] if block >= 0 else out:
+                        own[k].append(payload)
                 yield from out
                 del out
                 trim()
@@ -103,9 +108,15 @@ class Blocks:
         return self._zipped[answers]
 
 
+def to_all(partition: int) -> int:
+    """The address of all blocks of a partition."""
+    return -1 - partition
+
+
 def _gather(part: int, rows: Iterable) -> Iterator:
-    """The partition's rows in PARTS pieces of about equal length of text."""
-    rows = [tuple(x) for x in rows]
+    """The partition's rows in PARTS pieces of about equal length of text. Sorted, as rows of a shuffle may come in another
+    order when they are read again."""
+    rows = sorted((tuple(x) for x in rows), key=lambda x: tuple((y is None, y) if y is not None else (True,) for y in x))
     ends = np.cumsum([len(x[-1] or "") + 1 for x in rows])
     cut = np.searchsorted(ends, [len(rows) and ends[-1] * k // PARTS for k in range(1, PARTS + 1)]) + 1
     at = 0

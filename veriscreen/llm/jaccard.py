@@ -13,9 +13,11 @@ den * |intersection| >= num * |union|. Equal sets form one class; a class links
 3. Pivots. In the posting list of a shingle, every class is verified against one class of its own and of each
    neighbouring size band only. So a group of n near copies costs about n verifications a pivot, not n * n, and falls
    into one component.
-4. The rest. Pairs in a list that are not in one component yet, fit in size, were not verified in 3 and share
-   min(l, l') shingles or more are verified, and the components completed. All links between components are found; those
-   within a component change nothing.
+4. The rest. Lists whose classes are not in one component yet form families, joined where they share a class. Of a
+   family all classes outside its largest component are queries: each goes once to every partition that holds members,
+   and is verified there against the members of other components that fit in size and share min(l, l') prefix shingles
+   or more. No pair becomes a row unless it links. All links between components are found; those within a component
+   change nothing.
 
 Verification is exact, on 64-bit shingle codes: sets travel to the block of the other document. Null and repeated ids are
 kept as rows; a null id never names a component of others. Empty tables give no rows. Other columns are ignored.
@@ -31,7 +33,7 @@ from pyspark import RDD
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import Blocks, bucket_of, counts_of, frame, pack, repeats, short, unpack
+from .exchange import PARTS, Blocks, bucket_of, counts_of, frame, pack, repeats, short, to_all, unpack
 from .shared import components, written
 from .words import mix, shingle_sets, slices, word_codes
 
@@ -117,11 +119,11 @@ def _prefixes(blocks: Blocks, counts: RDD, width: int, num: int, den: int, bucke
         to = bucket_of(tokens, buckets).astype(np.int64)
         by = np.argsort(to, kind="stable")
         tokens, owner, to = tokens[by], owner[by], to[by]
-        place, key, n, matches = (np.array(x) for x in zip(*table))
+        place, key, n, matches = (np.array(x, t) for x, t in zip(zip(*table), (np.int64, np.uint64, np.int32, np.int8)))
         ends = np.flatnonzero(np.diff(to, append=-1)) + 1
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
             used, own = np.unique(owner[a:b], return_inverse=True)
-            yield int(to[a]), pack(short(tokens[a:b]), own.astype(np.int32), (np.int64(block) << 32) + place[used].astype(np.int64), key[used].astype(np.uint64), n[used].astype(np.int32), matches[used].astype(np.int8))
+            yield int(to[a]), pack(short(tokens[a:b]), own.astype(np.int32), (np.int64(block) << 32) + place[used], key[used], n[used], matches[used])
 
     return blocks.each(send, counts).partitionBy(buckets, int)
 
@@ -232,18 +234,77 @@ def links(blocks: Blocks, *, width: int = WIDTH, jaccard: tuple[int, int] = JACC
     posting = table.where("kind = 1").select(F.col("b").alias("token"), F.col("a").alias("node"), "n", "matches")
     posting = posting.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # lists of classes that are not in one component; a list's rows meet as two numbers
-    mixed = posting.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    posting = written(posting.join(mixed, "token", "left_semi"), "rest")
-    x, y = posting.alias("x"), posting.alias("y")
-    pairs = (
-        x.join(y, F.expr(f"x.token = y.token and x.component <> y.component and x.node > y.node and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("need"))
-        .where("shared >= need").select("a", "b").join(pivots, ["a", "b"], "left_anti")
-    )
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
+    mixed = posting.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("head")).where("low < high").select("token", "head")
+    posting = written(posting.join(mixed, "token"), "rest")
+    if posting.isEmpty():
         return first
-    return written(first.union(_verified(blocks, pairs, width, num, den)), "links")
+    family = components(posting.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    members = posting.groupBy("node", "component", "n", "matches").agg(F.collect_list("token").alias("tokens"))  # a prefix each
+    members = written(members.join(family.toDF("node", "family"), "node"), "members")
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    queries = members.join(sizes, "family").where("component <> main")
+    where = members.select("family", F.expr(f"(node >> 32) div {PARTS}").alias("to")).distinct()
+    asked = queries.select("family", "node", "component", "n", "matches", "tokens").join(where, "family")
+    more = _across(blocks, members, asked, width, num, den)
+    return written(first.union(more), "links")
+
+
+def _across(blocks: Blocks, members: DataFrame, asked: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the queries asked(family, node, component, n, matches, tokens, to), partitions to go to, and
+    members of their families in other components; of the links of a query to one component in a block, one."""
+    local = members.rdd.map(lambda x: (x.node >> 32, (x.family, x.node, x.component, x.n, x.matches, np.array(x.tokens))))
+    wanted = asked.rdd.map(lambda x: (x.node >> 32, (x.family, x.node, x.component, x.n, x.matches, np.array(x.tokens), x.to)))
+
+    def give(x) -> Iterator:
+        _, docs, (rows,) = x
+        places = sorted({r[1] for r in rows})
+        sets = dict(zip(places, _sets([docs[p & 0xFFFFFFFF] for p in places], width)))
+        for *query, to in rows:
+            yield to_all(to), (*query, sets[query[1]])
+
+    def check(x) -> Iterator[tuple[int, int]]:
+        _, docs, (own, queries) = x
+        by_family: dict[int, list] = {}
+        for r in own:
+            by_family.setdefault(r[0], []).append(r)
+        indexes: dict[int, tuple] = {}
+        for family, node, component, n, matches, tokens, codes in queries:
+            if family not in by_family:
+                continue
+            if family not in indexes:
+                rows = by_family[family]
+                sets = _sets([docs[r[1] & 0xFFFFFFFF] for r in rows], width)
+                columns = tuple(np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+                indexes[family] = columns, _postings([r[5] for r in rows]), _postings(sets)
+            (nodes, components_, sizes, least), prefixes, whole = indexes[family]
+            fits = (components_ != component) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num)
+            if not fits.any():
+                continue
+            fits &= _shared(prefixes, tokens, len(nodes)) >= np.minimum(least, matches)
+            if not fits.any():
+                continue
+            both = _shared(whole, codes, len(nodes))
+            linked = np.flatnonzero(fits & (both * den >= num * (sizes + n - both)))
+            for k in np.unique(components_[linked], return_index=True)[1].tolist():
+                yield node, int(nodes[linked[k]])
+
+    given = blocks.each(give, wanted)
+    return blocks.spark.createDataFrame(blocks.each(check, local, given), "a long, b long", verifySchema=False)
+
+
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    by = np.argsort(codes, kind="stable")
+    return codes[by], owner[by]
+
+
+def _shared(postings: tuple[np.ndarray, np.ndarray], codes: np.ndarray, n: int) -> np.ndarray:
+    """How many of the codes each of n owners has."""
+    low, high = (np.searchsorted(postings[0], codes, side) for side in ("left", "right"))
+    size = high - low
+    at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return np.bincount(postings[1][at], minlength=n)
 
 
 def _named(docs: DataFrame, first: DataFrame, width: int, jaccard: tuple[int, int]) -> DataFrame:

@@ -231,7 +231,7 @@ def dedup(docs: DataFrame, *, width: int = WIDTH, anchor: int = ANCHOR, automato
 
     blocks = Blocks(docs.select(F.col("doc_id").cast("long"), "text"))
     counts = repeats(blocks, lambda rows: _block_windows(rows, width))
-    buckets = blocks.buckets(8)
+    buckets = blocks.buckets(1 << 22)
 
     def send(block: int, rows: list, answered: list) -> Iterator:
         plan = _Plan(rows, answered, width, anchor)
