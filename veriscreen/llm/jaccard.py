@@ -28,14 +28,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import PARTS, Blocks, bucket_of, counts_of, frame, pack, repeats, short, to_all, unpack
 from .shared import components, written
-from .words import mix, shingle_sets, slices, word_codes
+from .words import mix, shingle_sets, word_codes
 
 WIDTH = 5
 JACCARD = (3, 4)
@@ -53,19 +52,19 @@ def set_key(codes: np.ndarray) -> np.uint64:
         return mix(np.array([np.sum(mix(codes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64) + np.uint64(len(codes))], np.uint64))[0]
 
 
-def keyed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, row, n_shingles, key): row is a hash of id and text, key that of the set, null for an empty one."""
+def keyed(blocks: Blocks, width: int = WIDTH) -> DataFrame:
+    """(doc_id, row, n_shingles, key) of blocks of (doc_id, row, text): key is that of the set, null for an empty one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                sizes, keys = [], []
-                for own in _sets([(x,) for x in batch.column(1).slice(a, b - a).to_pylist()], width):
-                    sizes.append(len(own))
-                    keys.append(int(set_key(own).view(np.int64)) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "row", "n_shingles", "key"])
+    def run(x) -> Iterator[tuple]:
+        _, rows, _ = x
+        for (doc_id, row, _), own in zip(rows, _sets(rows, width)):
+            yield doc_id, row, len(own), int(set_key(own).view(np.int64)) if len(own) else None
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "doc_id long, row long, n_shingles long, key long")
+    return blocks.spark.createDataFrame(blocks.each(run), "doc_id long, row long, n_shingles long, key long", verifySchema=False)
+
+
+def _blocks(docs: DataFrame) -> Blocks:
+    return Blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("row"), "text"))
 
 
 def prefix(freq: np.ndarray, num: int, den: int) -> tuple[int, int]:
@@ -307,23 +306,21 @@ def _shared(postings: tuple[np.ndarray, np.ndarray], codes: np.ndarray, n: int)
     return np.bincount(postings[1][at], minlength=n)
 
 
-def _named(docs: DataFrame, first: DataFrame, width: int, jaccard: tuple[int, int]) -> DataFrame:
-    """first(key, least) of all classes of docs, with `group`, the same for classes that links connect, and the least of
-    each group as component."""
-    blocks = Blocks(docs.select("doc_id", "text"))
+def _named(blocks: Blocks, first: DataFrame, width: int, jaccard: tuple[int, int]) -> DataFrame:
+    """(key, lowest) of first(key, least), the classes of the blocks: the least of all classes that links connect."""
     places = _keys_of(blocks, links(blocks, width=width, jaccard=jaccard), width)
     joined = first.join(places, "key", "left")
-    lowest = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"), F.min("key").alias("group"))
-    return joined.join(lowest, "component", "left").select("key", F.coalesce("group", "key").alias("group"), F.coalesce("lowest", "least").alias("lowest"))
+    lowest = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
+    return joined.join(lowest, "component", "left").select("key", F.coalesce("lowest", "least").alias("lowest"))
 
 
 def join(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text): component_id is the smallest doc_id that
     links reach, the row's own without links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(keyed(docs, width), "keyed")
+    blocks = _blocks(docs)
+    rows = written(keyed(blocks, width), "keyed")
     first = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = written(_named(docs, first, width, jaccard), "named")
+    named = written(_named(blocks, first, width, jaccard), "named")
     return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
@@ -332,12 +329,11 @@ def keep_first(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int]
     doc_id stays (of several, or without ids, that with the least hash). Rows without words all stay."""
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     own = docs.where(worded)
-    rows = keyed(own, width)
+    blocks = _blocks(own)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    first = written(rows.groupBy("key").agg(best.alias("least")), "classes")
-    named = _named(own.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), first, width, jaccard)
-    stay = written(named.select(F.col("lowest.row").alias("_row")).distinct(), "kept")
-    own = own.withColumn("_row", F.xxhash64(F.col("doc_id"), "text"))
+    first = written(keyed(blocks, width).groupBy("key").agg(best.alias("least")), "classes")
+    stay = written(_named(blocks, first, width, jaccard).select(F.col("lowest.row").alias("_row")).distinct(), "kept")
+    own = own.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
     # equal rows: one of each; Spark limits each task's rows before it shuffles them
     own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1")
     return docs.where(~worded).unionByName(own.join(stay, "_row", "left_semi").select(*docs.columns))

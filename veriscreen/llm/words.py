@@ -24,6 +24,7 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 def trim() -> None:
     """Gives freed memory back to the system, as worker processes stay while others start."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
