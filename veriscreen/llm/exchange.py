@@ -39,17 +39,20 @@ class Blocks:
             jvm = self.spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
             if jvm.byteStringAsBytes(old) > SPLIT:
                 conf.set(key, str(SPLIT))
+            if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+                df = df.sortWithinPartitions(*df.columns)  # rows of a shuffle may come in another order when read again
+            sizes = df.groupBy(F.spark_partition_id()).agg(F.sum(F.coalesce(F.octet_length(df.columns[-1]), F.lit(0)) + 1)).collect()  # a number a partition
             rows = df.rdd
             self.size = rows.getNumPartitions()
         finally:
             conf.set(key, old)
         if not self.size:
             rows, self.size = self.spark.sparkContext.parallelize([], 1), 1
-        self.rdd = rows.mapPartitionsWithIndex(_gather)
+        self.bytes = sum(n for _, n in sizes)
+        steps = {part: -(-n // PARTS) for part, n in sizes}
+        self.rdd = rows.mapPartitionsWithIndex(lambda part, it: _gather(part, it, steps.get(part, SPLIT)))
         self._zipped: dict[tuple[RDD, ...], RDD] = {}
 
-        self.bytes = df.select(F.sum(F.octet_length(df.columns[-1]))).first()[0] or 0
-
     def buckets(self, share: int = 1 << 24) -> int:
         """One for each `share` bytes of text, so that a bucket's part stays the same as the corpus grows."""
         return max(8, self.bytes // share)
@@ -113,18 +116,18 @@ def to_all(partition: int) -> int:
     return -1 - partition
 
 
-def _gather(part: int, rows: Iterable) -> Iterator:
-    """The partition's rows in PARTS pieces of about equal length of text. Sorted, as rows of a shuffle may come in another
-    order when they are read again."""
-    rows = sorted((tuple(x) for x in rows), key=lambda x: tuple((y is None, y) if y is not None else (True,) for y in x))
-    ends = np.cumsum([len(x[-1] or "") + 1 for x in rows])
-    cut = np.searchsorted(ends, [len(rows) and ends[-1] * k // PARTS for k in range(1, PARTS + 1)]) + 1
-    at = 0
-    for k, stop in enumerate([*cut[:-1].tolist(), len(rows)]):
-        stop = max(at, stop)
-        yield part * PARTS + k, rows[at:stop]
-        at = stop
-    del rows
+def _gather(part: int, rows: Iterable, step: int) -> Iterator:
+    """The partition's rows in PARTS pieces of about step bytes of text each."""
+    piece, k, size = [], 0, 0
+    for row in rows:
+        piece.append(tuple(row))
+        size += len(row[-1] or "") + 1
+        if size >= step * (k + 1) and k < PARTS - 1:
+            yield part * PARTS + k, piece
+            piece, k = [], k + 1
+    yield part * PARTS + k, piece
+    for k in range(k + 1, PARTS):
+        yield part * PARTS + k, []
     trim()
 
 
@@ -193,17 +196,3 @@ def counts_of(answers: list) -> np.ndarray:
     """The counts of a block's codes, in the order of the codes, from what repeats() answered."""
     parts = [np.frombuffer(zlib.decompress(x), np.uint8) for _, x in sorted(answers, key=lambda x: x[0])]
     return np.concatenate(parts) if parts else np.empty(0, np.uint8)
-
-
-def frame(blocks: Blocks, packed: RDD, schema: str) -> DataFrame:
-    """A DataFrame of the columns that pack() put into payloads: few large rows cross from Python, not many small ones."""
-    import pyarrow as pa
-
-    names = [x.split()[0] for x in schema.split(",")]
-
-    def rows(batches):
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(payload)], names)
-
-    return blocks.spark.createDataFrame(packed.map(lambda x: (x,)), "payload binary").mapInArrow(rows, schema)

@@ -32,7 +32,7 @@ from pyspark import RDD
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import PARTS, Blocks, bucket_of, counts_of, frame, pack, repeats, short, to_all, unpack
+from .exchange import PARTS, Blocks, bucket_of, counts_of, pack, repeats, short, to_all, unpack
 from .shared import components, written
 from .words import mix, shingle_sets, word_codes
 
@@ -213,20 +213,21 @@ def links(blocks: Blocks, *, width: int = WIDTH, jaccard: tuple[int, int] = JACC
     counts = repeats(blocks, lambda rows: _all_codes(rows, width))
     buckets = blocks.buckets()
 
-    def found(bucket: int, payloads: Iterator) -> Iterator[bytes]:
+    def found(bucket: int, payloads: Iterator) -> Iterator[tuple]:
         if (lists := _lists(bucket, (x for _, x in payloads))) is None:
             return
         token, cls, size, place, n, matches = lists
         if not len(token):
             return
         a, p = _pivots(*lists, num, den)
-        yield pack(np.zeros(len(a), np.int8), a, p, np.zeros(len(a), np.int32), np.zeros(len(a), np.int8))
+        yield from ((0, x, y, None, None) for x, y in zip(a.tolist(), p.tolist()))
         many = size > 2
         token, cls = token[many], cls[many]
-        yield pack(np.ones(len(cls), np.int8), place[cls], (np.int64(bucket) << 32) + token, n[cls], matches[cls])
+        for columns in zip(place[cls].tolist(), ((np.int64(bucket) << 32) + token).tolist(), n[cls].tolist(), matches[cls].tolist()):
+            yield 1, *columns
 
     asked = _prefixes(blocks, counts, width, num, den, buckets)
-    table = written(frame(blocks, asked.mapPartitionsWithIndex(found), "kind byte, a long, b long, n int, matches byte"), "postings")
+    table = written(blocks.spark.createDataFrame(asked.mapPartitionsWithIndex(found), "kind int, a long, b long, n int, matches int", verifySchema=False), "postings")
     pivots = written(table.where("kind = 0").select("a", "b").distinct(), "pivots")
     first = written(_verified(blocks, pivots, width, num, den), "links")
     labels = components(first)

@@ -38,7 +38,7 @@ SAMPLE = 20_000  # labelled documents that the lexicon and the curve are fitted
 LEXICON = 4_000  # entries at most
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_TOXIC, MIN_SHARE = 5, 0.01  # toxic documents, and share of them, that an entry must occur in
-MIN_WEIGHT = 2.0
+MIN_WEIGHT, FIRST_WEIGHT = 2.0, 0.2  # log odds of an entry, and before exceptions are known
 
 
 class _Fold(dict):
@@ -96,19 +96,20 @@ class Model:
         return found
 
 
-def hits(folded: str, matcher) -> list[tuple[int, float]]:
-    """(start, weight) of the words that entries match, the heaviest entry of each, without words within exceptions."""
-    best: dict[int, float] = {}
-    safe: list[tuple[int, int]] = []
+def matches(folded: str, matcher) -> list[tuple[int, int, float]]:
+    """(start, end, weight) of all matched entries, without those in words within exceptions."""
+    found, safe = [], []
     if len(matcher):
         for end, (weight, size) in matcher.iter(folded):
-            start = end - size + 1
-            if weight:
-                best[start] = max(weight, best.get(start, weight))
-            else:
-                safe.append((start, end))
-    if safe:
-        best = {k: w for k, w in best.items() if not any(a <= k < b for a, b in safe)}
+            (found if weight else safe).append((end - size + 1, end + 1, weight))
+    return [x for x in found if not any(a <= x[0] < b - 1 for a, b, _ in safe)] if safe else found
+
+
+def hits(folded: str, matcher) -> list[tuple[int, float]]:
+    """(start, weight) of the words that entries match, with the heaviest entry of each."""
+    best: dict[int, float] = {}
+    for start, _, weight in matches(folded, matcher):
+        best[start] = max(weight, best.get(start, weight))
     return sorted(best.items())
 
 
@@ -168,10 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (other + 1.0))
     found = (
         fit_on.select("text", "y").mapInPandas(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        .where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic)).withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("w"), "entry").limit(4 * LEXICON).collect()
+        .where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic)).withColumn("w", weight).where(F.col("w") >= FIRST_WEIGHT).orderBy(F.desc("w"), "entry").limit(4 * LEXICON).collect()
     )
     model = Model(_pruned({r.entry: (r.t, r.c, r.w) for r in found}), sorted({f" {fold(x).strip()} " for x in exceptions}))
     model.exceptions += _learned_exceptions(fit_on, model)
+    model.entries = _reweighted(fit_on, model, weight)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = model.matcher()
@@ -220,6 +222,21 @@ def _learned_exceptions(texts: DataFrame, model: Model) -> list[str]:
     return [r.pair for r in counted.where("c >= 3 and c > 4 * t").orderBy(F.desc("c"), "pair").limit(LEXICON).collect()]
 
 
+def _reweighted(texts: DataFrame, model: Model, weight: Column) -> dict[str, float]:
+    """Entries that weigh enough, with weights by their matches outside exceptions."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher, seen = model.matcher(), Counter()
+        for batch in batches:
+            for text, y in zip(batch["text"], batch["y"]):
+                folded = fold(text)
+                seen.update((x, y) for x in {folded[a:b] for a, b, _ in matches(folded, matcher)})
+        yield pd.DataFrame([(x, n * (y == 1), n * (y == 0)) for (x, y), n in seen.items()], columns=["entry", "t", "c"])
+
+    counted = texts.select("text", "y").mapInPandas(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    return {r.entry: r.w for r in counted.withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy("entry").collect()}  # LEXICON rows at most
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> list[float]:
     """Ridge logistic regression by Newton steps; weights not below 0, as more hits never make a text milder."""
     prior = math.log(share / (1 - share))

@@ -26,12 +26,11 @@ REFERENCES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("
 
 #: Regex and replacement, in order; valid alike in Java and RE2.
 STEPS = (
-    (r"(?s)<!--.*?-->", ""),
-    *((rf"(?is)<{x}\b[^>]*>.*?</{x}\s*>", "") for x in SILENT),
+    ("(?is)<!--.*?-->|" + "|".join(rf"<{x}\b[^>]*>.*?</{x}\s*>" for x in SILENT), ""),
     (rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n"),
     (r"</?[A-Za-z!][^>]*>", ""),
 )
-TIDY = ((r"[ \t\f\r]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"), (r"^[ \n]+|[ \n]+$", ""))
+TIDY = ((r"[ \t\f\r]{2,}|[\t\f\r]", " "), (r" ?\n[ \n]*", "\n"))
 
 
 def html_text(html: Column) -> Column:
@@ -42,7 +41,7 @@ def html_text(html: Column) -> Column:
         html = F.replace(html, F.lit(name), F.lit(by))
     for regex, by in TIDY:
         html = F.regexp_replace(html, regex, by)
-    return html
+    return F.btrim(html, F.lit(" \n"))
 
 
 def _digest(x: Column) -> Column:
@@ -126,6 +125,7 @@ def duckdb_sql(date: str = DATE) -> str:
         text = f"replace({text}, {quote(name)}, {quote(by)})"
     for regex, by in TIDY:
         text = f"regexp_replace({text}, {quote(regex)}, {quote(by)}, 'g')"
+    text = f"trim({text}, ' ' || chr(10))"
     urn = lambda h: f"'urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
     of = lambda kind, *parts: urn("sha256(" + " || chr(10) || ".join((quote(kind), *parts)) + ")")
     rows = []
