@@ -2,7 +2,7 @@
 
 Weights are shares of tokens to the power of an exponent a, normalised: w_i = n_i^a / sum n_j^a. a = 1 keeps the sources' own
 shares, a = 0 makes them equal. The exponent is bisected to the flattest mixture that meets a limit: at most
-`max_repeats` passes over any source, or an entropy of at most `entropy` times the logarithm of the number of sources. The
+`max_repeats` passes over any source (counted against the largest), or an entropy of at most `entropy` times the logarithm of the number of sources. The
 budget is the tokens of the mixture; by default it is the least with which every source is seen once in full, so that
 nothing is left out and small sources repeat.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MAX_REPEATS = 4.0
 BLOCK_DIGITS, BLOCK_ROWS = 2, 4096  # hexadecimal digits of a hash that number a block, at least; rows of a block, about
 SMALL = 100_000  # rows of about 60 bytes that may be broadcast
-STEPS = 60
+STEPS, LARGEST = 60, 64.0
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,7 +35,8 @@ def tokens(text: Column) -> Column:
 
 
 def exponent(sizes: list[int], *, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> float:
-    """The least exponent in [0, 1], to 2^-60, that meets the limits; sizes are tokens, all above 0. 1 if none does."""
+    """The least exponent, to 2^-60 of its range, that meets the limits; sizes are tokens, all above 0. Above 1 where the
+    sources' own shares have more entropy than asked for; LARGEST if nothing meets the limits."""
     if len(sizes) < 2:
         return 1.0
     logs = [math.log(x) for x in sizes]
@@ -54,6 +55,8 @@ def exponent(sizes: list[int], *, max_repeats: float | None = MAX_REPEATS, entro
     if meets(0.0):
         return 0.0
     low, high = 0.0, 1.0
+    while not meets(high) and high < LARGEST:
+        low, high = high, 2 * high
     for _ in range(STEPS):
         middle = (low + high) / 2
         if meets(middle):
