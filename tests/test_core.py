@@ -13,9 +13,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veriscreen import cli
-from veriscreen.functions import ranking, stats, text
+from veriscreen.functions import ranking, stats, text, wordpiece
 from veriscreen.operators import articles as A
-from veriscreen.operators import audit, cohorts, corpus, scoring
+from veriscreen.operators import audit, cohorts, corpus, release, scoring
 from veriscreen.sources import files, markup, sinks
 from veriscreen.streaming import incremental
 
@@ -310,3 +310,33 @@ def test_commands_end_to_end(spark, tmp_path):
     assert [g["n_articles"] for g in analysis["groups"]] == [40, 20] and len(analysis["pairwise_comparisons"]) == 1 and "| a | 40 |" in (tmp_path / "an/analysis.md").read_text()
     cli.main(["filter-overlap", "--input", str(tmp_path / "chunks0"), "--exclude", str(tmp_path / "sampled"), "--output", str(tmp_path / "left"), "--removed-ids", str(tmp_path / "gone")], spark)
     assert spark.read.text(str(tmp_path / "gone")).count() == 5
+
+
+def test_wordpiece(spark, tmp_path):
+    path = write(tmp_path / "vocab.txt", ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "blue", "shape", "##s"])
+    encode = wordpiece.encoder(wordpiece.read_vocabulary(path))
+    df = spark.createDataFrame([("Blue shapes xyz",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(encode("t")).collect()] == [[4, 5, 6, 1], None, []]
+    with pytest.raises(ValueError, match="SEP"):
+        wordpiece.read_vocabulary(write(tmp_path / "bad.txt", ["[CLS]"]))
+
+
+def test_release_gates(spark):
+    manifest = spark.createDataFrame([("a", "verified-historical", False), ("b", "demo-only", False), ("c", "verified-historical", None)], "cohort string, data_status string, verified boolean")
+    assert sorted(r.cohort for r in release.provenance_violations(manifest).collect()) == ["b", "c"]
+    schema = "name string, size long, git_sha1 string, rows long, ids long"
+    expected, found = spark.createDataFrame([("x", 5, "h", 2, 2), ("y", 1, "g", 1, 1)], schema), spark.createDataFrame([("x", 5, "z", 2, 2)], schema)
+    assert sorted(rows(release.blob_violations(found, expected))) == [("x", "git_sha1"), *sorted(("y", c) for c in ("size", "git_sha1", "rows", "ids"))]
+    recorded = spark.createDataFrame([("p", 2), ("q", 1)], "pmid string, n_chunks int")
+    chunks = spark.createDataFrame([("p", 0), ("p", 1), ("r", 0)], "pmid string, chunk_index int")
+    assert sorted(rows(release.sampled_differences(recorded, chunks))) == [("q", 1, "manifest"), ("r", 1, "file")]
+    assert release.check_threshold({"threshold": 0.4, "run_id": "a"}, "a") == 0.4
+    for bad in ({"threshold": True}, {"threshold": 1.5}, {"threshold": 0.4, "run_id": "b"}, {"threshold": 0.4, "run_id": "a", "aggregation": "max"}):
+        with pytest.raises(ValueError):
+            release.check_threshold(bad, "a")
+
+
+def test_manifests(spark):
+    articles = spark.createDataFrame([("1", "t", ""), ("2", "t", "a")], "pmid string, title string, abstract string")
+    assert sinks.retrieval_manifest(articles, 2, "e", "t", {})["missing_abstracts"] == ["1"]
+    assert sinks.preprocess_manifest(articles, articles, {"overlap": 2}, {"v": "h"})["articles"] == 2

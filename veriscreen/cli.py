@@ -9,9 +9,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text
+from .functions import text, wordpiece
 from .operators import articles as A
-from .operators import audit, cohorts, corpus, scoring
+from .operators import audit, cohorts, corpus, release, scoring
 from .sources import files, sinks
 
 
@@ -26,12 +26,18 @@ def _load(spark: SparkSession, a) -> tuple[DataFrame, DataFrame]:
 
 
 def preprocess(spark: SparkSession, a) -> None:
-    """Raw articles to windows; the words' tokenizer is a hash, as no vocabulary is bundled."""
+    """Raw articles to windows; without a vocabulary file, words get hashes as ids, as no vocabulary is bundled."""
     rows = files.raw_articles(spark, a.input)
-    words = text.tokens(text.compose(F.col("title"), F.col("abstract")))
-    ids = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(a.vocabulary - 1000)) + 1000).cast("int"))
+    whole = text.compose(F.col("title"), F.col("abstract"))
+    cls, sep = text.CLS, text.SEP
+    if a.vocabulary_file:
+        vocabulary = wordpiece.read_vocabulary(a.vocabulary_file)
+        cls, sep = (vocabulary.index(x) for x in wordpiece.SPECIAL)
+        ids = wordpiece.encoder(vocabulary)(whole)
+    else:
+        ids = F.transform(text.tokens(whole), lambda w: (F.pmod(F.xxhash64(w), F.lit(a.vocabulary - 1000)) + 1000).cast("int"))
     spread = text.windows(rows.withColumn("ids", ids), "ids", a.max_length, a.overlap)
-    whole, mask, kinds = text.wrap(F.col("chunk"))
+    whole, mask, kinds = text.wrap(F.col("chunk"), cls, sep)
     sinks.write_jsonl(spread.select("pmid", "chunk_index", "label", whole.alias("input_ids"), mask.alias("attention_mask"), kinds.alias("token_type_ids")), a.output)
 
 
@@ -115,6 +121,8 @@ def verify_release(spark: SparkSession, a) -> None:
     """Recomputes hashes, counts, order and overlaps of the id lists that a manifest names and the folder holds."""
     cohorts_ = files.cohort_manifest(spark, f"{a.root}/manifest.json")
     present = [r for r in cohorts_.collect() if os.path.exists(f"{a.root}/{r.path}")]
+    if bad := release.provenance_violations(cohorts_).limit(5).collect():
+        raise ValueError(f"unexpected provenance: {bad}")
     rows = None
     for order, r in enumerate(present):
         path = f"{a.root}/{r.path}"
@@ -151,7 +159,7 @@ def parser() -> argparse.ArgumentParser:
     need, many = {"required": True}, {"nargs": "*", "default": []}
     number = lambda kind, default: {"type": kind, "default": default}
     roles = (("--positive", many), ("--negative", many), ("--max-length", number(int, 512)), ("--output-dir", need))
-    command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(int, 512)), ("--overlap", number(int, 32)), ("--vocabulary", number(int, 30_000)))
+    command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(int, 512)), ("--overlap", number(int, 32)), ("--vocabulary", number(int, 30_000)), ("--vocabulary-file", {}))
     command(train, *roles, ("--train-ratio", number(float, 0.8)), ("--validation-ratio", number(float, 0.1)), ("--test-ratio", number(float, 0.1)), ("--seed", number(int, 42)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
     command(evaluate, *roles, ("--threshold", number(float, None)), ("--threshold-file", {}), ("--training-manifest", {}), ("--allow-overlap", {"action": "store_true"}))
     command(sample, ("--input", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--n-articles", {"type": int, **need}), ("--output", need), ("--manifest-output", {}), ("--exclude-jsonl", many), ("--exclude-manifest", many), ("--seed", number(int, 42)), ("--max-length", number(int, 512)))

@@ -29,6 +29,28 @@ def score_batches(chunks: DataFrame, scorer: Callable[[], Callable], columns: tu
     return chunks.mapInPandas(run, schema)
 
 
+def onnx_scorer(path: str) -> Callable[[], Callable]:
+    """A scorer for score_batches from a two-class ONNX model whose file all machines have at path; windows are padded to
+    the longest of their batch."""
+
+    def make() -> Callable:
+        import numpy as np
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        names = [x.name for x in session.get_inputs()]
+
+        def score(batch):
+            size = max(map(len, batch["input_ids"]), default=0)
+            padded = {c: np.array([[*x, *[0] * (size - len(x))] for x in batch[c]], np.int64).reshape(len(batch), size) for c in names}
+            logits = session.run(None, padded)[0]
+            return 1 / (1 + np.exp(logits[:, 0] - logits[:, 1]))
+
+        return score
+
+    return make
+
+
 def mean_loss(chunks: DataFrame, probability: str = "positive_probability", label: str = "label") -> DataFrame:
     """Mean cross-entropy over windows."""
     p = F.when(F.col(label) == 1, F.col(probability)).otherwise(1 - F.col(probability))

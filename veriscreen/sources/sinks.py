@@ -73,3 +73,14 @@ def report(groups: list[dict], comparisons: list[dict], confidence: float, repli
     out += ["", "| first | second | mean difference | interval | rate difference | Cohen's d |", "|---|---|---:|---|---:|---:|"]
     out += [f"| {c['first_group']} | {c['second_group']} | {fmt(c['mean_difference'])} | {fmt(c.get('low'))} to {fmt(c.get('high'))} | {fmt(c['rate_difference'])} | {fmt(c['cohens_d'])} |" for c in comparisons]
     return "\n".join(out) + "\n"
+
+
+def preprocess_manifest(articles: DataFrame, chunks: DataFrame, parameters: dict, files: dict[str, str]) -> dict:
+    """Counts, parameters and file hashes of a conversion to windows."""
+    return {"schema_version": 1, "articles": articles.count(), "chunks": chunks.count(), "parameters": parameters, "tokenizer_files": files}
+
+
+def retrieval_manifest(articles: DataFrame, requested: int, endpoint: str, time: str, hashes: dict[str, str]) -> dict:
+    """What a retrieval asked for and got, with the ids that have no abstract."""
+    missing = [r.pmid for r in articles.where("abstract = ''").select("pmid").orderBy(F.length("pmid"), "pmid").toLocalIterator()]
+    return {"schema_version": 1, "endpoint": endpoint, "retrieved_at": time, "requested": requested, "retrieved": articles.count(), "sha256": hashes, "missing_abstracts": missing}
