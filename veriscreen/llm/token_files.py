@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_dir
-from .words import slices
+from .words import slices, trim
 
 MAGIC = b"DACIDS01"
 GROUP = 512  # bits a rank entry covers
@@ -302,6 +302,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
                         doc_ids, ids, sizes = [], [], []
         if sizes and sum(map(len, sizes)):
             yield image()
+        del doc_ids, ids, sizes
+        trim()
 
     ordered.mapInArrow(images, IMAGES).write.parquet(out)
     return out
@@ -347,5 +349,7 @@ def digest_token_files(spark, folder: str) -> DataFrame:
                 raw = memoryview(shard.slice(0, len(shard)).astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.nulls.astype(bool)), pa.array(at[:-1] + (starts[part] + before)), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                del shard, raw
+                trim()
 
     return shards.select("part", "before", "image").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

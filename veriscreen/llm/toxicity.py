@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
+from .words import trim
 
 #: Characters that look like, or stand for, a Latin letter. i, l, 1 and | fall together.
 LOOK_ALIKE = {
@@ -164,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
                 for n in PREFIXES:
                     keys.update(f" {w[:n]}" for w in words if len(w) >= n)
                 seen[y].update(keys)
+            trim()
         yield pd.DataFrame([(k, n, seen[0].get(k, 0)) for k, n in seen[1].items()] + [(k, 0, n) for k, n in seen[0].items() if k not in seen[1]], columns=["entry", "t", "c"])
+        del seen
+        trim()
 
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (other + 1.0))
     found = (
@@ -273,6 +277,8 @@ def scorer(model: Model):
         matcher = made.matcher()
         for texts in batches:
             yield pd.Series([_score(features(fold(x), matcher), made.curve) for x in texts], dtype=float)
+            del texts
+            trim()
 
     return score
 
