@@ -53,7 +53,7 @@ class Blocks:
         self.rdd = rows.mapPartitionsWithIndex(lambda part, it: _gather(part, it, steps.get(part, SPLIT)))
         self._zipped: dict[tuple[RDD, ...], RDD] = {}
 
-    def buckets(self, share: int = 1 << 24) -> int:
+    def buckets(self, share: int = 1 << 23) -> int:
         """One for each `share` bytes of text, so that a bucket's part stays the same as the corpus grows."""
         return max(8, self.bytes // share)
 

@@ -31,11 +31,11 @@ from .words import slices, trim
 
 MAGIC = b"DACIDS01"
 GROUP = 512  # bits a rank entry covers
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 END_ID = 2
 KNOWN = 500_000  # pieces whose ids an encoder remembers
 LINES = 200  # pieces that go to the library as one text
-CHARS = 1 << 23  # bytes of texts encoded together, but for a longer one
+CHARS = 1 << 22  # bytes of texts encoded together, but for a longer one
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 

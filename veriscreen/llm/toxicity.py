@@ -39,6 +39,7 @@ SAMPLE = 20_000  # labelled documents that the lexicon and the curve are fitted
 LEXICON = 4_000  # entries at most
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_TOXIC, MIN_SHARE = 5, 0.01  # toxic documents, and share of them, that an entry must occur in
+HELD = 60_000  # counts of entries that a task holds before it passes them on
 MIN_WEIGHT, FIRST_WEIGHT = 2.0, 0.2  # log odds of an entry, and before exceptions are known
 
 
@@ -157,17 +158,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
     toxic, other = (max(1, fit_on.where(F.col("y") == y).count()) for y in (1, 0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        toxic_in, other_in = Counter(), Counter()
+
+        def table() -> pd.DataFrame:
+            keys = list(toxic_in.keys() | other_in.keys())
+            return pd.DataFrame({"entry": keys, "t": [toxic_in[k] for k in keys], "c": [other_in[k] for k in keys]})
+
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"]):
                 words = set(fold(text).split())
                 keys = {f" {w} " for w in words}
                 for n in PREFIXES:
                     keys.update(f" {w[:n]}" for w in words if len(w) >= n)
-                seen[y].update(keys)
-            trim()
-        yield pd.DataFrame([(k, n, seen[0].get(k, 0)) for k, n in seen[1].items()] + [(k, 0, n) for k, n in seen[0].items() if k not in seen[1]], columns=["entry", "t", "c"])
-        del seen
+                (toxic_in if y else other_in).update(keys)
+                if len(toxic_in) + len(other_in) > HELD:
+                    yield table()
+                    toxic_in.clear()
+                    other_in.clear()
+        yield table()
         trim()
 
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (other + 1.0))
