@@ -26,7 +26,7 @@ REFERENCES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("
 
 #: Regex and replacement, in order; valid alike in Java and RE2.
 STEPS = (
-    ("(?is)<!--.*?-->|" + "|".join(rf"<{x}\b[^>]*>.*?</{x}\s*>" for x in SILENT), ""),
+    ("(?is)<(?:!--.*?--|" + "|".join(rf"{x}\b[^>]*>.*?</{x}\s*" for x in SILENT) + ")>", ""),
     (rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n"),
     (r"</?[A-Za-z!][^>]*>", ""),
 )
