@@ -20,12 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .words import trim
+from .words import slices, trim
 
 #: Characters that look like, or stand for, a Latin letter. i, l, 1 and | fall together.
 LOOK_ALIKE = {
@@ -157,15 +157,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
     fit_on, curve_on = texts.where("not curve"), texts.where("curve")
     toxic, other = (max(1, fit_on.where(F.col("y") == y).count()) for y in (1, 0))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic_in, other_in = Counter(), Counter()
 
-        def table() -> pd.DataFrame:
+        def table() -> pa.RecordBatch:
             keys = list(toxic_in.keys() | other_in.keys())
-            return pd.DataFrame({"entry": keys, "t": [toxic_in[k] for k in keys], "c": [other_in[k] for k in keys]})
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic_in[k] for k in keys], pa.int64()), pa.array([other_in[k] for k in keys], pa.int64())], ["entry", "t", "c"])
 
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"]):
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(fold(text).split())
                 keys = {f" {w} " for w in words}
                 for n in PREFIXES:
@@ -180,20 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
 
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (other + 1.0))
     found = (
-        fit_on.select("text", "y").mapInPandas(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        fit_on.select("text", "y").mapInArrow(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic)).withColumn("w", weight).where(F.col("w") >= FIRST_WEIGHT).orderBy(F.desc("w"), "entry").limit(4 * LEXICON).collect()
     )
     model = Model(_pruned({r.entry: (r.t, r.c, r.w) for r in found}), sorted({f" {fold(x).strip()} " for x in exceptions}))
     model.exceptions += _learned_exceptions(fit_on, model)
     model.entries = _reweighted(fit_on, model, weight)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
         for batch in batches:
-            yield pd.DataFrame([(*features(fold(x), matcher), y) for x, y in zip(batch["text"], batch["y"])], columns=["a", "b", "c", "y"])
+            rows = [features(fold(x), matcher) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(3)), batch.column(1)], ["a", "b", "c", "y"])
 
-    measured = curve_on.select("text", "y").mapInPandas(measure, "a double, b double, c double, y int").toPandas()  # `sample` rows at most
-    model.curve = _logistic(measured[["a", "b", "c"]].to_numpy(float), measured["y"].to_numpy(float), (n_toxic + 0.5) / (n_toxic + n_other + 1))
+    measured = np.array(curve_on.select("text", "y").mapInArrow(measure, "a double, b double, c double, y int").collect(), float).reshape(-1, 4)  # `sample` rows at most
+    model.curve = _logistic(measured[:, :3], measured[:, 3], (n_toxic + 0.5) / (n_toxic + n_other + 1))
     return model
 
 
@@ -215,10 +216,10 @@ def _pruned(found: dict[str, tuple[int, int, float]]) -> dict[str, float]:
 def _learned_exceptions(texts: DataFrame, model: Model) -> list[str]:
     """Pairs of a matched word and a neighbour that stand in three or more documents, most of them not toxic."""
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, seen = model.matcher(), Counter()
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"]):
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 folded, found = fold(text), set()
                 for start, _ in hits(folded, matcher):
                     after = folded[start : start + 80].split(None, 2)[:2]
@@ -228,24 +229,25 @@ def _learned_exceptions(texts: DataFrame, model: Model) -> list[str]:
                     if before and after:
                         found.add(f" {before[0]} {after[0]} ")
                 seen.update((x, y) for x in found)
-        yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["pair", "y", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["pair", "y", "n"])
 
-    counted = texts.select("text", "y").mapInPandas(pairs, "pair string, y int, n long").groupBy("pair").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"))
+    counted = texts.select("text", "y").mapInArrow(pairs, "pair string, y int, n long").groupBy("pair").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"))
     return [r.pair for r in counted.where("c >= 3 and c > 4 * t").orderBy(F.desc("c"), "pair").limit(LEXICON).collect()]
 
 
 def _reweighted(texts: DataFrame, model: Model, weight: Column) -> dict[str, float]:
     """Entries that weigh enough, with weights by their matches outside exceptions."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, seen = model.matcher(), Counter()
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"]):
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 folded = fold(text)
                 seen.update((x, y) for x in {folded[a:b] for a, b, _ in matches(folded, matcher)})
-        yield pd.DataFrame([(x, n * (y == 1), n * (y == 0)) for (x, y), n in seen.items()], columns=["entry", "t", "c"])
+        columns = [x for x, _ in seen], [n * (y == 1) for (_, y), n in seen.items()], [n * (y == 0) for (_, y), n in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["entry", "t", "c"])
 
-    counted = texts.select("text", "y").mapInPandas(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counted = texts.select("text", "y").mapInArrow(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     return {r.entry: r.w for r in counted.withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy("entry").collect()}  # LEXICON rows at most
 
 
@@ -279,14 +281,15 @@ def scorer(model: Model):
     """A column function from text to score."""
     spark_model = (model.entries, model.exceptions, model.curve)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         made = Model(*spark_model)
         matcher = made.matcher()
         for texts in batches:
-            yield pd.Series([_score(features(fold(x), matcher), made.curve) for x in texts], dtype=float)
-            del texts
-            trim()
+            out = []
+            for a, b in slices(texts):
+                out += [_score(features(fold(x), matcher), made.curve) for x in texts.slice(a, b - a).to_pylist()]
+            yield pa.array(out, pa.float64())
 
     return score
 

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -24,7 +23,8 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 def trim() -> None:
     """Gives freed memory back to the system, as worker processes stay while others start."""
-    pa.default_memory_pool().release_unused()
+    if "pyarrow" in sys.modules:
+        sys.modules["pyarrow"].default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -134,8 +134,10 @@ def shingle_sets(codes: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.n
         start += count
 
 
-def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(texts, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Ranges of an Arrow array of texts with about `most` bytes each, one text at least."""
+    import pyarrow.compute as pc  # workers that see no Arrow data stay smaller without it
+
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
