@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import gram_codes, mix, shingle_sets, slices, word_codes
+from .words import gram_codes, mix, shingle_sets, slices, trim, word_codes
 
 WIDTH = 5
 CONTAINMENT = (3, 4)  # shared shingles / shingles of the item, at least
@@ -125,6 +125,8 @@ def _finder(held, width: int, containment: tuple[int, int]):
                         if shared * den >= num * len(index.sets[item]):
                             rows.append((doc_id, index.item_ids[item], shared, len(index.sets[item])))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "item_id", "n_shared", "n_item"])
+            del batch
+            trim()
 
     return run
 

@@ -300,6 +300,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
                         yield (made := image())
                         shard, before = shard + 1, before + made.column(3)[0].as_py()
                         doc_ids, ids, sizes = [], [], []
+                del own, n
+            del batch
         if sizes and sum(map(len, sizes)):
             yield image()
         del doc_ids, ids, sizes

@@ -290,6 +290,8 @@ def scorer(model: Model):
             for a, b in slices(texts):
                 out += [_score(features(fold(x), matcher), made.curve) for x in texts.slice(a, b - a).to_pylist()]
             yield pa.array(out, pa.float64())
+            del texts, out
+            trim()
 
     return score
 
