@@ -34,6 +34,7 @@ GROUP = 512  # bits a rank entry covers
 SHARD_TOKENS = 1 << 21
 END_ID = 2
 KNOWN = 500_000  # pieces whose ids an encoder remembers
+BATCH_ROWS = 1000  # of an Arrow batch, which stays in memory on both sides
 LINES = 200  # pieces that go to the library as one text
 CHARS = 1 << 22  # bytes of texts encoded together, but for a longer one
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -307,7 +308,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
         del doc_ids, ids, sizes
         trim()
 
-    ordered.mapInArrow(images, IMAGES).write.parquet(out)
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = conf.get(key)
+    try:
+        conf.set(key, str(min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS))
+        ordered.mapInArrow(images, IMAGES).write.parquet(out)
+    finally:
+        conf.set(key, old)
     return out
 
 
