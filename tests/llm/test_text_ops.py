@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,43 @@ def test_warc_records(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def brute_unescape(text):
+    """One left-to-right pass over the names of HTML5, longest first, and numbers."""
+    out, at = [], 0
+    while at < len(text):
+        number = re.compile(r"&#(?:[xX]([0-9a-fA-F]+)|([0-9]+));?").match(text, at)
+        name = max((x for x in html5 if text.startswith(x, at + 1)), key=len, default=None) if text[at] == "&" else None
+        if number:
+            x = int(number[1], 16) if number[1] else int(number[2].lstrip("0")[:20] or "0")
+            out.append({0x80: "€", 0x92: "’"}.get(x) or ("\ufffd" if x == 0 or 0xD800 <= x < 0xE000 or x > 0x10FFFF else chr(x)))
+            at = number.end()
+        elif name:
+            out.append(html5[name])
+            at += len(name) + 1
+        else:
+            out.append(text[at])
+            at += 1
+            continue
+        out[-1] = out[-1].replace("\xa0", " ")
+    return "".join(out)
+
+
+REFERRING = [
+    "a &middot; b &#8217;c&rsquo; caf&eacute; &#xe9;&#XE9;", "&amp;middot; &amp;amp;lt; &#38;lt; &AMP;gt;", "&notit; &notin; &amp-x &copy2 &eacutex", "&#xA0;x&NonBreakingSpace;y&nbsp\xa0z", "&#0;&#xD800;&#x110000;&#128;&#146;",
+    "AT&T & && &; &# &#x; &zz; &CounterClockwiseContourIntegral; &ngE;", "&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;&#x" + "0" * 5000 + "42;", "tom \xa0 &\xa0 é", "",
+]
+
+
+def test_warc_decodes_all_references_once(spark):
+    pages = spark.createDataFrame([(k, "u", f"<title>{x}</title><p>{x}</p>") for k, x in enumerate(REFERRING)], "page_id long, url string, html string")
+    got = {(r.page_id, r.warc_type): r.block for r in warc.derive(warc.responses(pages), decode_title=True).collect()}
+    for k, x in enumerate(REFERRING):
+        want = brute_unescape(x)
+        assert got[k, "conversion"] == "\n".join([re.sub(" {2,}", " ", want).strip(" ")] * 2).strip("\n"), x[:80]
+        assert got[k, "metadata"].split("\r\n")[0] == "title: " + re.sub(r"[ \t\n\x0b\f\r]+", " ", want).strip(" "), x[:80]
+    assert all(warc.decode(f"&{x}") == y.replace("\xa0", " ") for x, y in html5.items())
+
+
 def test_codes_are_the_same_for_equal_words_only():
     codes, _ = word_codes(["a b", "b a", "ab"], False)
     assert codes[0] == codes[3] and codes[1] == codes[2] and len(set(codes.tolist())) == 3

@@ -58,7 +58,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")), decode_title=True)
     return made.withColumn("record", warc.record(F.col("header"), F.col("block"))).drop("header", "block")
 
 

@@ -3,15 +3,21 @@
 From each response two records follow: `metadata` (application/warc-fields: title, links, the source's status line and HTTP
 headers, its digests) and `conversion` (text/plain of its HTML). Both refer to the response by its id, URI and date and
 to each other by WARC-Concurrent-To. Ids are made from digests of content, so a record lost with an executor comes back
-the same. Everything is DataFrame expressions: one pass, no shuffle.
+the same. One pass, no shuffle; all but the decoding of character references is DataFrame expressions.
 
 Null URLs and payloads count as empty: an empty page gives records with empty blocks. Repeated rows give equal records
-with equal ids. Empty tables give no rows; other columns are ignored. Character references other than those of
-REFERENCES stay as they are. Texts are UTF-8; a response block without an empty line has headers and no payload.
+with equal ids. Empty tables give no rows; other columns are ignored. All named and numeric character references of HTML5
+are decoded, once, by the rules of html.unescape; a no-break space so written becomes a space. Texts are UTF-8; a response
+block without an empty line has headers and no payload.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +25,7 @@ DATE = "2026-01-01T00:00:00Z"
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
 
-#: Elements whose content is no text, elements that end a line, and character references.
+#: Elements whose content is no text, elements that end a line, and the character references that the SQL knows.
 SILENT = ("script", "style", "noscript", "template", "svg")
 BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
 REFERENCES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&euro;", "€"), ("&amp;", "&"))
@@ -33,12 +39,37 @@ STEPS = (
 TIDY = ((r"[ \t\f\r]{2,}|[\t\f\r]", " "), (r" ?\n[ \n]*", "\n"))
 
 
+#: Names of HTML5 have letters and digits only, 31 at most.
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)")
+LONGEST = 4000  # characters of a numeric reference that html.unescape takes without an error
+
+
+@lru_cache(maxsize=4096)
+def _character(reference: str) -> str:
+    if len(reference) > LONGEST:
+        reference = "&#x" + reference[3:].lstrip("0") if reference[2] in "xX" else "&#" + reference[2:].lstrip("0")
+        if len(reference) > LONGEST:
+            return "\ufffd"
+    return entities.unescape(reference).replace("\xa0", " ")
+
+
+def decode(text: str) -> str:
+    """The text with each character reference decoded once."""
+    return REFERENCE.sub(lambda m: _character(m[0]), text) if "&" in text else text
+
+
+def decoded(text: Column) -> Column:
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([x and decode(x) for x in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
 def html_text(html: Column) -> Column:
     """The text of HTML, one line for each block element."""
     for regex, by in STEPS:
         html = F.regexp_replace(html, regex, by)
-    for name, by in REFERENCES:
-        html = F.replace(html, F.lit(name), F.lit(by))
+    html = decoded(html)
     for regex, by in TIDY:
         html = F.regexp_replace(html, regex, by)
     return F.btrim(html, F.lit(" \n"))
@@ -64,8 +95,9 @@ def _fields(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*(x for name, value in pairs for x in (F.lit(f"{name}: "), value, F.lit(CRLF))))
 
 
-def derive(found: DataFrame) -> DataFrame:
-    """Metadata and conversion records of response records (page_id, record_id, target_uri, date, block).
+def derive(found: DataFrame, *, decode_title: bool = False) -> DataFrame:
+    """Metadata and conversion records of response records (page_id, record_id, target_uri, date, block). The metadata's
+    title is as the page writes it, or with decode_title as a reader sees it.
 
     (page_id, warc_type, record_id, refers_to, target_uri, content_length, block_digest, header, block)
     """
@@ -75,7 +107,8 @@ def derive(found: DataFrame) -> DataFrame:
     out = out.withColumn("text", html_text(F.col("payload")))
     lines = F.split("http", CRLF, -1)
     headers = F.array_join(F.transform(F.filter(F.slice(lines, 2, 1 << 20), lambda x: x != ""), lambda x: F.concat(F.lit("source-header: "), x, F.lit(CRLF))), "")
-    title = F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
+    title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)
+    title = F.trim(F.regexp_replace(decoded(title) if decode_title else title, r"\s+", " "))
     out = out.withColumn("digest", _digest(F.col("payload"))).withColumn("metadata_id", _urn("metadata", F.col("record_id"))).withColumn("conversion_id", _urn("conversion", F.col("record_id"), F.col("text")))
     links = F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href")).cast("string")
     about = F.concat(_fields(("title", title), ("outlinks", links), ("source-status", F.element_at(lines, 1))), headers, _fields(("source-payload-digest", F.col("digest")), ("source-block-digest", _digest(F.col("block")))))
