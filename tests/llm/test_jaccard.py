@@ -51,6 +51,17 @@ def check(spark, rows, parts=3):
     assert got == sorted(brute(rows), key=repr)
 
 
+def test_numbers_of_links(spark):
+    """Links within a component count, those of equal texts and of lists of two included."""
+    texts = [t for k, (copies, edits) in enumerate([(30, 5), (20, 8), (2, 1)]) for t in family(70 + k, copies, edits)]
+    rows = [(k, t) for k, t in enumerate(texts + texts[:6] + texts[:2] + ["", None, "a b", "A b", "alone here"])] + [(None, texts[0]), (3, texts[9])]
+    sets = [shingles(t) for _, t in rows]
+    want = [sum(4 * len(x & y) >= 3 * len(x | y) for j, y in enumerate(sets) if j != i and x) for i, x in enumerate(sets)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), count_links=True).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(((*a, n) for a, n in zip(brute(rows), want)), key=repr)
+    assert max(want) > 10
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_families_of_near_copies(spark, seed):
     """Many members are far from the pivots of their lists, so links across components have to be found by queries."""

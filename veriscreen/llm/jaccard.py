@@ -18,6 +18,8 @@ den * |intersection| >= num * |union|. Equal sets form one class; a class links
    and is verified there against the members of other components that fit in size and share min(l, l') prefix shingles
    or more. No pair becomes a row unless it links. All links between components are found; those within a component
    change nothing.
+5. Numbers of links. link_counts() asks the same queries for all classes of a family, against all members before them, and
+   counts instead of listing: no link becomes a row. A family of n classes costs up to n * n / 2 verifications here.
 
 Verification is exact, on 64-bit shingle codes: sets travel to the block of the other document. Null and repeated ids are
 kept as rows; a null id never names a component of others. Empty tables give no rows. Other columns are ignored.
@@ -32,13 +34,14 @@ from pyspark import RDD
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import PARTS, Blocks, bucket_of, counts_of, pack, repeats, short, to_all, unpack
+from .exchange import PARTS, Blocks, bucket_of, counts_of, pack, repeats, short, unpack
 from .shared import components, written
 from .words import mix, shingle_sets, word_codes
 
 WIDTH = 5
 JACCARD = (3, 4)
 MAX_MATCHES = 4
+FEW = 4  # blocks of a partition that a query is sent to one by one
 VERIFY_COST = 16  # of a candidate, in postings read
 
 
@@ -207,9 +210,9 @@ def _verified(blocks: Blocks, pairs: DataFrame, width: int, num: int, den: int)
     return blocks.spark.createDataFrame(blocks.each(check, asked, given), "a long, b long", verifySchema=False)
 
 
-def links(blocks: Blocks, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
-    """Links (a, b) between places of documents, enough to connect whatever is connected; blocks of (.., text)."""
-    num, den = jaccard
+def _posted(blocks: Blocks, width: int, num: int, den: int, pairs: bool = False) -> DataFrame:
+    """Rows of kind 0: pairs (a, b) of places for pivots; of kind 1: class a, with its n and matches, in a posting list b of more
+    than two classes; with pairs, of kind 2: the same for lists of two."""
     counts = repeats(blocks, lambda rows: _all_codes(rows, width))
     buckets = blocks.buckets()
 
@@ -221,13 +224,38 @@ def links(blocks: Blocks, *, width: int = WIDTH, jaccard: tuple[int, int] = JACC
             return
         a, p = _pivots(*lists, num, den)
         yield from ((0, x, y, None, None) for x, y in zip(a.tolist(), p.tolist()))
-        many = size > 2
+        many = size > (1 if pairs else 2)
         token, cls = token[many], cls[many]
-        for columns in zip(place[cls].tolist(), ((np.int64(bucket) << 32) + token).tolist(), n[cls].tolist(), matches[cls].tolist()):
-            yield 1, *columns
+        for columns in zip(np.where(size[many] > 2, 1, 2).tolist(), place[cls].tolist(), ((np.int64(bucket) << 32) + token).tolist(), n[cls].tolist(), matches[cls].tolist()):
+            yield columns
 
     asked = _prefixes(blocks, counts, width, num, den, buckets)
-    table = written(blocks.spark.createDataFrame(asked.mapPartitionsWithIndex(found), "kind int, a long, b long, n int, matches int", verifySchema=False), "postings")
+    return written(blocks.spark.createDataFrame(asked.mapPartitionsWithIndex(found), "kind int, a long, b long, n int, matches int", verifySchema=False), "postings")
+
+
+def link_counts(blocks: Blocks, rows: DataFrame, posted: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
+    """(key, n_links) of the classes of rows(.., key) that link with others: documents of those others. posted: with pairs."""
+    num, den = jaccard
+    posting = posted.where("kind > 0").select(F.col("b").alias("token"), F.col("a").alias("node"), "n", "matches")
+    posting = posting.join(posting.groupBy("token").agg(F.min("node").alias("head")), "token")
+    family = components(posting.select(F.col("node").alias("a"), F.col("head").alias("b"))).toDF("node", "family")
+    keys = written(_keys_at(blocks, family, width), "places")
+    copies = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("component"))
+    weight = keys.join(copies, "key").select(F.col("place").alias("node"), "component")
+    members = posting.groupBy("node", "n", "matches").agg(F.collect_list("token").alias("tokens")).join(family, "node").join(weight, "node")
+    members = written(members.select("family", "node", "component", "n", "matches", "tokens"), "members")
+    # a pair meets where its lesser place is; a few blocks of a partition are addressed by themselves
+    where = members.select("family", F.expr("node >> 32").alias("block")).groupBy("family", F.expr(f"block div {PARTS}").alias("part")).agg(F.collect_set("block").alias("own"))
+    where = where.select("family", "part", F.explode(F.expr(f"if(size(own) > {FEW}, array(-1 - part), own)")).alias("to"))
+    asked = members.join(where, "family").where(f"if(to < 0, part <= (node >> 32) div {PARTS}, to <= (node >> 32))").drop("part")
+    linked = _across(blocks, members, asked, width, num, den, counts=True)
+    return linked.groupBy("a").agg(F.sum("b").alias("n_links")).join(keys, F.col("a") == F.col("place")).select("key", "n_links")
+
+
+def links(blocks: Blocks, posted: DataFrame | None = None, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
+    """Links (a, b) between places of documents, enough to connect whatever is connected; blocks of (.., text)."""
+    num, den = jaccard
+    table = _posted(blocks, width, num, den) if posted is None else posted
     pivots = written(table.where("kind = 0").select("a", "b").distinct(), "pivots")
     first = written(_verified(blocks, pivots, width, num, den), "links")
     labels = components(first)
@@ -243,15 +271,17 @@ def links(blocks: Blocks, *, width: int = WIDTH, jaccard: tuple[int, int] = JACC
     members = written(members.join(family.toDF("node", "family"), "node"), "members")
     sizes = members.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     queries = members.join(sizes, "family").where("component <> main")
-    where = members.select("family", F.expr(f"(node >> 32) div {PARTS}").alias("to")).distinct()
+    where = members.select("family", F.expr(f"-1 - (node >> 32) div {PARTS}").alias("to")).distinct()
     asked = queries.select("family", "node", "component", "n", "matches", "tokens").join(where, "family")
     more = _across(blocks, members, asked, width, num, den)
     return written(first.union(more), "links")
 
 
-def _across(blocks: Blocks, members: DataFrame, asked: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the queries asked(family, node, component, n, matches, tokens, to), partitions to go to, and
-    members of their families in other components; of the links of a query to one component in a block, one."""
+def _across(blocks: Blocks, members: DataFrame, asked: DataFrame, width: int, num: int, den: int, counts: bool = False) -> DataFrame:
+    """Links (a, b) between the queries asked(family, node, component, n, matches, tokens, to), addresses to go to, and
+    members of their families in other components; of the links of a query to one component in a block, one. With counts,
+    component holds a class's number of documents, a query meets the members before it, and rows are (class a, documents b
+    that it links with), to be summed."""
     local = members.rdd.map(lambda x: (x.node >> 32, (x.family, x.node, x.component, x.n, x.matches, np.array(x.tokens))))
     wanted = asked.rdd.map(lambda x: (x.node >> 32, (x.family, x.node, x.component, x.n, x.matches, np.array(x.tokens), x.to)))
 
@@ -260,7 +290,7 @@ def _across(blocks: Blocks, members: DataFrame, asked: DataFrame, width: int, nu
         places = sorted({r[1] for r in rows})
         sets = dict(zip(places, _sets([docs[p & 0xFFFFFFFF] for p in places], width)))
         for *query, to in rows:
-            yield to_all(to), (*query, sets[query[1]])
+            yield to, (*query, sets[query[1]])
 
     def check(x) -> Iterator[tuple[int, int]]:
         _, docs, (own, queries) = x
@@ -268,6 +298,7 @@ def _across(blocks: Blocks, members: DataFrame, asked: DataFrame, width: int, nu
         for r in own:
             by_family.setdefault(r[0], []).append(r)
         indexes: dict[int, tuple] = {}
+        totals: dict[int, np.ndarray] = {}
         for family, node, component, n, matches, tokens, codes in queries:
             if family not in by_family:
                 continue
@@ -277,7 +308,7 @@ def _across(blocks: Blocks, members: DataFrame, asked: DataFrame, width: int, nu
                 columns = tuple(np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
                 indexes[family] = columns, _postings([r[5] for r in rows]), _postings(sets)
             (nodes, components_, sizes, least), prefixes, whole = indexes[family]
-            fits = (components_ != component) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num)
+            fits = (nodes < node if counts else components_ != component) & (np.minimum(sizes, n) * den >= np.maximum(sizes, n) * num)
             if not fits.any():
                 continue
             fits &= _shared(prefixes, tokens, len(nodes)) >= np.minimum(least, matches)
@@ -285,8 +316,17 @@ def _across(blocks: Blocks, members: DataFrame, asked: DataFrame, width: int, nu
                 continue
             both = _shared(whole, codes, len(nodes))
             linked = np.flatnonzero(fits & (both * den >= num * (sizes + n - both)))
+            if counts:
+                if len(linked):
+                    total = totals.setdefault(family, np.zeros(len(nodes), np.int64))
+                    total[linked] += component
+                    yield node, int(components_[linked].sum())
+                continue
             for k in np.unique(components_[linked], return_index=True)[1].tolist():
                 yield node, int(nodes[linked[k]])
+        for family, total in totals.items():
+            for k in np.flatnonzero(total).tolist():
+                yield int(indexes[family][0][0][k]), int(total[k])
 
     given = blocks.each(give, wanted)
     return blocks.spark.createDataFrame(blocks.each(check, local, given), "a long, b long", verifySchema=False)
@@ -307,22 +347,30 @@ def _shared(postings: tuple[np.ndarray, np.ndarray], codes: np.ndarray, n: int)
     return np.bincount(postings[1][at], minlength=n)
 
 
-def _named(blocks: Blocks, first: DataFrame, width: int, jaccard: tuple[int, int]) -> DataFrame:
+def _named(blocks: Blocks, first: DataFrame, width: int, jaccard: tuple[int, int], posted: DataFrame | None = None) -> DataFrame:
     """(key, lowest) of first(key, least), the classes of the blocks: the least of all classes that links connect."""
-    places = _keys_of(blocks, links(blocks, width=width, jaccard=jaccard), width)
+    places = _keys_of(blocks, links(blocks, posted, width=width, jaccard=jaccard), width)
     joined = first.join(places, "key", "left")
     lowest = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
     return joined.join(lowest, "component", "left").select("key", F.coalesce("lowest", "least").alias("lowest"))
 
 
-def join(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
+def join(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD, count_links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text): component_id is the smallest doc_id that
-    links reach, the row's own without links."""
+    links reach, the row's own without links. With count_links also n_links, the number of other rows it links with."""
     blocks = _blocks(docs)
     rows = written(keyed(blocks, width), "keyed")
     first = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = written(_named(blocks, first, width, jaccard), "named")
-    return rows.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"))
+    posted = _posted(blocks, width, *jaccard, pairs=True) if count_links else None
+    named = written(_named(blocks, first, width, jaccard, posted), "named")
+    out = rows.join(named, "key", "left")
+    columns = ["doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id")]
+    if count_links:
+        copies = rows.where("key is not null").groupBy("key").agg((F.count("*") - 1).alias("equal"))
+        counted = written(copies.join(link_counts(blocks, rows, posted, width=width, jaccard=jaccard), "key", "left").select("key", (F.col("equal") + F.coalesce("n_links", F.lit(0))).alias("n_links")), "counted")
+        out = out.join(counted, "key", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(*columns)
 
 
 def keep_first(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
@@ -341,15 +389,18 @@ def keep_first(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int]
 
 
 def _keys_of(blocks: Blocks, found: DataFrame, width: int) -> DataFrame:
-    """(key, component) of the linked classes, by way of the blocks that hold them."""
-    labels = components(found)
+    """(key, component) of the linked classes."""
+    return _keys_at(blocks, components(found), width).select("key", F.col("value").alias("component"))
+
+
+def _keys_at(blocks: Blocks, labels: DataFrame, width: int) -> DataFrame:
+    """(place, key, value) of labels(place, value), by way of the blocks that hold the places."""
     asked = labels.rdd.map(lambda x: (x[0] >> 32, tuple(x)))
 
-    def name(x) -> Iterator[tuple[int, int]]:
+    def name(x) -> Iterator[tuple[int, int, int]]:
         _, docs, (own,) = x
         if own:
-            for (_, component), s in zip(own, _sets([docs[p & 0xFFFFFFFF] for p, _ in own], width)):
-                yield int(set_key(s).view(np.int64)), component
-
-    return blocks.spark.createDataFrame(blocks.each(name, asked), "key long, component long", verifySchema=False)
+            for (place, value), s in zip(own, _sets([docs[p & 0xFFFFFFFF] for p, _ in own], width)):
+                yield place, int(set_key(s).view(np.int64)), value
 
+    return blocks.spark.createDataFrame(blocks.each(name, asked), "place long, key long, value long", verifySchema=False)
