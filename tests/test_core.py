@@ -16,6 +16,7 @@ from veriscreen import cli
 from veriscreen.functions import ranking, stats, text, wordpiece
 from veriscreen.operators import articles as A
 from veriscreen.operators import audit, cohorts, corpus, release, scoring
+from veriscreen.plans import queries as plans
 from veriscreen.sources import files, markup, sinks
 from veriscreen.streaming import incremental
 
@@ -209,6 +210,24 @@ def test_intervals_and_effects(spark):
     assert audit.group_summary(A.decide(one, 0.5), "g").first().sample_variance is None
 
 
+def test_bootstraps_draw_as_many_replicates_as_the_reference(spark):
+    values = [("x", f"p{i}", (i * i % 7) / 7) for i in range(6)] + [("y", f"q{i}", i / 5) for i in range(4)]
+    df = spark.createDataFrame(values, "g string, pmid string, s double")
+    want = {}
+    for g in "xy":
+        own = [v for _, _, v in sorted((x for x in values if x[0] == g), key=lambda x: hashlib.md5(x[1].encode()).hexdigest())]
+        draws = np.array([[own[int(hashlib.md5(f"42:{g}:{r}:{d}".encode()).hexdigest()[:8], 16) % len(own)] for d in range(len(own))] for r in range(10_000)])
+        want[g] = draws.mean(axis=1), draws.var(axis=1, ddof=1)
+    q = [0.025, 0.975]
+    for g, *got in rows(audit.bootstrap(df, "g", "s")):
+        assert got == pytest.approx([*np.quantile(want[g][0], q), *np.quantile(want[g][1], q)])
+    assert rows(audit.bootstrap_differences(df, "g", "s"))[0][2:] == pytest.approx(tuple(np.quantile(want["x"][0] - want["y"][0], q)))
+    own = plans.decided(spark, "/root/testdata/sf0.001")
+    want = plans.rounded(audit.bootstrap(own, "lang", "mean_positive_probability", 10_000))
+    assert sorted(rows(plans.bootstrap_mean_ci(spark, "/root/testdata/sf0.001"))) == sorted(rows(want))
+
+
+
 def test_pairs(spark):
     df = spark.createDataFrame([(1, "p", "A", 1), (1, "p", "B", 0), (1, "q", "A", 1), (1, "q", "B", 1), (1, "r", "A", 0)], "e int, pair string, style string, prediction int")
     assert rows(audit.paired_outcomes(df, "e", "pair", "style")) == [(1, 1, 0, 1, 0, 2)]

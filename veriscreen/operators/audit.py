@@ -9,6 +9,7 @@ from ..functions.ranking import numbered
 from ..functions.stats import cohens_d, normal_interval, ratio, wilson
 
 LEVELS = (0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975)
+REPLICATES = 10_000  # of a bootstrap, unless said otherwise
 
 
 def group_summary(scored: DataFrame, by: str, score: str = "mean_positive_probability", confidence: float = 0.95) -> DataFrame:
@@ -73,13 +74,13 @@ def _interval(x: str, confidence: float) -> Column:
     return F.percentile(x, F.array(F.lit(a), F.lit(1 - a)))
 
 
-def bootstrap(values: DataFrame, by: str, value: str, replicates: int = 200, confidence: float = 0.95, seed: int = 42, order: str = "pmid") -> DataFrame:
+def bootstrap(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid") -> DataFrame:
     """Percentile intervals of each group's mean and sample variance."""
     out = resampled(values, by, value, replicates, seed, order).groupBy(by).agg(_interval("mean", confidence).alias("m"), _interval("variance", confidence).alias("v"))
     return out.select(by, F.col("m")[0].alias("mean_low"), F.col("m")[1].alias("mean_high"), F.col("v")[0].alias("variance_low"), F.col("v")[1].alias("variance_high"))
 
 
-def bootstrap_differences(values: DataFrame, by: str, value: str, replicates: int = 200, confidence: float = 0.95, seed: int = 42, order: str = "pmid") -> DataFrame:
+def bootstrap_differences(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid") -> DataFrame:
     """Percentile intervals of the difference of means of all pairs of groups, resampled independently."""
     own = resampled(values, by, value, replicates, seed, order)
     a, b = (own.select(F.col(by).alias(f"{x}_group"), "replicate", F.col("mean").alias(x)) for x in ("first", "second"))
@@ -88,7 +89,7 @@ def bootstrap_differences(values: DataFrame, by: str, value: str, replicates: in
     return out.select("first_group", "second_group", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def paired_bootstrap(pairs: DataFrame, pair: str, a: str, b: str, replicates: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, pair: str, a: str, b: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Interval of the mean of a - b over pairs: whole pairs are drawn."""
     one = pairs.select(F.lit("pairs").alias("g"), F.col(pair).alias("pmid"), (F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
     return bootstrap(one, "g", "d", replicates, confidence, seed).select("mean_low", "mean_high")

@@ -18,7 +18,8 @@ from ..operators import audit, cohorts, corpus, scoring
 
 MAX_LENGTH, OVERLAP = 128, 16
 CAP, STEP = MAX_LENGTH - 2, MAX_LENGTH - 2 - OVERLAP
-REPLICATES = 200
+REPLICATES = 200  # of the SQL
+DRAWN = audit.REPLICATES  # of the queries
 TRAIN = (0.8, 0.1, 0.1)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,12 +503,12 @@ _SCORES = "SELECT lang AS g, m AS x, pmid AS id FROM q"
 
 @query(f"WITH {SQL_DECIDED}, {_boot(_SCORES)} SELECT g AS lang, round(quantile_cont(m, 0.025), 6) AS mean_low, round(quantile_cont(m, 0.975), 6) AS mean_high, round(quantile_cont(vr, 0.025), 6) AS variance_low, round(quantile_cont(vr, 0.975), 6) AS variance_high FROM me GROUP BY g")
 def bootstrap_mean_ci(spark, sf_dir):
-    return rounded(audit.bootstrap(decided(spark, sf_dir), "lang", "mean_positive_probability", REPLICATES))
+    return rounded(audit.bootstrap(decided(spark, sf_dir), "lang", "mean_positive_probability", DRAWN))
 
 
 @query(f"WITH {SQL_DECIDED}, {_boot(_SCORES)} SELECT x.g AS first_group, y.g AS second_group, round(quantile_cont(x.m - y.m, 0.025), 6) AS low, round(quantile_cont(x.m - y.m, 0.975), 6) AS high FROM me x JOIN me y ON x.replicate = y.replicate AND x.g < y.g GROUP BY ALL")
 def bootstrap_diff_ci(spark, sf_dir):
-    return rounded(audit.bootstrap_differences(decided(spark, sf_dir), "lang", "mean_positive_probability", REPLICATES))
+    return rounded(audit.bootstrap_differences(decided(spark, sf_dir), "lang", "mean_positive_probability", DRAWN))
 
 
 def _styled(spark, sf_dir):
@@ -539,7 +540,7 @@ def pair_completeness(spark, sf_dir):
 @query(f"{_STYLED}{_COMPLETE}, {_boot('SELECT ' + chr(39) + 'pairs' + chr(39) + ' AS g, (a - b)::DOUBLE AS x, pair_id AS id FROM o')} SELECT round(quantile_cont(m, 0.025), 6) AS mean_low, round(quantile_cont(m, 0.975), 6) AS mean_high FROM me")
 def paired_bootstrap(spark, sf_dir):
     own = _styled(spark, sf_dir).groupBy("pair_id").agg(F.count("*").alias("n"), *(F.max(F.when(F.col("style") == s, F.col("prediction"))).alias(s) for s in "AB"))
-    return rounded(audit.paired_bootstrap(own.where("n = 2 and A is not null and B is not null"), "pair_id", "A", "B", REPLICATES))
+    return rounded(audit.paired_bootstrap(own.where("n = 2 and A is not null and B is not null"), "pair_id", "A", "B", DRAWN))
 
 
 @query("WITH g AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) SELECT lang, source, n, round(n / sum(n) OVER (PARTITION BY lang), 6) AS share FROM g")
