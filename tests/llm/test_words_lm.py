@@ -49,6 +49,15 @@ def test_seen_words_gain_over_unigrams(spark):
     assert held and all(r.score > r.base_score for r in held if r.n_known == r.n_tokens)
 
 
+def test_the_model_backs_off_from_two_words(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(40))) for i in range(60)]
+    got = sorted((tuple(r) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = sorted(((i, *w) for (i, _), w in zip(rows, brute(rows, 3))), key=repr)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+
+
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.score for r in lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()] == [0.0]

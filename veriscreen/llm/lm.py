@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .exchange import Blocks, cuts, pack, unpack
 from .words import _BASE, _GOLDEN, mix, word_codes
 
-ORDER = 2
+ORDER = 3
 ADDED = 0.1
 FOLDS = 10
 SEGMENT = 256  # tokens of a text traversed in step with other segments
