@@ -64,6 +64,20 @@ def test_embeddings_of_empty_tables_and_doubles(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
+def test_tables_are_enough_for_long_vectors():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 800, 1024))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    k, tables = embeddings.sizes_for(200_000, 1024)
+    assert k == 2
+    a, b = (embeddings.probes_of(z, tables, k, embeddings.PROBES) for z in (x, y))
+    met = ((a == b[:, :, :1]).any(axis=2) | (b == a[:, :, :1]).any(axis=2)).any(axis=1)
+    assert (~met).sum() <= 2
+    assert embeddings.sizes_for(200_000, 64) == (2, 9) and embeddings.sizes_for(10**7, 10**4)[1] > embeddings.sizes_for(10**7, 4096)[1]
+
+
 def test_hadamard_keeps_lengths_and_hashing_finds_close_pairs():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 64))
