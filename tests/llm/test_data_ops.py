@@ -203,3 +203,12 @@ def test_round_trip(spark, tokenizer, shard_tokens):
 def test_token_files_of_an_empty_table(spark):
     folder = token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path())
     assert token_files.digest_token_files(spark, folder).count() == 0
+
+
+def test_blocks_do_not_depend_on_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "w " * (i % 4), "ab"[i % 5 == 0]) for i in range(3000)], "doc_id long, text string, source string").repartition(3)
+    take = lambda: sorted(tuple(r) for r in mixing.mix(docs, budget=7000).select("doc_id", "source", "_pass", "_block", "_place").collect())
+    want = take()
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
+    assert mixing.block_digits(2400) == 3 and take() == want
+    assert {len(r[3]) for r in want} == {2} and len(want) > 3000

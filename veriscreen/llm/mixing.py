@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_REPEATS = 4.0
-BLOCK_DIGITS, BLOCK_ROWS = 2, 4096  # hexadecimal digits of a hash that number a block, at least; rows of a block, about
+BLOCK_DIGITS, BLOCK_ROWS = 2, 4096  # hexadecimal digits of a hash that number a block; rows of a part of a block, about
 SMALL = 100_000  # rows of about 60 bytes that may be broadcast
 STEPS, LARGEST = 60, 64.0
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -98,32 +98,35 @@ def mix(docs: DataFrame, *, budget: int | None = None, max_repeats: float | None
     full = docs.withColumn("_whole", per_source).where("_whole > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_whole").cast("int") - 1)))
     part = docs.withColumn("_pass", per_source.cast("int"))
     left = F.create_map(*(F.lit(x) for k in sizes for x in (k, rest[k])))[F.col("_source")]
-    part = _fitting(part.withColumn("_left", left).where("_left > 0").withColumns(_order(seed, digits)), "_left", len(sizes) * 16**digits <= SMALL)
-    return full.withColumns(_order(seed, digits)).select(*columns, "_tokens", "_pass", "_block", "_place").unionByName(part.select(*columns, "_tokens", "_pass", "_block", "_place"))
+    part = _fitting(part.withColumn("_left", left).where("_left > 0").withColumns(_order(seed)), "_left", digits, len(sizes) * 16**digits <= SMALL)
+    return full.withColumns(_order(seed)).select(*columns, "_tokens", "_pass", "_block", "_place").unionByName(part.select(*columns, "_tokens", "_pass", "_block", "_place"))
 
 
 def block_digits(rows: int) -> int:
-    """Digits with which the largest source has blocks of about BLOCK_ROWS rows."""
+    """Digits that number parts of blocks, so that the largest source has parts of about BLOCK_ROWS rows."""
     digits = BLOCK_DIGITS
     while rows > BLOCK_ROWS * 16**digits:
         digits += 1
     return digits
 
 
-def _order(seed: int, digits: int) -> dict[str, Column]:
+def _order(seed: int) -> dict[str, Column]:
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return {"_block": F.substring(mixed, 1, digits), "_place": F.substring(mixed, digits + 1, 32)}
-
-
-def _fitting(docs: DataFrame, left: str, small: bool) -> DataFrame:
-    """Rows of the first blocks of each source whose tokens fit in `left`, and those that fit of the next block."""
-    blocks = docs.groupBy("_source", "_block").agg(F.sum("_tokens").alias("n"), F.first(left).alias("room"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("used", before).where("used < room").select("_source", "_block", "used", (F.col("used") + F.col("n") <= F.col("room")).alias("fits"))
-    met = docs.join(F.broadcast(blocks) if small else blocks, ["_source", "_block"])
-    order = Window.partitionBy("_source", "_block").orderBy("_place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    return {"_block": F.substring(mixed, 1, BLOCK_DIGITS), "_place": F.substring(mixed, BLOCK_DIGITS + 1, 32)}
+
+
+def _fitting(docs: DataFrame, left: str, digits: int, small: bool) -> DataFrame:
+    """Rows of the first blocks of each source whose tokens fit in `left`, and those that fit of the next block. Large blocks are
+    dealt in parts, numbered by `digits` digits, of which the same rows are taken."""
+    docs = docs.withColumn("_part", F.concat("_block", F.substring("_place", 1, digits - BLOCK_DIGITS)))
+    parts = docs.groupBy("_source", "_block", "_part").agg(F.sum("_tokens").alias("n"), F.first(left).alias("room"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("used", before).withColumn("first", F.min("used").over(Window.partitionBy("_source", "_block")))
+    parts = parts.where("first < room and used <= room").select("_source", "_part", "used", (F.col("used") + F.col("n") <= F.col("room")).alias("fits"))
+    met = docs.join(F.broadcast(parts) if small else parts, ["_source", "_part"])
+    order = Window.partitionBy("_source", "_part").orderBy("_place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
     cut = met.where("not fits").withColumn("_sum", F.sum("_tokens").over(order)).where(F.col("used") + F.col("_sum") <= F.col(left)).drop("_sum")
-    return met.where("fits").unionByName(cut).drop("used", "fits")
+    return met.where("fits").unionByName(cut).drop("used", "fits", "_part")
 
 
 def duckdb_sql(max_repeats: float = MAX_REPEATS, seed: int = 0) -> str:
