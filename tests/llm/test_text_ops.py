@@ -245,6 +245,16 @@ def test_warc_records(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_short_items_are_found_inside_documents(spark):
+    items = [(1, "Alpha beta"), (2, "c"), (3, "d e f g"), (4, "alpha BETA"), (5, ""), (6, "x y z"), (7, "p q r s t u")]
+    texts = ["one two three alpha beta four five", "c", "a b c d e f g h i", "d e f", "", None, "x y", "z alpha", "beta x y z", "o p q r s t u v"]
+    want = sorted((k, i, max(1, len(w) - 4), max(1, len(w) - 4)) for k, t in enumerate(texts) for i, x in items if (w := cut(x, True)) and any(cut(t, True)[j : j + len(w)] == w for j in range(len(cut(t)))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r) for r in decontam.find(docs, bench, short_runs=True).collect()) == want and len(want) == 7
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench, short_runs=True).collect()) == [3, 4, 5, 6, 7]
+
+
 def brute_unescape(text):
     """One left-to-right pass over the names of HTML5, longest first, and numbers."""
     out, at = [], 0

@@ -13,7 +13,8 @@ windows around such shingles are evaluated: the same candidates, at the cost of
 
 The index of the items is broadcast in parts of at most `part_bytes`, one pass over the documents each; documents are
 never shuffled. Null and empty texts hold nothing and no item of theirs is found anywhere. Items or documents with fewer
-than `width` words have their whole word sequence as only shingle. Repeated items and rows each get their own rows.
+than `width` words have their whole word sequence as only shingle; with `short_runs`, such an item's is looked up among a
+document's runs of that many words. Repeated items and rows each get their own rows.
 """
 
 from __future__ import annotations
@@ -38,17 +39,19 @@ _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 class Index:
     """Items' shingle sets and MinHash values, for partitions by size."""
 
-    def __init__(self, item_ids: list, sets: list[np.ndarray], hashes: int):
+    def __init__(self, item_ids: list, sets: list[np.ndarray], hashes: int, lengths: list[int]):
+        """lengths: numbers of words of the items that are looked up as runs, else 0."""
         self.item_ids, self.sets, self.hashes = item_ids, sets, hashes
         sizes = np.array([len(x) for x in sets])
         self.bounds = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)  # largest size of each one's partition
         rows = []  # (shingle that gives the value, hash, item)
         for item, x in enumerate(sets):
-            if len(x):
+            if len(x) and not lengths[item]:
                 values = mix(x[None, :] * _SEEDS[:hashes, None])
                 rows += [(x[k], h, item) for h, k in enumerate(values.argmin(axis=1))]
         rows.sort(key=lambda r: int(r[0]))
         self.shingles = np.array([r[0] for r in rows], np.uint64)
+        self.runs = {n: [item for item, m in enumerate(lengths) if m == n] for n in sorted(set(lengths)) if n}
         self.hash, self.item = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
 
     def candidates(self, grams: np.ndarray) -> list[int]:
@@ -77,22 +80,22 @@ class Index:
         return False
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, containment: tuple[int, int] = CONTAINMENT, hashes: int = HASHES, part_bytes: int = PART_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, containment: tuple[int, int] = CONTAINMENT, hashes: int = HASHES, part_bytes: int = PART_BYTES, short_runs: bool = False) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item): items of benchmark(item_id, text) of whose shingles a document of
     docs(doc_id, text) holds the given share or more. Words are lower-cased in A-Z."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     out = None
-    for index in _indexes(benchmark, width, hashes, part_bytes):
+    for index in _indexes(benchmark, width, hashes, part_bytes, short_runs):
         held = spark.sparkContext.broadcast(index)  # part_bytes at most, but for a single larger item
         part = docs.mapInArrow(_finder(held, width, containment), f"doc_id long, item_id long, n_shared long, n_item long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
 
 
-def _indexes(benchmark: DataFrame, width: int, hashes: int, part_bytes: int) -> Iterator[Index]:
+def _indexes(benchmark: DataFrame, width: int, hashes: int, part_bytes: int, short_runs: bool) -> Iterator[Index]:
     """The items in parts, read one partition at a time so that the driver holds a part at most."""
-    ids, sets, size = [], [], 0
+    ids, sets, lengths, size = [], [], [], 0
     for item_id, text in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         codes, counts = word_codes([text], True)
         own = next(shingle_sets(codes, counts, width))
@@ -100,12 +103,13 @@ def _indexes(benchmark: DataFrame, width: int, hashes: int, part_bytes: int) ->
             continue
         ids.append(item_id)
         sets.append(own)
+        lengths.append(len(codes) if short_runs and len(codes) < width else 0)
         size += 8 * len(own) + 24 * hashes
         if size >= part_bytes:
-            yield Index(ids, sets, hashes)
-            ids, sets, size = [], [], 0
+            yield Index(ids, sets, hashes, lengths)
+            ids, sets, lengths, size = [], [], [], 0
     if ids:
-        yield Index(ids, sets, hashes)
+        yield Index(ids, sets, hashes, lengths)
 
 
 def _finder(held, width: int, containment: tuple[int, int]):
@@ -117,8 +121,12 @@ def _finder(held, width: int, containment: tuple[int, int]):
                 doc_ids, rows = batch.column(0).slice(a, b - a).to_pylist(), []
                 codes, counts = word_codes(batch.column(1).slice(a, b - a).to_pylist(), True)
                 grams, start = gram_codes(codes, width), 0
+                runs = [(n, items, np.concatenate([index.sets[k] for k in items]), gram_codes(codes, n)) for n, items in index.runs.items()]
                 for doc_id, n in zip(doc_ids, counts.tolist()):
                     own = grams[start : start + n - width + 1] if n >= width else gram_codes(codes[start : start + n], n) if n else grams[:0]
+                    for length, items, wanted, all_runs in runs:
+                        held_items = np.flatnonzero(np.isin(wanted, all_runs[start : start + n - length + 1])) if n >= length else ()
+                        rows += [(doc_id, index.item_ids[items[k]], 1, 1) for k in held_items]
                     start += n
                     for item in index.candidates(own):
                         shared = int(np.isin(index.sets[item], own).sum())
