@@ -101,3 +101,33 @@ def test_prefixes_of_linked_sets_share_enough():
         size, matches = jaccard.prefix(freq, 3, 4)
         least = -(-3 * n // 4)
         assert size == n - least + matches <= n and 1 <= matches <= jaccard.MAX_MATCHES
+
+
+def test_large_families_meet_in_many_tiles(spark, monkeypatch):
+    """Families above TILE are cut into bands and parts; texts of more shingles than a row of a set holds; many classes of a
+    block with one shingle."""
+    monkeypatch.setattr(jaccard, "TILE", 400)
+    texts = list(family(31, 90, 9)) + list(family(32, 70, 3, words=40)) + list(family(33, 4, 3, words=1500)) + [" ".join(f"q{j}" for j in range(n)) for n in range(60, 90)]
+    rows = list(enumerate(texts))
+    sets = [shingles(t) for t in texts]
+    want = [sum(4 * len(x & y) >= 3 * len(x | y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    for parts in (1, 3):
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), count_links=True).collect()
+        assert sorted(map(tuple, got)) == sorted((*a, n) for a, n in zip(brute(rows), want))
+
+
+def test_work_columns_of_the_user_keep_their_values(spark):
+    names = ["_row", "row", "nth", "all", "worded", "_nth", "key", "family"]
+    docs = spark.createDataFrame([(k, f"a b c d e f g {k // 2}", *(f"{n}{k}" for n in names)) for k in range(6)] + [(9, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    assert sorted(map(tuple, jaccard.keep_first(docs).collect())) == sorted(tuple(r) for r in docs.collect() if r.doc_id in (0, 2, 4, 9))
+
+
+@pytest.mark.parametrize("ahead", [0, 7])
+def test_incidence_counts_what_sets_share(ahead):
+    rng = np.random.default_rng(ahead)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 80)).astype(np.uint64)) for _ in range(200)]
+    sets = [np.arange(k, 60 + k, dtype=np.uint64) for k in range(5)] + sets + [np.arange(k, 60 + k, dtype=np.uint64) for k in range(9)]
+    n = np.array([len(x) for x in sets])
+    got = {(i, j) for i, found in jaccard.linked(sets, n, np.ones(len(sets), int), n, 3, 4, ahead) for j in found.tolist()}
+    want = {(i, j) for i in range(ahead or 1, len(sets)) for j in range(ahead or i) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))}
+    assert got == want and want

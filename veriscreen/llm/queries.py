@@ -84,6 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": embeddings.DUCKDB_SQL,
     "op5_mixing": mixing.duckdb_sql(),
     "op6_substring_dedup": substring.DUCKDB_SQL,
+    "op7_jaccard_join": jaccard.DUCKDB_SQL,
     "op9_warc": warc.duckdb_sql(),
     "op10_secret_scan": secrets.duckdb_sql(),
 }

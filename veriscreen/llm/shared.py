@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,44 +11,67 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset (local tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one will do for a local
+    master only (one machine); anywhere else the machines would not see each other's tables."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="veriscreen-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, by Spark's file systems."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver's Python ends, if the session still runs then."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out
+
+    def gone() -> None:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            drop(spark, path)
+
+    atexit.register(gone)
+    return path
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives the loss of executors. by: a column of
+    integers with few values, each of which gets a folder of its own."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(by).option("parquet.enable.dictionary", "false").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links(a, b): component is the smallest node that links reach.
 
-    Alternating large-star and small-star rounds: each is an aggregation with map-side partial minima and an equi-join,
-    and every round is written to the shared folder. A node with many links spreads over tasks in the aggregation; the
-    join side that holds minima has one row a node.
+    Alternating large-star and small-star steps: each is an aggregation with map-side partial minima and an equi-join;
+    the links left after a round are written to the shared folder. A node with many links spreads over tasks in the
+    aggregation; the join side that holds minima has one row a node. Without links there are no rows.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = written(edges, "edges")
     before = None
     while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before == state or not state[0]:
+            break
+        before = state
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "edges")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = written(small.where("u <> v").distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == state:
-            break
-        before = state
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

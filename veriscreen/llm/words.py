@@ -146,3 +146,71 @@ def slices(texts, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
         yield start, stop
         trim()
         start = stop
+
+
+def arrow_codes(texts, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """word_codes of an Arrow array of texts, read from its buffer as it is."""
+    import pyarrow as pa
+
+    if texts.null_count or not len(texts):
+        texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if at else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    codes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    start = 0
+    while start < len(at) - 1:
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + CHUNK, "right")) - 1)
+        own, n = _runs(raw[at[start] : at[stop]], at[start : stop + 1] - at[start], lower)
+        codes.append(own)
+        counts.append(n)
+        start = stop
+    return np.concatenate(codes), np.concatenate(counts)
+
+
+def _runs(a: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of the texts that stand in a without gaps, cut at `at`, and the number of words of each."""
+    if not len(a):
+        return np.empty(0, np.uint64), np.zeros(len(at) - 1, np.int64)
+    word = np.zeros(len(a) + 2, bool)
+    word[1:-1] = ~_SEP[a]
+    first = word[1:-1] & ~word[:-2]
+    last = word[1:-1] & ~word[2:]
+    cut = at[1:-1]
+    cut = cut[(cut > 0) & (cut < len(a))]
+    first[cut] |= word[1:-1][cut]
+    last[cut - 1] |= word[1:-1][cut - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = _power(max(len(a), CHUNK))
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_TABLES[lower][a] * power[: len(a)], out=sums[1:])
+    codes = (sums[ends] - sums[starts]) * inverse[starts]
+    codes = mix(codes + (ends - starts).astype(np.uint64) * _GOLDEN)
+    return codes, np.diff(np.searchsorted(starts, at[1:]), prepend=0)
+
+
+def block_sets(texts, width: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of an Arrow array of texts, one after the other and each sorted, and the size of each."""
+    codes, counts = arrow_codes(texts, lower)
+    grams = gram_codes(codes, width)
+    out, sizes, start = [np.empty(0, np.uint64)], np.zeros(len(counts), np.int64), 0
+    for i, count in enumerate(counts.tolist()):
+        if count:
+            own = grams[start : start + count - width + 1] if count >= width else gram_codes(codes[start : start + count], count)
+            own = np.sort(own)
+            if count > width:
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+            out.append(own)
+            sizes[i] = len(own)
+            start += count
+    return np.concatenate(out), sizes
+
+
+def set_keys(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A code for each of the sets that stand in codes one after the other; equal sets have equal ones, empty sets 0."""
+    out, full = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if len(full):
+        starts = (np.cumsum(sizes) - sizes)[full]
+        out[full] = mix(np.add.reduceat(mix(codes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts) + sizes[full].astype(np.uint64))
+    return out
