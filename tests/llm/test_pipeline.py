@@ -80,3 +80,15 @@ def test_stages_pass_empty_tables_nulls_and_extra_columns(spark, tables):
         assert n is None or out.count() == n, name
 
 
+
+
+def test_work_columns_of_the_user_keep_their_values(spark, tables):
+    """Names that stages might use for themselves, as text columns: values stay with their rows."""
+    d, rows, _ = tables
+    names = "_score _row _nth _source _whole _left _sum used fits _pass _block _place _tokens score row nth all source_ tokens pass block place room part first sum key worded".split()
+    docs = spark.createDataFrame([(*r, *(f"{n} of {r[0]}" for n in names)) for r in rows], DOCS + "".join(f", `{n}` string" for n in names))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n} of {r.doc_id}" for r in got for n in names), name

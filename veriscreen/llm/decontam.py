@@ -88,7 +88,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, containme
     out = None
     for index in _indexes(benchmark, width, hashes, part_bytes, short_runs):
         held = spark.sparkContext.broadcast(index)  # part_bytes at most, but for a single larger item
-        part = docs.mapInArrow(_finder(held, width, containment), f"doc_id long, item_id long, n_shared long, n_item long")
+        part = docs.mapInArrow(_finder(held, width, containment), "doc_id long, item_id long, n_shared long, n_item long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
 
@@ -140,11 +140,12 @@ def _finder(held, width: int, containment: tuple[int, int]):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without rows that hold a benchmark item; rows with a null id are told by their text alone."""
-    key = F.xxhash64("doc_id", "text")
-    keyed = docs.select(key.alias("doc_id"), "text")
-    hit = find(keyed, benchmark, **options).select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", key).join(hit, "_row", "left_anti").select(*docs.columns)
+    """docs without rows that hold a benchmark item; rows with a null id are told by their text alone. Other columns pass
+    through, whatever their names."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    hit = find(keyed, benchmark, **options).select(F.col("doc_id").alias("row")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("all")).withColumn("row", F.xxhash64("all.doc_id", "all.text"))
+    return own.join(hit, "row", "left_anti").select("all.*")
 
 
 DUCKDB_SQL = r"""WITH w AS (

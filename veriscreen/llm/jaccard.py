@@ -46,7 +46,7 @@ WIDTH = 5
 JACCARD = (3, 4)
 MAX_MATCHES = 4
 VERIFY_COST = 16  # of a candidate, in postings read
-BLOCK = 16 << 20  # bytes of text of a block, about
+BLOCK = 16 << 20  # bytes of text and of shingle codes of a block, about
 SHARE = 8 << 20  # bytes of text whose shingles go to one bucket, so that its part stays the same as the corpus grows
 HOT = 64  # classes of a block that make a shingle go once for all
 PART = 1024  # shingles in a row of a set
@@ -106,26 +106,34 @@ def _reader(width: int, buckets: int):
         keys = set_keys(codes, sizes)
         full = np.flatnonzero(sizes)
         own, first, cls = np.unique(keys[full], return_index=True, return_inverse=True)
-        of = np.full(len(sizes), -1, np.int32)
-        of[full] = cls
-        place = full[first]
-        starts = (np.cumsum(sizes) - sizes)[place]
-        n = sizes[place]
-        codes = codes[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        # classes are numbered by their first texts, which stand for them
+        order = np.argsort(first)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        own, of = own[order], np.full(len(sizes), -1, np.int32)
+        of[full] = rank[cls]
+        lead = np.zeros(len(sizes), bool)
+        lead[full[first]] = True
+        codes, n = codes[np.repeat(lead, sizes)], sizes[lead]
         owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
         # shingles of many classes go once
         cell = (codes >> np.uint64(44)).astype(np.int32)
-        many = np.bincount(cell, minlength=1 << 20)[cell] >= HOT
+        many = (np.bincount(cell, minlength=1 << 20) >= HOT)[cell]
+        del cell
         hot, where, count = np.unique(codes[many], return_inverse=True, return_counts=True)
         keep = count >= HOT
         many[many] = keep[where]
         holders = owner[many][np.argsort(codes[many], kind="stable")]
         hot, count = hot[keep], count[keep]
         codes, owner = codes[~many], owner[~many]
-        to = bucket_of(codes, buckets)
-        by = np.argsort(to.astype(np.uint16) if buckets <= 1 << 16 else to, kind="stable")
+        to = np.empty(len(codes), np.uint16 if buckets <= 1 << 16 else np.int64)
+        for k in range(0, len(codes), 1 << 18):
+            to[k : k + (1 << 18)] = bucket_of(codes[k : k + (1 << 18)], buckets)
+        by = np.argsort(to, kind="stable")
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=buckets))))
+        del to
         codes, owner = codes[by], owner[by]
-        cuts = np.searchsorted(to[by], np.arange(buckets + 1))
+        del by
         hot_cuts = np.searchsorted(bucket_of(hot, buckets), np.arange(buckets + 1))
         home = pack(n.astype(np.int32), own, small(count), holders, hot, of, sizes.astype(np.int32), np.array([x is not None for x in ids.to_pylist()]), ids.fill_null(0).to_numpy(), rows.to_numpy())
         out = [(-1 - at % buckets, at, home)]
@@ -146,7 +154,9 @@ def _reader(width: int, buckets: int):
             nonlocal held, k, size
             codes, sizes, ids, rows = (list(x) for x in zip(*held))
             held, size = [], 0
-            yield from block(part << 24 | k, np.concatenate(codes), np.concatenate(sizes), pa.concat_arrays(ids), pa.concat_arrays(rows))
+            whole_block = [np.concatenate(codes)]
+            codes.clear()
+            yield from block(part << 24 | k, whole_block.pop(), np.concatenate(sizes), pa.concat_arrays(ids), pa.concat_arrays(rows))
             k += 1
             trim()
 
@@ -155,7 +165,7 @@ def _reader(width: int, buckets: int):
             for a, b in slices(texts):
                 own = texts.slice(a, b - a)
                 held.append((*block_sets(own, width), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)))
-                size += len(held[-1][0]) * 6 + b - a
+                size += 8 * len(held[-1][0]) + b - a
                 if size >= BLOCK:
                     yield from flush()
         if held:

@@ -19,10 +19,13 @@ next to each other in a permutation and are taken one by one. An empty table giv
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 MAX_REPEATS = 4.0
 BLOCK_DIGITS, BLOCK_ROWS = 2, 4096  # hexadecimal digits of a hash that number a block; rows of a part of a block, about
 SMALL = 100_000  # rows of about 60 bytes that may be broadcast
@@ -35,22 +38,30 @@ def tokens(text: Column) -> Column:
 
 
 def exponent(sizes: list[int], *, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None) -> float:
-    """The least exponent, to 2^-60 of its range, that meets the limits; sizes are tokens, all above 0. Above 1 where the
-    sources' own shares have more entropy than asked for; LARGEST if nothing meets the limits."""
+    """The exponent for sources of these sizes, all above 0."""
     if len(sizes) < 2:
         return 1.0
     logs = [math.log(x) for x in sizes]
+
+    def spread(a: float) -> float:
+        w = [math.exp(a * (x - max(logs))) for x in logs]
+        total = math.fsum(w)
+        return -math.fsum(x / total * math.log(x / total) for x in w) / math.log(len(w))
+
+    return bisected(sizes, max_repeats, entropy, spread)
+
+
+def bisected(sizes: list[int], max_repeats: float | None, entropy: float | None, spread: Callable[[float], float]) -> float:
+    """The least exponent, to 2^-60 of its range, that meets the limits; sizes: the least and the largest will do; spread:
+    entropy at an exponent, as a share of the largest possible. Above 1 where the sources' own shares have more entropy
+    than asked for; LARGEST if nothing meets the limits."""
+    logs = [math.log(x) for x in sizes]
     top = max(logs)
 
     def meets(a: float) -> bool:
         if max_repeats is not None and max((a - 1) * (x - top) for x in logs) > math.log(max_repeats):
             return False
-        if entropy is not None:
-            w = [math.exp(a * (x - top)) for x in logs]
-            total = math.fsum(w)
-            if -math.fsum(x / total * math.log(x / total) for x in w) > entropy * math.log(len(w)):
-                return False
-        return True
+        return entropy is None or spread(a) <= entropy
 
     if meets(0.0):
         return 0.0
@@ -83,23 +94,46 @@ def plan(sizes: dict[str, int], *, budget: int | None = None, max_repeats: float
 def mix(docs: DataFrame, *, budget: int | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, seed: int = 0) -> DataFrame:
     """docs(doc_id, text, source, ...) with a row for each time a document is taken: its columns, then _tokens, _pass (from
     0), _block and _place, the order within the pass (names that docs has already are replaced)."""
-    docs = docs.drop("_tokens", "_pass", "_block", "_place")
-    columns = docs.columns
-    docs = docs.withColumn("_tokens", tokens(F.col("text"))).withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
-    light = docs.groupBy("_source").agg(F.sum("_tokens").alias("n"), F.count("*").alias("rows")).collect()  # two numbers for each source
-    sizes = {r["_source"]: r["n"] for r in light}
-    digits = block_digits(max((r["rows"] for r in light), default=0))
-    if not sizes:
-        return docs.withColumns({"_pass": F.lit(0), "_block": F.lit(""), "_place": F.lit("")}).drop("_source")
-    _, take = plan(sizes, budget=budget, max_repeats=max_repeats, entropy=entropy)
-    whole = {k: take[k] // n if n else int(budget is None) for k, n in sizes.items()}
-    rest = {k: take[k] - whole[k] * n for k, n in sizes.items()}
-    per_source = F.create_map(*(F.lit(x) for k in sizes for x in (k, whole[k])))[F.col("_source")]
-    full = docs.withColumn("_whole", per_source).where("_whole > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_whole").cast("int") - 1)))
-    part = docs.withColumn("_pass", per_source.cast("int"))
-    left = F.create_map(*(F.lit(x) for k in sizes for x in (k, rest[k])))[F.col("_source")]
-    part = _fitting(part.withColumn("_left", left).where("_left > 0").withColumns(_order(seed)), "_left", digits, len(sizes) * 16**digits <= SMALL)
-    return full.withColumns(_order(seed)).select(*columns, "_tokens", "_pass", "_block", "_place").unionByName(part.select(*columns, "_tokens", "_pass", "_block", "_place"))
+    columns = [x for x in docs.columns if x not in ("_tokens", "_pass", "_block", "_place")]
+    return taken(docs.select(*columns), budget=budget, max_repeats=max_repeats, entropy=entropy, seed=seed).select("all.*", F.col("tokens").alias("_tokens"), F.col("pass").alias("_pass"), F.col("block").alias("_block"), F.col("place").alias("_place"))
+
+
+def taken(docs: DataFrame, *, budget: int | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, seed: int = 0) -> DataFrame:
+    """(all, tokens, pass, block, place) for each time a document is taken: all is a struct of the columns of docs, whatever
+    their names."""
+    docs = docs.select(F.struct(*docs.columns).alias("all")).select("all", tokens(F.col("all.text")).alias("tokens"), F.coalesce(F.col("all.source"), F.lit("")).alias("source"))
+    sizes = docs.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"))
+    sizes = written(sizes, "sources")
+    seen = sizes.agg(F.count("*").alias("sources"), F.max("rows").alias("rows"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("low"), F.max("n").alias("top")).first()
+    digits = block_digits(seen.rows or 0)
+    weights = _weights(sizes, seen.low, seen.top or 0, budget, max_repeats, entropy)
+    docs = docs.join(F.broadcast(weights) if seen.sources <= SMALL else weights, "source")
+    full = docs.where("whole > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - 1))).withColumns(_order(seed))
+    part = docs.where("room > 0").withColumn("pass", F.col("whole").cast("int")).withColumns(_order(seed))
+    part = _fitting(part, digits, seen.sources * 16**digits <= SMALL)
+    out = ["all", "tokens", "pass", "block", "place"]
+    return full.select(*out).unionByName(part.select(*out))
+
+
+def _weights(sizes: DataFrame, low: int | None, top: int, budget: int | None, max_repeats: float | None, entropy: float | None) -> DataFrame:
+    """(source, whole, room): whole passes over each source, and tokens of another one. Only sums over sources come to the
+    driver."""
+    if not top:
+        return sizes.select("source", F.lit(int(budget is None)).cast("long").alias("whole"), F.lit(0).cast("long").alias("room"))
+    n = F.col("n").cast("double")
+
+    def spread(a: float) -> float:
+        """Entropy of the weights by the logarithm of the number of sources with tokens."""
+        w = F.exp(F.lit(a) * (F.log(n) - math.log(top)))
+        some = sizes.where("n > 0").select(w.alias("w")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.log("w")).alias("wl"), F.count("*").alias("k")).first()
+        return (math.log(some.w) - some.wl / some.w) / math.log(some.k) if some.k > 1 else 0.0
+
+    a = math.ceil(bisected([low, top], max_repeats, entropy, spread) * 1e9) / 1e9 if sizes.where("n > 0").limit(2).count() > 1 else 1.0
+    power = F.pow(n / F.lit(float(top)), F.lit(a))
+    total = None if budget is None else sizes.where("n > 0").agg(F.sum(power)).first()[0]
+    # without a budget the largest source, which has the least passes, is seen once
+    take = F.floor((power * F.lit(float(top)) if budget is None else power / F.lit(total) * F.lit(float(budget))) + 1e-6).cast("long")
+    return sizes.select("source", F.when(n > 0, F.expr("n")).otherwise(0).alias("n"), F.when(n > 0, take).otherwise(0).alias("take")).selectExpr("source", f"if(n > 0, take div n, {int(budget is None)}) as whole", "if(n > 0, take % n, 0) as room")
 
 
 def block_digits(rows: int) -> int:
@@ -111,22 +145,22 @@ def block_digits(rows: int) -> int:
 
 
 def _order(seed: int) -> dict[str, Column]:
-    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_pass").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return {"_block": F.substring(mixed, 1, BLOCK_DIGITS), "_place": F.substring(mixed, BLOCK_DIGITS + 1, 32)}
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pass").cast("string"), F.coalesce(F.col("all.doc_id").cast("string"), F.lit(""))).cast("binary"))
+    return {"block": F.substring(mixed, 1, BLOCK_DIGITS), "place": F.substring(mixed, BLOCK_DIGITS + 1, 32)}
 
 
-def _fitting(docs: DataFrame, left: str, digits: int, small: bool) -> DataFrame:
-    """Rows of the first blocks of each source whose tokens fit in `left`, and those that fit of the next block. Large blocks are
+def _fitting(docs: DataFrame, digits: int, small: bool) -> DataFrame:
+    """Rows of the first blocks of each source whose tokens fit in `room`, and those that fit of the next block. Large blocks are
     dealt in parts, numbered by `digits` digits, of which the same rows are taken."""
-    docs = docs.withColumn("_part", F.concat("_block", F.substring("_place", 1, digits - BLOCK_DIGITS)))
-    parts = docs.groupBy("_source", "_block", "_part").agg(F.sum("_tokens").alias("n"), F.first(left).alias("room"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.withColumn("used", before).withColumn("first", F.min("used").over(Window.partitionBy("_source", "_block")))
-    parts = parts.where("first < room and used <= room").select("_source", "_part", "used", (F.col("used") + F.col("n") <= F.col("room")).alias("fits"))
-    met = docs.join(F.broadcast(parts) if small else parts, ["_source", "_part"])
-    order = Window.partitionBy("_source", "_part").orderBy("_place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    cut = met.where("not fits").withColumn("_sum", F.sum("_tokens").over(order)).where(F.col("used") + F.col("_sum") <= F.col(left)).drop("_sum")
-    return met.where("fits").unionByName(cut).drop("used", "fits", "_part")
+    docs = docs.withColumn("part", F.concat("block", F.substring("place", 1, digits - BLOCK_DIGITS)))
+    parts = docs.groupBy("source", "block", "part").agg(F.sum("tokens").alias("n"), F.first("room").alias("left"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("used", before).withColumn("first", F.min("used").over(Window.partitionBy("source", "block")))
+    parts = parts.where("first < left and used <= left").select("source", "part", "used", (F.col("used") + F.col("n") <= F.col("left")).alias("fits"))
+    met = docs.join(F.broadcast(parts) if small else parts, ["source", "part"])
+    order = Window.partitionBy("source", "part").orderBy("place", "all.doc_id", F.xxhash64("all.text")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = met.where("not fits").withColumn("sum", F.sum("tokens").over(order)).where(F.col("used") + F.col("sum") <= F.col("room")).drop("sum")
+    return met.where("fits").unionByName(cut)
 
 
 def duckdb_sql(max_repeats: float = MAX_REPEATS, seed: int = 0) -> str:

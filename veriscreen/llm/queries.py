@@ -39,8 +39,8 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_pass").alias("pass"), F.col("_block").alias("block"), F.col("_place").alias("place"))
+    mixed = mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("all.doc_id", "all.source", F.col("tokens").alias("n_tokens"), "pass", "block", "place")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,13 @@ through untouched.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,6 @@ LOOK_ALIKE = {
 #: Phrases in which a word of the lexicon is harmless; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "class clown", "stupid question", "pond scum", "sore loser")
 SAMPLE = 20_000  # labelled documents that the lexicon and the curve are fitted on, at most
-LEXICON = 4_000  # entries at most
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_TOXIC, MIN_SHARE = 5, 0.01  # toxic documents, and share of them, that an entry must occur in
 HELD = 60_000  # counts of entries that a task holds before it passes them on
@@ -104,7 +106,12 @@ def matches(folded: str, matcher) -> list[tuple[int, int, float]]:
     if len(matcher):
         for end, (weight, size) in matcher.iter(folded):
             (found if weight else safe).append((end - size + 1, end + 1, weight))
-    return [x for x in found if not any(a <= x[0] < b - 1 for a, b, _ in safe)] if safe else found
+    if not safe:
+        return found
+    # of the exceptions that begin at or before a match, the one that ends last
+    safe.sort()
+    starts, ends = [a for a, _, _ in safe], list(accumulate((b for _, b, _ in safe), max))
+    return [x for x in found if not (k := bisect_right(starts, x[0])) or x[0] >= ends[k - 1] - 1]
 
 
 def hits(folded: str, matcher) -> list[tuple[int, float]]:
@@ -138,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
     """A model from docs(doc_id, text) and labels(doc_id, label), without held-out rows.
 
     `sample` bounds the labelled documents it reads: those with the smallest hashes of their ids. Three quarters of them
-    give the lexicon, the rest the curve. Equal texts count once.
+    give the lexicon, the rest the curve. Equal texts count once. The sample also bounds the lexicon, as an entry stands in
+    MIN_TOXIC toxic documents and MIN_SHARE of them or more, and the learned exceptions, each of which stands in three.
     """
     fold_of = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     chosen = (
@@ -181,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int
     weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (other + 1.0))
     found = (
         fit_on.select("text", "y").mapInArrow(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        .where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic)).withColumn("w", weight).where(F.col("w") >= FIRST_WEIGHT).orderBy(F.desc("w"), "entry").limit(4 * LEXICON).collect()
+        .where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic)).withColumn("w", weight).where(F.col("w") >= FIRST_WEIGHT).orderBy(F.desc("w"), "entry").collect()
     )
     model = Model(_pruned({r.entry: (r.t, r.c, r.w) for r in found}), sorted({f" {fold(x).strip()} " for x in exceptions}))
     model.exceptions += _learned_exceptions(fit_on, model)
@@ -208,11 +216,21 @@ def _pruned(found: dict[str, tuple[int, int, float]]) -> dict[str, float]:
         if entry in narrow or any(y not in narrow and found[y][1] / found[y][0] <= c / t + 0.02 for y in beginnings(entry)):
             continue
         kept[entry] = w
-        if len(kept) == LEXICON:
-            break
     return kept
 
 
+_NEXT = re.compile(r" *([^ ]+) *([^ ]*)")
+
+
+def neighbours(folded: str, start: int) -> tuple[str, str, str]:
+    """The word before the one that follows the space at `start`, that word, and the next; empty where there is none."""
+    end = start
+    while end and folded[end - 1] == " ":
+        end -= 1
+    found = _NEXT.match(folded, start)
+    return folded[folded.rfind(" ", 0, end) + 1 : end], found[1], found[2]
+
+
 def _learned_exceptions(texts: DataFrame, model: Model) -> list[str]:
     """Pairs of a matched word and a neighbour that stand in three or more documents, most of them not toxic."""
 
@@ -222,17 +240,16 @@ def _learned_exceptions(texts: DataFrame, model: Model) -> list[str]:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 folded, found = fold(text), set()
                 for start, _ in hits(folded, matcher):
-                    after = folded[start : start + 80].split(None, 2)[:2]
-                    before = folded[max(0, start - 40) : start].split()[-1:]
-                    if len(after) == 2:
-                        found.add(f" {' '.join(after)} ")
-                    if before and after:
-                        found.add(f" {before[0]} {after[0]} ")
+                    before, own, after = neighbours(folded, start)
+                    if after:
+                        found.add(f" {own} {after} ")
+                    if before:
+                        found.add(f" {before} {own} ")
                 seen.update((x, y) for x in found)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["pair", "y", "n"])
 
     counted = texts.select("text", "y").mapInArrow(pairs, "pair string, y int, n long").groupBy("pair").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"))
-    return [r.pair for r in counted.where("c >= 3 and c > 4 * t").orderBy(F.desc("c"), "pair").limit(LEXICON).collect()]
+    return [r.pair for r in counted.where("c >= 3 and c > 4 * t").orderBy(F.desc("c"), "pair").collect()]
 
 
 def _reweighted(texts: DataFrame, model: Model, weight: Column) -> dict[str, float]:
@@ -248,7 +265,7 @@ def _reweighted(texts: DataFrame, model: Model, weight: Column) -> dict[str, flo
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["entry", "t", "c"])
 
     counted = texts.select("text", "y").mapInArrow(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    return {r.entry: r.w for r in counted.withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy("entry").collect()}  # LEXICON rows at most
+    return {r.entry: r.w for r in counted.withColumn("w", weight).where(F.col("w") >= MIN_WEIGHT).orderBy("entry").collect()}  # no more than the entries that are there
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> list[float]:
@@ -299,3 +316,9 @@ def scorer(model: Model):
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the column score_col, which replaces one of that name."""
     return docs.withColumn(score_col, scorer(model)(F.col(text_col)))
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score less than the threshold, with the columns of docs, whatever their names."""
+    scored = docs.select(F.struct(*docs.columns).alias("all")).withColumn("score", scorer(model)(F.col(f"all.{text_col}")))
+    return scored.where(F.col("score") < threshold).select("all.*")
