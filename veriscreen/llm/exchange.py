@@ -6,6 +6,7 @@ once a block, not once an occurrence; buckets are chosen by a hash of the code,
 to the block's partition, where one narrow zip joins them to its documents.
 
 DataFrames have no narrow zip of two plans (a join would shuffle all texts for each question), so this module uses RDDs.
+Questions whose answers need no text use the DataFrame messages of post.py instead.
 Everything is recomputed from lineage when an executor is lost: a block is a pure function of its input split.
 """
 
@@ -29,10 +30,10 @@ _ONE = BatchedSerializer(CPickleSerializer(), 1)
 
 
 class Blocks:
-    """The rows of df as PARTS elements a partition, each (block, rows as tuples); the last column of df is the text."""
+    """The rows of df as `parts` elements a partition, each (block, rows as tuples); the last column of df is the text."""
 
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
+    def __init__(self, df: DataFrame, parts: int = PARTS):
+        self.spark, self.parts = df.sparkSession, parts
         key, conf = "spark.sql.files.maxPartitionBytes", self.spark.conf
         old = conf.get(key)
         try:
@@ -49,8 +50,9 @@ class Blocks:
         if not self.size:
             rows, self.size = self.spark.sparkContext.parallelize([], 1), 1
         self.bytes = sum(n for _, n in sizes)
-        steps = {part: -(-n // PARTS) for part, n in sizes}
-        self.rdd = rows.mapPartitionsWithIndex(lambda part, it: _gather(part, it, steps.get(part, SPLIT)))
+        steps = {part: -(-n // parts) for part, n in sizes}
+        self.rdd = rows.mapPartitionsWithIndex(lambda part, it: _gather(part, it, steps.get(part, SPLIT), parts))
+        self._home: dict[tuple[RDD, ...], RDD] = {}
         self._zipped: dict[tuple[RDD, ...], RDD] = {}
 
     def buckets(self, share: int = 1 << 23) -> int:
@@ -80,27 +82,32 @@ class Blocks:
 
         return self.zipped(*answers).flatMap(run)
 
+    def home(self, *answers: RDD) -> RDD:
+        """(block, (k, payload)) for the payloads of each RDD k of answers, brought to the partitions of their blocks."""
+        if answers not in self._home:
+            tagged = [x.map(lambda y, k=k: (y[0], (k, y[1]))) for k, x in enumerate(answers)]
+            together, parts = self.spark.sparkContext.union(tagged) if len(answers) > 1 else tagged[0], self.parts
+            self._home[answers] = together.partitionBy(self.size, lambda block: block // parts if block >= 0 else -1 - block)
+        return self._home[answers]
+
     def zipped(self, *answers: RDD) -> RDD:
         """(block, rows, lists): for each RDD of (block, payload) the list of the block's payloads. A payload for
         to_all(partition) comes to all blocks of the partition, but moves there once."""
         if not answers:
             return self.rdd.map(lambda x: (*x, ()))
         if answers not in self._zipped:
-            n = len(answers)
-            tagged = [x.map(lambda y, k=k: (y[0], (k, y[1]))) for k, x in enumerate(answers)]
-            home = self.spark.sparkContext.union(tagged) if n > 1 else tagged[0]
-            home = home.partitionBy(self.size, lambda block: block // PARTS if block >= 0 else -1 - block)
+            n, parts, home = len(answers), self.parts, self.home(*answers)
             width = home.getNumPartitions()
             rows = self.rdd
             if width > self.size:  # more partitions than asked for: empty blocks for the others
                 size = self.size
                 more = self.spark.sparkContext.parallelize(range(size, width), width - size)
-                rows = self.spark.sparkContext.union([rows, more.flatMap(lambda j: [(j * PARTS + k, []) for k in range(PARTS)])])
+                rows = self.spark.sparkContext.union([rows, more.flatMap(lambda j: [(j * parts + k, []) for k in range(parts)])])
 
             def lists(it: Iterable) -> Iterator:
-                out = [tuple([] for _ in range(n)) for _ in range(PARTS)]
+                out = [tuple([] for _ in range(n)) for _ in range(parts)]
                 for block, (k, payload) in it:
-                    for own in [out[block % PARTS]] if block >= 0 else out:
+                    for own in [out[block % parts]] if block >= 0 else out:
                         own[k].append(payload)
                 yield from out
                 del out
@@ -116,27 +123,27 @@ def to_all(partition: int) -> int:
     return -1 - partition
 
 
-def _gather(part: int, rows: Iterable, step: int) -> Iterator:
-    """The partition's rows in PARTS pieces of about step bytes of text each."""
+def _gather(part: int, rows: Iterable, step: int, parts: int) -> Iterator:
+    """The partition's rows in `parts` pieces of about step bytes of text each."""
     piece, k, size = [], 0, 0
     for row in rows:
         piece.append(tuple(row))
         size += len(row[-1] or "") + 1
-        if size >= step * (k + 1) and k < PARTS - 1:
-            yield part * PARTS + k, piece
+        if size >= step * (k + 1) and k < parts - 1:
+            yield part * parts + k, piece
             piece, k = [], k + 1
-    yield part * PARTS + k, piece
-    for k in range(k + 1, PARTS):
-        yield part * PARTS + k, []
+    yield part * parts + k, piece
+    for k in range(k + 1, parts):
+        yield part * parts + k, []
     trim()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one payload; small integers shrink, codes stay as they are."""
+    """Arrays as one payload; small integers shrink, codes (unsigned, of four bytes or more, or raw bytes) stay as they are."""
     out = []
     for a in arrays:
         raw = a.tobytes()
-        small = zlib.compress(raw, 1) if a.dtype != np.uint64 and a.dtype != np.uint32 else raw
+        small = zlib.compress(raw, 1) if a.dtype != np.uint64 and a.dtype != np.uint32 and a.dtype.kind != "V" else raw
         out.append((a.dtype.str, small is not raw, small))
     return pickle.dumps(out, 5)
 
@@ -160,6 +167,37 @@ def short(codes: np.ndarray) -> np.ndarray:
     return (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+TAG_BITS = 40
+
+
+def _base(bucket: int, buckets: int) -> np.uint64:
+    """The least code of a bucket."""
+    return np.uint64(-(-(bucket << 32) // buckets) << 32)
+
+
+def narrow(codes: np.ndarray, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes of a bucket in about four bytes each: their place in the bucket's range in 40 bits (two codes share one
+    with a chance of a millionth), low 24 bits as they are, the rest as differences."""
+    shift = np.uint64(max(0, 64 - (buckets.bit_length() - 1) - TAG_BITS))
+    tags = (codes - _base(bucket, buckets)) >> shift
+    low = np.ascontiguousarray((tags & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    steps = np.diff((tags >> np.uint64(24)).astype(np.int64), prepend=0)
+    return fit(steps), low.view("V3").reshape(-1)
+
+
+def widened(steps: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The 40-bit places of narrow()."""
+    out = np.zeros((len(low), 4), np.uint8)
+    out[:, :3] = low.view(np.uint8).reshape(-1, 3)
+    return np.cumsum(steps.astype(np.int64)).astype(np.uint64) << np.uint64(24) | out.view("<u4").reshape(-1).astype(np.uint64)
+
+
+def fit(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least type that holds them."""
+    most = int(counts.max()) if len(counts) else 0
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
+
+
 def repeats(blocks: Blocks, codes_of: Callable, most: int = 255) -> RDD:
     """For each block, how often its codes occur in the whole corpus, never too low.
 

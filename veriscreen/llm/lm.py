@@ -12,10 +12,13 @@ seen in training, an arc for each seen hw with log10 p(w | h), and a failure arc
 of the shorter context. One left-to-right traversal carries the state and adds up weights.
 
 The whole automaton grows with the corpus, so no machine holds it. Every block asks for the part that its own documents
-can reach: the counts of its n-grams (first question) and of its contexts (second question: counts, and T(h) as a sum over
-n-grams, of each of which exactly one block is told to be the owner). It then builds that part, in which no arc that its
-texts could take is missing, and traverses its documents, many segments of texts in step; a segment's first state is
-found by n - 1 words of run-up, since a state depends on no more. Counts are exact and cover all training rows.
+can reach. First question: the training counts of its n-grams. Second question: the counts of its words, and T(h) of its
+contexts, as a sum over n-grams, of each of which exactly one block is told to be the owner; a context seen once has
+one follower and needs no question. The block then knows every arc and failure arc that its texts could take, by the
+places where they stand, and traverses its documents, many segments of texts in step. The state after a word is the
+longest context that ends there and goes on in training, so a segment's first state is found by n - 1 words of run-up.
+Counts are of the whole of the training rows; n-grams travel by 40 bits of their code and a bucket, so about one in a million
+shares its count with another.
 
 Null and empty texts hold the end token alone. Rows with a null doc_id are held out (their id's text is empty) and scored.
 Repeated rows count as often as they occur. Without training rows N = V = 0 and every token has probability 1. Empty
@@ -32,225 +35,200 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import Blocks, cuts, pack, unpack
-from .words import _BASE, _GOLDEN, mix, word_codes
+from .exchange import Blocks, cuts, fit, narrow, pack, unpack, widened
+from .words import _BASE, _GOLDEN, mix, trim, word_codes
 
 ORDER = 3
 ADDED = 0.1
 FOLDS = 10
 SEGMENT = 256  # tokens of a text traversed in step with other segments
+PARTS = 4  # blocks of an input partition: larger ones repeat fewer n-grams
 START, END = mix(np.array([11, 13], np.uint64) * _GOLDEN)
 
 
-class Texts:
-    """Token codes of some texts: start, words, end for each; raw sums of n-grams at each place."""
-
-    def __init__(self, texts: list, order: int):
-        codes, counts = word_codes(texts, True)
-        self.sizes = counts + 2
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
-        self.tokens = np.empty(int(self.sizes.sum()), np.uint64)
-        word = np.ones(len(self.tokens), bool)
-        word[self.starts], word[self.ends - 1] = False, False
-        self.tokens[word], self.tokens[self.starts], self.tokens[self.ends - 1] = codes, START, END
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.order = order
-
-    def raw(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the k-grams that lie within a document, and their places."""
-        n = len(self.tokens) - k + 1
-        if n <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        total = np.zeros(n, np.uint64)
-        for j in range(k):
-            total *= _BASE
-            total += self.tokens[j : n + j]
-        place = np.flatnonzero(self.doc[:n] == self.doc[k - 1 :])
-        return total[place], place
-
+def held_out(doc_id: int | None, folds: int) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == 0
 
-def code(raw: np.ndarray, k: int) -> np.ndarray:
-    """A k-gram's code from its sum; a 1-gram's code is its token."""
-    return raw if k == 1 else mix(raw + np.uint64(k * int(_GOLDEN) % 2**64))
 
+class _Grams:
+    """The different n-grams of one length of a block: sorted codes, training counts, a place of each, and which one starts at
+    each place (-1 where one would leave its document)."""
 
-def held_out(doc_id: int | None, folds: int) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == 0
+    def __init__(self, codes: np.ndarray, place: np.ndarray, n: int, trains: np.ndarray):
+        self.codes, which = np.unique(codes, return_inverse=True)
+        self.at = np.full(n, -1, np.int32)
+        self.at[place] = which
+        self.place = np.empty(len(self.codes), np.int32)
+        self.place[which] = place
+        self.counts = np.bincount(which[trains[place]], minlength=len(self.codes)).astype(np.int64)
 
 
 class _Block:
-    """What a block asks for, found again alike in each round. grams: codes of its n-grams of two or more words, with
-    training counts, order and a place of each; heads: codes of its tokens and contexts."""
+    """What a block asks for, found again alike in each round. grams[k]: its k-grams; tokens: start, words, end of each text."""
 
     def __init__(self, rows: list, order: int, folds: int):
-        self.texts = Texts([x for _, x in rows], order)
+        codes, counts = word_codes([x for _, x in rows], True)
+        self.order, self.sizes = order, counts + 2
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        tokens = np.empty(int(self.sizes.sum()), np.uint64)
+        word = np.ones(len(tokens), bool)
+        word[self.starts], word[self.ends - 1] = False, False
+        tokens[word], tokens[self.starts], tokens[self.ends - 1] = codes, START, END
+        del codes, word
+        self.doc = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
         self.out = np.array([held_out(i, folds) for i, _ in rows], bool)
-        trains = ~self.out[self.texts.doc]
-        codes, place, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
-        for k in range(2, order + 1):
-            raw, at = self.texts.raw(k)
-            codes.append(code(raw, k))
-            place.append(at)
-            size.append(np.full(len(at), k, np.int8))
-        codes, place, size = map(np.concatenate, (codes, place, size))
-        by = np.argsort(codes)
-        new = np.flatnonzero(np.concatenate(([True], codes[by][1:] != codes[by][:-1]))) if len(by) else np.empty(0, np.int64)
-        self.grams, self.place, self.size = codes[by][new], place[by][new], size[by][new]
-        self.counts = np.add.reduceat(trains[place[by]].astype(np.int32), new) if len(new) else np.empty(0, np.int32)
-        tokens, self.token = np.unique(self.texts.tokens, return_inverse=True)
-        contexts = self.grams[self.size < order]
-        self.heads = np.union1d(tokens, contexts)
-        self.token = np.searchsorted(self.heads, tokens)[self.token]
-        self.head_counts = np.bincount(self.token[trains], minlength=len(self.heads)).astype(np.int32)
-
-    def context(self, place: np.ndarray, k: int) -> np.ndarray:
-        """Which head the k-grams at these places are."""
-        if k == 1:
-            return self.token[place]
-        total = np.zeros(len(place), np.uint64)
-        for j in range(k):
-            total = total * _BASE + self.texts.tokens[place + j]
-        return np.searchsorted(self.heads, code(total, k))
-
-    def gram(self, place: np.ndarray, k: int) -> np.ndarray:
-        total = np.zeros(len(place), np.uint64)
-        for j in range(k):
-            total = total * _BASE + self.texts.tokens[place + j]
-        return np.searchsorted(self.grams, code(total, k))
-
-
-def _send(codes: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    at = cuts(codes, buckets)
+        trains, n = ~self.out[self.doc] if len(rows) else np.empty(0, bool), len(tokens)
+        self.grams, total = {}, np.zeros(n, np.uint64)
+        for k in range(1, order + 1):
+            if len(total) and k > 1:
+                total = total[:-1]
+            total = total * _BASE + tokens[k - 1 :] if n >= k else total[:0]
+            place = np.flatnonzero(self.doc[: len(total)] == self.doc[k - 1 :]).astype(np.int32) if k > 1 else np.arange(len(total), dtype=np.int32)
+            raw = total[place]
+            self.grams[k] = _Grams(raw if k == 1 else mix(raw + np.uint64(k * int(_GOLDEN) % 2**64)), place, n, trains)
+        self.start = np.zeros(len(self.grams[1].codes), bool)
+        self.start[self.grams[1].at[self.starts]] = True
+        self.last = np.zeros(n, bool)
+        self.last[self.ends - 1] = True
+
+
+def _asked(columns: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Messages of (codes, numbers ..) of each length, the codes sorted; numbers shrink."""
+    at = [cuts(x[0], buckets) for x in columns]
     for b in range(buckets):
-        if at[b] < at[b + 1]:
-            yield b, pack(*(x[at[b] : at[b + 1]] for x in (codes, *columns)))
-
-
-def _totals(bucket: int, asked: list) -> Iterator:
-    """Sums of each column over all blocks that have a code; the first such block is its owner."""
-    if not asked:
-        return
-    parts = [(block, unpack(payload)) for block, payload in sorted(asked)]
-    codes = np.concatenate([x[0] for _, x in parts])
-    unique, first, where = np.unique(codes, return_index=True, return_inverse=True)
-    owner = np.zeros(len(codes), np.int8)
-    owner[first] = 1
-    sums = [np.bincount(where, np.concatenate([x[k] for _, x in parts]), len(unique)).astype(np.int64) for k in range(1, len(parts[0][1]))]
-    at = 0
-    for block, own in parts:
-        part = slice(at, at + len(own[0]))
-        at = part.stop
-        yield block, (bucket, pack(owner[part], *(x[where[part]] for x in sums)))
-
-
-def _told(answers: list, columns: int) -> list[np.ndarray]:
+        if any(own[b] < own[b + 1] for own in at):
+            out = []
+            for own, (codes, *numbers) in zip(at, columns):
+                part = slice(own[b], own[b + 1])
+                out += [*narrow(codes[part], b, buckets), *(fit(x[part]) for x in numbers)]
+            yield b, pack(*out)
+
+
+def _totals(lengths: list[int]):
+    """Answers to _asked(), where columns[i] has lengths[i] numbers: whether the block is the first that has a code, and the
+    sums of the numbers over all blocks."""
+
+    def answer(bucket: int, asked: list) -> Iterator:
+        parts = [(block, unpack(payload)) for block, payload in sorted(asked)]
+        told: list[list] = [[] for _ in parts]
+        at = 0
+        for n in lengths:
+            tags = [widened(x[at], x[at + 1]) for _, x in parts]
+            size = [len(x) for x in tags]
+            together = np.concatenate([*tags, np.empty(0, np.uint64)])
+            by = np.argsort(together, kind="stable")  # of equal tags the first block comes first
+            new = np.concatenate(([True], together[by][1:] != together[by][:-1])) if len(by) else np.empty(0, bool)
+            owner = np.empty(len(by), bool)
+            owner[by] = new
+            sums = []
+            for k in range(n):
+                total = np.empty(len(by), np.int64)
+                if len(by):
+                    numbers = np.concatenate([x[at + 2 + k].astype(np.int64) for _, x in parts])[by]
+                    total[by] = np.repeat(np.add.reduceat(numbers, np.flatnonzero(new)), np.diff(np.append(np.flatnonzero(new), len(by))))
+                sums.append(total)
+            a = 0
+            for own, m in zip(told, size):
+                own += [np.packbits(owner[a : a + m]), np.array([m]), *(fit(x[a : a + m]) for x in sums)]
+                a += m
+            at += 2 + n
+        for (block, _), own in zip(parts, told):
+            yield block, (bucket, pack(*own))
+
+    return answer
+
+
+def _told(answers: list, lengths: list[int]) -> list[list[np.ndarray]]:
+    """Of each length: whether the block owns its codes, and the sums, in the order of the codes."""
     parts = [unpack(x) for _, x in sorted(answers, key=lambda y: y[0])]
-    return [np.concatenate([np.empty(0, np.int64), *(x[k].astype(np.int64) for x in parts)]) for k in range(columns)]
+    out, at = [], 0
+    for n in lengths:
+        owner = [np.unpackbits(x[at], count=int(x[at + 1][0])).astype(bool) for x in parts]
+        out.append([np.concatenate([np.empty(0, bool), *owner]), *(np.concatenate([np.empty(0, np.int64), *(x[at + 2 + k].astype(np.int64) for x in parts)]) for k in range(n))])
+        at += 2 + n
+    return out
 
 
 class Automaton:
-    """The part of the model that the texts of a block can reach.
-
-    State 0 is the root; state s > 0 is a context. Arcs are found by the code of context and token together.
-    """
-
-    def __init__(self, block: _Block, totals: np.ndarray, heads: np.ndarray, follow: np.ndarray, model: dict):
-        order, n, v, added = block.texts.order, model["N"], model["V"], model["added"]
-        place, size = block.place, block.size
-        unigram = (heads + added) / (n + added * (v + 1)) if n else np.ones(len(heads))
-        self.root = np.log10(unigram)  # weights of the root's arcs, by head
-        # contexts: heads with followers; their counts
-        count = heads.copy()
-        long = np.flatnonzero(size < order)
-        at = np.searchsorted(block.heads, block.grams[long])
-        count[at] = totals[long]
-        gram_place = np.full(len(heads), -1)
-        gram_place[block.token] = np.arange(len(block.token))
-        length = np.ones(len(heads), np.int64)
-        gram_place[at], length[at] = place[long], size[long]
-        live = np.flatnonzero((follow > 0) & (count > 0))
-        self.state_of = np.zeros(len(heads), np.int64)
-        self.state_of[live] = np.arange(1, len(live) + 1)
-        self.length = np.concatenate(([0], length[live]))
-        self.raw = np.zeros(len(live) + 1, np.uint64)
-        self.fail, self.fail_weight = np.zeros(len(live) + 1, np.int64), np.zeros(len(live) + 1)
-        discount = np.array([0.0, 0.0, *(model["D"][k] for k in range(2, order + 1))])
-        mass = np.zeros(len(heads))
-        mass[live] = discount[length[live] + 1] * follow[live] / count[live]
-        self.fail_weight[1:] = np.log10(mass[live])
-        for k in range(1, order):
-            own = np.flatnonzero(self.length == k)
-            where = gram_place[live[own - 1]]
-            for j in range(k):
-                self.raw[own] = self.raw[own] * _BASE + block.texts.tokens[where + j]
-            for j in range(1, k):  # the shortest first, the longest last
-                found = self.state_of[block.context(where + k - j, j)]
-                self.fail[own] = np.where(found > 0, found, self.fail[own])
-        # arcs, from short to long
-        weight = np.zeros(len(totals))
-        self.target = np.zeros(len(totals), np.int64)
+    """The part of the model that the texts of a block can reach. A state is a context: the last `length` tokens; 0 is the root.
+    Arcs and contexts are found by the places where they start."""
+
+    def __init__(self, block: _Block, totals: dict[int, np.ndarray], follow: dict[int, np.ndarray], model: dict):
+        """totals[k]: training counts of the k-grams; follow[k]: T(h) of those of them that are contexts."""
+        order, n, v, added, grams = block.order, model["N"], model["V"], model["added"], block.grams
+        self.block, self.totals = block, totals
+        unigram = (totals[1] + added) / (n + added * (v + 1)) if n else np.ones(len(totals[1]))
+        self.live, self.arc, self.fail = {}, {}, {}
+        self.arc[1] = np.log10(unigram)  # of the root: there for all tokens
+        lower = unigram
         for k in range(2, order + 1):
-            own = np.flatnonzero((size == k) & (totals > 0))
-            where = place[own]
-            lower = unigram[block.token[where + 1]] if k == 2 else weight[block.gram(where + 1, k - 1)]
-            head = block.context(where, k - 1)
-            weight[own] = np.maximum(totals[own] - discount[k], 0) / count[head] + mass[head] * lower
-            for j in range(1, order):
-                if j <= k:
-                    found = self.state_of[block.context(where + k - j, j)]
-                    self.target[own] = np.where(found > 0, found, self.target[own])
-        seen = totals > 0
-        self.arcs, self.target = block.grams[seen], self.target[seen]
-        self.weight = np.log10(weight[seen])
-
-    def step(self, state: np.ndarray, token: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States after the tokens (given as codes and as heads), and the weights added on the way."""
+            own, short, count, t = grams[k], grams[k - 1], totals[k - 1], follow[k - 1]
+            live = (t > 0) & (count > 0)
+            mass = np.zeros(len(count))
+            mass[live] = model["D"][k] * t[live] / count[live]
+            self.live[k - 1] = live
+            with np.errstate(divide="ignore"):
+                self.fail[k - 1] = np.log10(mass)
+            seen = np.flatnonzero(totals[k] > 0)
+            place = own.place[seen]
+            head = short.at[place]
+            weight = np.zeros(len(totals[k]))
+            weight[seen] = np.maximum(totals[k][seen] - model["D"][k], 0) / count[head] + mass[head] * lower[short.at[place + 1]]
+            with np.errstate(divide="ignore"):
+                self.arc[k] = np.log10(weight)  # of unseen ones: no arc
+            lower = weight
+
+    def _state(self, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Length of the longest context that ends with the token at each place and begins at `first` or later."""
+        out = np.zeros(len(place), np.int64)
+        for k in range(1, self.block.order):
+            start = np.maximum(place - k + 1, 0)
+            fits = place - k + 1 >= first
+            out[fits & self.live[k][self.block.grams[k].at[start]]] = k
+        return out
+
+    def step(self, state: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after the tokens at these places of texts that begin at `first`, and the weights added on the way."""
         added, state = np.zeros(len(state)), state.copy()
-        after = np.zeros(len(state), np.int64)
         open_ = np.arange(len(state))
         while len(open_):
-            s = state[open_]
-            at_root = s == 0
-            done = open_[at_root]
-            added[done] += self.root[head[done]]
-            after[done] = self.state_of[head[done]]
-            open_, s = open_[~at_root], s[~at_root]
-            if not len(open_):
-                break
-            key = mix(self.raw[s] * _BASE + token[open_] + (self.length[s] + 1).astype(np.uint64) * _GOLDEN)
-            at = np.searchsorted(self.arcs, key)
-            hit = self.arcs[np.minimum(at, len(self.arcs) - 1)] == key if len(self.arcs) else np.zeros(len(key), bool)
-            done = open_[hit]
-            added[done] += self.weight[at[hit]]
-            after[done] = self.target[at[hit]]
-            open_, s = open_[~hit], s[~hit]
-            added[open_] += self.fail_weight[s]
-            state[open_] = self.fail[s]
-        return after, added
-
-    def scores(self, block: _Block) -> np.ndarray:
+            going = []
+            for length in range(self.block.order):
+                own = open_[state[open_] == length]
+                if not len(own):
+                    continue
+                gram = self.block.grams[length + 1].at[place[own] - length]
+                hit = self.totals[length + 1][gram] > 0 if length else np.ones(len(own), bool)
+                added[own[hit]] += self.arc[length + 1][gram[hit]]
+                lost = own[~hit]
+                if len(lost):  # what goes on in training goes on without its first word too
+                    added[lost] += self.fail[length][self.block.grams[length].at[place[lost] - length]]
+                    state[lost] = length - 1
+                    going.append(lost)
+            open_ = np.concatenate(going) if going else open_[:0]
+        return self._state(place, first), added
+
+    def scores(self) -> np.ndarray:
         """log10 probability of each text: segments of all texts advance by one token at a time."""
-        texts, run_up = block.texts, block.texts.order - 1
-        first, stop, doc = [], [], []
-        body = texts.starts + 1  # the start token is not scored
-        parts = -(-(texts.ends - body) // SEGMENT)
+        block, run_up = self.block, self.block.order - 1
+        body = block.starts + 1  # the start token is not scored
+        parts = -(-(block.ends - body) // SEGMENT)
         doc = np.repeat(np.arange(len(parts)), parts)
         k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first = body[doc] + k * SEGMENT
-        stop = np.minimum(first + SEGMENT, texts.ends[doc])
+        stop = np.minimum(first + SEGMENT, block.ends[doc])
+        start = block.starts[doc]
         state = np.zeros(len(first), np.int64)
         for j in range(run_up, 0, -1):  # words before the segment, from the farthest
-            have = np.flatnonzero(first - j >= texts.starts[doc])
-            at = first[have] - j
-            state[have], _ = self.step(state[have], texts.tokens[at], block.token[at])
+            have = np.flatnonzero(first - j >= start)
+            state[have] = self._state(first[have] - j, start[have])
         total = np.zeros(len(first))
         by = np.argsort(first - stop, kind="stable")  # the longest first
         sizes = (stop - first)[by]
         for j in range(int(sizes[0]) if len(sizes) else 0):
             now = by[: np.searchsorted(-sizes, -j, "left")]
-            at = first[now] + j
-            state[now], added = self.step(state[now], texts.tokens[at], block.token[at])
+            state[now], added = self.step(state[now], first[now] + j, start[now])
             total[now] += added
         return np.bincount(doc, total, len(parts)) if len(parts) else np.zeros(0)
 
@@ -262,58 +240,73 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = FOLDS, added: flo
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
-    blocks = Blocks(docs.select(F.col("doc_id").cast("long"), "text"))
+    blocks = Blocks(docs.select(F.col("doc_id").cast("long"), "text"), PARTS)
     buckets = blocks.buckets()
+    long = range(2, order + 1)  # lengths asked for first
+    ones, twos = [1] * (order - 1), [2, *[1] * (order - 2)]
 
     def ask_grams(block: int, rows: list) -> Iterator:
         own = _Block(rows, order, folds)
-        return _send(own.grams, buckets, own.counts)
+        return _asked([(own.grams[k].codes, own.grams[k].counts) for k in long], buckets)
 
-    grams = blocks.ask(ask_grams, _totals, buckets)
+    grams = blocks.ask(ask_grams, _totals(ones), buckets)
 
-    def ask_heads(block: int, rows: list, answered: list) -> Iterator:
-        own = _Block(rows, order, folds)
-        owner, totals = _told(answered, 2)
-        follow = np.zeros(len(own.heads), np.int32)
-        for k in range(2, order + 1):
-            new = np.flatnonzero((own.size == k) & (owner > 0) & (totals > 0))
-            follow += np.bincount(own.context(own.place[new], k - 1), minlength=len(own.heads)).astype(np.int32)
-        return _send(own.heads, buckets, own.head_counts, follow)
+    def unsure(totals: np.ndarray) -> np.ndarray:
+        """Contexts whose followers have to be asked for: one that is seen once has one."""
+        return totals > 1
 
-    heads = blocks.ask(ask_heads, _totals, buckets, grams)
-
-    def numbers(x) -> Iterator[np.ndarray]:
-        """N, V, then the n-grams seen once and twice of each order, among what a block owns."""
-        _, rows, (answered, told) = x
-        own = _Block(rows, order, folds)
-        owner, totals = _told(answered, 2)
-        head_owner, count, _ = _told(told, 3)
-        words = (head_owner > 0) & (count > 0) & (own.heads != START)
-        out = [int(count[words].sum()), int(words.sum())]
-        for k in range(2, order + 1):
-            mine = totals[(own.size == k) & (owner > 0)]
-            out += [int((mine == 1).sum()), int((mine == 2).sum())]
-        yield np.array(out, np.int64)
-
-    sums = blocks.each(numbers, grams, heads).treeReduce(lambda a, b: a + b)
-    discounts = {k: a / (a + 2 * b) if a and b else 0.5 for k, (a, b) in zip(range(2, order + 1), sums[2:].reshape(-1, 2).tolist())}
-    model = {"N": int(sums[0]), "V": int(sums[1]), "D": discounts, "added": added}
+    def ask_heads(block: int, rows: list, answered: list) -> Iterator:
+        own, told = _Block(rows, order, folds), _told(answered, ones)
+        follow = {}
+        for k, (owner, totals) in zip(long, told):
+            new = own.grams[k].place[owner & (totals > 0)]
+            follow[k - 1] = np.bincount(own.grams[k - 1].at[new], minlength=len(own.grams[k - 1].codes))
+        columns = [(own.grams[1].codes, own.grams[1].counts, follow[1])]
+        for k, (_, totals) in zip(range(2, order), told):
+            some = unsure(totals)
+            columns.append((own.grams[k].codes[some], follow[k][some]))
+        return _asked(columns, buckets)
+
+    heads = blocks.ask(ask_heads, _totals(twos), buckets, grams)
+
+    def numbers(it) -> Iterator[np.ndarray]:
+        """N and V, words and starts together, then the n-grams seen once and twice of each length, of those that blocks own."""
+        out = np.zeros(2 + 2 * (order - 1), np.int64)
+        for _, (kind, (_, payload)) in it:
+            for k, (owner, totals, *_) in enumerate(_told([(0, payload)], twos if kind else ones)):
+                if kind and not k:
+                    out[:2] += totals[owner].sum(), (totals[owner] > 0).sum()
+                elif not kind:
+                    out[2 + 2 * k : 4 + 2 * k] += (totals[owner] == 1).sum(), (totals[owner] == 2).sum()
+        trim()
+        yield out
+
+    id_text = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    texts = docs.where(F.crc32(id_text.cast("binary")) % folds != 0).count()  # training rows: their starts are no words
+    sums = blocks.home(grams, heads).mapPartitions(numbers).treeReduce(lambda a, b: a + b)
+    discounts = {k: a / (a + 2 * b) if a and b else 0.5 for k, (a, b) in zip(long, sums[2:].reshape(-1, 2).tolist())}
+    model = {"N": int(sums[0]) - texts, "V": int(sums[1]) - bool(texts), "D": discounts, "added": added}
 
     def traverse(x) -> Iterator[tuple]:
         _, rows, (answered, told) = x
         if not rows:
             return
         own = _Block(rows, order, folds)
-        _, count, follow = _told(told, 3)
-        automaton = Automaton(own, _told(answered, 2)[1], count, follow, model)
-        total = automaton.scores(own)
-        scored = np.ones(len(own.token), bool)
-        scored[own.texts.starts] = False
-        doc, head = own.texts.doc[scored], own.token[scored]
-        base = np.bincount(doc, automaton.root[head], len(rows))
-        known = np.bincount(doc, count[head] > 0, len(rows)).astype(int)
+        totals = {k: x for k, (_, x) in zip(long, _told(answered, ones))}
+        (_, totals[1], words), *others = _told(told, twos)
+        follow = {1: words}
+        for k, (_, asked) in zip(range(2, order), others):
+            follow[k] = np.where((totals[k] == 1) & ~own.last[own.grams[k].place + k - 1], 1, 0)
+            follow[k][unsure(totals[k])] = asked
+        automaton = Automaton(own, totals, follow, model)
+        total = automaton.scores()
+        scored = np.ones(len(own.doc), bool)
+        scored[own.starts] = False
+        doc, word = own.doc[scored], own.grams[1].at[scored]
+        base = np.bincount(doc, automaton.arc[1][word], len(rows))
+        known = np.bincount(doc, totals[1][word] > 0, len(rows)).astype(int)
         for i, (doc_id, _) in enumerate(rows):
-            yield doc_id, bool(own.out[i]), int(own.texts.sizes[i] - 1), int(known[i]), model["N"], float(base[i]), float(total[i])
+            yield doc_id, bool(own.out[i]), int(own.sizes[i] - 1), int(known[i]), model["N"], float(base[i]), float(total[i])
 
     names = [("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     return blocks.spark.createDataFrame(blocks.each(traverse, grams, heads), T.StructType([T.StructField(*x) for x in names]), verifySchema=False)
