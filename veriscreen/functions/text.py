@@ -9,14 +9,19 @@ CLS, SEP, PAD = 101, 102, 0
 SPACES = r"[ \t\n\r\f]+"
 
 
+def stripped(c: Column) -> Column:
+    """Text without Unicode white space at its ends; null stays null."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x{1C}-\x{1F}\x{85}]+|[\s\p{Z}\x{1C}-\x{1F}\x{85}]+\z", "")
+
+
 def clean_id(c: Column) -> Column:
     """An identifier as text without Unicode white space at its ends; null stays null."""
-    return F.regexp_replace(c.cast("string"), r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$", "")
+    return stripped(c.cast("string"))
 
 
 def compose(title: Column, abstract: Column) -> Column:
-    """Title and abstract as one text, with an empty line between."""
-    return F.concat(F.trim(title), F.lit("\n\n"), F.trim(abstract))
+    """Title and abstract as one text, without white space at their ends and with an empty line between."""
+    return F.concat(stripped(title), F.lit("\n\n"), stripped(abstract))
 
 
 def tokens(text: Column) -> Column:

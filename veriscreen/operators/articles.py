@@ -32,6 +32,24 @@ def prediction_violations(chunks: DataFrame, key: str = "pmid") -> DataFrame:
     return bad.union(labels).union(gaps)
 
 
+def metric_violations(articles: DataFrame, key: str = "pmid", label: str = "label", score: str = "mean_positive_probability", threshold: str = "threshold") -> DataFrame:
+    """(rule, pmid) of rows that metrics cannot take: labels other than 0 and 1, scores and thresholds that are null or
+    outside [0, 1]."""
+    outside = lambda c: F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0) | (F.col(c) > 1)
+    rules = {"label": ~F.coalesce(F.col(label).isin(0, 1), F.lit(False)), "score": outside(score), "threshold": outside(threshold)}
+    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
+    return articles.select(F.explode(found).alias("rule"), F.col(key).alias("pmid"))
+
+
+def checked(articles: DataFrame, **columns) -> DataFrame:
+    """articles, or ValueError if there are none or metric_violations() finds any."""
+    if articles.isEmpty():
+        raise ValueError("no articles to evaluate")
+    if bad := metric_violations(articles, **columns).limit(5).collect():
+        raise ValueError("; ".join(f"{r.rule}: {r.pmid}" for r in bad))
+    return articles
+
+
 def decide(articles: DataFrame, threshold: float | Column, score: str = "mean_positive_probability") -> DataFrame:
     """prediction (score >= threshold) and the threshold itself."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))

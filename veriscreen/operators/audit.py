@@ -40,12 +40,25 @@ def threshold_conflicts(scored: DataFrame) -> DataFrame:
     return scored.agg(F.countDistinct("threshold").alias("thresholds")).where("thresholds > 1")
 
 
-def pairwise(scored: DataFrame, by: str, score: str = "mean_positive_probability") -> DataFrame:
-    """For all pairs of groups, in name order: differences of mean score and positive rate, and Cohen's d. Articles are
-    aggregated first: only a row a group meets another."""
+GROUPS = 10_000  # that pairs are made of, at most
+
+
+def _pairs(own: DataFrame, by: str, columns: str | list[str], groups: list[str] | None, on: list[str] | None = None) -> DataFrame:
+    """Rows of own beside each other for all pairs of groups, first before second by name, or by the order given."""
+    place = F.col(by) if groups is None else F.array_position(F.array(*(F.lit(x) for x in groups)), F.col(by))
+    a, b = (own.select(F.col(by).alias(f"{x}_group"), place.alias(f"{x}_place"), *(on or []), *(F.col(c).alias(f"{x}_{c}") for c in columns)) for x in ("first", "second"))
+    if on:
+        return a.join(b, on).where("first_place < second_place")
+    return a.join(F.broadcast(b), F.col("first_place") < F.col("second_place"))
+
+
+def pairwise(scored: DataFrame, by: str, score: str = "mean_positive_probability", groups: list[str] | None = None) -> DataFrame:
+    """For all pairs of groups, in name order or the order of `groups`: differences of mean score and positive rate, and
+    Cohen's d. Articles are aggregated first: only a row a group meets another, GROUPS of them at most."""
     own = scored.groupBy(by).agg(F.avg(score).alias("m"), F.var_samp(score).alias("v"), F.count("*").alias("n"), F.avg("prediction").alias("r"))
-    a, b = (own.select(F.col(by).alias(f"{x}_group"), *(F.col(c).alias(f"{x}_{c}") for c in "mvnr")) for x in ("first", "second"))
-    both = a.join(b, F.col("first_group") < F.col("second_group"))
+    if own.count() > GROUPS:
+        raise ValueError(f"pairs of more than {GROUPS} groups")
+    both = _pairs(own, by, "mvnr", groups)
     c = F.col
     return both.select("first_group", "second_group", (c("first_m") - c("second_m")).alias("mean_difference"), (c("first_r") - c("second_r")).alias("rate_difference"), cohens_d(c("first_m"), c("first_v"), c("first_n"), c("second_m"), c("second_v"), c("second_n")).alias("cohens_d"))
 
@@ -80,12 +93,10 @@ def bootstrap(values: DataFrame, by: str, value: str, replicates: int = REPLICAT
     return out.select(by, F.col("m")[0].alias("mean_low"), F.col("m")[1].alias("mean_high"), F.col("v")[0].alias("variance_low"), F.col("v")[1].alias("variance_high"))
 
 
-def bootstrap_differences(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid") -> DataFrame:
+def bootstrap_differences(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid", groups: list[str] | None = None) -> DataFrame:
     """Percentile intervals of the difference of means of all pairs of groups, resampled independently."""
-    own = resampled(values, by, value, replicates, seed, order)
-    a, b = (own.select(F.col(by).alias(f"{x}_group"), "replicate", F.col("mean").alias(x)) for x in ("first", "second"))
-    both = a.join(b, "replicate").where("first_group < second_group").withColumn("d", F.col("first") - F.col("second"))
-    out = both.groupBy("first_group", "second_group").agg(_interval("d", confidence).alias("q"))
+    both = _pairs(resampled(values, by, value, replicates, seed, order), by, ["mean"], groups, ["replicate"])
+    out = both.withColumn("d", F.col("first_mean") - F.col("second_mean")).groupBy("first_group", "second_group").agg(_interval("d", confidence).alias("q"))
     return out.select("first_group", "second_group", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 

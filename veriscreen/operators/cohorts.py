@@ -150,3 +150,12 @@ def relationship_checks(members: DataFrame, pairs: dict[str, tuple[list[str], li
     counts = [F.count_if(has(a) & (has(b) if b else F.lit(True))).alias(name) for name, (a, b) in pairs.items()]
     one = own.agg(*counts)
     return one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("shared")) for n in pairs))))
+
+
+def set_equality(members: DataFrame, pairs: dict[str, tuple[list[str], list[str]]], key: str = "pmid") -> DataFrame:
+    """(name, equal, only_first, only_second): whether two unions of cohorts hold the same ids, and how many only one has."""
+    own = members.groupBy(key).agg(F.collect_set("cohort").alias("own"))
+    has = lambda names: F.arrays_overlap("own", F.array(*(F.lit(n) for n in names)))
+    one = own.agg(*(F.count_if(x & ~y).alias(f"{k}{i}") for i, (a, b) in enumerate(pairs.values()) for k, x, y in (("a", has(a), has(b)), ("b", has(b), has(a)))))
+    rows = (F.struct(F.lit(n).alias("name"), (F.col(f"a{i}") + F.col(f"b{i}") == 0).alias("equal"), F.col(f"a{i}").alias("only_first"), F.col(f"b{i}").alias("only_second")) for i, n in enumerate(pairs))
+    return one.select(F.inline(F.array(*rows)))

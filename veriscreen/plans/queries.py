@@ -18,8 +18,7 @@ from ..operators import audit, cohorts, corpus, scoring
 
 MAX_LENGTH, OVERLAP = 128, 16
 CAP, STEP = MAX_LENGTH - 2, MAX_LENGTH - 2 - OVERLAP
-REPLICATES = 200  # of the SQL
-DRAWN = audit.REPLICATES  # of the queries
+REPLICATES = DRAWN = audit.REPLICATES  # of the queries and of their SQL
 TRAIN = (0.8, 0.1, 0.1)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_id
+from ..functions.text import clean_id, stripped
 from ..operators.cohorts import NUMERIC_ID
 
 IDS = T.ArrayType(T.IntegerType())
@@ -55,12 +55,14 @@ def strict(rows: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame
 
 
 def role_paths(positive: Sequence[str], negative: Sequence[str]) -> list[tuple[str, int]]:
-    """(absolute path, label) of local files: each exists and occurs once over both roles."""
-    out = [(os.path.realpath(os.path.expanduser(p)), label) for label, paths in ((1, positive), (0, negative)) for p in paths]
+    """(path, label): each occurs once over both roles. Paths without a scheme are local files, made absolute, and must
+    exist; others are left to Spark, which raises for missing ones."""
+    local = lambda p: "://" not in p and not p.startswith("file:")
+    out = [(os.path.realpath(os.path.expanduser(p)) if local(p) else p, label) for label, paths in ((1, positive), (0, negative)) for p in paths]
     if not out:
         raise InvalidInput("at least one input file is required")
     for path, _ in out:
-        if not os.path.exists(path):
+        if local(path) and not os.path.exists(path):
             raise FileNotFoundError(path)
     if len({p for p, _ in out}) < len(out):
         raise InvalidInput("a file may occur only once over both roles")
@@ -113,7 +115,7 @@ def raw_articles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     rows = parsed(numbered_lines(spark, paths), ARTICLE)
     demo = F.col("data_status") == "demo-only"
     form = F.when(demo, F.col("pmid").startswith("DEMO-")).otherwise(F.col("pmid").rlike("^[0-9]+\\z"))
-    strict(rows, {"id does not fit data_status": ~F.coalesce(form, F.lit(False)), "label": ~F.col("label").isin(0, 1), "no text": F.trim(F.concat("title", "abstract")) == ""})
+    strict(rows, {"id does not fit data_status": ~F.coalesce(form, F.lit(False)), "label": ~F.col("label").isin(0, 1), "no text": stripped(F.concat("title", "abstract")) == ""})
     if twice := rows.groupBy("pmid").count().where("count > 1").limit(5).collect():
         raise InvalidInput("duplicate pmid " + ", ".join(r.pmid for r in twice))
     return rows.select("pmid", "title", "abstract", "data_status", "label")

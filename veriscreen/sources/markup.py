@@ -29,11 +29,19 @@ def missing_abstracts(articles: DataFrame) -> DataFrame:
 
 
 def request_batches(ids: DataFrame, size: int = 100, key: str = "pmid") -> DataFrame:
-    """(batch, ids): ids in numeric order, `size` a request. The list of requests goes to one client, so one task orders it."""
+    """(batch, ids): different ids in numeric order, `size` a request. They are numbered within parts by length and first
+    digits; only the counts of parts meet in one window."""
     if not 1 <= size <= 200:
         raise ValueError("a request takes 1 to 200 ids")
-    place = F.row_number().over(Window.orderBy(F.length(key), key)) - 1
-    return ids.select(key, F.floor(place / size).alias("batch")).groupBy("batch").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    own = ids.select(F.col(key).cast("string").alias(key)).distinct().withColumn("part", F.format_string("%04d%s", F.length(key), F.substring(key, 1, 3)))
+    parts = own.groupBy("part").agg(F.count("*").alias("n"))  # a row for each length and three digits
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    placed = own.withColumn("place", place).join(parts, "part")
+    batch = F.floor((F.col("before") + F.col("place")) / size)
+    by_number = F.array_sort(F.collect_list(F.struct(F.length(key).alias("digits"), F.col(key).alias("id"))))
+    return placed.groupBy(batch.alias("batch")).agg(F.transform(by_number, lambda x: x["id"]).alias("ids"))
 
 
 def returned_differences(requested: DataFrame, returned: DataFrame, key: str = "pmid") -> DataFrame:

@@ -37,6 +37,11 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.option("ignoreNullFields", "false").json(path)
 
 
+def write_ordered(rows: DataFrame, path: str, order: tuple[str, ...] = ("pmid", "chunk_index")) -> None:
+    """write_jsonl with rows in this order, by ranges: within files and from one file to the next."""
+    write_jsonl(rows.orderBy(*order), path)
+
+
 def write_lines(values: DataFrame, path: str) -> None:
     """A folder of text files of the only column."""
     values.write.text(path)
