@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
+import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,23 +13,50 @@ from pyspark.sql import functions as F
 
 from .functions import text, wordpiece
 from .operators import articles as A
-from .operators import audit, cohorts, corpus, release, scoring
-from .sources import files, sinks
+from .operators import audit, cohorts, corpus, release, scoring, window_model
+from .sources import files, markup, sinks
+
+
+def _scorer(spark: SparkSession, a):
+    """A function from windows to windows with positive_probability, and the scorer's settings: a trained model's, those
+    of an ONNX file, or the surrogate's."""
+    if getattr(a, "model_dir", None):
+        model = window_model.WindowModel.load(spark, a.model_dir)
+        return model.score, model.config
+    if a.onnx_model:
+        return lambda chunks: scoring.score_batches(chunks, scoring.onnx_scorer(a.onnx_model)), {"scorer": "onnx"}
+    return lambda chunks: chunks.withColumn("positive_probability", scoring.surrogate(F.col("pmid"), F.col("chunk_index"))), {"scorer": "surrogate"}
+
+
+def _load(spark: SparkSession, a, config: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merged windows and load statistics of role files; ids and types must fit the model's vocabularies."""
+    if a.max_length < 1:
+        raise ValueError("--max-length must be positive")
+    config = config or {}
+    if a.max_length > config.get("max_length", a.max_length):
+        raise ValueError(f"--max-length={a.max_length} exceeds the model's {config['max_length']}")
+    rows = corpus.with_defaults(files.labelled_chunks(spark, a.positive, a.negative))
+    limits = {"vocabulary": config.get("vocab_size") or a.vocab_size, "types": config.get("type_vocab_size") or a.type_vocab_size}
+    return corpus.validated(rows, max_length=a.max_length, **limits), corpus.load_stats(rows)
 
 
-def _score(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("positive_probability", scoring.surrogate(F.col("pmid"), F.col("chunk_index")))
+def _inputs(spark: SparkSession, paths) -> list[dict]:
+    """Fingerprints of input files, those in a folder one by one."""
+    return [r.asDict() for r in files.fingerprints(spark, list(paths)).orderBy("path").collect()] if paths else []
 
 
-def _load(spark: SparkSession, a) -> tuple[DataFrame, DataFrame]:
-    """Merged windows and load statistics of role files."""
-    rows = corpus.with_defaults(files.labelled_chunks(spark, a.positive, a.negative))
-    return corpus.validated(rows, max_length=a.max_length), corpus.load_stats(rows)
+def _documents(scored: DataFrame, threshold: float) -> tuple[dict, DataFrame]:
+    """Window loss, metrics and score summary, and the article rows that they are of."""
+    rows = A.checked(A.decide(A.article_scores(scored).join(A.with_sources(scored), "pmid"), threshold))
+    loss = scoring.mean_loss(scored).first().loss
+    return {"chunk_loss": loss, "article_metrics": A.metrics(rows).first().asDict(), "score_summary": A.score_summary(rows).first().asDict()}, rows
 
 
 def preprocess(spark: SparkSession, a) -> None:
     """Raw articles to windows; without a vocabulary file, words get hashes as ids, as no vocabulary is bundled."""
     rows = files.raw_articles(spark, a.input)
+    if a.status and (bad := rows.where(~F.col("data_status").eqNullSafe(F.lit(a.status))).limit(5).collect()):
+        raise ValueError(f"data_status is not {a.status}: {', '.join(r.pmid for r in bad)}")
     whole = text.compose(F.col("title"), F.col("abstract"))
     cls, sep = text.CLS, text.SEP
     if a.vocabulary_file:
@@ -36,40 +65,88 @@ def preprocess(spark: SparkSession, a) -> None:
         ids = wordpiece.encoder(vocabulary)(whole)
     else:
         ids = F.transform(text.tokens(whole), lambda w: (F.pmod(F.xxhash64(w), F.lit(a.vocabulary - 1000)) + 1000).cast("int"))
-    spread = text.windows(rows.withColumn("ids", ids), "ids", a.max_length, a.overlap)
+    text.check_windows(a.max_length - 2, a.overlap)
+    rows = rows.withColumn("ids", ids)
+    if bad := rows.where(F.size("ids") < 1).limit(5).collect():
+        raise ValueError(f"no tokens in {', '.join(r.pmid for r in bad)}")
+    if rows.isEmpty():
+        raise ValueError("no articles found")
+    spread = text.windows(rows, "ids", a.max_length, a.overlap)
     whole, mask, kinds = text.wrap(F.col("chunk"), cls, sep)
-    sinks.write_jsonl(spread.select("pmid", "chunk_index", "label", whole.alias("input_ids"), mask.alias("attention_mask"), kinds.alias("token_type_ids")), a.output)
+    sinks.write_ordered(spread.select("pmid", "chunk_index", "label", "data_status", whole.alias("input_ids"), mask.alias("attention_mask"), kinds.alias("token_type_ids")), a.output)
+    made = spark.read.schema("pmid string").json(a.output)
+    parameters = {"max_length": a.max_length, "overlap_content_tokens": a.overlap, "data_status": a.status, "inputs": _inputs(spark, a.input), "outputs": _inputs(spark, [a.output])}
+    tokenizer = {r["path"]: r["sha256"] for r in _inputs(spark, [a.vocabulary_file])} if a.vocabulary_file else {}
+    sinks.write_json(f"{a.output.rstrip('/')}.manifest.json", sinks.preprocess_manifest(rows, made, parameters, tokenizer))
 
 
 def train(spark: SparkSession, a) -> None:
-    """Split, surrogate scores, a threshold on the validation part, metrics of the test part with it frozen."""
-    out = sinks.new_dir(a.output_dir)
+    """Split, a model or another scorer, a threshold on the validation part, metrics of the test part with both frozen."""
+    out, began = sinks.new_dir(a.output_dir), time.time()
+    run = f"{int(began)}-{os.getpid()}"
     chunks, stats = _load(spark, a)
     own = corpus.articles(chunks.withColumn("path", F.explode("sources")))
     split = cohorts.stratified_split(own, a.train_ratio, a.validation_ratio, a.test_ratio, a.seed)
     manifest = sinks.split_manifest(split, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed)
-    sinks.write_json(f"{out}/split_manifest.json", manifest | {"sources": [r.asDict() for r in stats.collect()]})
-    scores = A.article_scores(_score(chunks)).join(split.select("pmid", "split"), "pmid")
-    best = A.choose_threshold(scores.where("split = 'validation'"), a.threshold_objective).first()
-    run = f"{int(time.time())}-{os.getpid()}"
-    sinks.write_json(f"{out}/threshold.json", best.asDict() | {"run_id": run, "scorer": "surrogate", "aggregation": "mean"})
-    tested = A.decide(scores.where("split = 'test'"), best.threshold)
-    sinks.write_json(f"{out}/internal_results.json", {"run_id": run, "metrics": A.metrics(tested).first().asDict(), "score_summary": A.score_summary(tested).first().asDict()})
-    sinks.write_jsonl(tested, f"{out}/predictions")
+    loaded = [r.asDict() for r in stats.collect()]
+    sinks.write_json(f"{out}/split_manifest.json", manifest | {
+        "split_unit": "article/pmid", "stratified_by": "article label", "deduplicated_total_articles": len(manifest["articles"]), "deduplicated_total_chunks": sum(x["n_chunks"] for x in manifest["articles"]),
+        "sources": loaded, "input_files": [x | {"role": role} for role, paths in (("positive", a.positive), ("negative", a.negative)) for x in _inputs(spark, paths)],
+    })
+    parts = chunks.join(split.select("pmid", "split"), "pmid").cache()
+    part = lambda name: parts.where(F.col("split") == name).drop("split")
+    config = {"run_id": run, "scorer": a.scorer, "max_length": a.max_length, "vocab_size": a.vocab_size, "type_vocab_size": a.type_vocab_size}
+    history = []
+    if a.scorer == "logistic":
+        model, history = window_model.fit(part("train"), part("validation"), config, epochs=a.epochs, weight_decay=a.weight_decay)
+        model.save(f"{out}/best_model")
+        score, config = model.score, model.config
+    else:
+        score, _ = _scorer(spark, a)
+    sinks.write_json(f"{out}/run_config.json", {"schema_version": 1, "command": " ".join(sys.argv), "arguments": {k: v for k, v in vars(a).items() if k != "run"}, "spark": spark.version, "config": config, "model_selection": {"metric": "validation chunk loss", "tie_break": "validation article AUROC"}})
+    sinks.write_json(f"{out}/training_history.json", {"epochs": history})
+    validation = score(part("validation"))
+    best = A.choose_threshold(A.checked(A.article_scores(validation).withColumn("threshold", F.lit(0.5))), a.threshold_objective).first()
+    frozen, rows = _documents(validation, best.threshold)
+    sinks.write_json(f"{out}/threshold.json", best.asDict() | {"run_id": run, "scorer": a.scorer, "aggregation": "mean", "best_epoch": config.get("best_epoch"), "selection_set": "internal_validation", "validation": frozen})
+    sinks.write_ordered(rows, f"{out}/validation_predictions", ("pmid",))
+    tested, rows = _documents(score(part("test")), best.threshold)
+    sinks.write_ordered(rows, f"{out}/predictions", ("pmid",))
+    sinks.write_json(f"{out}/internal_results.json", {"run_id": run, "best_epoch": config.get("best_epoch"), "threshold": best.threshold, "metrics": tested["article_metrics"], "score_summary": tested["score_summary"], "validation": frozen, "internal_test": tested, "elapsed_seconds": time.time() - began})
+    parts.unpersist()
 
 
 def evaluate(spark: SparkSession, a) -> None:
-    """External files with a frozen threshold; articles of the training manifest are an error unless allowed."""
-    out = sinks.new_dir(a.output_dir)
-    chunks, stats = _load(spark, a)
-    scores = A.article_scores(_score(chunks))
-    if a.training_manifest:
-        shared = [r.pmid for r in cohorts.leakage(scores, files.manifest_ids(spark, a.training_manifest)).limit(10).collect()]
+    """External files with a frozen scorer and threshold, which must be of one run; articles of the training manifest are
+    an error unless allowed."""
+    out, began = sinks.new_dir(a.output_dir), time.time()
+    score, config = _scorer(spark, a)
+    home = os.path.dirname(a.model_dir.rstrip("/")) if a.model_dir else None
+    beside = lambda name: f"{home}/{name}" if home is not None and os.path.exists(f"{home}/{name}") else None
+    threshold, frozen = a.threshold, {}
+    if threshold is None:
+        path = a.threshold_file or beside("threshold.json")
+        if path is None:
+            raise ValueError("--threshold, --threshold-file or --model-dir is required")
+        frozen = files.threshold_document(spark, path)
+        threshold = release.check_threshold(frozen, config["run_id"] if "run_id" in config and frozen.get("run_id") is not None else None, "mean")
+    chunks, stats = _load(spark, a, config)
+    manifest, shared = a.training_manifest or beside("split_manifest.json"), []
+    if manifest:
+        overlap = cohorts.leakage(chunks, files.manifest_ids(spark, manifest))
+        shared = [r.pmid for r in overlap.orderBy("pmid").collect()] if a.allow_overlap else [r.pmid for r in overlap.orderBy("pmid").limit(10).collect()]
         if shared and not a.allow_overlap:
             raise ValueError(f"external articles occur in the training manifest: {', '.join(shared)}")
-    tested = A.decide(scores, a.threshold if a.threshold is not None else files.threshold(spark, a.threshold_file)).join(A.with_sources(chunks), "pmid")
-    sinks.write_json(f"{out}/external_results.json", {"metrics": A.metrics(tested).first().asDict(), "score_summary": A.score_summary(tested).first().asDict(), "sources": [r.asDict() for r in stats.collect()]})
-    sinks.write_jsonl(tested, f"{out}/predictions")
+    scored = score(chunks)
+    found, rows = _documents(scored, threshold)
+    sinks.write_ordered(rows, f"{out}/predictions", ("pmid",))
+    if a.save_chunk_predictions:
+        sinks.write_ordered(scored.select("pmid", "chunk_index", "label", "positive_probability", "sources"), f"{out}/chunk_predictions")
+    sinks.write_json(f"{out}/external_results.json", {
+        "schema_version": 1, "run_id": config.get("run_id"), "command": " ".join(sys.argv), "model_dir": a.model_dir, "threshold": threshold, "threshold_objective": frozen.get("objective"), "aggregation": "mean",
+        "chunk_loss": found["chunk_loss"], "metrics": found["article_metrics"], "score_summary": found["score_summary"], "sources": [r.asDict() for r in stats.collect()], "input_files": _inputs(spark, [*a.positive, *a.negative]),
+        "training_manifest": manifest, "training_overlap_pmids": shared, "elapsed_seconds": time.time() - began,
+    })
 
 
 def sample(spark: SparkSession, a) -> None:
@@ -88,22 +165,32 @@ def sample(spark: SparkSession, a) -> None:
 
 
 def analyze(spark: SparkSession, a) -> None:
-    out = sinks.new_dir(a.output_dir)
+    """Groups of article predictions with one frozen threshold: summaries, and all pairs in the order of the command."""
+    out, specs = sinks.new_dir(a.output_dir), files.group_specs(a.group)
     rows = None
-    for name, path in files.group_specs(a.group).items():
+    for name, path in specs.items():
         own = files.predictions(spark, [path]).withColumn("group", F.lit(name))
         rows = own if rows is None else rows.unionByName(own)
     rows = rows.cache()
     if audit.threshold_conflicts(rows).first():
         raise ValueError("all groups must use the same frozen threshold")
-    p = "mean_positive_probability"
-    boot = audit.bootstrap(rows, "group", p, a.bootstrap_replicates, a.confidence_level, a.seed)
-    groups = audit.group_summary(rows, "group", confidence=a.confidence_level).join(boot.select("group", F.struct("mean_low", "mean_high", "variance_low", "variance_high").alias("bootstrap")), "group").join(A.metrics(rows, ["group"]).select("group", F.struct("*").alias("metrics")), "group")
-    pairs = audit.pairwise(rows, "group").join(audit.bootstrap_differences(rows, "group", p, a.bootstrap_replicates, a.confidence_level, a.seed), ["first_group", "second_group"])
-    groups, pairs = ([r.asDict(True) for r in df.collect()] for df in (groups.orderBy("group"), pairs.orderBy("first_group", "second_group")))
-    sinks.write_json(f"{out}/analysis.json", {"schema_version": 1, "confidence_level": a.confidence_level, "bootstrap_replicates": a.bootstrap_replicates, "seed": a.seed, "groups": groups, "pairwise_comparisons": pairs})
+    options = (a.bootstrap_replicates, a.confidence_level, a.seed)
+    boot = audit.bootstrap(rows, "group", "mean_positive_probability", *options)
+    rates = audit.bootstrap(rows, "group", "prediction", *options)
+    groups = audit.group_summary(rows, "group", confidence=a.confidence_level).join(boot.select("group", F.struct("mean_low", "mean_high", "variance_low", "variance_high").alias("bootstrap")), "group")
+    groups = groups.join(rates.select("group", F.struct("mean_low", "mean_high").alias("rate_bootstrap")), "group").join(A.metrics(rows, ["group"]).select("group", F.struct("*").alias("metrics")), "group")
+    levels = audit.group_quantiles(rows, "group").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("level", "value"))).alias("quantiles"))
+    groups = groups.join(levels, "group")
+    names, key = list(specs), ["first_group", "second_group"]
+    pairs = audit.pairwise(rows, "group", groups=names).join(audit.bootstrap_differences(rows, "group", "mean_positive_probability", *options, groups=names), key)
+    pairs = pairs.join(audit.bootstrap_differences(rows, "group", "prediction", *options, groups=names).toDF(*key, "rate_low", "rate_high"), key)
+    groups, pairs = [r.asDict(True) for r in groups.collect()], [r.asDict(True) for r in pairs.collect()]
+    groups.sort(key=lambda g: names.index(g["group"]))
+    pairs.sort(key=lambda p: (names.index(p["first_group"]), names.index(p["second_group"])))
+    sinks.write_json(f"{out}/analysis.json", {"schema_version": 1, "frozen_threshold": groups[0]["threshold"], "confidence_level": a.confidence_level, "bootstrap_replicates": a.bootstrap_replicates, "seed": a.seed, "input_files": {n: _inputs(spark, [p]) for n, p in specs.items()}, "groups": groups, "pairwise_comparisons": pairs})
     with open(f"{out}/analysis.md", "x", encoding="utf-8") as file:
         file.write(sinks.report(groups, pairs, a.confidence_level, a.bootstrap_replicates, a.seed))
+    rows.unpersist()
 
 
 def filter_overlap(spark: SparkSession, a) -> None:
@@ -117,33 +204,110 @@ def export_ids(spark: SparkSession, a) -> None:
     sinks.write_ids(files.numeric_json_ids(spark, a.input, a.input_format), a.output)
 
 
-def verify_release(spark: SparkSession, a) -> None:
-    """Recomputes hashes, counts, order and overlaps of the id lists that a manifest names and the folder holds."""
-    cohorts_ = files.cohort_manifest(spark, f"{a.root}/manifest.json")
-    present = [r for r in cohorts_.collect() if os.path.exists(f"{a.root}/{r.path}")]
-    if bad := release.provenance_violations(cohorts_).limit(5).collect():
+def verify_release(spark: SparkSession, a) -> dict:
+    """Recomputes hashes, counts, order, overlaps, relationships and the total of all id lists that a manifest names."""
+    header = files.release_header(spark, f"{a.root}/manifest.json")
+    if header["data_status"] != "verified-historical" or header["paper_cohort_verified"] is not False:
+        raise ValueError("unexpected provenance of the release")
+    listed = files.cohort_manifest(spark, f"{a.root}/manifest.json")
+    if bad := release.provenance_violations(listed).limit(5).collect():
         raise ValueError(f"unexpected provenance: {bad}")
-    rows = None
-    for order, r in enumerate(present):
+    rows, found = None, listed.collect()  # a row for each list
+    for order, r in enumerate(found):
         path = f"{a.root}/{r.path}"
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
         own = files.id_list(spark, [path]).select(F.lit(r.cohort).alias("cohort"), F.lit(order).alias("ord"), "line", "pmid")
         if files.fingerprints(spark, [path]).first().sha256 != r.sha256 or own.count() != r.unique_pmids:
             raise ValueError(f"{r.path}: hash or count differs from the manifest")
         rows = own if rows is None else rows.union(own)
     if bad := cohorts.list_violations(rows).limit(5).collect():
         raise ValueError(f"id lists are not numeric and ascending: {bad}")
-    computed = cohorts.overlap_matrix(rows.select("pmid", "cohort"), rows.select("cohort", "ord").distinct()).withColumnRenamed("shared", "shared_pmids")
+    members = rows.select("pmid", "cohort").cache()
+    computed = cohorts.overlap_matrix(members, rows.select("cohort", "ord").distinct()).withColumnRenamed("shared", "shared_pmids")
     recorded = files.csv_table(spark, f"{a.root}/overlap_counts.csv", "cohort_a string, cohort_b string, shared_pmids long")
-    recorded = recorded.where(F.col("cohort_a").isin([r.cohort for r in present]) & F.col("cohort_b").isin([r.cohort for r in present]))
     if diff := cohorts.table_differences(recorded, computed).limit(5).collect():
         raise ValueError(f"overlap table differs: {diff}")
-    print(f"{len(present)} cohorts verified, {rows.select('pmid').distinct().count()} distinct ids")
+    checks = release.relationships(members, {r.cohort for r in found})
+    if checks and checks != header["checks"]:
+        raise ValueError(f"relationship checks differ from the manifest: {checks}")
+    distinct = members.select("pmid").distinct().count()
+    if header["distinct"] is not None and distinct != header["distinct"]:
+        raise ValueError(f"{distinct} distinct ids, the manifest says {header['distinct']}")
+    members.unpersist()
+    print(f"{len(found)} cohorts verified, {distinct} distinct ids")
+    return {"cohorts": len(found), "distinct_pmids": distinct, "checks": checks}
+
+
+def recover(spark: SparkSession, a) -> None:
+    """Id lists from archived window files, which must be bit for bit what a manifest names; nothing is written unless all are.
+    --archive holds the files by their source path."""
+    out = sinks.new_dir(a.output_dir)
+    listed = files.archive_manifest(spark, a.manifest)
+    paths = {r.path: f"{a.archive}/{r.source_path}" for r in listed.collect()}
+    expected, found, kept = listed.select(F.col("path").alias("name"), F.col("source_bytes").alias("size"), F.col("source_git_blob_sha").alias("git_sha1"), F.col("source_rows").alias("rows"), F.col("unique_pmids").alias("ids")), None, {}
+    for name, path in paths.items():
+        if not os.path.exists(path):
+            raise FileNotFoundError(path)
+        rows = files.json_lines(spark, [path])
+        files.strict(rows.withColumn("valid", F.lit(True)), {"not a numeric id": ~F.col("pmid").rlike(cohorts.NUMERIC_ID)})
+        counts = rows.agg(F.count("*").alias("rows"), F.countDistinct("pmid").alias("ids"))
+        own = files.fingerprints(spark, [path]).select(F.lit(name).alias("name"), "size", "git_sha1").crossJoin(counts)  # a row each
+        found = own if found is None else found.union(own)
+        kept[name] = rows.select("pmid").distinct()
+    if bad := release.blob_violations(found, expected).collect():
+        raise ValueError("; ".join(f"{r.name}: {r.rule} differs" for r in bad))
+    for r in listed.where("sampled_path is not null").collect():
+        recorded = files.sampled_counts(spark, f"{a.archive}/{r.sampled_path}")
+        if diff := release.sampled_differences(recorded, files.json_lines(spark, [paths[r.path]])).limit(5).collect():
+            raise ValueError(f"{r.path}: sampled articles differ: {diff}")
+    for name, ids in kept.items():
+        sinks.write_ids(ids, f"{out}/{name}")
+
+
+def fetch(spark: SparkSession, a, client=None) -> None:
+    """Articles by id from a service: client(ids) returns one XML document for a batch. Without a network one must be
+    given; what it returns is kept, and has to hold exactly the ids that were asked for."""
+    if client is None:
+        raise ValueError("no client: this build has no network access; pass client=, a function from ids to XML")
+    out = sinks.new_dir(a.output_dir)
+    ids = files.id_list(spark, [a.pmids])
+    if bad := cohorts.list_violations(ids.withColumn("cohort", F.lit("ids"))).where("rule = 'not numeric'").limit(5).collect():
+        raise ValueError(f"not numeric: lines {[r.line for r in bad]}")
+    if ids.groupBy("pmid").count().where("count > 1").limit(1).collect() or ids.isEmpty():
+        raise ValueError("the list must hold different ids")
+    for r in markup.request_batches(ids, a.batch_size).orderBy("batch").toLocalIterator():  # one request after the other
+        with open(f"{out}/batch_{r.batch:05}.xml", "x", encoding="utf-8") as file:
+            file.write(client(list(r.ids)))
+    documents = spark.read.text(f"{out}/batch_*.xml", wholetext=True).withColumnRenamed("value", "xml")
+    rows = markup.parse_articles(documents, a.label).withColumn("data_status", F.lit("reconstruction"))
+    if diff := markup.returned_differences(ids, rows).limit(5).collect():
+        raise ValueError(f"returned ids differ from those asked for: {diff}")
+    sinks.write_ordered(rows, f"{out}/articles", ("pmid",))
+    hashes = {os.path.basename(x["path"]): x["sha256"] for x in _inputs(spark, [f"{out}/batch_*.xml"])}
+    sinks.write_json(f"{out}/retrieval_manifest.json", sinks.retrieval_manifest(rows, ids.count(), "client", time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), hashes))
 
 
 def demo(spark: SparkSession, a) -> None:
-    from .plans.queries import fairness_audit
+    """With --tables the flagship query; with --output-dir the whole workflow on made-up articles: preprocess, train, evaluate."""
+    if a.tables:
+        from .plans.queries import fairness_audit
 
-    fairness_audit(spark, a.tables).orderBy("lang").show(truncate=False)
+        fairness_audit(spark, a.tables).orderBy("lang").show(truncate=False)
+    if not a.output_dir:
+        return
+    out = sinks.new_dir(a.output_dir)
+    words = ("red green blue square circle line".split(), "one two three four five six".split())
+    for part, n in (("internal", 12), ("external", 4)):
+        for label, role in ((0, "negative"), (1, "positive")):
+            with open(f"{out}/{part}_{role}.jsonl", "x", encoding="utf-8") as file:
+                for k in range(n):
+                    own = " ".join(words[label][(k + j * (k % 3 + 1)) % 6] for j in range(20 + 20 * (k % 3)))
+                    file.write(json.dumps({"pmid": f"DEMO-{part}-{label}-{k}", "title": f"Shapes {k}", "abstract": own, "label": label, "data_status": "demo-only"}) + "\n")
+            main(["preprocess", "--input", f"{out}/{part}_{role}.jsonl", "--output", f"{out}/{part}_{role}", "--max-length", "32", "--overlap", "4", "--status", "demo-only"], spark)
+    files_of = lambda part: ["--positive", f"{out}/{part}_positive", "--negative", f"{out}/{part}_negative", "--max-length", "32"]
+    main(["train", *files_of("internal"), "--output-dir", f"{out}/run"], spark)
+    main(["evaluate", *files_of("external"), "--model-dir", f"{out}/run/best_model", "--output-dir", f"{out}/external_test"], spark)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -158,16 +322,18 @@ def parser() -> argparse.ArgumentParser:
 
     need, many = {"required": True}, {"nargs": "*", "default": []}
     number = lambda kind, default: {"type": kind, "default": default}
-    roles = (("--positive", many), ("--negative", many), ("--max-length", number(int, 512)), ("--output-dir", need))
-    command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(int, 512)), ("--overlap", number(int, 32)), ("--vocabulary", number(int, 30_000)), ("--vocabulary-file", {}))
-    command(train, *roles, ("--train-ratio", number(float, 0.8)), ("--validation-ratio", number(float, 0.1)), ("--test-ratio", number(float, 0.1)), ("--seed", number(int, 42)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
-    command(evaluate, *roles, ("--threshold", number(float, None)), ("--threshold-file", {}), ("--training-manifest", {}), ("--allow-overlap", {"action": "store_true"}))
+    roles = (("--positive", many), ("--negative", many), ("--max-length", number(int, 512)), ("--output-dir", need), ("--vocab-size", number(int, None)), ("--type-vocab-size", number(int, None)), ("--onnx-model", {}))
+    command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(int, 512)), ("--overlap", number(int, 32)), ("--vocabulary", number(int, 30_000)), ("--vocabulary-file", {}), ("--status", {"choices": ("demo-only", "reconstruction")}))
+    command(train, *roles, ("--train-ratio", number(float, 0.7)), ("--validation-ratio", number(float, 0.175)), ("--test-ratio", number(float, 0.125)), ("--seed", number(int, 42)), ("--scorer", {"choices": ("logistic", "surrogate", "onnx"), "default": "logistic"}), ("--epochs", number(int, 3)), ("--weight-decay", number(float, 0.025)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
+    command(evaluate, *roles, ("--threshold", number(float, None)), ("--threshold-file", {}), ("--training-manifest", {}), ("--allow-overlap", {"action": "store_true"}), ("--model-dir", {}), ("--save-chunk-predictions", {"action": "store_true"}))
     command(sample, ("--input", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--n-articles", {"type": int, **need}), ("--output", need), ("--manifest-output", {}), ("--exclude-jsonl", many), ("--exclude-manifest", many), ("--seed", number(int, 42)), ("--max-length", number(int, 512)))
     command(analyze, ("--group", {"action": "append", **need}), ("--output-dir", need), ("--confidence-level", number(float, 0.95)), ("--bootstrap-replicates", number(int, 10_000)), ("--seed", number(int, 42)))
     command(filter_overlap, ("--input", need), ("--exclude", {"nargs": "+", **need}), ("--output", need), ("--removed-ids", {}))
     command(export_ids, ("--input", {"nargs": "+", **need}), ("--output", need), ("--input-format", {"choices": ("jsonl", "sampling-manifest"), "default": "jsonl"}))
     command(verify_release, ("--root", need))
-    command(demo, ("--tables", need))
+    command(recover, ("--archive", need), ("--manifest", need), ("--output-dir", need))
+    command(fetch, ("--pmids", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--output-dir", need), ("--batch-size", number(int, 100)))
+    command(demo, ("--tables", {}), ("--output-dir", {}))
     return top
 
 

@@ -36,3 +36,25 @@ def check_threshold(threshold: dict, run_id: str | None, aggregation: str = "mea
     if threshold.get("aggregation", aggregation) != aggregation:
         raise ValueError("article scores must be means of window scores")
     return float(value)
+
+
+#: The cohorts that a release's relationship checks are about.
+INTERNAL = ("internal_positive_pool", "internal_negative_top_china", "internal_negative_top_other_train", "internal_negative_top_taiwan")
+CHINA, OTHER = "audit_china_5000", "audit_other_5000"
+RAW, CLEAN, POSITIVE = "external_negative_raw", "external_negative_clean", "external_positive_pubpeer"
+
+
+def relationships(members: DataFrame, present: set[str], key: str = "pmid") -> dict:
+    """The recorded checks, recomputed from members(pmid, cohort) in one pass; none for a release without these cohorts."""
+    if not {*INTERNAL, CHINA, OTHER, RAW, CLEAN, POSITIVE} <= present:
+        return {}
+    own = members.groupBy(key).agg(F.collect_set("cohort").alias("own"))
+    has = lambda *names: F.arrays_overlap("own", F.array(*(F.lit(n) for n in names)))
+    internal = has(*INTERNAL)
+    counts = {
+        "internal_unique_articles": internal, "external_raw_internal_overlap": has(RAW) & internal, "clean_equals_raw_minus_internal": has(CLEAN) != (has(RAW) & ~internal),
+        "audit_group_overlap": has(CHINA) & has(OTHER), "audit_china_internal_overlap": has(CHINA) & internal, "audit_other_internal_overlap": has(OTHER) & internal,
+        "audit_china_external_positive_overlap": has(CHINA) & has(POSITIVE), "audit_other_external_positive_overlap": has(OTHER) & has(POSITIVE), "audit_other_external_negative_overlap": has(OTHER) & has(RAW),
+    }
+    row = own.agg(*(F.count_if(c).alias(k) for k, c in counts.items())).first().asDict()
+    return row | {"clean_equals_raw_minus_internal": row["clean_equals_raw_minus_internal"] == 0}

@@ -159,6 +159,32 @@ def threshold(spark: SparkSession, path: str) -> float:
     return row.threshold
 
 
+def threshold_document(spark: SparkSession, path: str) -> dict:
+    """A threshold document: threshold, objective, run_id, aggregation, what is missing as None."""
+    row = spark.read.schema("threshold double, objective string, run_id string, aggregation string").json(path, multiLine=True).first()
+    if row is None or row.threshold is None:
+        raise InvalidInput(f"{path}: no threshold")
+    return {k: v for k, v in row.asDict().items() if v is not None}
+
+
+def release_header(spark: SparkSession, path: str) -> dict:
+    """Of a release manifest: data_status, paper_cohort_verified, the total of distinct ids, recorded checks."""
+    row = spark.read.schema("data_status string, paper_cohort_verified boolean, distinct_pmids_across_all_lists long, checks map<string,string>").json(path, multiLine=True).first()
+    checks = {k: {"true": True, "false": False}.get(v, None if v is None else int(v) if v.isdigit() else v) for k, v in (row.checks or {}).items()}
+    return {"data_status": row.data_status, "paper_cohort_verified": row.paper_cohort_verified, "distinct": row.distinct_pmids_across_all_lists, "checks": checks}
+
+
+def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, source_path, source_bytes, source_rows, source_git_blob_sha, unique_pmids, sampled_path) of a cohort manifest."""
+    schema = "cohorts array<struct<path:string,source_path:string,source_bytes:long,source_rows:long,source_git_blob_sha:string,unique_pmids:long,sampling_evidence:struct<source_path:string>>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline("cohorts")).withColumn("sampled_path", F.col("sampling_evidence.source_path")).drop("sampling_evidence")
+
+
+def sampled_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(pmid, n_chunks) of a sampling manifest."""
+    return spark.read.schema("sampled_pmids array<struct<pmid:string,n_chunks:long>>").json(path, multiLine=True).select(F.inline("sampled_pmids"))
+
+
 def cohort_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(cohort, path, unique_pmids, sha256, data_status, verified) of a cohort manifest."""
     schema = "cohorts array<struct<cohort_id:string,path:string,unique_pmids:long,pmid_file_sha256:string,data_status:string,paper_cohort_verified:boolean>>"

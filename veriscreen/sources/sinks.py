@@ -75,8 +75,11 @@ def report(groups: list[dict], comparisons: list[dict], confidence: float, repli
     percent = f"{100 * confidence:g}%"
     out = ["# Group comparison", "", f"Intervals: {percent}; bootstrap replicates: {replicates}; seed: {seed}.", "", "| group | articles | mean score | mean interval | positive rate | rate interval |", "|---|---:|---:|---|---:|---|"]
     out += [f"| {g['group']} | {g['n_articles']} | {fmt(g['mean'])} | {fmt(g['mean_low'])} to {fmt(g['mean_high'])} | {fmt(g['predicted_positive_rate'])} | {fmt(g['rate_low'])} to {fmt(g['rate_high'])} |" for g in groups]
-    out += ["", "| first | second | mean difference | interval | rate difference | Cohen's d |", "|---|---|---:|---|---:|---:|"]
-    out += [f"| {c['first_group']} | {c['second_group']} | {fmt(c['mean_difference'])} | {fmt(c.get('low'))} to {fmt(c.get('high'))} | {fmt(c['rate_difference'])} | {fmt(c['cohens_d'])} |" for c in comparisons]
+    out += ["", "| first | second | mean difference | interval | rate difference | rate interval | Cohen's d |", "|---|---|---:|---|---:|---|---:|"]
+    out += [f"| {c['first_group']} | {c['second_group']} | {fmt(c['mean_difference'])} | {fmt(c.get('low'))} to {fmt(c.get('high'))} | {fmt(c['rate_difference'])} | {fmt(c.get('rate_low'))} to {fmt(c.get('rate_high'))} | {fmt(c['cohens_d'])} |" for c in comparisons]
+    out += ["", "| group | sample variance of scores | sample variance of decisions |", "|---|---:|---:|"]
+    out += [f"| {g['group']} | {fmt(g.get('sample_variance'))} | {fmt(g.get('bernoulli_sample_variance'))} |" for g in groups]
+    out += ["", "Differences are first minus second. Intervals of means and differences are bootstrap percentiles or normal, those of rates Wilson. A difference between groups of articles is not by itself one between populations of authors."]
     return "\n".join(out) + "\n"
 
 
