@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .exchange import bucket_of
 from .post import MESSAGE, TAG, dealt, halves, pack, plain, runs, small, text_bytes, unpack, whole
-from .shared import components, written
+from .shared import components, forget, written
 from .words import block_sets, set_keys, slices, trim
 
 WIDTH = 5
@@ -468,16 +468,18 @@ def _classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame
     asked = dealt(own.mapInArrow(_reader(width, buckets), MESSAGE), size)
     told = dealt(asked.mapInArrow(_counter, MESSAGE), size, hashed=True)
     posted = written(told.mapInArrow(_poster(buckets, num, den), POSTED), "postings", by="kind")
-    rows = posted.where(f"kind = {DOCS}").selectExpr("inline(docs)")
+    rows = written(posted.where(f"kind = {DOCS}").selectExpr("inline(docs)"), "documents")
     found = dealt(posted.where(f"kind = {POSTINGS}").select("to", "block", "payload"), size).mapInArrow(_finder(num, den), "a long, b long")
     families = components(found.union(posted.where(f"kind = {LOCAL}").select("key", "other"))).toDF("key", "family")
     weights = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"))
     sets = posted.where(f"kind = {SETS}").select("key", "part", "n", "matches", "used", "tokens").dropDuplicates(["key", "part"])
     members = written(sets.join(families, "key").join(weights, "key"), "members")
+    forget(posted)
     tiles = _tiled(members)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (8 * PARTITION_OF_SETS)))
     tiles = tiles.repartitionById(n, F.pmod(F.xxhash64("to"), F.lit(n)).cast("int")).sortWithinPartitions("to", "side", "key", "part")
     links = written(tiles.mapInArrow(_tiler(num, den), "key long, whole boolean, other long, n_links long"), "links")
+    forget(members)
     counts = links.groupBy("key").agg(F.sum("n_links").alias("n_links"))
     parts = components(links.where("not whole").select(F.col("key").alias("a"), F.col("other").alias("b"))).toDF("key", "component")
     labels = links.where("whole").select("key", F.col("other").alias("component")).union(parts)

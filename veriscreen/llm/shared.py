@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one will do for a local
-    master only (one machine); anywhere else the machines would not see each other's tables."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="veriscreen-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder, by Spark's file systems."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is there goes when the driver's Python ends, if the session still runs then."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def gone() -> None:
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            drop(spark, path)
-
-    atexit.register(gone)
-    return path
+__all__ = ["components", "drop", "forget", "scratch", "shared_dir", "written"]
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -45,11 +15,17 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     integers with few values, each of which gets a folder of its own."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    if by is None:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    df.write.partitionBy(by).option("parquet.enable.dictionary", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by).option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for x in tables:
+        drop(x.sparkSession, x.written_to)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -72,6 +48,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        done, edges = edges, written(small.where("u <> v").distinct(), "edges")
+        forget(done)
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

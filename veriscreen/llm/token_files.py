@@ -15,7 +15,6 @@ texts hold the end id alone. Empty tables give no shard and no rows. Other colum
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import scratch
 from .words import slices, trim
 
 MAGIC = b"DACIDS01"
@@ -274,7 +273,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
     tokenizer_path must name the same file on all machines. A shard ends after the document that brings it to
     shard_tokens ids. Texts are shuffled once, by ranges of doc_id.
     """
-    out = out or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    out = out or scratch(docs.sparkSession, "tokens")
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
