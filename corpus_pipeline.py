@@ -15,13 +15,11 @@ Null texts count as empty and pass; empty tables pass through; extra columns sta
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from veriscreen.llm import decontam, jaccard, mixing, token_files, toxicity
 from veriscreen.llm.queries import table, tokenizer_path
-from veriscreen.llm.shared import shared_dir
+from veriscreen.llm.shared import drop, scratch
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop(spark, before)  # only the next stage reads it
+        before = f"{folder}/{name}"
     return docs
