@@ -5,6 +5,7 @@ import random
 import re
 from html.entities import html5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,61 @@ def test_warc_decodes_all_references_once(spark):
 def test_codes_are_the_same_for_equal_words_only():
     codes, _ = word_codes(["a b", "b a", "ab"], False)
     assert codes[0] == codes[3] and codes[1] == codes[2] and len(set(codes.tolist())) == 3
+
+
+def test_warc_sql_decodes_like_the_operator(spark):
+    import duckdb
+
+    shown = [x for x in REFERRING if len(x) < 2000]
+    pages = spark.createDataFrame([(k, "u", f"<title>{x}</title><p>{x}</p><a href='h{k}'>l</a>") for k, x in enumerate(shown)], "page_id long, url string, html string")
+    frame = pages.toPandas()
+    con = duckdb.connect()
+    con.register("pages", frame)
+    want = sorted(con.sql(f"SELECT page_id, warc_type, block_digest, record_id FROM ({warc.duckdb_sql()})").fetchall())
+    assert sorted((r.page_id, r.warc_type, r.block_digest, r.record_id) for r in warc.derive(warc.responses(pages), decode_title=True).collect()) == want
+
+
+def test_warc_headers_hold_no_foreign_lines_and_lengths_cut_records(spark, tmp_path):
+    inner = "WARC/1.1\r\nWARC-Type: fake\r\n\r\nx"
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: evil\n b", f"<p>{inner}\r\n\r\n{inner}</p><A class=x HREF=\"one\">1</A><a href='two'>2</a><a name=n>3</a>"), (2, None, None)], "page_id long, url string, html string")
+    made = warc.derive(warc.responses(pages)).collect()
+    assert all(r.header.count("\r\n") == 12 and "\nWARC-Type: evil" not in r.header for r in made)
+    assert any("WARC-Target-URI: http://a/%0D%0AWARC-Type:%20evil%0A%20b\r\n" in r.header for r in made)
+    assert any("outlinks: 2\r\noutlink: one\r\noutlink: two\r\n" in r.block for r in made)
+    warc.write_warc(spark.createDataFrame(made).coalesce(1), str(tmp_path / "w"))
+    read = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.block for r in read) == sorted(r.block for r in made)
+    twice = b"WARC/1.1\r\nWARC-Concurrent-To: <a>\r\nwarc-concurrent-to: <b>\r\nContent-Length: 25\r\n\r\nab\r\n\r\nWARC/1.1\r\nno record\r\n\r\n\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(twice)
+    (one,) = warc.read_warc(spark, str(tmp_path / "x.warc")).collect()
+    assert one.block.startswith("ab\r\n\r\nWARC/1.1") and one.fields["warc-concurrent-to"] == "<a>" and [f.value for f in one.all_fields] == ["<a>", "<b>", "25"]
+    with pytest.raises(ValueError, match="breaks off"):
+        list(warc.cut_records(twice[:60] + twice[60:].replace(b"25", b"99")))
+
+
+@pytest.mark.parametrize("dim", [2, 16, 64, 256, 768])
+def test_sketches_of_linked_vectors_are_near(dim):
+    from veriscreen.llm import embeddings
+
+    rng = np.random.default_rng(dim)
+    x, z = rng.normal(size=(2, 3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    apart = lambda a, b: np.bitwise_count((embeddings.sketches(a) ^ embeddings.sketches(b)).view(np.uint64)).sum(axis=1)
+    assert apart(x, y).max() <= embeddings.most_apart(0.9) and (dim < 64 or apart(x, x[::-1]).min() > embeddings.most_apart(0.9))
+
+
+@pytest.mark.parametrize("dim, least", [(64, 0.997), (256, 0.997), (768, 0.997)])
+def test_recall_of_pairs_at_the_threshold(dim, least):
+    """Pairs with a cosine of 0.9 meet in a bucket."""
+    from veriscreen.llm import embeddings
+
+    rng = np.random.default_rng(dim)
+    x, z = rng.normal(size=(2, 1000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    k, tables = embeddings.sizes_for(50_000, dim)
+    p, q = (embeddings.probes_of(v, tables, k, embeddings.PROBES) for v in (x, y))
+    assert ((p[:, :, :1] == q).any(2) | (q[:, :, :1] == p).any(2)).any(1).mean() >= least
