@@ -13,8 +13,10 @@ would not fit anywhere, so the reference is reduced to what can match, and cut b
    place, so that equal windows always lie in pieces with the same least shingle. A block merges its equal pieces to one,
    with its smallest doc_id, and sends it to the shard of that shingle. A passage that a third of all documents share
    reaches its shards once a block, and is spread over as many shards as it has least shingles.
-3. A shard builds suffix automata of its reference pieces, at most `automaton_words` words each, streams all pieces
-   through each of them, and answers each block with the smallest doc_id for every window of its pieces.
+3. A shard builds suffix automata of its reference pieces, about `automaton_words` words each, in ascending order of
+   their smallest doc_ids: what earlier pieces hold already is left out, so each window is in one automaton. It streams all
+   pieces, each window through the automaton that may hold it, and answers each block with the smallest doc_id for every
+   window of its pieces. Work is linear in the pieces, however many share a shingle.
 4. Blocks mark windows whose smallest doc_id is smaller than their own document's, and keep the words outside.
 
 Automata are shipped with their pieces by a shuffle instead of a broadcast, since all shards together grow with the input.
@@ -178,18 +180,47 @@ def _block_windows(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams[whole], return_counts=True)
 
 
-def _stream(group: list[tuple[bytes, list[int], int]], least: dict[bytes, np.ndarray], width: int, automaton_words: int) -> None:
-    """Smallest owner of each window of the group's texts, from automata of at most automaton_words words each."""
-    at = 0
-    while at < len(group):
-        automaton = SuffixAutomaton()
-        while at < len(group) and (not automaton.words or automaton.words + len(group[at][1]) <= automaton_words):
-            automaton.add(group[at][1], group[at][2])
-            at += 1
+def _runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs, of which same tells whether a place goes on with the one before."""
+    starts = np.flatnonzero(~same)
+    return starts, np.append(starts[1:], len(same))
+
+
+def _stream(group: list[tuple[bytes, int]], least: dict[bytes, np.ndarray], width: int, automaton_words: int) -> None:
+    """Smallest owner of each window of the group's (text, owner), which are in ascending order of owners wherever windows
+    are equal. A window is put into one automaton only, with the first text that has it, so references and streams grow
+    with the group, not with its square; a text is streamed in runs of windows of the same automaton."""
+    texts = [np.frombuffer(text, np.uint64) for text, _ in group]
+    sizes = np.array([len(x) for x in texts])
+    words, count = np.concatenate(texts), sizes - width + 1
+    at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(count) + count, count) + np.arange(count.sum())  # where windows start
+    of = np.repeat(np.arange(len(texts)), count)
+    unique, first, which = np.unique(gram_codes(words, width)[at], return_index=True, return_inverse=True)
+    new = np.zeros(len(at), bool)
+    new[first] = True
+    fresh = np.flatnonzero(new)
+    starts, ends = _runs(np.concatenate(([False], (np.diff(fresh) == 1) & (np.diff(of[fresh]) == 0))))
+    run = np.cumsum(ends - starts + width - 1) // automaton_words  # the automaton of each run
+    number = np.empty(len(unique), np.int64)
+    number[which[fresh]] = np.repeat(run, ends - starts)
+    lies = number[which]
+    a, z = _runs(np.concatenate(([False], (np.diff(lies) == 0) & (np.diff(of) == 0))))
+    by = np.argsort(lies[a], kind="stable")
+    a, z = a[by], z[by]
+    found, k, j = np.full(len(at), NONE), 0, 0
+    while k < len(starts):
+        automaton, own = SuffixAutomaton(), run[k]
+        while k < len(starts) and run[k] == own:
+            x, y = fresh[starts[k]], fresh[ends[k] - 1]
+            automaton.add(words[at[x] : at[y] + width].tolist(), group[of[x]][1])
+            k += 1
         automaton.finish()
-        for text, words, _ in group:
-            found = np.array([o if size == width else NONE for size, o in automaton.statistics(words, width)][width - 1 :], np.int64)
-            least[text] = np.minimum(least[text], found) if text in least else found
+        while j < len(a) and lies[a[j]] == own:
+            text = words[at[a[j]] : at[z[j] - 1] + width].tolist()
+            found[a[j] : z[j]] = [o if size == width else NONE for size, o in automaton.statistics(text, width)][width - 1 :]
+            j += 1
+    for (text, _), part in zip(group, np.split(found, np.cumsum(count)[:-1])):
+        least[text] = part
 
 
 def _answer(width: int, automaton_words: int):
@@ -205,15 +236,16 @@ def _answer(width: int, automaton_words: int):
                     texts[text] = shingle, owner
         least: dict[bytes, np.ndarray] = {}
         # equal windows have equal least shingles: pieces of one shingle meet, whole groups share an automaton
-        group: list[tuple[bytes, list[int], int]] = []
+        group: list[tuple[bytes, int]] = []
         words_held, last = 0, None
         for text, (shingle, owner) in sorted(texts.items(), key=lambda x: x[1]):
             if shingle != last and words_held >= automaton_words // 2:
                 _stream(group, least, width, automaton_words)
                 group, words_held = [], 0
-            group.append((text, np.frombuffer(text, np.uint64).tolist(), owner))
+            group.append((text, owner))
             words_held, last = words_held + len(text) // 8, shingle
-        _stream(group, least, width, automaton_words)
+        if group:
+            _stream(group, least, width, automaton_words)
         for block, sizes, words, _, _ in parts:
             out, at = [], 0
             for size in sizes.tolist():
