@@ -354,3 +354,100 @@ def test_recall_of_pairs_at_the_threshold(dim, least):
     k, tables = embeddings.sizes_for(50_000, dim)
     p, q = (embeddings.probes_of(v, tables, k, embeddings.PROBES) for v in (x, y))
     assert ((p[:, :, :1] == q).any(2) | (q[:, :, :1] == p).any(2)).any(1).mean() >= least
+
+
+def brute_toxicity(rows, labels):
+    """Entries, exceptions and a function from text to features, by definition: loops over texts and all of their places."""
+    import math
+    import zlib
+    from collections import Counter
+
+    fold_of = lambda i: zlib.crc32(str(i).encode()) % 5
+    known, texts = {}, {}
+    for i, y in labels:
+        if i is not None and y in (0, 1) and fold_of(i):
+            known[i] = max(y, known.get(i, 0))
+    for i, t in rows:
+        if i in known and t is not None:
+            y, curve = texts.get(t, (0, True))
+            texts[t] = max(y, known[i]), curve and fold_of(i) == 4
+    fit_on = [(toxicity.fold(t), y) for t, (y, curve) in texts.items() if not curve]
+    toxic, other = (max(1, sum(y == k for _, y in fit_on)) for k in (1, 0))
+    weight = lambda t, c: math.log((t + 0.5) / (toxic + 1.0)) - math.log((c + 0.5) / (other + 1.0))
+    count = {0: Counter(), 1: Counter()}
+    for text, y in fit_on:
+        count[y].update({f" {w} " for w in text.split()} | {f" {w[:n]}" for w in text.split() for n in toxicity.PREFIXES if len(w) >= n})
+    found = {x: (t, count[0][x], weight(t, count[0][x])) for x, t in count[1].items() if t >= max(toxicity.MIN_TOXIC, toxicity.MIN_SHARE * toxic)}
+    found = {x: v for x, v in found.items() if v[2] >= toxicity.FIRST_WEIGHT}
+    shorter = lambda x: [y for y in found if y != x and not y.endswith(" ") and x.startswith(y)]
+    narrow = {y for x in found for y in shorter(x) if found[x][0] >= 0.9 * found[y][0]}
+    entries = {x: w for x, (t, c, w) in found.items() if x not in narrow and not any(y not in narrow and found[y][1] / found[y][0] <= c / t + 0.02 for y in shorter(x))}
+
+    def matched(text, entries, exceptions):
+        places = lambda x: [k for k in range(len(text)) if text.startswith(x, k)]
+        safe = [(k, k + len(x)) for x in exceptions for k in places(x)]
+        return [(k, x) for x in entries for k in places(x) if not any(a <= k < b - 1 for a, b in safe)]
+
+    exceptions = {f" {toxicity.fold(x).strip()} " for x in toxicity.EXCEPTIONS}
+    pairs = {0: Counter(), 1: Counter()}
+    for text, y in fit_on:
+        words, own = text.split(), set()
+        starts, k = [], 0
+        for w in words:
+            k = text.index(f" {w}", k) + 1
+            starts.append(k - 1)
+        hit = {k for k, _ in matched(text, entries, exceptions)}
+        for j, w in enumerate(words):
+            if starts[j] in hit:
+                own |= {f" {w} {words[j + 1]} "} if j + 1 < len(words) else set()
+                own |= {f" {words[j - 1]} {w} "} if j else set()
+        pairs[y].update(own)
+    exceptions |= {x for x, c in pairs[0].items() if c >= 3 and c > 4 * pairs[1][x]}
+    again = {0: Counter(), 1: Counter()}
+    for text, y in fit_on:
+        again[y].update({x for _, x in matched(text, entries, exceptions)})
+    entries = {x: w for x in again[0] | again[1] if (w := weight(again[1][x], again[0][x])) >= toxicity.MIN_WEIGHT}
+
+    def features(text):
+        folded, best = toxicity.fold(text), {}
+        for k, x in matched(folded, entries, exceptions):
+            best[k] = max(entries[x], best.get(k, 0))
+        total = sum(best.values())
+        return (math.log1p(total), total / math.sqrt(10 + len(folded) / 6), max(best.values())) if best else (0.0, 0.0, 0.0)
+
+    return entries, exceptions, features
+
+
+def test_toxicity_against_brute_force(spark):
+    """Lexicon, exceptions and features by loops; long neighbours, spaces in a row, repeated rows, many entries."""
+    rows, labels = toxic_corpus(400)
+    rng = random.Random(9)
+    long = "x" * 300
+    rows += [(1000 + k, f"some idiot {long} and   idiot    savant w{rng.randrange(9)}") for k in range(12)]
+    labels += [(1000 + k, 0) for k in range(12)]
+    rows += [(2000 + k, " ".join(f"vile{j:03d}" for j in range(300)) + f" w{k}") for k in range(40)]
+    labels += [(2000 + k, 1) for k in range(40)] + [(3, 1), (3, 0), (None, 1), (8, None), (9, 5)]
+    rows += [rows[3], (4000, rows[5][1]), (4001, None), (4002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    entries, exceptions, features = brute_toxicity(rows, labels)
+    assert set(model.exceptions) == exceptions and toxicity.fold(f"idiot {long}") in exceptions
+    assert set(model.entries) == set(entries) and all(abs(w - entries[x]) < 1e-9 for x, w in model.entries.items()) and len(entries) > 10
+    got = toxicity.score(docs, model).collect()
+    for r in got:
+        want = toxicity._score(features(r.text), model.curve)
+        assert abs(r.score - want) < 1e-9
+
+
+def test_exceptions_of_long_texts_are_merged_in_order():
+    model = toxicity.Model({toxicity.fold("trash"): 3.0}, [toxicity.fold("trash can"), toxicity.fold("big trash can lid")])
+    text = "big trash can lid trash trash can " * 20000
+    assert len(toxicity.hits(toxicity.fold(text), model.matcher())) == 20000
+
+
+def test_a_lexicon_is_bounded_by_its_sample_alone(spark):
+    """More entries than any fixed number of thousands."""
+    rows = [(k, " ".join(f"{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}q" for j in range(6000))) for k in range(30)] + [(100 + k, f"other w{k}") for k in range(60)]
+    labels = [(k, int(k < 100)) for k, _ in rows]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(model.entries) == 6000
