@@ -423,7 +423,7 @@ def test_toxicity_against_brute_force(spark):
     rows, labels = toxic_corpus(400)
     rng = random.Random(9)
     long = "x" * 300
-    rows += [(1000 + k, f"some idiot {long} and   idiot    savant w{rng.randrange(9)}") for k in range(12)]
+    rows += [(1000 + k, f"some scumbag {long} and   idiot    savant w{rng.randrange(9)}") for k in range(12)]
     labels += [(1000 + k, 0) for k in range(12)]
     rows += [(2000 + k, " ".join(f"vile{j:03d}" for j in range(300)) + f" w{k}") for k in range(40)]
     labels += [(2000 + k, 1) for k in range(40)] + [(3, 1), (3, 0), (None, 1), (8, None), (9, 5)]
@@ -431,7 +431,7 @@ def test_toxicity_against_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     entries, exceptions, features = brute_toxicity(rows, labels)
-    assert set(model.exceptions) == exceptions and toxicity.fold(f"idiot {long}") in exceptions
+    assert set(model.exceptions) == exceptions and toxicity.fold(f"scumbag {long}") in exceptions
     assert set(model.entries) == set(entries) and all(abs(w - entries[x]) < 1e-9 for x, w in model.entries.items()) and len(entries) > 10
     got = toxicity.score(docs, model).collect()
     for r in got:
