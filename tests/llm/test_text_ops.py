@@ -447,7 +447,8 @@ def test_exceptions_of_long_texts_are_merged_in_order():
 
 def test_a_lexicon_is_bounded_by_its_sample_alone(spark):
     """More entries than any fixed number of thousands."""
-    rows = [(k, " ".join(f"{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}q" for j in range(6000))) for k in range(30)] + [(100 + k, f"other w{k}") for k in range(60)]
+    words = [f"{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}q" for j in range(6000)]
+    rows = [(k, " ".join([*words, f"u{k}"])) for k in range(30)] + [(100 + k, f"other w{k}") for k in range(60)]
     labels = [(k, int(k < 100)) for k, _ in rows]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert len(model.entries) == 6000
+    assert {x for x in model.entries if x.endswith(" ")} | {f"{x} " for x in model.entries if not x.endswith(" ")} >= {toxicity.fold(w) for w in words} and len(model.entries) > 5000
