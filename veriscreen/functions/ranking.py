@@ -11,12 +11,22 @@ def sample_rank(seed: int | str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}\0"), key), 256)
 
 
-def numbered(df: DataFrame, order: Column, out: str, by: list[str] | None = None, digits: int = 2) -> DataFrame:
+PART = 50_000  # rows that are numbered or summed within one part, about
+
+
+def parts_for(rows: int) -> int:
+    return max(1, -(-rows // PART))
+
+
+def numbered(df: DataFrame, order: Column, out: str, by: list[str] | None = None) -> DataFrame:
     """df with its row number (from 0) in the order of a hexadecimal hash, for each value of the columns `by`.
 
-    Rows are numbered within the hash's first digits; only the counts of those parts meet in a window.
+    Rows are numbered within the hash's first digits, as many as make parts of about PART rows; only the counts of those
+    parts meet in a window.
     """
-    by = by or []
+    by, digits, rows = by or [], 1, df.count()
+    while 16**digits * PART < rows:
+        digits += 1
     df = df.withColumn("_order", order).withColumn("_part", F.substring("_order", 1, digits))
     parts = df.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -25,17 +35,46 @@ def numbered(df: DataFrame, order: Column, out: str, by: list[str] | None = None
     return df.withColumn("_place", place).join(parts, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_place")).drop("_order", "_part", "_place", "_before")
 
 
-def prefix_sums(df: DataFrame, by: list[str], score: str, sums: dict[str, str], parts: int = 1024) -> DataFrame:
-    """df (a row for each value of `score` in [0, 1] and group) with running sums from the highest score down.
+def prefix_sums(df: DataFrame, by: list[str], score: str, sums: dict[str, str], parts: int | None = None) -> DataFrame:
+    """df (a row for each value of `score` and group) with running sums from the highest score down.
 
-    Two passes: sums within parts of the score range, and of whole parts before; a part is sorted by itself.
+    Two passes: sums within parts of the scores, cut at their quantiles so that none is crowded, and of whole parts before; a
+    part is sorted by itself. df is read a few times, so it should be a table. parts: by default of about PART rows.
     """
-    part = F.floor(F.col(score) * (parts - 1)).cast("int")
+    parts = parts_for(df.count()) if parts is None else parts
+    cuts = sorted(set(df.approxQuantile(score, [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    part = F.lit(0)
+    if cuts:
+        part = F.size(F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x <= F.col(score)))
     df = df.withColumn("_part", part)
     own = Window.partitionBy(*by, "_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({o: F.sum(c).over(own) for o, c in sums.items()})
+    if not cuts:
+        return out.drop("_part")
     earlier = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     earlier = earlier.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     whole = df.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_{o}") for o, c in sums.items()))
     whole = whole.select(*by, "_part", *(F.coalesce(F.sum(f"_{o}").over(earlier), F.lit(0)).alias(f"_{o}") for o in sums))
-    out = df.withColumns({o: F.sum(c).over(own) for o, c in sums.items()}).join(whole, [*by, "_part"])
+    out = out.join(F.broadcast(whole) if len(cuts) <= 1000 and not by else whole, [*by, "_part"])
     return out.withColumns({o: F.col(o) + F.col(f"_{o}") for o in sums}).drop("_part", *(f"_{o}" for o in sums))
+
+
+def quantiles(counted: DataFrame, by: list[str], value: str, count: str, levels: tuple[float, ...]) -> DataFrame:
+    """(*by, q): the values at the levels, linear between order statistics, of counted(*by, value, count), a row for each
+    different value. Running counts find the two order statistics of each level; no group's values are gathered."""
+    upto = prefix_sums(counted, by, value, {"_above": count})  # how many are as high or higher
+    total = (counted.groupBy(*by) if by else counted.groupBy()).agg(F.sum(count).alias("_total"))
+    if by:
+        rows = upto.join(total, by)
+    else:
+        rows = upto.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    first, last = F.col("_total") - F.col("_above"), F.col("_total") - F.col("_above") + F.col(count) - 1  # places from 0
+    found = []
+    for k, level in enumerate(levels):
+        place = (F.col("_total") - 1) * F.lit(level)
+        low = F.floor(place)
+        share = place - low
+        at = lambda p: (first <= p) & (p <= last)
+        found.append((F.sum(F.when(at(low), F.col(value) * (1 - share)).otherwise(0.0)) + F.sum(F.when((share > 0) & at(low + 1), F.col(value) * share).otherwise(0.0))).alias(f"_q{k}"))
+    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(*found)
+    return out.select(*by, F.array(*(F.col(f"_q{k}") for k in range(len(levels)))).alias("q"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import prefix_sums
+from ..functions.ranking import prefix_sums, quantiles
 from ..functions.stats import ratio
+from ..sources.scratch import materialized
 
 OBJECTIVES = ("youden", "f1", "balanced_accuracy")
 
@@ -56,20 +57,30 @@ def decide(articles: DataFrame, threshold: float | Column, score: str = "mean_po
     return articles.withColumn("prediction", (F.col(score) >= t).cast("int")).withColumn("threshold", t.cast("double"))
 
 
-def _by_score(articles: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
-    """Positives and negatives at each score and above: the pre-aggregation keeps a row for each different score."""
-    counted = articles.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    return prefix_sums(counted, by, "s", {"tp": "p", "fp": "n"})
+def score_table(articles: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "mean_positive_probability", prediction: str | None = None) -> DataFrame:
+    """A table with a row for each different score s of a group: articles, positives p and negatives n, with `prediction` also
+    true positives and negatives. Thresholds, areas and metrics are all made from it: articles are read once."""
+    y = F.col(label)
+    cells = [] if prediction is None else [F.count_if((y == k) & (F.col(prediction) == k)).alias(name) for k, name in ((1, "hit"), (0, "rejected"))]
+    counted = articles.groupBy(*(by or []), F.col(score).alias("s")).agg(F.count("*").alias("all"), F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"), *cells)
+    return materialized(counted, "scores")
 
 
-def _totals(articles: DataFrame, by: list[str], label: str) -> DataFrame:
-    out = articles.groupBy(*by) if by else articles.groupBy()
-    return out.agg(F.count_if(F.col(label) == 1).alias("all_p"), F.count_if(F.col(label) == 0).alias("all_n"))
+def _ranked(table: DataFrame, by: list[str]) -> DataFrame:
+    """The table with positives and negatives at each score and above."""
+    return prefix_sums(table, by, "s", {"tp": "p", "fp": "n"})
+
+
+def _totals(table: DataFrame, by: list[str]) -> DataFrame:
+    out = table.groupBy(*by) if by else table.groupBy()
+    return out.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
 
 
 def _beside(df: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     """df with the columns of totals, which has a row for each group (one without groups)."""
-    return _attach(df, totals, by, "inner")
+    if by:
+        return df.join(totals, by)
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def choose_threshold(articles: DataFrame, objective: str = "youden", by: list[str] | None = None, label: str = "label", score: str = "mean_positive_probability") -> DataFrame:
@@ -78,8 +89,9 @@ def choose_threshold(articles: DataFrame, objective: str = "youden", by: list[st
     if objective not in OBJECTIVES:
         raise ValueError(f"objective must be one of {OBJECTIVES}")
     by = by or []
-    totals = _totals(articles, by, label).where("all_p > 0 and all_n > 0")
-    cuts = _by_score(articles, by, label, score).select(*by, "s", "tp", "fp")
+    table = score_table(articles, by, label, score)
+    totals = _totals(table, by).where("all_p > 0 and all_n > 0")
+    cuts = _ranked(table, by).select(*by, "s", "tp", "fp")
     ends = totals.select(*by, F.lit(0.0).alias("s"), F.col("all_p").alias("tp"), F.col("all_n").alias("fp"))
     none = totals.select(*by, F.lit(1.0).alias("s"), F.lit(0).alias("tp"), F.lit(0).alias("fp"))
     # a cut-off that is also a score has its true counts there; at 0 everything is positive, at 1 what scores 1
@@ -93,33 +105,39 @@ def choose_threshold(articles: DataFrame, objective: str = "youden", by: list[st
     return out.select(*by, F.col("b.s").alias("threshold"), F.lit(objective).alias("objective"), F.col("b.o").alias("objective_value"), "n_candidates", F.col("b.sens").alias("sensitivity_recall"), F.col("b.spec").alias("specificity"), F.col("b.f1").alias("f1"), F.col("b.balanced_accuracy").alias("balanced_accuracy"), F.col("b.youden").alias("youden"))
 
 
+def _areas() -> dict[str, Column]:
+    """AUROC and average precision over the rows of a ranked table."""
+    above = F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / 2.0))  # positives above each negative
+    gain = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    both = (F.sum("p") > 0) & (F.sum("n") > 0)
+    return {"auroc": ratio(above, F.sum("p") * F.sum("n")), "average_precision": F.when(both, ratio(gain, F.sum("p")))}
+
+
 def auroc(articles: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "mean_positive_probability") -> DataFrame:
     """Area under the ROC curve, ties counted half; null for a single class."""
     by = by or []
-    rows = _beside(_by_score(articles, by, label, score), _totals(articles, by, label), by)
-    above = F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / 2.0))  # positives above each negative
-    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(above.alias("a"), F.first("all_p").alias("all_p"), F.first("all_n").alias("all_n"))
-    return out.select(*by, ratio(F.col("a"), F.col("all_p") * F.col("all_n")).alias("auroc"))
+    rows = _ranked(score_table(articles, by, label, score), by)
+    return (rows.groupBy(*by) if by else rows.groupBy()).agg(_areas()["auroc"].alias("auroc"))
 
 
 def average_precision(articles: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "mean_positive_probability") -> DataFrame:
-    """Sum over scores of gained recall times precision there; null for a single class."""
+    """Sum over scores of gained recall times precision there; no row for a group of a single class."""
     by = by or []
-    rows = _beside(_by_score(articles, by, label, score), _totals(articles, by, label), by)
-    gain = F.sum(F.col("p") / F.col("all_p") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    rows = rows.where("all_p > 0 and all_n > 0")
-    return (rows.groupBy(*by) if by else rows.groupBy()).agg(gain.alias("average_precision"))
+    rows = _ranked(score_table(articles, by, label, score), by)
+    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(_areas()["average_precision"].alias("average_precision"))
+    return out.where("average_precision is not null") if by else out
 
 
 def metrics(articles: DataFrame, by: list[str] | None = None, label: str = "label", score: str = "mean_positive_probability", prediction: str = "prediction") -> DataFrame:
     """All classification metrics of each group. With one class only, what needs both is null, and so are accuracy, PPV,
-    NPV, F1, MCC and Brier score; sensitivity or specificity remain."""
+    NPV, F1, MCC and Brier score; sensitivity or specificity remain. Articles are read once."""
     by = by or []
-    y, d, s = F.col(label), F.col(prediction), F.col(score)
-    cell = lambda a, b: F.count_if((y == a) & (d == b))
-    grouped = (articles.groupBy(*by) if by else articles.groupBy()).agg(
-        F.count("*").alias("n_articles"), F.count_if(y == 1).alias("n_positive"), F.count_if(y == 0).alias("n_negative"),
-        cell(1, 1).alias("tp"), cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), F.avg((s - y) * (s - y)).alias("brier"),
+    rows, s = _ranked(score_table(articles, by, label, score, prediction), by), F.col("s")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    grouped = (rows.groupBy(*by) if by else rows.groupBy()).agg(
+        total("all").alias("n_articles"), total("p").alias("n_positive"), total("n").alias("n_negative"), total("hit").alias("tp"), total("rejected").alias("tn"),
+        (total("n") - total("rejected")).alias("fp"), (total("p") - total("hit")).alias("fn"), ratio(F.sum(F.col("p") * (1 - s) * (1 - s) + F.col("n") * s * s), F.sum("all")).alias("brier"),
+        *(c.alias(name) for name, c in _areas().items()),
     )
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     both = (F.col("n_positive") > 0) & (F.col("n_negative") > 0)
@@ -130,23 +148,15 @@ def metrics(articles: DataFrame, by: list[str] | None = None, label: str = "labe
         "accuracy": F.when(both, ratio(tp + tn, F.col("n_articles"))), "balanced_accuracy": F.when(both, (sens + spec) / 2.0),
         "precision_ppv": F.when(both, ratio(tp, tp + fp)), "npv": F.when(both, ratio(tn, tn + fn)), "f1": F.when(both, ratio(2 * tp, 2 * tp + fp + fn)),
         "mcc": F.when(both, ratio(tp * tn - fp * fn, F.sqrt(product))), "brier_score": F.when(both, F.col("brier")), "single_class_evaluation": ~both,
-    }).drop("brier")
-    ranks = auroc(articles, by, label, score), average_precision(articles, by, label, score)
-    for extra in ranks:
-        out = _attach(out, extra, by)
-    return out
-
-
-def _attach(out: DataFrame, extra: DataFrame, by: list[str], how: str = "left") -> DataFrame:
-    """Beside each row of out the row that extra has for its group; without groups extra has one row, and is broadcast."""
-    if by:
-        return out.join(extra, by, how)
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(extra.withColumn("_one", F.lit(1))), "_one", how).drop("_one")
+    })
+    return out.drop("brier")
 
 
 def score_summary(articles: DataFrame, by: list[str] | None = None, score: str = "mean_positive_probability") -> DataFrame:
     """Least, quartiles (linear), mean and largest score."""
     by = by or []
-    quartiles = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = (articles.groupBy(*by) if by else articles.groupBy()).agg(F.min(score).alias("min"), quartiles.alias("q"), F.avg(score).alias("mean"), F.max(score).alias("max"))
-    return out.select(*by, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q3"), "max")
+    counted = materialized(articles.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n")), "scores")
+    rows = quantiles(counted, by, "s", "n", (0.0, 0.25, 0.5, 0.75, 1.0))
+    means = (counted.groupBy(*by) if by else counted.groupBy()).agg(ratio(F.sum(F.col("s") * F.col("n")), F.sum("n")).alias("mean"))
+    q = lambda k, name: F.col("q")[k].alias(name)
+    return _beside(rows, means, by).select(*by, q(0, "min"), q(1, "q1"), q(2, "median"), "mean", q(3, "q3"), q(4, "max"))

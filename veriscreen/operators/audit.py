@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import numbered
+from ..functions.ranking import numbered, quantiles
 from ..functions.stats import cohens_d, normal_interval, ratio, wilson
+from ..sources.scratch import materialized
 
 LEVELS = (0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975)
 REPLICATES = 10_000  # of a bootstrap, unless said otherwise
@@ -31,7 +32,8 @@ def group_summary(scored: DataFrame, by: str, score: str = "mean_positive_probab
 
 def group_quantiles(scored: DataFrame, by: str, score: str = "mean_positive_probability", levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """(group, level, value), linear between order statistics."""
-    out = scored.groupBy(by).agg(F.percentile(score, F.array(*(F.lit(x) for x in levels))).alias("q"))
+    counted = materialized(scored.groupBy(by, F.col(score).alias("s")).agg(F.count("*").alias("n")), "scores")
+    out = quantiles(counted, [by], "s", "n", levels)
     return out.select(by, F.inline(F.arrays_zip(F.array(*(F.lit(x) for x in levels)).alias("level"), F.col("q").alias("value"))))
 
 
@@ -63,22 +65,31 @@ def pairwise(scored: DataFrame, by: str, score: str = "mean_positive_probability
     return both.select("first_group", "second_group", (c("first_m") - c("second_m")).alias("mean_difference"), (c("first_r") - c("second_r")).alias("rate_difference"), cohens_d(c("first_m"), c("first_v"), c("first_n"), c("second_m"), c("second_v"), c("second_n")).alias("cohens_d"))
 
 
-def _draw(seed: int | str, group: Column, replicate: Column, draw: Column, n: Column) -> Column:
-    """A number below n from a hash of its arguments: the same in any engine and any order."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), group.cast("string"), replicate.cast("string"), draw.cast("string")).cast("binary"))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n
+MASK, FACTOR = (1 << 31) - 1, 0x45D9F3B  # of the mixing of 31-bit numbers: products stay below 2**62 in any engine
+
+
+def _mixed(x: Column) -> Column:
+    """A bijection of 31-bit numbers that leaves no visible structure."""
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftright(x, 16))
+        x = (x * F.lit(FACTOR)).bitwiseAND(F.lit(MASK))
+    return x.bitwiseXOR(F.shiftright(x, 16))
 
 
 def resampled(values: DataFrame, by: str, value: str, replicates: int, seed: int = 42, order: str = "pmid") -> DataFrame:
-    """(group, replicate, mean, variance) of samples with replacement, as large as the group. Each draw is a row that
-    meets its value by an equi-join on (group, number), after which a replicate is three sums."""
+    """(group, replicate, mean, variance) of samples with replacement, as large as the group. A draw is a number below the
+    group's size, mixed from group, replicate and draw: the same in any engine and any order. It meets its value by an
+    equi-join on (group, number), after which a replicate is three sums."""
     if replicates < 100:
         raise ValueError("at least 100 replicates are needed")
-    values = numbered(values.select(F.col(by).alias("g"), F.col(value).cast("double").alias("x"), F.col(order).alias("_id")), F.md5(F.col("_id").cast("string").cast("binary")), "i", ["g"])
-    sizes = values.groupBy("g").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("g", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    draws = draws.select("g", "replicate", _draw(seed, F.col("g"), F.col("replicate"), F.col("draw"), F.col("n")).alias("i"))
-    met = draws.join(values.select("g", "i", "x"), ["g", "i"])
+    values = materialized(values.select(F.col(by).alias("g"), F.col(value).cast("double").alias("x"), F.col(order).alias("_id")), "values")
+    values = materialized(numbered(values, F.md5(F.col("_id").cast("string").cast("binary")), "i", ["g"]).select("g", "i", "x"), "numbered")
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("g").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    sizes = values.groupBy("g").agg(F.count("*").alias("n")).withColumn("key", key)
+    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("key", _mixed(F.col("key").bitwiseXOR(F.col("replicate").cast("long"))))
+    draws = draws.repartition("g", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draws = draws.select("g", "replicate", (_mixed(F.col("key").bitwiseXOR(F.col("draw"))) % F.col("n")).alias("i"))
+    met = draws.join(values, ["g", "i"])
     return met.groupBy("g", "replicate").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("variance")).withColumnRenamed("g", by)
 
 

@@ -32,17 +32,19 @@ def sample_checked(ids: DataFrame, excluded: DataFrame, n: int, seed: int = 42,
 
 
 def sample_counts(ids: DataFrame, excluded: DataFrame, chunks: DataFrame, sampled: DataFrame, key: str = "pmid") -> DataFrame:
-    """The counts of a sampling manifest as one row."""
-    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1))
-    distinct = ids.select(key).distinct()
-    parts = [
-        one(distinct, "input_articles"), one(chunks, "input_chunks"), one(distinct.join(excluded.select(key).distinct(), key, "left_semi"), "excluded_input_articles"),
-        one(eligible(ids, excluded, key), "eligible_articles"), one(sampled, "sampled_articles"), one(chunks.join(sampled, key, "left_semi"), "sampled_chunks"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p), "_one")  # a row each
-    return out.drop("_one")
+    """The counts of a sampling manifest as one row: all four lists meet in one aggregation by id."""
+    marks = ("listed", "out", "chunks", "chosen")
+    both = None
+    for name, df in zip(marks, (ids, excluded, chunks, sampled)):
+        own = df.groupBy(key).agg(*(F.count("*").alias(m) if m == name else F.lit(0).cast("long").alias(m) for m in marks))
+        both = own if both is None else both.unionByName(own)
+    per = both.groupBy(key).agg(*(F.sum(m).alias(m) for m in marks))
+    listed, out, chosen = (F.col(m) > 0 for m in ("listed", "out", "chosen"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return per.agg(
+        F.count_if(listed).alias("input_articles"), total("chunks", "input_chunks"), F.count_if(listed & out).alias("excluded_input_articles"), F.count_if(listed & ~out).alias("eligible_articles"),
+        F.count_if(chosen).alias("sampled_articles"), total(F.when(chosen, F.col("chunks")), "sampled_chunks"),
+    )
 
 
 def split_sizes(n: int, train: float, validation: float, test: float) -> tuple[int, int, int]:
@@ -132,12 +134,19 @@ def table_differences(recorded: DataFrame, computed: DataFrame) -> DataFrame:
     return a.unionByName(computed.select(*columns).exceptAll(recorded).withColumn("only_in", F.lit("computed")))
 
 
+LINES = 50_000  # lines of a list that are looked at together
+
+
 def list_violations(ids: DataFrame, by: str = "cohort", key: str = "pmid", line: str = "line") -> DataFrame:
-    """(cohort, rule, line) of id lists that are not numeric, or not strictly ascending as numbers."""
-    before = F.lag(key).over(Window.partitionBy(by).orderBy(line))
-    rows = ids.withColumn("_before", before)
-    number = F.col(key).rlike(NUMERIC_ID)
-    ascending = F.struct(F.length("_before"), F.col("_before")) < F.struct(F.length(key), F.col(key))
+    """(cohort, rule, line) of id lists that are not numeric, or not strictly ascending as numbers. A list is cut into parts of
+    LINES line numbers; the last id of each part meets the first of the next."""
+    rows = ids.select(by, line, F.col(key).alias("_id"), F.expr(f"{line} div {LINES}").alias("_part"))
+    ends = rows.groupBy(by, "_part").agg(F.max_by("_id", line).alias("_last"))
+    ends = ends.select(by, "_part", F.lag("_last").over(Window.partitionBy(by).orderBy("_part")).alias("_end"))  # a row for each part
+    before = F.lag("_id").over(Window.partitionBy(by, "_part").orderBy(line))
+    rows = rows.withColumn("_before", before).join(ends, [by, "_part"]).withColumn("_before", F.coalesce("_before", "_end"))
+    number = F.col("_id").rlike(NUMERIC_ID)
+    ascending = F.struct(F.length("_before"), F.col("_before")) < F.struct(F.length("_id"), F.col("_id"))
     bad = rows.withColumn("rule", F.when(~number, "not numeric").when(F.col("_before").isNotNull() & ~ascending, "not ascending"))
     return bad.where("rule is not null").select(by, "rule", line)
 

@@ -15,6 +15,7 @@ from ..functions import stats, text
 
 from ..operators import articles as A
 from ..operators import audit, cohorts, corpus, scoring
+from ..sources.scratch import materialized
 
 MAX_LENGTH, OVERLAP = 128, 16
 CAP, STEP = MAX_LENGTH - 2, MAX_LENGTH - 2 - OVERLAP
@@ -340,7 +341,7 @@ def sample_with_exclusions(spark, sf_dir):
 
 @query(f"WITH {SQL_CHUNKS}, e AS (SELECT DISTINCT pmid FROM l WHERE toxic = 1), i AS (SELECT DISTINCT pmid FROM s), x AS (SELECT pmid FROM i WHERE pmid NOT IN (SELECT pmid FROM e) ORDER BY sha256('42' || chr(0) || pmid), pmid::VARCHAR LIMIT 40) SELECT (SELECT count(*) FROM i) AS input_articles, (SELECT count(*) FROM s) AS input_chunks, (SELECT count(*) FROM i WHERE pmid IN (SELECT pmid FROM e)) AS excluded_input_articles, (SELECT count(*) FROM i WHERE pmid NOT IN (SELECT pmid FROM e)) AS eligible_articles, (SELECT count(*) FROM x) AS sampled_articles, (SELECT count(*) FROM s WHERE pmid IN (SELECT pmid FROM x)) AS sampled_chunks")
 def sample_manifest_counts(spark, sf_dir):
-    chunks = scored_chunks(spark, sf_dir).select("pmid", "chunk_index", "toxic")
+    chunks = materialized(scored_chunks(spark, sf_dir).select("pmid", "chunk_index", "toxic"), "windows")
     excluded = chunks.where("toxic = 1")
     return cohorts.sample_counts(chunks, excluded, chunks, cohorts.sample(cohorts.eligible(chunks, excluded), 40))
 
@@ -490,10 +491,21 @@ def threshold_conflicts(spark, sf_dir):
     return audit.threshold_conflicts(A.decide(scored_articles(spark, sf_dir), other))
 
 
+def _mixed_sql(x: str, name: str) -> str:
+    """Steps of audit's mixing of 31-bit numbers as nested selects: columns of the table `name`, with x mixed as h."""
+    rows = f"SELECT * EXCLUDE (h), xor(h, h >> 16) AS h FROM (SELECT *, {x} AS h FROM {name})"
+    for k in range(2):
+        rows = f"SELECT * EXCLUDE (h), (h * {audit.FACTOR}) & {audit.MASK} AS h FROM ({rows})"
+        rows = f"SELECT * EXCLUDE (h), xor(h, h >> 16) AS h FROM ({rows})"
+    return rows
+
+
 def _boot(values: str) -> str:
-    return f"""v AS ({values}), b AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY md5(id::VARCHAR)) - 1 AS i FROM v), n AS (SELECT g, count(*) AS n FROM v GROUP BY g),
-dr AS (SELECT g, n, r.range AS replicate, unnest(range(0, n)) AS draw FROM n, range({REPLICATES}) r),
-ix AS (SELECT g, replicate, ('0x' || substr(md5('42:' || g || ':' || replicate || ':' || draw), 1, 8))::BIGINT % n AS i FROM dr),
+    return f"""v AS ({values}), b AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY md5(id::VARCHAR)) - 1 AS i FROM v), n AS (SELECT g, count(*) AS n, ('0x' || substr(md5('42:' || g), 1, 7))::BIGINT AS key FROM v GROUP BY g),
+rp AS (SELECT g, n, key, r.range AS replicate FROM n, range({REPLICATES}) r),
+ky AS (SELECT g, n, replicate, h AS key FROM ({_mixed_sql('xor(key, replicate)', 'rp')})),
+dr AS (SELECT g, n, replicate, key, unnest(range(0, n)) AS draw FROM ky),
+ix AS (SELECT g, replicate, h % n AS i FROM ({_mixed_sql('xor(key, draw)', 'dr')})),
 me AS (SELECT g, replicate, avg(x) AS m, var_samp(x) AS vr FROM ix JOIN b USING (g, i) GROUP BY g, replicate)"""
 
 
@@ -570,7 +582,7 @@ SELECT lang, n AS n_articles, round(mean, 6) AS mean, round(t, 6) AS threshold,
 def fairness_audit(spark, sf_dir):
     """The flagship: windows, scores, article means, a threshold by Youden's index, then for each language the positive rate
     with its interval."""
-    scored = scored_articles(spark, sf_dir)
+    scored = materialized(scored_articles(spark, sf_dir), "articles")
     cut = A.choose_threshold(scored).select("threshold").withColumn("_one", F.lit(1))  # one row
     rows = A.decide(scored.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one"), F.col("threshold"))
     out = rows.groupBy("lang").agg(F.count("*").alias("n_articles"), F.avg("mean_positive_probability").alias("mean"), F.first("threshold").alias("threshold"), F.sum("prediction").cast("long").alias("positives"))

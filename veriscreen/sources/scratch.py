@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +37,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     atexit.register(gone)
     return path
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that what builds on them several times reads them and not their
+    sources; survives the loss of executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
