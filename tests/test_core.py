@@ -359,3 +359,39 @@ def test_manifests(spark):
     articles = spark.createDataFrame([("1", "t", ""), ("2", "t", "a")], "pmid string, title string, abstract string")
     assert sinks.retrieval_manifest(articles, 2, "e", "t", {})["missing_abstracts"] == ["1"]
     assert sinks.preprocess_manifest(articles, articles, {"overlap": 2}, {"v": "h"})["articles"] == 2
+
+
+def test_quantiles_by_running_counts(spark):
+    rng = np.random.default_rng(5)
+    data = [(g, round(float(x), 2)) for g, n in (("a", 700), ("b", 1), ("c", 2)) for x in rng.random(n)]
+    counted = spark.createDataFrame(data, "g string, s double").groupBy("g", "s").agg(F.count("*").alias("n"))
+    levels = (0.0, 0.025, 0.25, 0.5, 0.975, 1.0)
+    got = {r.g: r.q for r in ranking.quantiles(counted, ["g"], "s", "n", levels).collect()}
+    for g in "abc":
+        assert np.allclose(got[g], np.quantile([x for k, x in data if k == g], levels))
+    assert np.allclose(ranking.quantiles(counted.groupBy("s").agg(F.sum("n").alias("n")), [], "s", "n", levels).first().q, np.quantile([x for _, x in data], levels))
+
+
+def test_lists_are_checked_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(cohorts, "LINES", 3)
+    ids = ["1", "2", "10", "9", "11", "x", "12", "12", "13", "14"]
+    df = spark.createDataFrame([("l", k + 1, x) for k, x in enumerate(ids)], "cohort string, line long, pmid string")
+    want = [(k + 1, "not numeric" if not x.isdigit() else "not ascending") for k, x in enumerate(ids) if not x.isdigit() or k and (len(ids[k - 1]), ids[k - 1]) >= (len(x), x)]
+    assert sorted((r.line, r.rule) for r in cohorts.list_violations(df).collect()) == sorted(want)
+
+
+def test_requests_are_numbered_across_parts(spark):
+    ids = [str(k * 7) for k in range(1, 900)] + ["7", "14"]
+    got = {r.batch: list(r.ids) for r in markup.request_batches(spark.createDataFrame([(x,) for x in ids], "pmid string"), 200).collect()}
+    want = sorted(set(ids), key=int)
+    assert got == {k: want[200 * k : 200 * k + 200] for k in range(-(-len(want) // 200))}
+
+
+def test_metric_inputs_are_checked(spark):
+    good = spark.createDataFrame([("a", 1, 0.5, 0.5)], "pmid string, label int, mean_positive_probability double, threshold double")
+    assert A.checked(good) is good
+    with pytest.raises(ValueError, match="no articles"):
+        A.checked(good.limit(0))
+    for bad in (("a", 2, 0.5, 0.5), ("a", 1, float("nan"), 0.5), ("a", 1, None, 0.5), ("a", 1, 0.5, 1.5)):
+        with pytest.raises(ValueError):
+            A.checked(spark.createDataFrame([bad], good.schema))
