@@ -212,3 +212,21 @@ def test_blocks_do_not_depend_on_size(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
     assert mixing.block_digits(2400) == 3 and take() == want
     assert {len(r[3]) for r in want} == {2} and len(want) > 3000
+
+
+def test_a_token_costs_a_page(spark, tokenizer):
+    """Reading one id touches a small part of the files, by the file system's count of bytes."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randrange(9999)}" for _ in range(300))) for k in range(2000)] + [(None, f"no id {k}") for k in range(200)]
+    folder = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer_path(), shard_tokens=4000)
+    all_ids = np.concatenate([r.ids for r in sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)])
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem
+    read = lambda: sum(x.getBytesRead() for x in files.getAllStatistics() if x.getScheme() == "file")
+    size = sum(f.stat().st_size for f in __import__("pathlib").Path(folder.removeprefix("file:")).glob("*.parquet"))
+    for place in (0, 12345, len(all_ids) - 1):
+        before = read()
+        assert token_files.tokens_at(spark, folder, place).tolist() == [all_ids[place]]
+        assert 0 < read() - before < size / 4, (read() - before, size)
+    assert token_files.tokens_at(spark, folder, 3990, 12010).tolist() == all_ids[3990:12010].tolist()
+    with pytest.raises(IndexError):
+        token_files.tokens_at(spark, folder, len(all_ids))

@@ -5,8 +5,10 @@ that have one; a continuation bitmap a level tells which ids go on, and a rank d
 512) finds an id's place on the next level. Any id is read with one probe a level, without decoding a block.
 
 A shard image is self-contained: magic, counts, document directory (ids, null flags, offsets), then for each level its
-chunks, bitmap and rank directory, little-endian. Images travel as rows of a Parquet table in the shared folder, so that
-any store that Spark writes to holds them, commits are atomic and a lost executor only repeats its own shards.
+chunks, bitmap and rank directory, little-endian. Images are rows of Parquet files in the shared folder, so that any
+store that Spark writes to holds them, commits are atomic and a lost executor only repeats its own shards. They are not
+compressed, and each is a page of its own with its place in the file's page index: tokens_at() finds the shard by the
+numbers of ids before it and reads that one page, of about SHARD_TOKENS ids, in which ids are addressed as above.
 
 Documents are written in ascending doc_id order (null ids first, repeated ids next to each other by text); null and empty
 texts hold the end id alone. Empty tables give no shard and no rows. Other columns are ignored.
@@ -30,7 +32,7 @@ from .words import slices, trim
 
 MAGIC = b"DACIDS01"
 GROUP = 512  # bits a rank entry covers
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 17
 END_ID = 2
 KNOWN = 500_000  # pieces whose ids an encoder remembers
 BATCH_ROWS = 1000  # of an Arrow batch, which stays in memory on both sides
@@ -274,7 +276,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
     shard_tokens ids. Texts are shuffled once, by ranges of doc_id.
     """
     out = out or scratch(docs.sparkSession, "tokens")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginnings of texts split ranges of ids that many rows have, null ones among them
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before, enc = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer_path)
@@ -311,7 +314,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
     old = conf.get(key)
     try:
         conf.set(key, str(min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS))
-        ordered.mapInArrow(images, IMAGES).write.parquet(out)
+        one_a_page = {"compression": "none", "parquet.page.row.count.limit": "1", "parquet.enable.dictionary": "false"}
+        ordered.mapInArrow(images, IMAGES).write.options(**one_a_page).parquet(out)
     finally:
         conf.set(key, old)
     return out
@@ -327,6 +331,25 @@ def _shards(spark, folder: str) -> tuple[DataFrame, dict[int, int]]:
     return shards, starts
 
 
+def tokens_at(spark, folder: str, start: int, stop: int | None = None) -> np.ndarray:
+    """The ids of places start to stop (one by default) of the whole stream, which must lie within one shard or go on into
+    the next ones: only pages of shards that hold them are read."""
+    stop = start + 1 if stop is None else stop
+    shards, starts = _shards(spark, folder)
+    out, at = [], start
+    while at < stop:
+        part = max((p for p, before in starts.items() if before <= at), key=lambda p: (starts[p], p), default=None)
+        found = None if part is None else shards.where((F.col("part") == part) & (F.col("before") <= at - starts[part])).agg(F.max(F.struct("before", "shard", "n_ids")).alias("x")).first().x
+        if found is None or at - starts[part] >= found.before + found.n_ids:
+            raise IndexError(at)
+        image = shards.where((F.col("part") == part) & (F.col("shard") == found.shard)).select("image").first().image
+        first = at - starts[part] - found.before
+        last = min(stop - starts[part] - found.before, found.n_ids)
+        out.append(Shard.from_bytes(bytes(image)).slice(first, last))
+        at += last - first
+    return np.concatenate([np.empty(0, np.uint32), *out])
+
+
 def read_token_files(spark, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): each document's place in the whole stream, and its ids, from the images."""
     shards, starts = _shards(spark, folder)
