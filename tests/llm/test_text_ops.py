@@ -452,3 +452,15 @@ def test_a_lexicon_is_bounded_by_its_sample_alone(spark):
     labels = [(k, int(k < 100)) for k, _ in rows]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert {x for x in model.entries if x.endswith(" ")} | {f"{x} " for x in model.entries if not x.endswith(" ")} >= {toxicity.fold(w) for w in words} and len(model.entries) > 5000
+
+
+def test_decontamination_sql_finds_short_items_too(spark):
+    import duckdb
+
+    items = [(1, "Alpha beta"), (2, "c"), (3, "d e f g"), (6, "x y z"), (7, "p q r s t u"), (8, None), (9, " ")]
+    texts = ["one two three alpha beta four five", "c", "a b c d e f g h i", "d e f", "", None, "z alpha", "beta x y z", "o p q r s t u v"]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    assert sorted(con.sql(decontam.DUCKDB_SQL).fetchall()) == sorted(tuple(r) for r in decontam.find(docs, bench, short_runs=True).collect())

@@ -11,8 +11,8 @@ verification takes the whole document.
 A window's value can agree with an item's only if the window holds the very shingle that gave the item's value. So only
 windows around such shingles are evaluated: the same candidates, at the cost of one look-up a shingle.
 
-The index of the items is broadcast in parts of at most `part_bytes`, one pass over the documents each; documents are
-never shuffled. Null and empty texts hold nothing and no item of theirs is found anywhere. Items or documents with fewer
+The index of the items is broadcast in parts of at most `part_bytes`, one pass over the documents each, and a part is let go
+before the next is made; documents are never shuffled. Null and empty texts hold nothing and no item of theirs is found anywhere. Items or documents with fewer
 than `width` words have their whole word sequence as only shingle; with `short_runs`, such an item's is looked up among a
 document's runs of that many words. Repeated items and rows each get their own rows.
 """
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .words import gram_codes, mix, shingle_sets, slices, trim, word_codes
 
 WIDTH = 5
 CONTAINMENT = (3, 4)  # shared shingles / shingles of the item, at least
 HASHES = 48
 PART_BYTES = 32 << 20
+FOUND = "doc_id long, item_id long, n_shared long, n_item long"
 
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
@@ -85,12 +87,16 @@ def find(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, containme
     docs(doc_id, text) holds the given share or more. Words are lower-cased in A-Z."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    out = None
-    for index in _indexes(benchmark, width, hashes, part_bytes, short_runs):
+    parts = _indexes(benchmark, width, hashes, part_bytes, short_runs)
+    index, out = next(parts, None), None
+    while index is not None:
         held = spark.sparkContext.broadcast(index)  # part_bytes at most, but for a single larger item
-        part = docs.mapInArrow(_finder(held, width, containment), "doc_id long, item_id long, n_shared long, n_item long")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long")
+        found, index = docs.mapInArrow(_finder(held, width, containment), FOUND), next(parts, None)
+        if index is not None or out is not None:  # of several parts one is held at a time
+            found = written(found, "found")
+            held.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], FOUND)
 
 
 def _indexes(benchmark: DataFrame, width: int, hashes: int, part_bytes: int, short_runs: bool) -> Iterator[Index]:
@@ -148,11 +154,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return own.join(hit, "row", "left_anti").select("all.*")
 
 
+#: With short_runs.
 DUCKDB_SQL = r"""WITH w AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
   UNION ALL SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
-s AS (SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
-n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
+s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM w WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id),
+few AS (SELECT id, len(w) AS m, array_to_string(w, ' ') AS g FROM w WHERE kind = 'i' AND len(w) BETWEEN 1 AND 4),
+runs AS (SELECT DISTINCT id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' '))) AS g FROM w, (SELECT DISTINCT m FROM few) WHERE kind = 'd' AND len(w) >= m)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item
 FROM s d JOIN s i ON d.g = i.g JOIN n ON n.id = i.id WHERE d.kind = 'd' AND i.kind = 'i'
-GROUP BY d.id, i.id HAVING 4 * count(*) >= 3 * any_value(n.n)"""
+GROUP BY d.id, i.id HAVING 4 * count(*) >= 3 * any_value(n.n)
+UNION ALL SELECT runs.id, few.id, 1, 1 FROM runs JOIN few USING (m, g)"""
