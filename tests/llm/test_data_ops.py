@@ -230,3 +230,45 @@ def test_a_token_costs_a_page(spark, tokenizer):
     assert token_files.tokens_at(spark, folder, 3990, 12010).tolist() == all_ids[3990:12010].tolist()
     with pytest.raises(IndexError):
         token_files.tokens_at(spark, folder, len(all_ids))
+
+
+def test_null_and_repeated_ids_across_shards(spark, tokenizer):
+    """Ids that many rows have, null ones among them, fill several shards and partitions in the order of texts; columns of the
+    results' names are ignored."""
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30)))
+    rows = [(i, text(), [9], 1) for i in [None] * 300 + [5] * 300 + list(range(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>, start int").repartition(6)
+    folder = token_files.write_token_files(docs, tokenizer_path(), shard_tokens=500)
+    got = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.start)
+    want = sorted(((i, t) for i, t, _, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    assert [list(r.ids) for r in got] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for _, t in want]
+    assert spark.read.parquet(folder).count() > 8
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_source", "_whole", "_left", "_sum", "used", "fits", "source_", "tokens", "pass", "block", "place", "room", "part", "first", "n", "all", "whole"]
+    rows = [(k, "w " * (k % 5 + 1), "ab"[k % 7 == 0], *(f"{n}{k}" for n in names)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string" + "".join(f", `{n}` string" for n in names))
+    got = mixing.mix(docs).collect()
+    assert len(got) > 60 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert mixing.mix(docs).columns == [*docs.columns, "_tokens", "_pass", "_block", "_place"]
+
+
+def test_mixing_to_an_entropy_needs_no_list_of_sources(spark):
+    """Sums over sources alone give the same weights as all sizes do."""
+    rows = [(k, "w " * 10, f"s{min(k // 40, 5)}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {f"s{j}": 400 if j < 5 else 2000 for j in range(6)}
+    a, take = mixing.plan(sizes, budget=2000, max_repeats=None, entropy=0.9)
+    got = mixing.mix(docs, budget=2000, max_repeats=None, entropy=0.9).groupBy("source").sum("_tokens").collect()
+    assert a > 0 and all(take[r[0]] - 10 < r[1] <= take[r[0]] for r in got)
+
+
+def test_runs_of_equal_rows_are_written_as_often_as_they_stand(spark, tokenizer):
+    rows = [(1, "a b")] * 3 + [(2, None)] * 2 + [(None, "x")] * 4 + [(1, "a b"), (3, ""), (3, ""), (3, "c"), (None, None), (None, None), (4, "long " * 3000)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    read = lambda folder: sorted(map(tuple, token_files.digest_token_files(spark, folder).collect()), key=lambda r: r[1])
+    one, two = (read(token_files.write_token_files(docs, tokenizer_path(), shard_tokens=2000, runs=x)) for x in (False, True))
+    assert one == two and len(one) == len(rows)

@@ -1,7 +1,7 @@
 """Token-ID files of directly addressable codes (DACs).
 
 An id is cut into 8-bit chunks, lowest first. Level 0 holds the first chunk of every id, level k the chunk k of those ids
-that have one; a continuation bitmap a level tells which ids go on, and a rank directory (bits set before each group of
+that have one; a continuation bitmap for each level but the last tells which ids go on, and a rank directory (bits set before each group of
 512) finds an id's place on the next level. Any id is read with one probe a level, without decoding a block.
 
 A shard image is self-contained: magic, counts, document directory (ids, null flags, offsets), then for each level its
@@ -49,13 +49,15 @@ class Level:
 
     @classmethod
     def of(cls, chunks: np.ndarray, more: np.ndarray) -> Level:
+        if not more.any():  # the last level needs no bitmap
+            return cls(chunks, np.empty(0, np.uint8), np.empty(0, np.uint64))
         bits = np.packbits(more, bitorder="little")
         bits = np.concatenate((bits, np.zeros(-len(bits) % (GROUP // 8), np.uint8)))
         full = _POP[bits].reshape(-1, GROUP // 8).sum(axis=1, dtype=np.uint64)
         return cls(chunks, bits, np.concatenate((np.zeros(1, np.uint64), np.cumsum(full, dtype=np.uint64))))
 
     def goes_on(self, i: int) -> bool:
-        return bool(self.bits[i >> 3] >> (i & 7) & 1)
+        return len(self.bits) > 0 and bool(self.bits[i >> 3] >> (i & 7) & 1)
 
     def rank(self, i: int) -> int:
         """Bits set before place i."""
@@ -104,6 +106,8 @@ class Shard:
             if not len(at):
                 break
             out[at] |= level.chunks[start:stop].astype(np.uint32) << np.uint32(8 * k)
+            if not len(level.bits):
+                break
             first = start >> 3
             more = np.unpackbits(level.bits[first : (stop + 7) >> 3], bitorder="little")[start - 8 * first : stop - 8 * first].astype(bool)
             at, start = at[more], level.rank(start)
@@ -134,7 +138,10 @@ class Shard:
 
         ids, nulls, offsets = take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs + 1)
         levels = []
-        for n in sizes:
+        for k, n in enumerate(sizes):
+            if k == n_levels - 1:
+                levels.append(Level(take("u1", n), take("u1", 0), take("<u8", 0)))
+                break
             groups = -(-n // GROUP)
             levels.append(Level(take("u1", n), take("u1", groups * GROUP // 8), take("<u8", groups + 1)))
         return cls(ids, nulls, offsets, levels)
@@ -269,15 +276,44 @@ def ends_of_shards(sizes: np.ndarray, have: int, most: int) -> Iterator[int]:
 IMAGES = "part int, shard int, before long, n_ids long, image binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> str:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, n): equal rows next to each other as one."""
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1)
+        new = np.ones(len(ids), bool)
+        for x in (ids, texts):
+            same = pc.equal(x[1:], x[:-1]).fill_null(False).to_numpy(zero_copy_only=False) if len(x) > 1 else np.empty(0, bool)
+            gone = x.is_null().to_numpy(zero_copy_only=False)
+            own = same | (gone[1:] & gone[:-1])
+            new[1:] = ~own if x is ids else new[1:] | ~own
+        first = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), texts.take(pa.array(first)), pa.array(np.diff(np.append(first, len(ids))), pa.int32())], ["doc_id", "text", "n"])
+        trim()
+
+
+def _repeated(ids: np.ndarray, sizes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and sizes of documents that each stand `times` times, and which document each is."""
+    which = np.repeat(np.arange(len(sizes)), times)
+    if len(which) == len(sizes):
+        return ids, sizes, which
+    n = sizes[which]
+    ends = np.cumsum(n)
+    starts = np.cumsum(sizes) - sizes
+    return ids[np.arange(ends[-1]) + np.repeat(starts[which] - ends + n, n)], n, which
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, runs: bool = False) -> str:
     """Writes docs(doc_id, text) as shard images in ascending doc_id order; returns the folder.
 
     tokenizer_path must name the same file on all machines. A shard ends after the document that brings it to
-    shard_tokens ids. Texts are shuffled once, by ranges of doc_id.
+    shard_tokens ids. Texts are shuffled once, by ranges of doc_id; with `runs`, equal rows next to each other
+    (a mixture repeats documents so) travel and are encoded once.
     """
     out = out or scratch(docs.sparkSession, "tokens")
     # the beginnings of texts split ranges of ids that many rows have, null ones among them
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.mapInArrow(_runs, "doc_id long, text string, n int") if runs else rows
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before, enc = TaskContext.get().partitionId(), 0, 0, encoder(tokenizer_path)
@@ -293,9 +329,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
         for batch in batches:
             for a, b in slices(batch.column(1), CHARS):
                 own, n = enc.encode(batch.column(1).slice(a, b - a), end_id)
-                at = 0
+                names, at = batch.column(0).slice(a, b - a), 0
+                if runs:
+                    own, n, which = _repeated(own, n, batch.column(2).slice(a, b - a).to_numpy())
+                    names = names.take(pa.array(which))
                 for cut in ends_of_shards(n, sum(map(len, ids)), shard_tokens):
-                    doc_ids.append(batch.column(0).slice(a + at, cut - at))
+                    doc_ids.append(names.slice(at, cut - at))
                     ids.append(own[: (done := int(n[at:cut].sum()))])
                     sizes.append(n[at:cut])
                     own, at = own[done:], cut
