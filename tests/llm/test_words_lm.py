@@ -61,3 +61,33 @@ def test_the_model_backs_off_from_two_words(spark):
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.score for r in lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()] == [0.0]
+
+
+def test_a_text_longer_than_a_block_and_extra_columns(spark):
+    """One text is nearly the whole table; other columns, of clashing names too, are ignored."""
+    rng = random.Random(6)
+    rows = [(7, " ".join(f"w{rng.randrange(300)}" for _ in range(60_000)))] + [(k, f"w{k} w{k + 1} w{k}") for k in range(20)]
+    docs = spark.createDataFrame([(i, t, 2.0, True) for i, t in rows], "doc_id long, text string, n_tokens double, held_out boolean").coalesce(1)
+    got = sorted(tuple(r) for r in lm.score(docs).collect())
+    want = sorted((i, *w) for (i, _), w in zip(rows, brute(rows, 3)))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+
+
+def test_messages_grow_with_the_input(spark):
+    """A word in every block reaches its bucket once a block, and twice the input makes about twice the codes."""
+    from veriscreen.llm import exchange
+
+    sent = {}
+    for n in (2000, 4000):
+        docs = spark.createDataFrame([(k, f"common words here u{k} v{k} x{k} y{k}") for k in range(n)], "doc_id long, text string").repartition(4)
+        blocks = exchange.Blocks(docs, 2)
+
+        def ask(block, rows):
+            own = lm._Block(rows, 2, 10)
+            return lm._asked([(own.grams[1].codes, own.grams[1].counts)], 8)
+
+        messages = blocks.each(lambda x: [(bucket, len(exchange.unpack(payload)[1])) for bucket, payload in ask(x[0], x[1])]).collect()
+        sent[n] = sum(size for _, size in messages)
+        assert len(messages) <= 8 * 8 and sent[n] <= 4 * n + 8 * 5
+    assert sent[4000] < 2.1 * sent[2000]
