@@ -91,3 +91,12 @@ def test_messages_grow_with_the_input(spark):
         sent[n] = sum(size for _, size in messages)
         assert len(messages) <= 8 * 8 and sent[n] <= 4 * n + 8 * 5
     assert sent[4000] < 2.1 * sent[2000]
+
+
+def test_ranked_is_unique_with_places():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 1000, 70_000):
+        codes = words.mix(rng.integers(0, max(1, n // 3), n).astype(np.uint64))
+        unique, which = words.ranked(codes)
+        want, places = np.unique(codes, return_inverse=True)
+        assert np.array_equal(unique, want) and np.array_equal(which, places)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import Blocks, cuts, fit, narrow, pack, unpack, widened
-from .words import _BASE, _GOLDEN, mix, trim, word_codes
+from .words import _BASE, _GOLDEN, mix, ranked, trim, word_codes
 
 ORDER = 3
 ADDED = 0.1
@@ -55,7 +55,7 @@ class _Grams:
     each place (-1 where one would leave its document)."""
 
     def __init__(self, codes: np.ndarray, place: np.ndarray, n: int, trains: np.ndarray):
-        self.codes, which = np.unique(codes, return_inverse=True)
+        self.codes, which = ranked(codes)
         self.at = np.full(n, -1, np.int32)
         self.at[place] = which
         self.place = np.empty(len(self.codes), np.int32)
