@@ -395,3 +395,11 @@ def test_metric_inputs_are_checked(spark):
     for bad in (("a", 2, 0.5, 0.5), ("a", 1, float("nan"), 0.5), ("a", 1, None, 0.5), ("a", 1, 0.5, 1.5)):
         with pytest.raises(ValueError):
             A.checked(spark.createDataFrame([bad], good.schema))
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(s) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__import__("pathlib").Path(__file__).parent.parent)

@@ -38,7 +38,8 @@ def _by_source(values: DataFrame, name: str) -> str:
     return path
 
 
-_SOURCE = F.regexp_extract("path", "source=([^/]*)/", 1)
+def _source() -> Column:
+    return F.regexp_extract("path", "source=([^/]*)/", 1)
 
 
 # ---- readers
@@ -59,7 +60,7 @@ def read_line_numbers(spark, sf_dir):
     """Exact line numbers, blank lines counted."""
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("line"), F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.format_string('{"pmid": %d}', "doc_id")).alias("value"))
     rows = files.json_lines(spark, [_by_source(docs, "lines")])
-    return rows.select(_SOURCE.alias("source"), "line", "pmid")
+    return rows.select(_source().alias("source"), "line", "pmid")
 
 
 @query("SELECT DISTINCT md5(text) AS pmid FROM documents")
@@ -108,7 +109,7 @@ def read_raw_articles(spark, sf_dir):
 @query("SELECT source, doc_id::VARCHAR AS pmid, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM documents")
 def read_id_lists(spark, sf_dir):
     ids = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("line"), F.col("doc_id").cast("string").alias("value"))
-    return files.id_list(spark, [_by_source(ids, "lists")]).select(_SOURCE.alias("source"), "pmid", "line")
+    return files.id_list(spark, [_by_source(ids, "lists")]).select(_source().alias("source"), "pmid", "line")
 
 
 @query("SELECT count(*) AS n, 0::BIGINT AS descents, max(md5(source || doc_id)) AS last FROM documents")
@@ -185,7 +186,7 @@ _LISTS = "c AS (SELECT source, string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_
 @query(f"WITH {_LISTS} SELECT source, strlen(c)::BIGINT AS size, sha256(c) AS sha256, sha1('blob ' || strlen(c) || chr(0) || c) AS git_sha1 FROM c")
 def file_fingerprints(spark, sf_dir):
     ids = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("line"), F.col("doc_id").cast("string").alias("value"))
-    return files.fingerprints(spark, [f"{_by_source(ids, 'blobs')}/source=*"]).select(_SOURCE.alias("source"), "size", "sha256", "git_sha1")
+    return files.fingerprints(spark, [f"{_by_source(ids, 'blobs')}/source=*"]).select(_source().alias("source"), "size", "sha256", "git_sha1")
 
 
 @query(f"WITH {_LISTS}, s AS (SELECT source, strlen(c) AS n FROM c) SELECT source AS name, unnest(CASE WHEN n % 2 = 0 THEN ['size'] ELSE ['git_sha1', 'rows'] END) AS rule FROM s")
@@ -193,8 +194,8 @@ def archived_blob_violations(spark, sf_dir):
     """Expected sizes are wrong for files of even size, hashes and row counts for the others."""
     ids = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("line"), F.col("doc_id").cast("string").alias("value"))
     path = _by_source(ids, "archive")
-    counts = files.id_list(spark, [path]).groupBy(_SOURCE.alias("name")).agg(F.count("*").alias("rows"), F.countDistinct("pmid").alias("ids"))
-    found = files.fingerprints(spark, [f"{path}/source=*"]).select(_SOURCE.alias("name"), "size", "git_sha1").join(counts, "name")
+    counts = files.id_list(spark, [path]).groupBy(_source().alias("name")).agg(F.count("*").alias("rows"), F.countDistinct("pmid").alias("ids"))
+    found = files.fingerprints(spark, [f"{path}/source=*"]).select(_source().alias("name"), "size", "git_sha1").join(counts, "name")
     even = F.col("size") % 2 == 0
     expected = found.select("name", (F.col("size") + F.when(even, 1).otherwise(0)).alias("size"), F.when(even, F.col("git_sha1")).otherwise("0" * 40).alias("git_sha1"), (F.col("rows") + F.when(even, 0).otherwise(1)).alias("rows"), "ids")
     return release.blob_violations(found, expected)
