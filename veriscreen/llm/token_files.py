@@ -7,7 +7,7 @@ that have one; a continuation bitmap for each level but the last tells which ids
 A shard image is self-contained: magic, counts, document directory (ids, null flags, offsets), then for each level its
 chunks, bitmap and rank directory, little-endian. Images are rows of Parquet files in the shared folder, so that any
 store that Spark writes to holds them, commits are atomic and a lost executor only repeats its own shards. They are not
-compressed, and each is a page of its own with its place in the file's page index: tokens_at() finds the shard by the
+compressed unless asked for, and each is a page of its own with its place in the file's page index: tokens_at() finds the shard by the
 numbers of ids before it and reads that one page, of about SHARD_TOKENS ids, in which ids are addressed as above.
 
 Documents are written in ascending doc_id order (null ids first, repeated ids next to each other by text); null and empty
@@ -302,12 +302,13 @@ def _repeated(ids: np.ndarray, sizes: np.ndarray, times: np.ndarray) -> tuple[np
     return ids[np.arange(ends[-1]) + np.repeat(starts[which] - ends + n, n)], n, which
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, runs: bool = False) -> str:
+def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, runs: bool = False, compression: str = "none") -> str:
     """Writes docs(doc_id, text) as shard images in ascending doc_id order; returns the folder.
 
     tokenizer_path must name the same file on all machines. A shard ends after the document that brings it to
     shard_tokens ids. Texts are shuffled once, by ranges of doc_id; with `runs`, equal rows next to each other
-    (a mixture repeats documents so) travel and are encoded once.
+    (a mixture repeats documents so) travel and are encoded once. compression: of pages, by Parquet's names; an id then costs the
+    decompression of its page.
     """
     out = out or scratch(docs.sparkSession, "tokens")
     # the beginnings of texts split ranges of ids that many rows have, null ones among them
@@ -353,7 +354,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, out: str | None =
     old = conf.get(key)
     try:
         conf.set(key, str(min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS))
-        one_a_page = {"compression": "none", "parquet.page.row.count.limit": "1", "parquet.enable.dictionary": "false"}
+        one_a_page = {"compression": compression, "parquet.page.row.count.limit": "1", "parquet.enable.dictionary": "false"}
         ordered.mapInArrow(images, IMAGES).write.options(**one_a_page).parquet(out)
     finally:
         conf.set(key, old)
