@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.digest_token_files(spark, token_files.write_token_files(docs, tokenizer_path(), runs=True))
+    return token_files.digest_token_files(spark, token_files.write_token_files(docs, tokenizer_path(), runs=True, compression="snappy"))
 
 
 STAGES = [
