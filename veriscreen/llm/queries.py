@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, embeddings, jaccard, lm, mixing, secrets, substring, token_files, toxicity, warc
+from . import conversations, decontam, embeddings, jaccard, lm, mixing, secrets, substring, token_files, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), F.col("present"))
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_topk": op12_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc": warc.duckdb_sql(),
     "op10_secret_scan": secrets.duckdb_sql(),
     "op11_conversation_repair": conversations.DUCKDB_SQL,
+    "op12_exact_topk": topk.DUCKDB_SQL,
 }
