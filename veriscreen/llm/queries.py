@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, embeddings, jaccard, lm, mixing, secrets, substring, token_files, topk, toxicity, warc
+from . import conversations, decontam, embeddings, jaccard, lm, mixing, secrets, spelling, substring, token_files, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_exact_topk": op12_exact_topk,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +104,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_secret_scan": secrets.duckdb_sql(),
     "op11_conversation_repair": conversations.DUCKDB_SQL,
     "op12_exact_topk": topk.DUCKDB_SQL,
+    "op13_spelling_variants": spelling.DUCKDB_SQL,
 }
