@@ -337,10 +337,15 @@ def hash_ranks(spark, sf_dir):
 def report_lines(spark, sf_dir):
     """Group lines of the Markdown report, without their intervals."""
     own = audit.group_summary(Q.decided(spark, sf_dir), "lang").withColumnRenamed("lang", "group").withColumns({c: F.round(c, 9) for c in ("mean", "predicted_positive_rate")})
-    rows = [r.asDict() for r in own.collect()]  # a row for each group
-    lines = [x for x in sinks.report(rows, [], 0.95, 200, 42).split("\n") if x.startswith("| ") and "articles" not in x and "first" not in x]
-    cells = [[c.strip() for c in x.strip("|").split("|")] for x in lines]
-    return spark.createDataFrame([(c[0], f"| {c[0]} | {c[1]} | {c[2]} | {c[4]} |") for c in cells], "group string, line string")
+    path = scratch(spark, "report")
+    report = sinks.report([r.asDict() for r in own.collect()], [], 0.95, 200, 42)  # a row for each group
+    spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(path)
+    rows = files.numbered_lines(spark, [path])
+    heads = rows.where(F.col("value").startswith("| group |")).agg(F.min("line").alias("first"), F.max("line").alias("last"))  # the tables of groups
+    cells = F.transform(F.split(F.expr("substring(value, 2, length(value) - 2)"), "[|]"), lambda x: F.trim(x))
+    own = rows.crossJoin(F.broadcast(heads)).where("line > first + 1 and line < last and startswith(value, '| ')").withColumn("c", cells)
+    own = own.where(F.size("c") == 6)
+    return own.select(F.col("c")[0].alias("group"), F.format_string("| %s | %s | %s | %s |", *(F.col("c")[i] for i in (0, 1, 2, 4))).alias("line"))
 
 
 @query(f"""WITH {SQL_DECIDED} SELECT count(*) AS n_articles, count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label = 0 AND prediction = 0) AS tn, 'veriscreen' AS made_by, true AS refused FROM q""")
