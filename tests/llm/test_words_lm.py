@@ -100,3 +100,25 @@ def test_ranked_is_unique_with_places():
         unique, which = words.ranked(codes)
         want, places = np.unique(codes, return_inverse=True)
         assert np.array_equal(unique, want) and np.array_equal(which, places)
+
+
+def test_codes_that_share_their_upper_bits_are_told_apart():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 1 << 63, 4_000_000).astype(np.uint64)
+    codes[17], codes[3_000_000] = codes[5] ^ np.uint64(1), codes[5] ^ np.uint64(1 << 21)  # the upper 42 bits are equal
+    codes[2_500_000:2_500_003] = codes[5]
+    for own in (codes, codes[:1000], np.repeat(np.arange(70, dtype=np.uint64), 30)[::-1].copy(), codes[:1], codes[:0]):
+        found, which = words.ranked(own)
+        assert (found == np.unique(own)).all() and (found[which] == own).all()
+
+
+def test_word_codes_travel_whole():
+    """Two codes that share a bucket and 40 bits are two words."""
+    from veriscreen.llm import exchange, lm
+
+    codes = np.array([1 << 40, (1 << 40) + 1, (1 << 40) + 2], np.uint64)
+    (bucket, payload), = lm._asked([(codes, np.array([1, 2, 3]))], 8, words=True)
+    assert (exchange.widened(*exchange.unpack(payload)[:2]) == codes).all()
+    (_, (_, answer)), = lm._totals([1])(bucket, [(0, payload)])
+    (owner, totals), = lm._told([(0, answer)], [1])
+    assert owner.tolist() == [True] * 3 and totals.tolist() == [1, 2, 3]

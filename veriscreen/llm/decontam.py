@@ -150,7 +150,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     through, whatever their names."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
     hit = find(keyed, benchmark, **options).select(F.col("doc_id").alias("row")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("all")).withColumn("row", F.xxhash64("all.doc_id", "all.text"))
+    own = docs.select(F.struct("*").alias("all")).withColumn("row", F.xxhash64("all.doc_id", "all.text"))
     return own.join(hit, "row", "left_anti").select("all.*")
 
 

@@ -22,6 +22,7 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
 from .words import trim
 
 SPLIT = 16 << 20  # bytes of a partition's input at most, where row groups allow it
@@ -41,7 +42,7 @@ class Blocks:
             if jvm.byteStringAsBytes(old) > SPLIT:
                 conf.set(key, str(SPLIT))
             if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-                df = df.sortWithinPartitions(*df.columns)  # rows of a shuffle may come in another order when read again
+                df = df.sortWithinPartitions(*map(quoted, df.columns))  # rows of a shuffle may come in another order when read again
             sizes = df.groupBy(F.spark_partition_id()).agg(F.sum(F.coalesce(F.octet_length(df.columns[-1]), F.lit(0)) + 1)).collect()  # a number a partition
             rows = df.rdd
             self.size = rows.getNumPartitions()
@@ -185,8 +186,15 @@ def narrow(codes: np.ndarray, bucket: int, buckets: int) -> tuple[np.ndarray, np
     return fit(steps), low.view("V3").reshape(-1)
 
 
+def entire(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as they are, in the form of narrow()."""
+    return codes, np.empty(0, "V3")
+
+
 def widened(steps: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The 40-bit places of narrow()."""
+    """The 40-bit places of narrow(), or the codes of entire()."""
+    if steps.dtype == np.uint64:
+        return steps
     out = np.zeros((len(low), 4), np.uint8)
     out[:, :3] = low.view(np.uint8).reshape(-1, 3)
     return np.cumsum(steps.astype(np.int64)).astype(np.uint64) << np.uint64(24) | out.view("<u4").reshape(-1).astype(np.uint64)

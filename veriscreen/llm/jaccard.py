@@ -514,7 +514,7 @@ def keep_first(docs: DataFrame, *, width: int = WIDTH, jaccard: tuple[int, int]
     rows, found = _classes(docs.select("doc_id", "text").where(worded), width, *jaccard)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     stay = _named(rows, found, best).select(F.col("lowest.row").alias("row")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("all")).select("all", F.xxhash64(F.col("all.doc_id").cast("long"), F.col("all.text")).alias("row"), F.coalesce(F.col("all.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    own = docs.select(F.struct("*").alias("all")).select("all", F.xxhash64(F.col("all.doc_id").cast("long"), F.col("all.text")).alias("row"), F.coalesce(F.col("all.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
     # equal rows: one of each; Spark limits each task's rows before it shuffles them
     one = own.where("worded").withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("nth = 1")
     return own.where("not worded").select("all").union(one.join(stay, "row", "left_semi").select("all")).select("all.*")

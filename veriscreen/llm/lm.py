@@ -17,8 +17,8 @@ contexts, as a sum over n-grams, of each of which exactly one block is told to b
 one follower and needs no question. The block then knows every arc and failure arc that its texts could take, by the
 places where they stand, and traverses its documents, many segments of texts in step. The state after a word is the
 longest context that ends there and goes on in training, so a segment's first state is found by n - 1 words of run-up.
-Counts are of the whole of the training rows; n-grams travel by 40 bits of their code and a bucket, so about one in a million
-shares its count with another.
+Counts are of the whole of the training rows. Words travel by all 64 bits of their codes, so N, V and all that follows from words alone are of
+each word's own count; longer n-grams travel by 40 bits of their code and a bucket, so about one in a million shares its count with another.
 
 Null and empty texts hold the end token alone. Rows with a null doc_id are held out (their id's text is empty) and scored.
 Repeated rows count as often as they occur. Without training rows N = V = 0 and every token has probability 1. Empty
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import Blocks, cuts, fit, narrow, pack, unpack, widened
+from .exchange import Blocks, cuts, entire, fit, narrow, pack, unpack, widened
 from .words import _BASE, _GOLDEN, mix, ranked, trim, word_codes
 
 ORDER = 3
@@ -93,15 +93,15 @@ class _Block:
         self.last[self.ends - 1] = True
 
 
-def _asked(columns: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Messages of (codes, numbers ..) of each length, the codes sorted; numbers shrink."""
+def _asked(columns: list[tuple[np.ndarray, ...]], buckets: int, words: bool = False) -> Iterator[tuple[int, bytes]]:
+    """Messages of (codes, numbers ..) of each length, the codes sorted; numbers shrink. words: the first are codes of words, which travel whole."""
     at = [cuts(x[0], buckets) for x in columns]
     for b in range(buckets):
         if any(own[b] < own[b + 1] for own in at):
             out = []
-            for own, (codes, *numbers) in zip(at, columns):
+            for k, (own, (codes, *numbers)) in enumerate(zip(at, columns)):
                 part = slice(own[b], own[b + 1])
-                out += [*narrow(codes[part], b, buckets), *(fit(x[part]) for x in numbers)]
+                out += [*(entire(codes[part]) if words and not k else narrow(codes[part], b, buckets)), *(fit(x[part]) for x in numbers)]
             yield b, pack(*out)
 
 
@@ -265,7 +265,7 @@ def score(docs: DataFrame, *, order: int = ORDER, folds: int = FOLDS, added: flo
         for k, (_, totals) in zip(range(2, order), told):
             some = unsure(totals)
             columns.append((own.grams[k].codes[some], follow[k][some]))
-        return _asked(columns, buckets)
+        return _asked(columns, buckets, words=True)
 
     heads = blocks.ask(ask_heads, _totals(twos), buckets, grams)
 

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import quoted, written
 
 MAX_REPEATS = 4.0
 BLOCK_DIGITS, BLOCK_ROWS = 2, 4096  # hexadecimal digits of a hash that number a block; rows of a part of a block, about
@@ -95,13 +95,13 @@ def mix(docs: DataFrame, *, budget: int | None = None, max_repeats: float | None
     """docs(doc_id, text, source, ...) with a row for each time a document is taken: its columns, then _tokens, _pass (from
     0), _block and _place, the order within the pass (names that docs has already are replaced)."""
     columns = [x for x in docs.columns if x not in ("_tokens", "_pass", "_block", "_place")]
-    return taken(docs.select(*columns), budget=budget, max_repeats=max_repeats, entropy=entropy, seed=seed).select("all.*", F.col("tokens").alias("_tokens"), F.col("pass").alias("_pass"), F.col("block").alias("_block"), F.col("place").alias("_place"))
+    return taken(docs.select(*map(quoted, columns)), budget=budget, max_repeats=max_repeats, entropy=entropy, seed=seed).select("all.*", F.col("tokens").alias("_tokens"), F.col("pass").alias("_pass"), F.col("block").alias("_block"), F.col("place").alias("_place"))
 
 
 def taken(docs: DataFrame, *, budget: int | None = None, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, seed: int = 0) -> DataFrame:
     """(all, tokens, pass, block, place) for each time a document is taken: all is a struct of the columns of docs, whatever
     their names."""
-    docs = docs.select(F.struct(*docs.columns).alias("all")).select("all", tokens(F.col("all.text")).alias("tokens"), F.coalesce(F.col("all.source"), F.lit("")).alias("source"))
+    docs = docs.select(F.struct("*").alias("all")).select("all", tokens(F.col("all.text")).alias("tokens"), F.coalesce(F.col("all.source"), F.lit("")).alias("source"))
     sizes = docs.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"))
     sizes = written(sizes, "sources")
     seen = sizes.agg(F.count("*").alias("sources"), F.max("rows").alias("rows"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("low"), F.max("n").alias("top")).first()

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
+
 MESSAGE = "to long, block long, payload binary"
 PARTITION = 64 << 20  # bytes of text whose codes meet in one partition, about
 TAG = np.uint64((1 << 40) - 1)
@@ -24,7 +26,7 @@ TAG = np.uint64((1 << 40) - 1)
 def plain(df: DataFrame) -> DataFrame:
     """df so that a task that is run again gets its rows in the same order: rows of a shuffle are sorted."""
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df.sortWithinPartitions(*df.columns)
+        return df.sortWithinPartitions(*map(quoted, df.columns))
     return df
 
 

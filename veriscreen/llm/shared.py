@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import drop, scratch, shared_dir
 
-__all__ = ["components", "drop", "forget", "scratch", "shared_dir", "written"]
+__all__ = ["components", "drop", "forget", "quoted", "scratch", "shared_dir", "written"]
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -22,6 +22,11 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as select() takes it, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing will read again."""
     for x in tables:

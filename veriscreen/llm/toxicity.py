@@ -320,5 +320,5 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
 
 def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, *, text_col: str = "text") -> DataFrame:
     """The rows of docs that score less than the threshold, with the columns of docs, whatever their names."""
-    scored = docs.select(F.struct(*docs.columns).alias("all")).withColumn("score", scorer(model)(F.col(f"all.{text_col}")))
+    scored = docs.select(F.struct("*").alias("all")).withColumn("score", scorer(model)(F.col(f"all.{text_col}")))
     return scored.where(F.col("score") < threshold).select("all.*")

@@ -120,24 +120,31 @@ def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def ranked(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different codes, sorted, and which of them each one is. Up to 4 million are sorted together with their places, by
-    the 42 or more upper bits that leaves room for: in 4 million two different ones fall together with a chance of about one."""
+    """The different codes, sorted, and which of them each one is. They are sorted by their upper bits together with their places, which one
+    sort of numbers does; neighbours are told apart by all bits, and runs that only the lower bits tell apart are sorted again."""
     n = len(codes)
-    bits = max(n - 1, 1).bit_length()
-    if bits > 22:
-        unique, which = np.unique(codes, return_inverse=True)
-        return unique, which.astype(np.int32)
-    low = np.uint64((1 << bits) - 1)
+    low = np.uint64((1 << max(n - 1, 1).bit_length()) - 1)
     packed = codes & ~low
     packed |= np.arange(n, dtype=np.uint64)
     packed.sort()
-    order = (packed & low).astype(np.int32)
-    packed >>= np.uint64(bits)
+    order = (packed & low).astype(np.int32 if n < 1 << 31 else np.int64)
+    packed &= ~low
+    same = packed[1:] == packed[:-1]
+    del packed
+    own = codes[order]
     new = np.ones(n, bool)
-    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    mixed = np.flatnonzero(same & new[1:])  # a place after which the lower bits differ
+    if len(mixed):
+        starts = np.flatnonzero(np.concatenate(([True], ~same)))
+        for run in np.unique(np.searchsorted(starts, mixed, "right") - 1).tolist():
+            part = slice(starts[run], starts[run + 1] if run + 1 < len(starts) else n)
+            order[part] = order[part][np.argsort(own[part], kind="stable")]
+            own[part] = codes[order[part]]
+            new[part][1:] = own[part][1:] != own[part][:-1]
     which = np.empty(n, np.int32)
     which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    return codes[order[new]], which
+    return own[new], which
 
 
 def shingle_sets(codes: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.ndarray]:
