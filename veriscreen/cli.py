@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import text, wordpiece
 from .operators import articles as A
-from .operators import audit, cohorts, corpus, release, scoring, window_model
+from .operators import audit, cohorts, corpus, release, scoring, training, window_model
 from .sources import files, markup, sinks
+from .sources.scratch import replaced
 
 
 def _scorer(spark: SparkSession, a):
@@ -82,6 +83,7 @@ def preprocess(spark: SparkSession, a) -> None:
 
 def train(spark: SparkSession, a) -> None:
     """Split, a model or another scorer, a threshold on the validation part, metrics of the test part with both frozen."""
+    settings = training.Settings(a.epochs, a.train_batch_size, a.gradient_accumulation_steps, a.learning_rate, a.weight_decay, a.warmup_ratio, a.scheduler_type, a.max_grad_norm, a.seed)
     out, began = sinks.new_dir(a.output_dir), time.time()
     run = f"{int(began)}-{os.getpid()}"
     chunks, stats = _load(spark, a)
@@ -98,8 +100,13 @@ def train(spark: SparkSession, a) -> None:
     config = {"run_id": run, "scorer": a.scorer, "max_length": a.max_length, "vocab_size": a.vocab_size, "type_vocab_size": a.type_vocab_size}
     history = []
     if a.scorer == "logistic":
-        model, history = window_model.fit(part("train"), part("validation"), config, epochs=a.epochs, weight_decay=a.weight_decay)
-        model.save(f"{out}/best_model")
+
+        def keep(model: window_model.WindowModel) -> None:
+            """The best model so far is always there in whole."""
+            model.save(f"{out}/next_model")
+            replaced(spark, f"{out}/next_model", f"{out}/best_model")
+
+        model, history = window_model.fit(part("train"), part("validation"), config, settings, on_best=keep)
         score, config = model.score, model.config
     else:
         score, _ = _scorer(spark, a)
@@ -324,7 +331,7 @@ def parser() -> argparse.ArgumentParser:
     number = lambda kind, default: {"type": kind, "default": default}
     roles = (("--positive", many), ("--negative", many), ("--max-length", number(int, 512)), ("--output-dir", need), ("--vocab-size", number(int, None)), ("--type-vocab-size", number(int, None)), ("--onnx-model", {}))
     command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(int, 512)), ("--overlap", number(int, 32)), ("--vocabulary", number(int, 30_000)), ("--vocabulary-file", {}), ("--status", {"choices": ("demo-only", "reconstruction")}))
-    command(train, *roles, ("--train-ratio", number(float, 0.7)), ("--validation-ratio", number(float, 0.175)), ("--test-ratio", number(float, 0.125)), ("--seed", number(int, 42)), ("--scorer", {"choices": ("logistic", "surrogate", "onnx"), "default": "logistic"}), ("--epochs", number(int, 3)), ("--weight-decay", number(float, 0.025)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
+    command(train, *roles, ("--train-ratio", number(float, 0.7)), ("--validation-ratio", number(float, 0.175)), ("--test-ratio", number(float, 0.125)), ("--seed", number(int, 42)), ("--scorer", {"choices": ("logistic", "surrogate", "onnx"), "default": "logistic"}), ("--epochs", number(int, 3)), ("--train-batch-size", number(int, 1024)), ("--gradient-accumulation-steps", number(int, 1)), ("--learning-rate", number(float, 0.05)), ("--weight-decay", number(float, 0.025)), ("--warmup-ratio", number(float, 0.15)), ("--scheduler-type", {"choices": ("linear", "cosine", "cosine_with_restarts"), "default": "cosine"}), ("--max-grad-norm", number(float, 1.0)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
     command(evaluate, *roles, ("--threshold", number(float, None)), ("--threshold-file", {}), ("--training-manifest", {}), ("--allow-overlap", {"action": "store_true"}), ("--model-dir", {}), ("--save-chunk-predictions", {"action": "store_true"}))
     command(sample, ("--input", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--n-articles", {"type": int, **need}), ("--output", need), ("--manifest-output", {}), ("--exclude-jsonl", many), ("--exclude-manifest", many), ("--seed", number(int, 42)), ("--max-length", number(int, 512)))
     command(analyze, ("--group", {"action": "append", **need}), ("--output-dir", need), ("--confidence-level", number(float, 0.95)), ("--bootstrap-replicates", number(int, 10_000)), ("--seed", number(int, 42)))

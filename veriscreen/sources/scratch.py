@@ -30,6 +30,15 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def replaced(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder to target, in place of what is there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(hadoop(target), True)
+    if not files.rename(hadoop(source), hadoop(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is there goes when the driver's Python ends, if the session still runs then."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
