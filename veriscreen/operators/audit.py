@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import numbered, quantiles
+from ..functions.ranking import quantiles
 from ..functions.stats import cohens_d, normal_interval, ratio, wilson
 from ..sources.scratch import materialized
+from .resampling import LEAF, resampled
 
 LEVELS = (0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975)
 REPLICATES = 10_000  # of a bootstrap, unless said otherwise
@@ -57,7 +58,7 @@ def _pairs(own: DataFrame, by: str, columns: str | list[str], groups: list[str]
 def pairwise(scored: DataFrame, by: str, score: str = "mean_positive_probability", groups: list[str] | None = None) -> DataFrame:
     """For all pairs of groups, in name order or the order of `groups`: differences of mean score and positive rate, and
     Cohen's d. Articles are aggregated first: only a row a group meets another, GROUPS of them at most."""
-    own = scored.groupBy(by).agg(F.avg(score).alias("m"), F.var_samp(score).alias("v"), F.count("*").alias("n"), F.avg("prediction").alias("r"))
+    own = materialized(scored.groupBy(by).agg(F.avg(score).alias("m"), F.var_samp(score).alias("v"), F.count("*").alias("n"), F.avg("prediction").alias("r")), "groups")
     if own.count() > GROUPS:
         raise ValueError(f"pairs of more than {GROUPS} groups")
     both = _pairs(own, by, "mvnr", groups)
@@ -65,42 +66,14 @@ def pairwise(scored: DataFrame, by: str, score: str = "mean_positive_probability
     return both.select("first_group", "second_group", (c("first_m") - c("second_m")).alias("mean_difference"), (c("first_r") - c("second_r")).alias("rate_difference"), cohens_d(c("first_m"), c("first_v"), c("first_n"), c("second_m"), c("second_v"), c("second_n")).alias("cohens_d"))
 
 
-MASK, FACTOR = (1 << 31) - 1, 0x45D9F3B  # of the mixing of 31-bit numbers: products stay below 2**62 in any engine
-
-
-def _mixed(x: Column) -> Column:
-    """A bijection of 31-bit numbers that leaves no visible structure."""
-    for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(FACTOR)).bitwiseAND(F.lit(MASK))
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def resampled(values: DataFrame, by: str, value: str, replicates: int, seed: int = 42, order: str = "pmid") -> DataFrame:
-    """(group, replicate, mean, variance) of samples with replacement, as large as the group. A draw is a number below the
-    group's size, mixed from group, replicate and draw: the same in any engine and any order. It meets its value by an
-    equi-join on (group, number), after which a replicate is three sums."""
-    if replicates < 100:
-        raise ValueError("at least 100 replicates are needed")
-    values = materialized(values.select(F.col(by).alias("g"), F.col(value).cast("double").alias("x"), F.col(order).alias("_id")), "values")
-    values = materialized(numbered(values, F.md5(F.col("_id").cast("string").cast("binary")), "i", ["g"]).select("g", "i", "x"), "numbered")
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("g").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
-    sizes = values.groupBy("g").agg(F.count("*").alias("n")).withColumn("key", key)
-    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("key", _mixed(F.col("key").bitwiseXOR(F.col("replicate").cast("long"))))
-    draws = draws.repartition("g", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    draws = draws.select("g", "replicate", (_mixed(F.col("key").bitwiseXOR(F.col("draw"))) % F.col("n")).alias("i"))
-    met = draws.join(values, ["g", "i"])
-    return met.groupBy("g", "replicate").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("variance")).withColumnRenamed("g", by)
-
-
 def _interval(x: str, confidence: float) -> Column:
     a = (1 - confidence) / 2
     return F.percentile(x, F.array(F.lit(a), F.lit(1 - a)))
 
 
-def bootstrap(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid") -> DataFrame:
+def bootstrap(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid", leaf: int = LEAF) -> DataFrame:
     """Percentile intervals of each group's mean and sample variance."""
-    out = resampled(values, by, value, replicates, seed, order).groupBy(by).agg(_interval("mean", confidence).alias("m"), _interval("variance", confidence).alias("v"))
+    out = resampled(values, by, value, replicates, seed, order, leaf).groupBy(by).agg(_interval("mean", confidence).alias("m"), _interval("variance", confidence).alias("v"))
     return out.select(by, F.col("m")[0].alias("mean_low"), F.col("m")[1].alias("mean_high"), F.col("v")[0].alias("variance_low"), F.col("v")[1].alias("variance_high"))
 
 

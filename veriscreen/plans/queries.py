@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
+from ..functions import shuffle, stats, text
 
 from ..operators import articles as A
 from ..operators import audit, cohorts, corpus, scoring
@@ -495,7 +495,7 @@ def _mixed_sql(x: str, name: str) -> str:
     """Steps of audit's mixing of 31-bit numbers as nested selects: columns of the table `name`, with x mixed as h."""
     rows = f"SELECT * EXCLUDE (h), xor(h, h >> 16) AS h FROM (SELECT *, {x} AS h FROM {name})"
     for k in range(2):
-        rows = f"SELECT * EXCLUDE (h), (h * {audit.FACTOR}) & {audit.MASK} AS h FROM ({rows})"
+        rows = f"SELECT * EXCLUDE (h), (h * {shuffle.FACTOR}) & {shuffle.MASK} AS h FROM ({rows})"
         rows = f"SELECT * EXCLUDE (h), xor(h, h >> 16) AS h FROM ({rows})"
     return rows
 
@@ -509,6 +509,32 @@ ix AS (SELECT g, replicate, h % n AS i FROM ({_mixed_sql('xor(key, draw)', 'dr')
 me AS (SELECT g, replicate, avg(x) AS m, var_samp(x) AS vr FROM ix JOIN b USING (g, i) GROUP BY g, replicate)"""
 
 
+LEAF = 16  # values of a leaf in the query over ranges
+
+
+def _boot_by_ranges(values: str, replicates: int, leaf: int) -> str:
+    """SQL of replicates whose counts are split down a tree of ranges: ct has the distribution function of each split and total as a list."""
+    sql = lambda x, name: _mixed_sql(x, name)
+    node = "(SELECT *, (first + last) // 2 AS middle FROM nd WHERE last - first > 1)"
+    number = f"SELECT * EXCLUDE (h), h AS high FROM ({sql('xor(key, 3)', 'n1')})"
+    lower = f"SELECT * EXCLUDE (h), (high::DOUBLE * 2147483648.0 + h) / 4611686018427387904.0 AS u FROM ({sql('xor(key, 4)', 'n2')})"
+    seeds = f"SELECT * EXCLUDE (h), h AS lkey FROM ({sql('xor(key, 1)', 'n4')})"
+    return f"""v AS ({values}), b AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY md5(id::VARCHAR)) - 1 AS i FROM v), n AS (SELECT g, count(*) AS n, ('0x' || substr(md5('42:' || g), 1, 7))::BIGINT AS key FROM v GROUP BY g),
+rp AS (SELECT g, n, key, r.range AS replicate FROM n, range({replicates}) r),
+sp AS (SELECT g, n, 0::BIGINT AS first, ceil(n / {leaf})::BIGINT AS last FROM n UNION ALL SELECT g, n, unnest([first, (first + last) // 2]), unnest([(first + last) // 2, last]) FROM sp WHERE last - first > 1),
+pr AS (SELECT DISTINCT n, ((first + last) // 2 - first) * {leaf} / (least(last * {leaf}, n) - first * {leaf})::DOUBLE AS p FROM sp WHERE last - first > 1),
+pk AS (SELECT p, t, unnest(range(0, t + 1)) AS k FROM (SELECT p, unnest(range(0, n + 1)) AS t FROM (SELECT p, max(n) AS n FROM pr GROUP BY p))),
+pc AS (SELECT p, t, k, sum(exp(lgamma(t + 1) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END - CASE WHEN k = t THEN 0 ELSE lgamma(t - k + 1) END + k * ln(p) + (t - k) * ln(1 - p))) OVER (PARTITION BY p, t ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM pk WHERE t > 0),
+ct AS MATERIALIZED (SELECT p, t, list(c ORDER BY k) AS cs FROM pc GROUP BY p, t UNION ALL SELECT DISTINCT p, 0, [1.0::DOUBLE] FROM pr),
+nd AS (SELECT g, n, replicate, 0::BIGINT AS first, ceil(n / {leaf})::BIGINT AS last, n AS total, h AS key FROM ({sql('xor(key, replicate)', 'rp')})
+UNION ALL SELECT g, n, replicate, unnest([first, middle]), unnest([middle, last]), unnest([k, total - k]), unnest([lkey, h])
+FROM (WITH n0 AS {node}, n1 AS (SELECT * FROM n0), n2 AS ({number}), n3 AS (SELECT n2u.*, least(len(list_filter(cs, lambda y: y < u)), total)::BIGINT AS k FROM ({lower}) n2u JOIN ct ON ct.t = total AND ct.p = (middle - first) * {leaf} / (least(last * {leaf}, n) - first * {leaf})::DOUBLE),
+n4 AS (SELECT * FROM n3), n5 AS ({seeds}) SELECT * FROM ({sql('xor(key, 2)', 'n5')}))),
+lf AS (SELECT g, n, replicate, first, key, least({leaf}, n - first * {leaf}) AS size, unnest(range(0, total)) AS draw FROM nd WHERE last - first = 1),
+ix AS (SELECT g, replicate, first * {leaf} + h % size AS i FROM ({sql('xor(key, draw)', 'lf')})),
+me AS (SELECT g, replicate, avg(x) AS m, var_samp(x) AS vr FROM ix JOIN b USING (g, i) GROUP BY g, replicate)"""
+
+
 _SCORES = "SELECT lang AS g, m AS x, pmid AS id FROM q"
 
 
@@ -517,6 +543,12 @@ def bootstrap_mean_ci(spark, sf_dir):
     return rounded(audit.bootstrap(decided(spark, sf_dir), "lang", "mean_positive_probability", DRAWN))
 
 
+@query(f"WITH RECURSIVE {SQL_DECIDED}, {_boot_by_ranges(_SCORES, 1000, LEAF)} SELECT g AS lang, round(quantile_cont(m, 0.025), 6) AS mean_low, round(quantile_cont(m, 0.975), 6) AS mean_high, round(quantile_cont(vr, 0.025), 6) AS variance_low, round(quantile_cont(vr, 0.975), 6) AS variance_high FROM me GROUP BY g")
+def bootstrap_by_ranges(spark, sf_dir):
+    """Replicates of groups that are cut into many leaves: counts are split down a tree of ranges."""
+    return rounded(audit.bootstrap(decided(spark, sf_dir), "lang", "mean_positive_probability", 1000, leaf=LEAF))
+
+
 @query(f"WITH {SQL_DECIDED}, {_boot(_SCORES)} SELECT x.g AS first_group, y.g AS second_group, round(quantile_cont(x.m - y.m, 0.025), 6) AS low, round(quantile_cont(x.m - y.m, 0.975), 6) AS high FROM me x JOIN me y ON x.replicate = y.replicate AND x.g < y.g GROUP BY ALL")
 def bootstrap_diff_ci(spark, sf_dir):
     return rounded(audit.bootstrap_differences(decided(spark, sf_dir), "lang", "mean_positive_probability", DRAWN))
