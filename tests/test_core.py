@@ -403,3 +403,11 @@ def test_queries_are_listed_without_a_session():
 
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(s) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__import__("pathlib").Path(__file__).parent.parent)
+
+
+def test_cuts_of_prefix_sums_stay_out_of_the_plan(spark):
+    df = spark.createDataFrame([(k / 999, 1) for k in range(1000)] + [(None, 1)], "s double, v long")
+    few, many = (len(ranking.prefix_sums(df, [], "s", {"t": "v"}, parts=n)._jdf.queryExecution().optimizedPlan().toString()) for n in (4, 200))
+    assert many < 1.2 * few
+    got = {r.s: r.t for r in ranking.prefix_sums(df, [], "s", {"t": "v"}, parts=8).collect()}
+    assert got[None] == 1001 and got[0.0] == 1000 and got[1.0] == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def numbered(df: DataFrame, order: Column, out: str, by: list[str] | None = None
     return df.withColumn("_place", place).join(parts, [*by, "_part"]).withColumn(out, F.col("_before") + F.col("_place")).drop("_order", "_part", "_place", "_before")
 
 
+def _part_of(score: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are at or below a score, by binary search; 0 for null. The cuts travel with the function, not in the plan."""
+    bounds = np.array(cuts)
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, values.fill_null(-np.inf).to_numpy(zero_copy_only=False), "right").astype(np.int32))
+
+    return F.arrow_udf(run, "int")(score.cast("double"))
+
+
 def prefix_sums(df: DataFrame, by: list[str], score: str, sums: dict[str, str], parts: int | None = None) -> DataFrame:
     """df (a row for each value of `score` and group) with running sums from the highest score down.
 
@@ -43,10 +55,7 @@ def prefix_sums(df: DataFrame, by: list[str], score: str, sums: dict[str, str],
     """
     parts = parts_for(df.count()) if parts is None else parts
     cuts = sorted(set(df.approxQuantile(score, [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*(F.lit(x) for x in cuts)), lambda x: x <= F.col(score)))
-    df = df.withColumn("_part", part)
+    df = df.withColumn("_part", _part_of(F.col(score), cuts) if cuts else F.lit(0))
     own = Window.partitionBy(*by, "_part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({o: F.sum(c).over(own) for o, c in sums.items()})
     if not cuts:
