@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text, wordpiece
 from .operators import articles as A
 from .operators import audit, cohorts, corpus, release, scoring, training, window_model
-from .sources import files, markup, sinks
+from .sources import files, markup, sinks, storage
 from .sources.scratch import replaced
 
 
@@ -89,12 +89,9 @@ def train(spark: SparkSession, a) -> None:
     chunks, stats = _load(spark, a)
     own = corpus.articles(chunks.withColumn("path", F.explode("sources")))
     split = cohorts.stratified_split(own, a.train_ratio, a.validation_ratio, a.test_ratio, a.seed)
-    manifest = sinks.split_manifest(split, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed)
-    loaded = [r.asDict() for r in stats.collect()]
-    sinks.write_json(f"{out}/split_manifest.json", manifest | {
-        "split_unit": "article/pmid", "stratified_by": "article label", "deduplicated_total_articles": len(manifest["articles"]), "deduplicated_total_chunks": sum(x["n_chunks"] for x in manifest["articles"]),
-        "sources": loaded, "input_files": [x | {"role": role} for role, paths in (("positive", a.positive), ("negative", a.negative)) for x in _inputs(spark, paths)],
-    })
+    fingerprints = [x | {"role": role} for role, paths in (("positive", a.positive), ("negative", a.negative)) for x in _inputs(spark, paths)]
+    more = {"split_unit": "article/pmid", "stratified_by": "article label", "sources": [r.asDict() for r in stats.collect()], "input_files": fingerprints}
+    sinks.write_split_manifest(f"{out}/split_manifest.json", split, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed, more)
     parts = chunks.join(split.select("pmid", "split"), "pmid").cache()
     part = lambda name: parts.where(F.col("split") == name).drop("split")
     config = {"run_id": run, "scorer": a.scorer, "max_length": a.max_length, "vocab_size": a.vocab_size, "type_vocab_size": a.type_vocab_size}
@@ -129,7 +126,7 @@ def evaluate(spark: SparkSession, a) -> None:
     out, began = sinks.new_dir(a.output_dir), time.time()
     score, config = _scorer(spark, a)
     home = os.path.dirname(a.model_dir.rstrip("/")) if a.model_dir else None
-    beside = lambda name: f"{home}/{name}" if home is not None and os.path.exists(f"{home}/{name}") else None
+    beside = lambda name: f"{home}/{name}" if home is not None and storage.exists(f"{home}/{name}") else None
     threshold, frozen = a.threshold, {}
     if threshold is None:
         path = a.threshold_file or beside("threshold.json")
@@ -168,7 +165,7 @@ def sample(spark: SparkSession, a) -> None:
     kept = cohorts.selected(chunks, chosen)
     sinks.write_jsonl(kept.drop("sources"), a.output)
     counts = cohorts.sample_counts(chunks, excluded, chunks, chosen).first().asDict()
-    sinks.write_json(a.manifest_output or f"{a.output}.manifest.json", sinks.sampling_manifest(counts, kept.groupBy("pmid").agg(F.count("*").alias("n_chunks")), a.label, a.seed))
+    sinks.write_sampling_manifest(a.manifest_output or f"{a.output}.manifest.json", counts, kept.groupBy("pmid").agg(F.count("*").alias("n_chunks")), a.label, a.seed)
 
 
 def analyze(spark: SparkSession, a) -> None:
@@ -195,8 +192,7 @@ def analyze(spark: SparkSession, a) -> None:
     groups.sort(key=lambda g: names.index(g["group"]))
     pairs.sort(key=lambda p: (names.index(p["first_group"]), names.index(p["second_group"])))
     sinks.write_json(f"{out}/analysis.json", {"schema_version": 1, "frozen_threshold": groups[0]["threshold"], "confidence_level": a.confidence_level, "bootstrap_replicates": a.bootstrap_replicates, "seed": a.seed, "input_files": {n: _inputs(spark, [p]) for n, p in specs.items()}, "groups": groups, "pairwise_comparisons": pairs})
-    with open(f"{out}/analysis.md", "x", encoding="utf-8") as file:
-        file.write(sinks.report(groups, pairs, a.confidence_level, a.bootstrap_replicates, a.seed))
+    storage.write(f"{out}/analysis.md", sinks.report(groups, pairs, a.confidence_level, a.bootstrap_replicates, a.seed).encode())
     rows.unpersist()
 
 
@@ -222,7 +218,7 @@ def verify_release(spark: SparkSession, a) -> dict:
     rows, found = None, listed.collect()  # a row for each list
     for order, r in enumerate(found):
         path = f"{a.root}/{r.path}"
-        if not os.path.exists(path):
+        if not storage.exists(path):
             raise FileNotFoundError(path)
         own = files.id_list(spark, [path]).select(F.lit(r.cohort).alias("cohort"), F.lit(order).alias("ord"), "line", "pmid")
         if files.fingerprints(spark, [path]).first().sha256 != r.sha256 or own.count() != r.unique_pmids:
@@ -254,7 +250,7 @@ def recover(spark: SparkSession, a) -> None:
     paths = {r.path: f"{a.archive}/{r.source_path}" for r in listed.collect()}
     expected, found, kept = listed.select(F.col("path").alias("name"), F.col("source_bytes").alias("size"), F.col("source_git_blob_sha").alias("git_sha1"), F.col("source_rows").alias("rows"), F.col("unique_pmids").alias("ids")), None, {}
     for name, path in paths.items():
-        if not os.path.exists(path):
+        if not storage.exists(path):
             raise FileNotFoundError(path)
         rows = files.json_lines(spark, [path])
         files.strict(rows.withColumn("valid", F.lit(True)), {"not a numeric id": ~F.col("pmid").rlike(cohorts.NUMERIC_ID)})
@@ -307,10 +303,9 @@ def demo(spark: SparkSession, a) -> None:
     words = ("red green blue square circle line".split(), "one two three four five six".split())
     for part, n in (("internal", 12), ("external", 4)):
         for label, role in ((0, "negative"), (1, "positive")):
-            with open(f"{out}/{part}_{role}.jsonl", "x", encoding="utf-8") as file:
-                for k in range(n):
-                    own = " ".join(words[label][(k + j * (k % 3 + 1)) % 6] for j in range(20 + 20 * (k % 3)))
-                    file.write(json.dumps({"pmid": f"DEMO-{part}-{label}-{k}", "title": f"Shapes {k}", "abstract": own, "label": label, "data_status": "demo-only"}) + "\n")
+            texts = [" ".join(words[label][(k + j * (k % 3 + 1)) % 6] for j in range(20 + 20 * (k % 3))) for k in range(n)]
+            made = [json.dumps({"pmid": f"DEMO-{part}-{label}-{k}", "title": f"Shapes {k}", "abstract": own, "label": label, "data_status": "demo-only"}) for k, own in enumerate(texts)]
+            storage.write(f"{out}/{part}_{role}.jsonl", "".join(f"{x}\n" for x in made).encode())
             main(["preprocess", "--input", f"{out}/{part}_{role}.jsonl", "--output", f"{out}/{part}_{role}", "--max-length", "32", "--overlap", "4", "--status", "demo-only"], spark)
     files_of = lambda part: ["--positive", f"{out}/{part}_positive", "--negative", f"{out}/{part}_negative", "--max-length", "32"]
     main(["train", *files_of("internal"), "--output-dir", f"{out}/run"], spark)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_id, stripped
 from ..operators.cohorts import NUMERIC_ID
+from . import documents, storage
 
 IDS = T.ArrayType(T.IntegerType())
 CHUNK = T.StructType([T.StructField("pmid", T.StringType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("label", T.IntegerType()), *(T.StructField(c, IDS) for c in ("input_ids", "attention_mask", "token_type_ids"))])
@@ -55,16 +57,13 @@ def strict(rows: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame
 
 
 def role_paths(positive: Sequence[str], negative: Sequence[str]) -> list[tuple[str, int]]:
-    """(path, label): each occurs once over both roles. Paths without a scheme are local files, made absolute, and must
-    exist; others are left to Spark, which raises for missing ones."""
-    local = lambda p: "://" not in p and not p.startswith("file:")
-    out = [(os.path.realpath(os.path.expanduser(p)) if local(p) else p, label) for label, paths in ((1, positive), (0, negative)) for p in paths]
+    """(path, label): each occurs once over both roles, and exists, in whatever file system; patterns are left to Spark."""
+    out = [(path, label) for label, paths in ((1, positive), (0, negative)) for path in paths]
     if not out:
         raise InvalidInput("at least one input file is required")
-    for path, _ in out:
-        if local(path) and not os.path.exists(path):
-            raise FileNotFoundError(path)
-    if len({p for p, _ in out}) < len(out):
+    if gone := storage.missing(p for p, _ in out):
+        raise FileNotFoundError(gone[0])
+    if len({storage.qualified(p) for p, _ in out}) < len(out):
         raise InvalidInput("a file may occur only once over both roles")
     return out
 
@@ -101,13 +100,15 @@ def numeric_json_ids(spark: SparkSession, paths: Sequence[str], input_format: st
         return rows.select("pmid").distinct()
     if input_format != "sampling-manifest":
         raise ValueError(f"unknown input format {input_format!r}")
-    schema = "sampled_articles long, sampled_pmids array<struct<pmid:string,n_chunks:long>>"
-    docs = spark.read.schema(schema).json(list(paths), multiLine=True)
-    ids = F.transform("sampled_pmids", lambda x: x["pmid"])
-    good = F.size(ids).eqNullSafe(F.col("sampled_articles").cast("int")) & (F.size(F.array_distinct(ids)) == F.size(ids)) & F.forall(ids, lambda x: x.rlike(NUMERIC_ID))
-    if docs.where(~F.coalesce(good, F.lit(False))).limit(1).collect():
-        raise InvalidInput("inconsistent sampling manifest")
-    return docs.select(F.explode(ids).alias("pmid")).distinct()
+    out = None
+    for path in paths:
+        ids, outlines = documents.array(spark, path, "sampled_pmids", "pmid string")
+        claimed = [x.get("sampled_articles") for x in outlines.values()]
+        own = ids.agg(F.count("*").alias("n"), F.countDistinct("pmid").alias("ids"), F.count_if(~F.coalesce(F.col("pmid").rlike(NUMERIC_ID), F.lit(False))).alias("bad")).first()
+        if own.bad or own.n != own.ids or any(not isinstance(x, int) or isinstance(x, bool) for x in claimed) or sum(claimed) != own.n:
+            raise InvalidInput("inconsistent sampling manifest")
+        out = ids.select("pmid") if out is None else out.union(ids.select("pmid"))
+    return out.distinct()
 
 
 def raw_articles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -147,8 +148,7 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def manifest_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a split manifest's articles, with their split."""
-    schema = "articles array<struct<pmid:string,label:int,split:string,n_chunks:long>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline("articles"))
+    return documents.array(spark, path, "articles", "pmid string, label int, split string, n_chunks long")[0].drop("path")
 
 
 def threshold(spark: SparkSession, path: str) -> float:
@@ -182,7 +182,7 @@ def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def sampled_counts(spark: SparkSession, path: str) -> DataFrame:
     """(pmid, n_chunks) of a sampling manifest."""
-    return spark.read.schema("sampled_pmids array<struct<pmid:string,n_chunks:long>>").json(path, multiLine=True).select(F.inline("sampled_pmids"))
+    return documents.array(spark, path, "sampled_pmids", "pmid string, n_chunks long")[0].drop("path")
 
 
 def cohort_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -204,7 +204,66 @@ def group_specs(specs: Sequence[str]) -> dict[str, str]:
     return out
 
 
+_PACKED = ("gz", "bz2", "zst", "zstd", "lz4", "snappy", "deflate", "xz")  # files that the text reader would unpack
+_MARK = b"\xef\xbb\xbf"  # which the text reader leaves out
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, sha256, git_sha1) of the lines of each file, which come in order. Whether a file began with a byte order mark and ended with a line feed follows from its size."""
+    out = []
+    at, size, seen, states = None, 0, 0, []
+
+    def closed() -> tuple:
+        more = size - seen
+        if more not in (0, 1, len(_MARK), len(_MARK) + 1):
+            raise ValueError(f"{at}: {size} bytes, of which {seen} were read")
+        big, git = states[more >= len(_MARK)]
+        if more % len(_MARK):
+            big.update(b"\n")
+            git.update(b"\n")
+        return at, big.hexdigest(), git.hexdigest()
+
+    for batch in batches:
+        paths, sizes, lines = (batch.column(k).to_pylist() for k in range(3))
+        start = 0
+        for k in range(1, len(paths) + 1):
+            if k < len(paths) and paths[k] == paths[start]:
+                continue
+            raw = b"\n".join(lines[start:k])
+            if paths[start] != at:
+                if at is not None:
+                    out.append(closed())
+                at, size, seen = paths[start], sizes[start], len(raw)
+                states = [(hashlib.sha256(own), hashlib.sha1(b"blob %d\0" % size + own)) for own in (b"", _MARK)]
+            else:
+                raw = b"\n" + raw
+                seen += len(raw)
+            for pair in states:
+                for state in pair:
+                    state.update(raw)
+            start = k
+    if at is not None:
+        out.append(closed())
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], ["path", "sha256", "git_sha1"])
+
+
 def fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, size, sha256, git_sha1) of whole files; the last as a version store names a blob."""
+    """(path, size, sha256, git_sha1) of whole files; the last as a version store names a blob. A file is read in its splits, and its lines pass
+    in order through one task, which carries the hash states on: a hash is sequential, and no file is a cell. Packed files are read as cells (2 GB at most);
+    empty files have no row, as Spark leaves them out."""
+    listed = spark.read.format("binaryFile").load(list(paths)).select("path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"))
+    packed = rf"\.({'|'.join(_PACKED)})$"
+    lines = spark.read.option("lineSep", "\n").text(list(paths)).where(~F.col("_metadata.file_path").rlike(packed))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    dealt = lines.repartition("file").sortWithinPartitions("file", "block", "id").select("file", "size", "value")
+    found = dealt.mapInArrow(_hashed, "file string, sha256 string, git_sha1 string")
+    mark = {"sha256": hashlib.sha256(_MARK).hexdigest(), "git_sha1": hashlib.sha1(b"blob 3\0" + _MARK).hexdigest()}  # has no line
+    plain = listed.where(~F.col("path").rlike(packed)).join(found, "file", "left").select("path", "size", *(F.coalesce(c, F.when(F.col("size") == len(_MARK), mark[c])).alias(c) for c in mark))
+    return plain.union(_cells(spark, paths))
+
+
+def _cells(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Fingerprints of packed files alone: others are not even listed, as their contents would be read before a condition."""
     blob = F.sha1(F.concat(F.lit("blob ").cast("binary"), F.col("length").cast("string").cast("binary"), F.lit(b"\x00"), F.col("content")))
-    return spark.read.format("binaryFile").load(list(paths)).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), blob.alias("git_sha1"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(_PACKED)}}}").load(list(paths))
+    return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), blob.alias("git_sha1"))

@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import documents, storage
+from .storage import new_dir
 
-def new_dir(path: str) -> str:
-    """An empty directory at path, made if need be; FileExistsError if it holds anything."""
-    path = os.path.abspath(os.path.expanduser(path))
-    os.makedirs(path, exist_ok=True)
-    if os.listdir(path):
-        raise FileExistsError(f"output directory is not empty: {path}")
-    return path
+__all__ = ["fmt", "new_dir", "preprocess_manifest", "report", "retrieval_manifest", "write_ids", "write_json", "write_jsonl", "write_lines", "write_ordered", "write_sampling_manifest", "write_split_manifest"]
 
 
 def write_json(path: str, payload: dict) -> None:
-    """A JSON document: UTF-8, sets as sorted lists, no NaN."""
+    """A new JSON document: UTF-8, sets as sorted lists, no NaN."""
+
     def plain(x):
         if isinstance(x, (set, frozenset)):
             return sorted(x)
@@ -27,9 +23,7 @@ def write_json(path: str, payload: dict) -> None:
             return x.asDict(True)
         raise TypeError(type(x).__name__)
 
-    with open(path, "x", encoding="utf-8", newline="\n") as file:
-        json.dump(payload, file, ensure_ascii=False, indent=2, allow_nan=False, default=plain)
-        file.write("\n")
+    storage.write(path, (json.dumps(payload, ensure_ascii=False, indent=2, allow_nan=False, default=plain) + "\n").encode())
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
@@ -53,17 +47,18 @@ def write_ids(ids: DataFrame, path: str, numeric: bool = True, key: str = "pmid"
     ids.select(F.col(key).cast("string")).distinct().orderBy(*order).write.text(path)
 
 
-def split_manifest(split: DataFrame, ratios: tuple[float, float, float], seed: int) -> dict:
-    """A manifest of split(pmid, label, split, n_chunks, sources). It lists every article, so it is a document of its size."""
-    summary = {r.split: r.asDict() for r in split.groupBy("split").agg(F.count("*").alias("articles"), F.sum("n_chunks").alias("chunks"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative")).collect()}
-    articles = [r.asDict() for r in split.select("pmid", "label", "split", "n_chunks", "sources").orderBy("pmid").toLocalIterator()]
-    return {"schema_version": 1, "ratios": list(ratios), "seed": seed, "summary": summary, "articles": articles}
+def write_split_manifest(path: str, split: DataFrame, ratios: tuple[float, float, float], seed: int, more: dict) -> None:
+    """A manifest of split(pmid, label, split, n_chunks, sources), with the fields of `more`. Articles are written by tasks; the driver sees sums."""
+    sums = split.groupBy("split").agg(F.count("*").alias("articles"), F.sum("n_chunks").alias("chunks"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
+    summary = {r.split: r.asDict() for r in sums.collect()}
+    totals = {f"deduplicated_total_{k}": sum(x[k] for x in summary.values()) for k in ("articles", "chunks")}
+    documents.write(path, {"schema_version": 1, "ratios": list(ratios), "seed": seed, "summary": summary, **totals, **more}, "articles", split.select("pmid", "label", "split", "n_chunks", "sources"), ["pmid"])
 
 
-def sampling_manifest(counts: dict, sampled: DataFrame, label: int, seed: int) -> dict:
-    """A manifest of sampled(pmid, n_chunks)."""
-    rows = [r.asDict() for r in sampled.select("pmid", "n_chunks").orderBy("pmid").toLocalIterator()]
-    return {"schema_version": 1, "sampling_unit": "article/pmid", "forced_label": label, "seed": seed, "sampling_algorithm": "first N by sha256 of seed, zero character and id; ties by id", **counts, "sampled_pmids": rows}
+def write_sampling_manifest(path: str, counts: dict, sampled: DataFrame, label: int, seed: int) -> None:
+    """A manifest of sampled(pmid, n_chunks), written as the one of a split."""
+    head = {"schema_version": 1, "sampling_unit": "article/pmid", "forced_label": label, "seed": seed, "sampling_algorithm": "first N by sha256 of seed, zero character and id; ties by id", **counts}
+    documents.write(path, head, "sampled_pmids", sampled.select("pmid", "n_chunks"), ["pmid"])
 
 
 def fmt(value: float | None, digits: int = 6) -> str:
