@@ -55,15 +55,16 @@ def test_what_is_no_document_is_refused(spark, tmp_path, text):
 
 def test_documents_are_written_in_order_and_read_again(spark, tmp_path):
     rows = spark.createDataFrame([(str(k), ODD[k % len(ODD)], None) for k in range(500)], "pmid string, split string, note string").repartition(7)
-    documents.write(str(tmp_path / "d.json"), {"seed": 1, "name": "é}"}, "articles", rows, ["pmid"])
+    documents.write(str(tmp_path / "d.json"), {"seed": 1, "name": "é}"}, {"articles": (rows, ["pmid"]), "ids": (rows.limit(3).selectExpr("split as value"), ["value"])})
     found = json.loads((tmp_path / "d.json").read_text(encoding="utf-8"))
     assert found["seed"] == 1 and [a["pmid"] for a in found["articles"]] == sorted(str(k) for k in range(500)) and found["articles"][0].keys() == {"pmid", "split", "note"}
+    assert len(found["ids"]) == 3 and set(found["ids"]) <= set(ODD)
     again, _ = documents.array(spark, str(tmp_path / "d.json"), "articles", "pmid string, split string")
     assert sorted(map(tuple, again.drop('path').collect())) == sorted((a["pmid"], a["split"]) for a in found["articles"])
     with pytest.raises(FileExistsError):
-        documents.write(str(tmp_path / "d.json"), {}, "articles", rows, ["pmid"])
-    documents.write(str(tmp_path / "e.json"), {}, "articles", rows.where("false"), ["pmid"])
-    assert json.loads((tmp_path / "e.json").read_text()) == {"articles": []}
+        documents.write(str(tmp_path / "d.json"), {}, {"articles": (rows, ["pmid"])})
+    documents.write(str(tmp_path / "e.json"), {}, {"articles": (rows.where("false"), ["pmid"]), "b": (rows.where("false"), ["pmid"])})
+    assert json.loads((tmp_path / "e.json").read_text()) == {"articles": [], "b": []}
 
 
 CONTENTS = [b"\n", b"a", b"a\n", b"a\r\nb\r\n", b"\n\n\nx", b"\xff\xfe\x00\n\x80", b"\xef\xbb\xbfbom\n", b"\xef\xbb\xbf", b"\xef\xbb\xbf\n", "é 日\u2028本\n".encode() * 60]

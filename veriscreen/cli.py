@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text, wordpiece
 from .operators import articles as A
 from .operators import audit, cohorts, corpus, release, scoring, training, window_model
-from .sources import files, markup, sinks, storage
+from .sources import files, markup, service, sinks, storage
 from .sources.scratch import replaced
 
 
@@ -269,26 +269,29 @@ def recover(spark: SparkSession, a) -> None:
 
 
 def fetch(spark: SparkSession, a, client=None) -> None:
-    """Articles by id from a service: client(ids) returns one XML document for a batch. Without a network one must be
-    given; what it returns is kept, and has to hold exactly the ids that were asked for."""
+    """Articles by id from a service: a request returns one XML document for a batch. Responses are kept as they come, a run that was interrupted goes on
+    with --resume, and what is returned has to be exactly the ids that were asked for. client: a function from ids to XML instead of --email."""
     if client is None:
-        raise ValueError("no client: this build has no network access; pass client=, a function from ids to XML")
-    out = sinks.new_dir(a.output_dir)
+        if not getattr(a, "email", None):
+            raise ValueError("no client: name a contact by --email, or pass client=, a function from ids to XML")
+        client = service.http_client(a.endpoint, a.email, a.timeout)
+    resumed = getattr(a, "resume", False)
+    out = a.output_dir.rstrip("/") if resumed else sinks.new_dir(a.output_dir)
     ids = files.id_list(spark, [a.pmids])
     if bad := cohorts.list_violations(ids.withColumn("cohort", F.lit("ids"))).where("rule = 'not numeric'").limit(5).collect():
         raise ValueError(f"not numeric: lines {[r.line for r in bad]}")
     if ids.groupBy("pmid").count().where("count > 1").limit(1).collect() or ids.isEmpty():
         raise ValueError("the list must hold different ids")
-    for r in markup.request_batches(ids, a.batch_size).orderBy("batch").toLocalIterator():  # one request after the other
-        with open(f"{out}/batch_{r.batch:05}.xml", "x", encoding="utf-8") as file:
-            file.write(client(list(r.ids)))
-    documents = spark.read.text(f"{out}/batch_*.xml", wholetext=True).withColumnRenamed("value", "xml")
-    rows = markup.parse_articles(documents, a.label).withColumn("data_status", F.lit("reconstruction"))
+    options = {k: getattr(a, k) for k in ("lanes", "pause", "retries") if hasattr(a, k)}
+    responses = service.collected(f"{out}/requests", f"{out}/responses", markup.request_batches(ids, a.batch_size), client, **options)
+    rows = markup.parse_articles(responses, a.label).withColumn("data_status", F.lit("reconstruction"))
     if diff := markup.returned_differences(ids, rows).limit(5).collect():
         raise ValueError(f"returned ids differ from those asked for: {diff}")
+    if twice := rows.groupBy("pmid").count().where("count > 1").limit(5).collect():
+        raise ValueError(f"ids returned twice: {', '.join(r.pmid for r in twice)}")
     sinks.write_ordered(rows, f"{out}/articles", ("pmid",))
-    hashes = {os.path.basename(x["path"]): x["sha256"] for x in _inputs(spark, [f"{out}/batch_*.xml"])}
-    sinks.write_json(f"{out}/retrieval_manifest.json", sinks.retrieval_manifest(rows, ids.count(), "client", time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), hashes))
+    made = spark.read.schema(files.ARTICLE).json(f"{out}/articles")
+    sinks.write_retrieval_manifest(f"{out}/retrieval_manifest.json", made, responses, ids.count(), getattr(a, "endpoint", None) or "client", time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))
 
 
 def demo(spark: SparkSession, a) -> None:
@@ -334,7 +337,7 @@ def parser() -> argparse.ArgumentParser:
     command(export_ids, ("--input", {"nargs": "+", **need}), ("--output", need), ("--input-format", {"choices": ("jsonl", "sampling-manifest"), "default": "jsonl"}))
     command(verify_release, ("--root", need))
     command(recover, ("--archive", need), ("--manifest", need), ("--output-dir", need))
-    command(fetch, ("--pmids", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--output-dir", need), ("--batch-size", number(int, 100)))
+    command(fetch, ("--pmids", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--output-dir", need), ("--batch-size", number(int, 100)), ("--email", {}), ("--endpoint", {"default": service.ENDPOINT}), ("--timeout", number(float, 60.0)), ("--pause", number(float, 0.4)), ("--retries", number(int, 3)), ("--lanes", number(int, 1)), ("--resume", {"action": "store_true"}))
     command(demo, ("--tables", {}), ("--output-dir", {}))
     return top
 

@@ -160,16 +160,20 @@ _XML_SQL = f"x AS (SELECT doc_id, source, lang, {_TEXT.format('text')} AS t FROM
 
 
 def _xml(spark, sf_dir) -> DataFrame:
-    """Articles in XML documents of 20: markup within the title, an abstract of two sections, or none for every fifth."""
+    """Articles in XML documents of 20: markup within the title, an abstract of two sections, or none for every fifth. Every third has a comment that looks like an id
+    before its id, every seventh its text as character data."""
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    docs = table(spark, sf_dir, "documents").withColumn("t", escaped(F.regexp_replace("text", r"[\x00-\x1F]", " ")))
+    bare = F.regexp_replace("text", r"[\x00-\x1F]", " ")
+    data = F.concat(F.lit("<![CDATA["), F.replace(bare, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
+    docs = table(spark, sf_dir, "documents").withColumn("t", F.when(F.col("doc_id") % 7 == 0, data).otherwise(escaped(bare)))
+    remark = F.when(F.col("doc_id") % 3 == 0, "<!-- <PMID>9</PMID> </PubmedArticle> -->").otherwise("")
     abstract = F.when(F.col("doc_id") % 5 == 0, "<Abstract/>").otherwise(F.concat(F.lit('<Abstract><AbstractText Label="A">'), "lang", F.lit("</AbstractText><AbstractText>"), "t", F.lit("</AbstractText></Abstract>")))
-    one = F.concat(F.lit('<PubmedArticle><MedlineCitation><PMID Version="1">'), F.col("doc_id").cast("string"), F.lit("</PMID><Article><ArticleTitle> Of <i>"), "source", F.lit("</i> in <b>"), "lang", F.lit("</b>. </ArticleTitle>"), abstract, F.lit("</Article></MedlineCitation></PubmedArticle>"))
+    one = F.concat(F.lit("<PubmedArticle><MedlineCitation>"), remark, F.lit('<PMID Version="1">'), F.col("doc_id").cast("string"), F.lit("</PMID><Article><ArticleTitle> Of <i>"), "source", F.lit("</i> in <b>"), "lang", F.lit("</b>. </ArticleTitle>"), abstract, F.lit("</Article></MedlineCitation></PubmedArticle>"))
     rows = docs.select(F.expr("doc_id div 20").alias("k"), one.alias("x"))
     return rows.groupBy("k").agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list("x"), "\n"), F.lit("</PubmedArticleSet>")).alias("xml"))
 
 
-@query(rf"WITH {_XML_SQL} SELECT doc_id::VARCHAR AS pmid, 'Of ' || source || ' in ' || lang || '.' AS title, md5(CASE WHEN doc_id % 5 = 0 THEN '' WHEN trim(t, ' ') = '' THEN lang ELSE lang || chr(10) || trim(t, ' ') END) AS abstract_md5, 1 AS label FROM x")
+@query(rf"WITH {_XML_SQL} SELECT doc_id::VARCHAR AS pmid, 'Of ' || source || ' in ' || lang || '.' AS title, md5(CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || chr(10) || trim(t, ' ') END) AS abstract_md5, 1 AS label FROM x")
 def parse_xml_articles(spark, sf_dir):
     out = markup.parse_articles(_xml(spark, sf_dir), 1)
     return out.select("pmid", "title", F.md5(F.col("abstract").cast("binary")).alias("abstract_md5"), "label")

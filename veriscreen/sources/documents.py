@@ -196,12 +196,21 @@ def array(spark: SparkSession, path: str, key: str, schema: str) -> tuple[DataFr
     return rows.select("path", *(F.col("x")[f.name].alias(f.name) for f in own.fields[:-1])), outlines
 
 
-def write(path: str, head: dict, key: str, rows: DataFrame, order: list) -> None:
-    """A new document of the fields of head, and rows in this order as the array `key`. Parts are sorted and written by tasks, and copied one behind the other."""
-    spark = rows.sparkSession
-    folder = scratch(spark, "document")
-    line = F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-    rows.orderBy(*order).select(line.alias("value")).write.text(folder)
-    start = json.dumps(head, ensure_ascii=False, indent=2, allow_nan=False).rstrip("}").rstrip()
-    storage.stitch(path, f"{start}{',' if head else ''}\n  {json.dumps(key)}: [\n".encode(), folder, b"]\n}\n", skip=1)
-    drop(spark, folder)
+def write(path: str, head: dict, arrays: dict[str, tuple[DataFrame, list]]) -> None:
+    """A new document of the fields of head, and for each array the rows of a DataFrame in an order; rows of one column `value` are plain values, others
+    objects. Parts are sorted and written by tasks, and copied one behind the other."""
+    parts, folders = [json.dumps(head, ensure_ascii=False, indent=2, allow_nan=False).rstrip("}").rstrip().encode()], []
+    for key, (rows, order) in arrays.items():
+        folder = scratch(rows.sparkSession, "document")
+        if rows.columns == ["value"]:
+            line = F.regexp_replace(F.to_json(F.array("value")), r"^\[|\]\z", "")
+        else:
+            line = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        rows.orderBy(*order).select(F.concat(F.lit(","), line).alias("value")).write.text(folder)
+        parts[-1] += f"{',' if head or folders else ''}\n  {json.dumps(key)}: [\n".encode()
+        parts.append(b"]")
+        folders.append(folder)
+    parts[-1] += b"\n}\n"
+    storage.stitch(path, parts, folders, skip=1)
+    for (rows, _), folder in zip(arrays.values(), folders):
+        drop(rows.sparkSession, folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import documents, storage
 from .storage import new_dir
 
-__all__ = ["fmt", "new_dir", "preprocess_manifest", "report", "retrieval_manifest", "write_ids", "write_json", "write_jsonl", "write_lines", "write_ordered", "write_sampling_manifest", "write_split_manifest"]
+__all__ = ["fmt", "new_dir", "preprocess_manifest", "report", "write_ids", "write_json", "write_jsonl", "write_lines", "write_ordered", "write_retrieval_manifest", "write_sampling_manifest", "write_split_manifest"]
 
 
 def write_json(path: str, payload: dict) -> None:
@@ -52,13 +52,13 @@ def write_split_manifest(path: str, split: DataFrame, ratios: tuple[float, float
     sums = split.groupBy("split").agg(F.count("*").alias("articles"), F.sum("n_chunks").alias("chunks"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
     summary = {r.split: r.asDict() for r in sums.collect()}
     totals = {f"deduplicated_total_{k}": sum(x[k] for x in summary.values()) for k in ("articles", "chunks")}
-    documents.write(path, {"schema_version": 1, "ratios": list(ratios), "seed": seed, "summary": summary, **totals, **more}, "articles", split.select("pmid", "label", "split", "n_chunks", "sources"), ["pmid"])
+    documents.write(path, {"schema_version": 1, "ratios": list(ratios), "seed": seed, "summary": summary, **totals, **more}, {"articles": (split.select("pmid", "label", "split", "n_chunks", "sources"), ["pmid"])})
 
 
 def write_sampling_manifest(path: str, counts: dict, sampled: DataFrame, label: int, seed: int) -> None:
     """A manifest of sampled(pmid, n_chunks), written as the one of a split."""
     head = {"schema_version": 1, "sampling_unit": "article/pmid", "forced_label": label, "seed": seed, "sampling_algorithm": "first N by sha256 of seed, zero character and id; ties by id", **counts}
-    documents.write(path, head, "sampled_pmids", sampled.select("pmid", "n_chunks"), ["pmid"])
+    documents.write(path, head, {"sampled_pmids": (sampled.select("pmid", "n_chunks"), ["pmid"])})
 
 
 def fmt(value: float | None, digits: int = 6) -> str:
@@ -83,7 +83,9 @@ def preprocess_manifest(articles: DataFrame, chunks: DataFrame, parameters: dict
     return {"schema_version": 1, "articles": articles.count(), "chunks": chunks.count(), "parameters": parameters, "tokenizer_files": files}
 
 
-def retrieval_manifest(articles: DataFrame, requested: int, endpoint: str, time: str, hashes: dict[str, str]) -> dict:
-    """What a retrieval asked for and got, with the ids that have no abstract."""
-    missing = [r.pmid for r in articles.where("abstract = ''").select("pmid").orderBy(F.length("pmid"), "pmid").toLocalIterator()]
-    return {"schema_version": 1, "endpoint": endpoint, "retrieved_at": time, "requested": requested, "retrieved": articles.count(), "sha256": hashes, "missing_abstracts": missing}
+def write_retrieval_manifest(path: str, articles: DataFrame, responses: DataFrame, requested: int, endpoint: str, time: str) -> None:
+    """What a retrieval asked for and got: the hash of each response(batch, attempts, xml), and the ids that have no abstract."""
+    raw = responses.select("batch", "attempts", F.sha2("xml", 256).alias("sha256"))
+    missing = articles.where("abstract = ''").select(F.col("pmid").alias("value"))
+    head = {"schema_version": 1, "data_status": "reconstruction", "endpoint": endpoint, "retrieved_at": time, "requested": requested, "retrieved": articles.count()}
+    documents.write(path, head, {"raw_xml": (raw, ["batch"]), "missing_abstracts": (missing, [F.length("value"), "value"])})

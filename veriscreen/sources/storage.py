@@ -88,25 +88,27 @@ def read(path: str) -> bytes:
         stream.close()
 
 
-def stitch(path: str, before: bytes, folder: str, after: bytes, skip: int = 0) -> None:
-    """A new file of `before`, the files of a folder in the order of their names, and `after`. The first `skip` bytes of the first file that has any are
-    left out. Contents are copied a megabyte at a time, within the JVM."""
+def stitch(path: str, parts: list[bytes], folders: list[str], skip: int = 0) -> None:
+    """A new file of the first part, the files of the first folder in the order of their names, the second part, and so on. The first `skip` bytes of a folder's
+    first file that has any are left out. Contents are copied a megabyte at a time, within the JVM."""
     spark = SparkSession.getActiveSession()
     copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
     with _created(path) as (_, out):
-        out.write(bytearray(before))
-        for name in names(folder):
-            where, source = _at(f"{folder}/{name}")
-            if name.startswith(("_", ".")) or not source.getFileStatus(where).getLen():
-                continue
-            stream = source.open(where)
-            try:
-                stream.seek(skip)
-                skip = 0
-                copy(stream, out, COPY, False)
-            finally:
-                stream.close()
-        out.write(bytearray(after))
+        out.write(bytearray(parts[0]))
+        for folder, after in zip(folders, parts[1:]):
+            left = skip
+            for name in names(folder):
+                where, source = _at(f"{folder}/{name}")
+                if name.startswith(("_", ".")) or not source.getFileStatus(where).getLen():
+                    continue
+                stream = source.open(where)
+                try:
+                    stream.seek(left)
+                    left = 0
+                    copy(stream, out, COPY, False)
+                finally:
+                    stream.close()
+            out.write(bytearray(after))
 
 
 def missing(paths: Iterable[str]) -> list[str]:
