@@ -166,3 +166,33 @@ def test_demo_runs_the_whole_workflow(spark, tmp_path):
     cli.main(["demo", "--output-dir", str(tmp_path / "demo")], spark)
     found = json.loads((tmp_path / "demo/external_test/external_results.json").read_text())
     assert found["metrics"]["n_articles"] == 8 and found["metrics"]["auroc"] == 1.0
+
+
+def full_archive(tmp_path, **changes):
+    raw = b'{"pmid": 30}\r\n{"pmid": "4"}\n\n{"pmid": "4"}'
+    (tmp_path / "archive/in").mkdir(parents=True)
+    (tmp_path / "archive/in/x.jsonl").write_bytes(raw)
+    sampled = json.dumps({"output": {"sha256": changes.get("output", hashlib.sha256(raw).hexdigest())}, "sampled_pmids": [{"pmid": "30", "n_chunks": 1}, {"pmid": "4", "n_chunks": 2}]}).encode()
+    (tmp_path / "archive/in/s.json").write_bytes(sampled)
+    entry = {"path": "x.txt", "source_path": "in/x.jsonl", "source_bytes": len(raw), "source_rows": 3, "source_git_blob_sha": blob(raw), "unique_pmids": 2, "pmid_file_sha256": hashlib.sha256(changes.get("export", b"4\n30\n")).hexdigest(), "sampling_evidence": {"source_path": "in/s.json", "source_git_blob_sha": changes.get("evidence", blob(sampled))}}
+    (tmp_path / "manifest.json").write_text(json.dumps({"cohorts": [entry]}))
+    return ["recover", "--archive", str(tmp_path / "archive"), "--manifest", str(tmp_path / "manifest.json"), "--output-dir", str(tmp_path / "out")]
+
+
+def test_recovery_checks_exports_and_samples(spark, tmp_path):
+    cli.main(full_archive(tmp_path), spark)
+    assert (tmp_path / "out/x.txt").read_bytes() == b"4\n30\n"
+
+
+@pytest.mark.parametrize("changes, message", [({"export": b"30\n4\n"}, "sorted ids"), ({"export": b"4\n30"}, "sorted ids"), ({"output": "0" * 64}, "another file"), ({"evidence": "0" * 40}, "sampling manifest differs")])
+def test_recovery_refuses_other_exports_and_samples(spark, tmp_path, changes, message):
+    with pytest.raises(ValueError, match=message):
+        cli.main(full_archive(tmp_path, **changes), spark)
+    assert os.listdir(tmp_path / "out") == []
+
+
+@pytest.mark.parametrize("arguments", ["train --output-dir x --epochs 0", "train --output-dir x --warmup-ratio 1", "train --output-dir x --learning-rate 0", "train --output-dir x --train-ratio 0", "analyze --group a=b --output-dir x --confidence-level 1", "analyze --group a=b --output-dir x --bootstrap-replicates 99", "evaluate --output-dir x --threshold 1.5", "fetch --pmids x --label 1 --output-dir x --batch-size 201", "sample --input x --label 1 --n-articles 0 --output x"])
+def test_arguments_out_of_range_are_refused_before_anything_runs(arguments, capsys):
+    with pytest.raises(SystemExit):
+        cli.main(arguments.split(), None)
+    assert "is not" in capsys.readouterr().err

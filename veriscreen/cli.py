@@ -15,7 +15,7 @@ from .functions import text, wordpiece
 from .operators import articles as A
 from .operators import audit, cohorts, corpus, release, scoring, training, window_model
 from .sources import files, markup, service, sinks, storage
-from .sources.scratch import replaced
+from .sources.scratch import drop, materialized, replaced, scratch
 
 
 def _scorer(spark: SparkSession, a):
@@ -243,29 +243,43 @@ def verify_release(spark: SparkSession, a) -> dict:
 
 
 def recover(spark: SparkSession, a) -> None:
-    """Id lists from archived window files, which must be bit for bit what a manifest names; nothing is written unless all are.
-    --archive holds the files by their source path."""
+    """Id lists from archived window files, which must be bit for bit what a manifest names, as must be the sorted lists made of them, and the sampling manifests
+    that some come from; nothing is written unless all are. --archive holds the files by their source path."""
     out = sinks.new_dir(a.output_dir)
     listed = files.archive_manifest(spark, a.manifest)
-    paths = {r.path: f"{a.archive}/{r.source_path}" for r in listed.collect()}
-    expected, found, kept = listed.select(F.col("path").alias("name"), F.col("source_bytes").alias("size"), F.col("source_git_blob_sha").alias("git_sha1"), F.col("source_rows").alias("rows"), F.col("unique_pmids").alias("ids")), None, {}
-    for name, path in paths.items():
+    cohorts_, found, kept = listed.collect(), None, {}  # a row for each list
+    expected = listed.select(F.col("path").alias("name"), F.col("source_bytes").alias("size"), F.col("source_git_blob_sha").alias("git_sha1"), F.col("source_rows").alias("rows"), F.col("unique_pmids").alias("ids"))
+    staged = scratch(spark, "recovered")
+    for r in cohorts_:
+        path = f"{a.archive}/{r.source_path}"
         if not storage.exists(path):
             raise FileNotFoundError(path)
         rows = files.json_lines(spark, [path])
         files.strict(rows.withColumn("valid", F.lit(True)), {"not a numeric id": ~F.col("pmid").rlike(cohorts.NUMERIC_ID)})
         counts = rows.agg(F.count("*").alias("rows"), F.countDistinct("pmid").alias("ids"))
-        own = files.fingerprints(spark, [path]).select(F.lit(name).alias("name"), "size", "git_sha1").crossJoin(counts)  # a row each
+        own = files.fingerprints(spark, [path]).select(F.lit(r.path).alias("name"), "size", "git_sha1", "sha256").crossJoin(counts)  # a row each
         found = own if found is None else found.union(own)
-        kept[name] = rows.select("pmid").distinct()
+        kept[r.path] = f"{staged}/{len(kept)}.txt"
+        sinks.write_id_file(rows.select("pmid"), kept[r.path])
+    found = materialized(found, "archived")
     if bad := release.blob_violations(found, expected).collect():
         raise ValueError("; ".join(f"{r.name}: {r.rule} differs" for r in bad))
-    for r in listed.where("sampled_path is not null").collect():
-        recorded = files.sampled_counts(spark, f"{a.archive}/{r.sampled_path}")
-        if diff := release.sampled_differences(recorded, files.json_lines(spark, [paths[r.path]])).limit(5).collect():
+    hashes = {r.name: r.sha256 for r in found.collect()}
+    for r in cohorts_:
+        if r.pmid_file_sha256 is not None and _inputs(spark, [kept[r.path]])[0]["sha256"] != r.pmid_file_sha256:
+            raise ValueError(f"{r.path}: the sorted ids differ from the manifest's")
+        if r.sampled_path is None:
+            continue
+        path = f"{a.archive}/{r.sampled_path}"
+        if r.sampled_blob_sha is not None and _inputs(spark, [path])[0]["git_sha1"] != r.sampled_blob_sha:
+            raise ValueError(f"{r.path}: the sampling manifest differs from the one named")
+        if (sha := files.sampled_output_hash(spark, path)) is not None and sha != hashes[r.path]:
+            raise ValueError(f"{r.path}: the sampling manifest is of another file")
+        if diff := release.sampled_differences(files.sampled_counts(spark, path), files.json_lines(spark, [f"{a.archive}/{r.source_path}"])).limit(5).collect():
             raise ValueError(f"{r.path}: sampled articles differ: {diff}")
-    for name, ids in kept.items():
-        sinks.write_ids(ids, f"{out}/{name}")
+    for name, path in kept.items():
+        storage.copy(path, f"{out}/{name}")
+    drop(spark, staged)
 
 
 def fetch(spark: SparkSession, a, client=None) -> None:
@@ -315,6 +329,18 @@ def demo(spark: SparkSession, a) -> None:
     main(["evaluate", *files_of("external"), "--model-dir", f"{out}/run/best_model", "--output-dir", f"{out}/external_test"], spark)
 
 
+def _number(kind: type, low: float, high: float = float("inf"), open_low: bool = False, open_high: bool = False):
+    """A parser of numbers between low and high."""
+
+    def parse(text: str):
+        value = kind(text)
+        if not (low < value if open_low else low <= value) or not (value < high if open_high else value <= high):
+            raise argparse.ArgumentTypeError(f"{text} is not {'above' if open_low else 'at least'} {low}" + (f" and {'below' if open_high else 'at most'} {high}" if high < float("inf") else ""))
+        return value
+
+    return parse
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="veriscreen", description=__doc__)
     sub = top.add_subparsers(required=True)
@@ -327,17 +353,18 @@ def parser() -> argparse.ArgumentParser:
 
     need, many = {"required": True}, {"nargs": "*", "default": []}
     number = lambda kind, default: {"type": kind, "default": default}
-    roles = (("--positive", many), ("--negative", many), ("--max-length", number(int, 512)), ("--output-dir", need), ("--vocab-size", number(int, None)), ("--type-vocab-size", number(int, None)), ("--onnx-model", {}))
-    command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(int, 512)), ("--overlap", number(int, 32)), ("--vocabulary", number(int, 30_000)), ("--vocabulary-file", {}), ("--status", {"choices": ("demo-only", "reconstruction")}))
-    command(train, *roles, ("--train-ratio", number(float, 0.7)), ("--validation-ratio", number(float, 0.175)), ("--test-ratio", number(float, 0.125)), ("--seed", number(int, 42)), ("--scorer", {"choices": ("logistic", "surrogate", "onnx"), "default": "logistic"}), ("--epochs", number(int, 3)), ("--train-batch-size", number(int, 1024)), ("--gradient-accumulation-steps", number(int, 1)), ("--learning-rate", number(float, 0.05)), ("--weight-decay", number(float, 0.025)), ("--warmup-ratio", number(float, 0.15)), ("--scheduler-type", {"choices": ("linear", "cosine", "cosine_with_restarts"), "default": "cosine"}), ("--max-grad-norm", number(float, 1.0)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
-    command(evaluate, *roles, ("--threshold", number(float, None)), ("--threshold-file", {}), ("--training-manifest", {}), ("--allow-overlap", {"action": "store_true"}), ("--model-dir", {}), ("--save-chunk-predictions", {"action": "store_true"}))
-    command(sample, ("--input", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--n-articles", {"type": int, **need}), ("--output", need), ("--manifest-output", {}), ("--exclude-jsonl", many), ("--exclude-manifest", many), ("--seed", number(int, 42)), ("--max-length", number(int, 512)))
-    command(analyze, ("--group", {"action": "append", **need}), ("--output-dir", need), ("--confidence-level", number(float, 0.95)), ("--bootstrap-replicates", number(int, 10_000)), ("--seed", number(int, 42)))
+    count, share, above = _number(int, 1), _number(float, 0, 1, open_high=True), _number(float, 0, open_low=True)
+    roles = (("--positive", many), ("--negative", many), ("--max-length", number(count, 512)), ("--output-dir", need), ("--vocab-size", number(count, None)), ("--type-vocab-size", number(count, None)), ("--onnx-model", {}))
+    command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(count, 512)), ("--overlap", number(_number(int, 0), 32)), ("--vocabulary", number(int, 30_000)), ("--vocabulary-file", {}), ("--status", {"choices": ("demo-only", "reconstruction")}))
+    command(train, *roles, ("--train-ratio", number(above, 0.7)), ("--validation-ratio", number(above, 0.175)), ("--test-ratio", number(above, 0.125)), ("--seed", number(int, 42)), ("--scorer", {"choices": ("logistic", "surrogate", "onnx"), "default": "logistic"}), ("--epochs", number(count, 3)), ("--train-batch-size", number(count, 1024)), ("--gradient-accumulation-steps", number(count, 1)), ("--learning-rate", number(above, 0.05)), ("--weight-decay", number(_number(float, 0), 0.025)), ("--warmup-ratio", number(share, 0.15)), ("--scheduler-type", {"choices": ("linear", "cosine", "cosine_with_restarts"), "default": "cosine"}), ("--max-grad-norm", number(above, 1.0)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
+    command(evaluate, *roles, ("--threshold", number(_number(float, 0, 1), None)), ("--threshold-file", {}), ("--training-manifest", {}), ("--allow-overlap", {"action": "store_true"}), ("--model-dir", {}), ("--save-chunk-predictions", {"action": "store_true"}))
+    command(sample, ("--input", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--n-articles", {"type": count, **need}), ("--output", need), ("--manifest-output", {}), ("--exclude-jsonl", many), ("--exclude-manifest", many), ("--seed", number(int, 42)), ("--max-length", number(count, 512)))
+    command(analyze, ("--group", {"action": "append", **need}), ("--output-dir", need), ("--confidence-level", number(_number(float, 0, 1, open_low=True, open_high=True), 0.95)), ("--bootstrap-replicates", number(_number(int, 100), 10_000)), ("--seed", number(int, 42)))
     command(filter_overlap, ("--input", need), ("--exclude", {"nargs": "+", **need}), ("--output", need), ("--removed-ids", {}))
     command(export_ids, ("--input", {"nargs": "+", **need}), ("--output", need), ("--input-format", {"choices": ("jsonl", "sampling-manifest"), "default": "jsonl"}))
     command(verify_release, ("--root", need))
     command(recover, ("--archive", need), ("--manifest", need), ("--output-dir", need))
-    command(fetch, ("--pmids", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--output-dir", need), ("--batch-size", number(int, 100)), ("--email", {}), ("--endpoint", {"default": service.ENDPOINT}), ("--timeout", number(float, 60.0)), ("--pause", number(float, 0.4)), ("--retries", number(int, 3)), ("--lanes", number(int, 1)), ("--resume", {"action": "store_true"}))
+    command(fetch, ("--pmids", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--output-dir", need), ("--batch-size", number(_number(int, 1, 200), 100)), ("--email", {}), ("--endpoint", {"default": service.ENDPOINT}), ("--timeout", number(above, 60.0)), ("--pause", number(_number(float, 0), 0.4)), ("--retries", number(_number(int, 0), 3)), ("--lanes", number(count, 1)), ("--resume", {"action": "store_true"}))
     command(demo, ("--tables", {}), ("--output-dir", {}))
     return top
 

@@ -175,9 +175,16 @@ def release_header(spark: SparkSession, path: str) -> dict:
 
 
 def archive_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, source_path, source_bytes, source_rows, source_git_blob_sha, unique_pmids, sampled_path) of a cohort manifest."""
-    schema = "cohorts array<struct<path:string,source_path:string,source_bytes:long,source_rows:long,source_git_blob_sha:string,unique_pmids:long,sampling_evidence:struct<source_path:string>>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline("cohorts")).withColumn("sampled_path", F.col("sampling_evidence.source_path")).drop("sampling_evidence")
+    """(path, source_path, source_bytes, source_rows, source_git_blob_sha, unique_pmids, pmid_file_sha256, sampled_path, sampled_blob_sha) of a cohort manifest."""
+    schema = "cohorts array<struct<path:string,source_path:string,source_bytes:long,source_rows:long,source_git_blob_sha:string,unique_pmids:long,pmid_file_sha256:string,sampling_evidence:struct<source_path:string,source_git_blob_sha:string>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.inline("cohorts"))
+    return rows.withColumns({"sampled_path": F.col("sampling_evidence.source_path"), "sampled_blob_sha": F.col("sampling_evidence.source_git_blob_sha")}).drop("sampling_evidence")
+
+
+def sampled_output_hash(spark: SparkSession, path: str) -> str | None:
+    """The hash that a sampling manifest gives of the file it is about."""
+    row = spark.read.schema("output struct<sha256:string>").json(path, multiLine=True).first()
+    return row.output.sha256 if row and row.output else None
 
 
 def sampled_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import documents, storage
+from .scratch import drop, scratch
 from .storage import new_dir
 
-__all__ = ["fmt", "new_dir", "preprocess_manifest", "report", "write_ids", "write_json", "write_jsonl", "write_lines", "write_ordered", "write_retrieval_manifest", "write_sampling_manifest", "write_split_manifest"]
+__all__ = ["fmt", "new_dir", "preprocess_manifest", "report", "write_id_file", "write_ids", "write_json", "write_jsonl", "write_lines", "write_ordered", "write_retrieval_manifest", "write_sampling_manifest", "write_split_manifest"]
 
 
 def write_json(path: str, payload: dict) -> None:
@@ -47,6 +48,14 @@ def write_ids(ids: DataFrame, path: str, numeric: bool = True, key: str = "pmid"
     ids.select(F.col(key).cast("string")).distinct().orderBy(*order).write.text(path)
 
 
+def write_id_file(ids: DataFrame, path: str, key: str = "pmid") -> None:
+    """write_ids as one file with a line feed behind each id: parts are sorted by tasks, and copied one behind the other."""
+    folder = scratch(ids.sparkSession, "ids")
+    write_ids(ids, folder, key=key)
+    storage.stitch(path, [b"", b""], [folder])
+    drop(ids.sparkSession, folder)
+
+
 def write_split_manifest(path: str, split: DataFrame, ratios: tuple[float, float, float], seed: int, more: dict) -> None:
     """A manifest of split(pmid, label, split, n_chunks, sources), with the fields of `more`. Articles are written by tasks; the driver sees sums."""
     sums = split.groupBy("split").agg(F.count("*").alias("articles"), F.sum("n_chunks").alias("chunks"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))

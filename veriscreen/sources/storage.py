@@ -111,6 +111,18 @@ def stitch(path: str, parts: list[bytes], folders: list[str], skip: int = 0) ->
             out.write(bytearray(after))
 
 
+def copy(source: str, target: str) -> None:
+    """A new file with the contents of another."""
+    where, files = _at(source)
+    duplicate = SparkSession.getActiveSession().sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    with _created(target) as (_, out):
+        stream = files.open(where)
+        try:
+            duplicate(stream, out, COPY, False)
+        finally:
+            stream.close()
+
+
 def missing(paths: Iterable[str]) -> list[str]:
     """Of these paths those at which there is nothing; patterns are not looked at."""
     return [p for p in paths if not any(c in p for c in "*?[{") and not exists(p)]
