@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import platform
 import sys
 import time
 
@@ -46,6 +47,13 @@ def _inputs(spark: SparkSession, paths) -> list[dict]:
     return [r.asDict() for r in files.fingerprints(spark, list(paths)).orderBy("path").collect()] if paths else []
 
 
+def _versions(spark: SparkSession) -> dict:
+    """What a run was made with."""
+    from importlib import metadata
+
+    return {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), **{name: metadata.version(name) for name in ("numpy", "pandas", "pyarrow")}}
+
+
 def _documents(scored: DataFrame, threshold: float) -> tuple[dict, DataFrame]:
     """Window loss, metrics and score summary, and the article rows that they are of."""
     rows = A.checked(A.decide(A.article_scores(scored).join(A.with_sources(scored), "pmid"), threshold))
@@ -103,11 +111,11 @@ def train(spark: SparkSession, a) -> None:
             model.save(f"{out}/next_model")
             replaced(spark, f"{out}/next_model", f"{out}/best_model")
 
-        model, history = window_model.fit(part("train"), part("validation"), config, settings, on_best=keep)
+        model, history = window_model.fit(part("train"), part("validation"), config, settings, features=a.features, on_best=keep)
         score, config = model.score, model.config
     else:
         score, _ = _scorer(spark, a)
-    sinks.write_json(f"{out}/run_config.json", {"schema_version": 1, "command": " ".join(sys.argv), "arguments": {k: v for k, v in vars(a).items() if k != "run"}, "spark": spark.version, "config": config, "model_selection": {"metric": "validation chunk loss", "tie_break": "validation article AUROC"}})
+    sinks.write_json(f"{out}/run_config.json", {"schema_version": 1, "command": " ".join(sys.argv), "arguments": {k: v for k, v in vars(a).items() if k != "run"}, "versions": _versions(spark), "config": config, "model_selection": {"metric": "validation chunk loss", "tie_break": "validation article AUROC"}})
     sinks.write_json(f"{out}/training_history.json", {"epochs": history})
     validation = score(part("validation"))
     best = A.choose_threshold(A.checked(A.article_scores(validation).withColumn("threshold", F.lit(0.5))), a.threshold_objective).first()
@@ -356,7 +364,7 @@ def parser() -> argparse.ArgumentParser:
     count, share, above = _number(int, 1), _number(float, 0, 1, open_high=True), _number(float, 0, open_low=True)
     roles = (("--positive", many), ("--negative", many), ("--max-length", number(count, 512)), ("--output-dir", need), ("--vocab-size", number(count, None)), ("--type-vocab-size", number(count, None)), ("--onnx-model", {}))
     command(preprocess, ("--input", {"nargs": "+", **need}), ("--output", need), ("--max-length", number(count, 512)), ("--overlap", number(_number(int, 0), 32)), ("--vocabulary", number(int, 30_000)), ("--vocabulary-file", {}), ("--status", {"choices": ("demo-only", "reconstruction")}))
-    command(train, *roles, ("--train-ratio", number(above, 0.7)), ("--validation-ratio", number(above, 0.175)), ("--test-ratio", number(above, 0.125)), ("--seed", number(int, 42)), ("--scorer", {"choices": ("logistic", "surrogate", "onnx"), "default": "logistic"}), ("--epochs", number(count, 3)), ("--train-batch-size", number(count, 1024)), ("--gradient-accumulation-steps", number(count, 1)), ("--learning-rate", number(above, 0.05)), ("--weight-decay", number(_number(float, 0), 0.025)), ("--warmup-ratio", number(share, 0.15)), ("--scheduler-type", {"choices": ("linear", "cosine", "cosine_with_restarts"), "default": "cosine"}), ("--max-grad-norm", number(above, 1.0)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
+    command(train, *roles, ("--train-ratio", number(above, 0.7)), ("--validation-ratio", number(above, 0.175)), ("--test-ratio", number(above, 0.125)), ("--seed", number(int, 42)), ("--scorer", {"choices": ("logistic", "surrogate", "onnx"), "default": "logistic"}), ("--epochs", number(count, 3)), ("--features", number(count, window_model.FEATURES)), ("--train-batch-size", number(count, 1024)), ("--gradient-accumulation-steps", number(count, 1)), ("--learning-rate", number(above, 0.05)), ("--weight-decay", number(_number(float, 0), 0.025)), ("--warmup-ratio", number(share, 0.15)), ("--scheduler-type", {"choices": ("linear", "cosine", "cosine_with_restarts"), "default": "cosine"}), ("--max-grad-norm", number(above, 1.0)), ("--threshold-objective", {"choices": A.OBJECTIVES, "default": "youden"}))
     command(evaluate, *roles, ("--threshold", number(_number(float, 0, 1), None)), ("--threshold-file", {}), ("--training-manifest", {}), ("--allow-overlap", {"action": "store_true"}), ("--model-dir", {}), ("--save-chunk-predictions", {"action": "store_true"}))
     command(sample, ("--input", need), ("--label", {"type": int, "choices": (0, 1), **need}), ("--n-articles", {"type": count, **need}), ("--output", need), ("--manifest-output", {}), ("--exclude-jsonl", many), ("--exclude-manifest", many), ("--seed", number(int, 42)), ("--max-length", number(count, 512)))
     command(analyze, ("--group", {"action": "append", **need}), ("--output-dir", need), ("--confidence-level", number(_number(float, 0, 1, open_low=True, open_high=True), 0.95)), ("--bootstrap-replicates", number(_number(int, 100), 10_000)), ("--seed", number(int, 42)))

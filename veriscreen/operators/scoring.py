@@ -92,6 +92,25 @@ def learning_rate(step: int, total: int, warmup_ratio: float, kind: str = "linea
     raise ValueError(f"unknown schedule {kind!r}")
 
 
+def learning_rates(step: Column, total: int, warmup_ratio: float, kind: str = "linear", cycles: int = 1) -> Column:
+    """learning_rate of a column of steps."""
+    warm = int(total * warmup_ratio)
+    done = (step - warm) / float(max(1, total - warm))
+    falls = {"linear": 1 - done, "cosine": 0.5 * (1 + F.cos(math.pi * done)), "cosine_with_restarts": 0.5 * (1 + F.cos(math.pi * (cycles * done - F.floor(cycles * done))))}
+    if kind not in falls:
+        raise ValueError(f"unknown schedule {kind!r}")
+    return F.when(step < warm, step / float(max(1, warm))).when(done >= 1, 0.0).otherwise(falls[kind])
+
+
+def best_epochs(histories: DataFrame, by: str, tolerance: float = 1e-9) -> DataFrame:
+    """(by, epoch): best_epoch of each history(by, epoch, loss, area). A history has as many rows as a run has epochs."""
+    none = "cast(null as struct<epoch:int,loss:double,area:double>)"
+    tie = f"abs(x.loss - kept.loss) <= greatest({tolerance!r}D * greatest(abs(x.loss), abs(kept.loss)), {tolerance!r}D)"
+    fold = f"aggregate(h, {none}, (kept, x) -> if(kept is null or if({tie}, x.area > kept.area, x.loss < kept.loss), x, kept))"
+    rows = histories.select(by, F.struct(F.col("epoch").cast("int").alias("epoch"), F.col("loss").cast("double").alias("loss"), F.col("area").cast("double").alias("area")).alias("x"))
+    return rows.groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("h")).select(by, F.expr(fold)["epoch"].alias("epoch"))
+
+
 def best_epoch(history: list[tuple[int, float, float]], tolerance: float = 1e-9) -> int | None:
     """The epoch that checkpoint selection keeps, of (epoch, validation loss, AUROC) in order: a lower loss wins; within
     the relative tolerance the higher AUROC does, and its loss becomes the one to beat."""

@@ -205,9 +205,12 @@ def archived_blob_violations(spark, sf_dir):
     return release.blob_violations(found, expected)
 
 
-@query("SELECT * FROM (VALUES ('first group', 'a/b=c.jsonl'), ('second', '/d e.jsonl')) t(name, path)")
+@query("SELECT lang || ' group' AS name, lang || '/b=' || count(*) || '.jsonl' AS path FROM documents GROUP BY lang")
 def group_specifications(spark, sf_dir):
-    return spark.createDataFrame(list(files.group_specs([" first group =a/b=c.jsonl", "second=/d e.jsonl"]).items()), "name string, path string")
+    """Groups as a command names them, one for each language; only the first equals sign counts."""
+    langs = table(spark, sf_dir, "documents").groupBy("lang").count().orderBy("lang").collect()  # a row a language
+    specs = files.group_specs([f" {r.lang} group ={r.lang}/b={r['count']}.jsonl" for r in langs])
+    return spark.createDataFrame(list(specs.items()), "name string, path string")
 
 
 @query("WITH i AS (SELECT DISTINCT doc_id AS d FROM documents), p AS (SELECT d, (row_number() OVER (ORDER BY d) - 1) // 100 AS batch FROM i) SELECT batch, count(*) AS n, md5(string_agg(d::VARCHAR, ',' ORDER BY d)) AS ids_md5 FROM p GROUP BY batch")
@@ -296,29 +299,35 @@ def chunk_model_scores(spark, sf_dir):
     def scorer():
         import numpy as np
 
-        return lambda batch: 1 / (1 + np.exp(-(np.array([(sum(x) + sum(m)) % 97 - 48 for x, m in zip(batch["input_ids"], batch["attention_mask"])], float) / 16)))
+        def score(batch):
+            if not len(batch):
+                return np.zeros(0)
+            size = batch["input_ids"].map(len).to_numpy()
+            ids, mask = (np.concatenate(batch[c].to_list()).astype(np.int64) for c in ("input_ids", "attention_mask"))
+            total = np.bincount(np.repeat(np.arange(len(size)), size), ids + mask, len(size))
+            return 1 / (1 + np.exp(-(total % 97 - 48) / 16))
+
+        return score
 
     return rounded(scoring.score_batches(rows, scorer, ("input_ids", "attention_mask")))
 
 
-@query("""WITH s AS (SELECT unnest(range(0, 121))::INTEGER AS step), d AS (SELECT step, (step - 12)::DOUBLE / 88 AS x FROM s)
-SELECT step, kind, round(CASE WHEN step < 12 THEN step / 12.0 WHEN x >= 1 THEN 0 WHEN kind = 'linear' THEN 1 - x WHEN kind = 'cosine' THEN 0.5 * (1 + cos(pi() * x)) ELSE 0.5 * (1 + cos(pi() * (3 * x - floor(3 * x)))) END, 6) AS factor FROM d, (VALUES ('linear'), ('cosine'), ('cosine_with_restarts')) k(kind)""")
+@query("""WITH s AS (SELECT doc_id AS pmid, (doc_id % 121)::INTEGER AS step FROM documents), d AS (SELECT pmid, step, (step - 12)::DOUBLE / 88 AS x FROM s)
+SELECT pmid, step, kind, round(CASE WHEN step < 12 THEN step / 12.0 WHEN x >= 1 THEN 0 WHEN kind = 'linear' THEN 1 - x WHEN kind = 'cosine' THEN 0.5 * (1 + cos(pi() * x)) ELSE 0.5 * (1 + cos(pi() * (3 * x - floor(3 * x)))) END, 6) AS factor FROM d, (VALUES ('linear'), ('cosine'), ('cosine_with_restarts')) k(kind)""")
 def learning_rate_factors(spark, sf_dir):
-    rows = [(step, kind, float(scoring.learning_rate(step, 100, 0.12, kind, 3))) for step in range(121) for kind in ("linear", "cosine", "cosine_with_restarts")]
-    return rounded(spark.createDataFrame(rows, "step int, kind string, factor double"))
+    """Articles take their turns in steps; the factor of each one's step by three schedules."""
+    rows = Q._ids(spark, sf_dir).withColumn("step", (F.col("pmid") % 121).cast("int"))
+    kinds = ("linear", "cosine", "cosine_with_restarts")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), scoring.learning_rates(F.col("step"), 100, 0.12, k, 3).alias("factor")) for k in kinds))).alias("x")
+    return rounded(rows.select("pmid", "step", each).select("pmid", "step", "x.kind", "x.factor"))
 
 
 @query("WITH h AS (SELECT source, (doc_id % 9)::INTEGER AS epoch, round(avg(n_chars % 50), 1) AS loss, round(avg(n_chars % 7), 1) AS area FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY loss, area DESC, epoch) AS k FROM h) SELECT source, epoch FROM r WHERE k = 1")
 def checkpoint_choice(spark, sf_dir):
     """The epoch that selection keeps, for each source a history of nine."""
-    from collections import defaultdict
-
     n = F.col("n_chars")
     rows = table(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % 9).cast("int").alias("epoch")).agg(F.round(F.avg(n % 50), 1).alias("loss"), F.round(F.avg(n % 7), 1).alias("area"))
-    history = defaultdict(list)
-    for r in rows.orderBy("source", "epoch").collect():  # nine rows a source
-        history[r.source].append((r.epoch, r.loss, r.area))
-    return spark.createDataFrame([(k, scoring.best_epoch(v)) for k, v in history.items()], "source string, epoch int")
+    return scoring.best_epochs(rows, "source")
 
 
 @query(f"WITH t AS (SELECT doc_id, lang || ' ' || source || ' ' || doc_id AS t FROM documents), c AS (SELECT doc_id, string_split(t, ' ') AS w FROM t), i AS (SELECT doc_id, flatten(list_transform(w, lambda x: list_transform(range(1, length(x) + 1), lambda i: 2 + instr('{LETTERS}', substr(x, i::BIGINT, 1)) - 1 + CASE WHEN i > 1 THEN {len(LETTERS)} ELSE 0 END))) AS ids FROM c) SELECT doc_id, array_to_string(ids, ',') AS ids FROM i")
