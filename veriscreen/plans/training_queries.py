@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import shuffle, text
+from .. import cli
 from ..operators import training
+from ..sources import storage
 from ..sources.scratch import materialized
+from . import command_queries as C
 from . import queries as Q
+from .file_queries import _lines
 from .queries import query, rounded
 
 SETTINGS = training.Settings(epochs=2, batch_size=48, accumulation=3)
 FEATURES = 4
 
+_TEXTS = f"t AS (SELECT pmid, label, list_transform({Q.WORDS}, lambda x: length(x)) AS w FROM l)"
 _WINDOWS = f"""{Q.SQL_LABELLED},
-t AS (SELECT pmid, label, list_transform({Q.WORDS}, lambda x: length(x)) AS w FROM l),
+{_TEXTS},
 k AS (SELECT *, len(w) AS n FROM t),
 c AS (SELECT pmid, label, w, unnest(range(0, {Q._K}))::INTEGER AS chunk_index FROM k),
 x AS (SELECT pmid, chunk_index, label, w[chunk_index * {Q.STEP} + 1 : chunk_index * {Q.STEP} + {Q.CAP}] AS ids, row_number() OVER (ORDER BY md5(pmid || ':' || chunk_index)) - 1 AS row FROM c),
@@ -82,13 +89,16 @@ FROM (SELECT k, total, warm, per_epoch, w, m, v, CASE WHEN k % per_epoch = 0 THE
 _COUNTS = ", ".join(f"len(list_filter(ids, lambda y: y % {FEATURES} = {j})) / sqrt(len(ids)) AS x{j}" for j in range(FEATURES))
 
 
-@query(f"""WITH RECURSIVE {_WINDOWS}, {_ORDERS}, p AS ({_PLACED}),
+_WEIGHTS = f"""{_ORDERS}, p AS ({_PLACED}),
 q AS (SELECT epoch, row, place // {SETTINGS.batch_size} AS batch FROM p),
 f AS (SELECT epoch, batch // {SETTINGS.accumulation} AS step, label, {_COUNTS},
 1.0::DOUBLE / (least({SETTINGS.batch_size}, n - batch * {SETTINGS.batch_size}) * least({SETTINGS.accumulation}, ceil(n / {SETTINGS.batch_size})::BIGINT - (batch // {SETTINGS.accumulation}) * {SETTINGS.accumulation})) AS share FROM q JOIN x USING (row), z),
 s AS (SELECT 0 AS k, 2 * ceil(ceil(n / {SETTINGS.batch_size}) / {SETTINGS.accumulation})::BIGINT AS total, floor(2 * ceil(ceil(n / {SETTINGS.batch_size}) / {SETTINGS.accumulation}) * {SETTINGS.warmup_ratio})::BIGINT AS warm, ceil(ceil(n / {SETTINGS.batch_size}) / {SETTINGS.accumulation})::BIGINT AS per_epoch,
 0.0::DOUBLE AS loss, [0.0, 0, 0, 0, 0]::DOUBLE[] AS m, [0.0, 0, 0, 0, 0]::DOUBLE[] AS v, [0.0, 0, 0, 0, 0]::DOUBLE[] AS w FROM z
-UNION ALL {_STEP})
+UNION ALL {_STEP})"""
+
+
+@query(f"""WITH RECURSIVE {_WINDOWS}, {_WEIGHTS}
 SELECT (k // per_epoch)::INTEGER AS epoch, k::INTEGER AS optimizer_steps, round(loss / n, 6) AS train_loss, round(w[1], 6) AS w0, round(w[2], 6) AS w1, round(w[3], 6) AS w2, round(w[4], 6) AS w3, round(w[5], 6) AS bias FROM s, z WHERE k > 0 AND k % per_epoch = 0""")
 def training_weights(spark, sf_dir):
     """Weights of a model of four features and its training loss after each of two epochs: batches of 48 windows, three a step, the last step of fewer."""
@@ -98,3 +108,33 @@ def training_weights(spark, sf_dir):
         loss = training.train_epoch(spark, windows, n, state, SETTINGS, epoch)
         out.append((epoch, state.step, loss, *state.weights.tolist()))
     return rounded(spark.createDataFrame(out, "epoch int, optimizer_steps int, train_loss double, w0 double, w1 double, w2 double, w3 double, bias double"))
+
+
+_FITTED = f"""WITH RECURSIVE l AS (SELECT d.doc_id AS pmid, source || ' ' || coalesce(text, '') AS text, quality AS label FROM documents d JOIN labels USING (doc_id)),
+{_TEXTS},
+k AS (SELECT *, len(w) AS n FROM t),
+c AS (SELECT pmid, label, w, unnest(range(0, {Q._K}))::INTEGER AS chunk_index FROM k),
+al AS (SELECT pmid, chunk_index, label, w[chunk_index * {Q.STEP} + 1 : chunk_index * {Q.STEP} + {Q.CAP}] AS ids FROM c),
+x AS (SELECT al.*, row_number() OVER (ORDER BY md5(pmid || ':' || chunk_index)) - 1 AS row FROM al JOIN sp0 USING (pmid) WHERE split = 'train'),
+z AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM x),
+{_WEIGHTS},
+ep AS (SELECT k // per_epoch AS epoch, w FROM s WHERE k > 0 AND k % per_epoch = 0),
+pr AS (SELECT epoch, pmid, label, 1 / (1 + exp(-({_W}))) AS p FROM ep, (SELECT *, {_COUNTS} FROM al)),
+vl AS (SELECT epoch, avg(-ln(greatest(CASE WHEN label = 1 THEN p ELSE 1 - p END, 1e-12))) AS loss FROM pr JOIN sp0 USING (pmid) WHERE split = 'validation' GROUP BY epoch)
+SELECT pmid, any_value(label) AS label, avg(p) AS m FROM pr WHERE epoch = (SELECT epoch FROM vl ORDER BY loss, epoch LIMIT 1) GROUP BY pmid"""
+
+
+@query(f"WITH {C._SPLIT}, a0 AS ({_FITTED}), {C._THRESHOLD} SELECT {C._METRICS} FROM a0 JOIN sp0 USING (pmid), best WHERE split = 'test' GROUP BY t")
+def command_train_fitted(spark, sf_dir):
+    """The training command with the model that it fits: two epochs over four features, the better one by its validation loss, a threshold on the validation part, counts of the test part."""
+    rows = Q.labelled(spark, sf_dir)
+    ids = F.transform(text.tokens(F.concat_ws(" ", "source", F.coalesce("text", F.lit("")))), lambda x: F.length(x))
+    rows = text.windows(rows.select(F.col("pmid").cast("string").alias("pmid"), "label", ids.alias("ids")), "ids", Q.MAX_LENGTH, Q.OVERLAP)
+    size = F.size("chunk")
+    rows = rows.select("pmid", "chunk_index", "label", F.col("chunk").alias("input_ids"), F.array_repeat(F.lit(1), size).alias("attention_mask"), F.array_repeat(F.lit(0), size).alias("token_type_ids"))
+    roles = {label: _lines(rows.where(F.col("label") == label), f"fitted-{label}") for label in (0, 1)}
+    out = C._folder(spark, "fitted")
+    settings = ["--epochs", SETTINGS.epochs, "--train-batch-size", SETTINGS.batch_size, "--gradient-accumulation-steps", SETTINGS.accumulation, "--features", FEATURES]
+    cli.main(["train", "--positive", roles[1], "--negative", roles[0], "--max-length", str(Q.MAX_LENGTH), "--output-dir", out, "--train-ratio", "0.8", "--validation-ratio", "0.1", "--test-ratio", "0.1", *map(str, settings)], spark)
+    found = json.loads(storage.read(f"{out}/internal_results.json"))
+    return C._counts(spark, found["metrics"], found["threshold"])
