@@ -39,7 +39,7 @@ def _load(spark: SparkSession, a, config: dict | None = None) -> tuple[DataFrame
         raise ValueError(f"--max-length={a.max_length} exceeds the model's {config['max_length']}")
     rows = corpus.with_defaults(files.labelled_chunks(spark, a.positive, a.negative))
     limits = {"vocabulary": config.get("vocab_size") or a.vocab_size, "types": config.get("type_vocab_size") or a.type_vocab_size}
-    return corpus.validated(rows, max_length=a.max_length, **limits), corpus.load_stats(rows)
+    return materialized(corpus.validated(rows, max_length=a.max_length, **limits), "windows"), corpus.load_stats(rows)
 
 
 def _inputs(spark: SparkSession, paths) -> list[dict]:
@@ -163,7 +163,7 @@ def evaluate(spark: SparkSession, a) -> None:
 
 def sample(spark: SparkSession, a) -> None:
     role = {"positive": [a.input], "negative": []} if a.label else {"positive": [], "negative": [a.input]}
-    chunks = corpus.validated(corpus.with_defaults(files.labelled_chunks(spark, **role)), max_length=a.max_length)
+    chunks = materialized(corpus.validated(corpus.with_defaults(files.labelled_chunks(spark, **role)), max_length=a.max_length), "windows")
     excluded = spark.createDataFrame([], "pmid string")
     if a.exclude_jsonl:
         excluded = excluded.union(files.json_ids(spark, a.exclude_jsonl))
@@ -263,7 +263,7 @@ def recover(spark: SparkSession, a) -> None:
         if not storage.exists(path):
             raise FileNotFoundError(path)
         rows = files.json_lines(spark, [path])
-        files.strict(rows.withColumn("valid", F.lit(True)), {"not a numeric id": ~F.col("pmid").rlike(cohorts.NUMERIC_ID)})
+        files.meeting(rows, {"not a numeric id": ~F.col("pmid").rlike(cohorts.NUMERIC_ID)})
         counts = rows.agg(F.count("*").alias("rows"), F.countDistinct("pmid").alias("ids"))
         own = files.fingerprints(spark, [path]).select(F.lit(r.path).alias("name"), "size", "git_sha1", "sha256").crossJoin(counts)  # a row each
         found = own if found is None else found.union(own)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import clean_id, stripped
 from ..operators.cohorts import NUMERIC_ID
 from . import documents, storage
+from .scratch import materialized
 
 IDS = T.ArrayType(T.IntegerType())
 CHUNK = T.StructType([T.StructField("pmid", T.StringType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("label", T.IntegerType()), *(T.StructField(c, IDS) for c in ("input_ids", "attention_mask", "token_type_ids"))])
@@ -47,9 +48,14 @@ def parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def strict(rows: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
-    """rows, or InvalidInput with the first 20 lines that are not valid or meet a rule's condition."""
-    named = {"invalid JSON": ~F.col("valid"), **(rules or {})}
-    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in named.items())))
+    """rows as a table, or InvalidInput with the first 20 lines that are not valid or meet a rule's condition. The input is read and parsed once: its rows are
+    written to the shared folder, and the check and all that follows read them there."""
+    return meeting(materialized(rows, "lines"), {"invalid JSON": ~F.col("valid"), **(rules or {})})
+
+
+def meeting(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rows, or InvalidInput with the first 20 of rows(path, line, ...) that meet a rule's condition."""
+    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in rules.items())))
     bad = rows.select("path", "line", F.element_at(F.concat(found, F.array(F.lit(""))), 1).alias("rule")).where("rule <> ''")
     if first := bad.orderBy("path", "line").limit(20).collect():
         raise InvalidInput("; ".join(f"{r.path}:{r.line}: {r.rule}" for r in first))
@@ -74,14 +80,14 @@ def labelled_chunks(spark: SparkSession, positive: Sequence[str] = (), negative:
     for label in (1, 0):
         paths = [p for p, own in role_paths(positive, negative) if own == label]
         if paths:
-            rows = strict(parsed(numbered_lines(spark, paths), CHUNK)).withColumn("original_label", F.col("label")).withColumn("label", F.lit(label))
+            rows = strict(parsed(numbered_lines(spark, paths), CHUNK).drop("value")).withColumn("original_label", F.col("label")).withColumn("label", F.lit(label))
             out = rows if out is None else out.unionByName(rows)
     return out.withColumn("pmid", clean_id(F.col("pmid"))).select("path", "line", "pmid", "chunk_index", "label", "original_label", "input_ids", "attention_mask", "token_type_ids")
 
 
 def json_ids(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Distinct trimmed pmids of JSON lines; a missing or empty one is an error."""
-    rows = parsed(numbered_lines(spark, paths), T.StructType([T.StructField("pmid", T.StringType())])).withColumn("pmid", clean_id(F.col("pmid")))
+    rows = parsed(numbered_lines(spark, paths), T.StructType([T.StructField("pmid", T.StringType())])).drop("value").withColumn("pmid", clean_id(F.col("pmid")))
     return strict(rows, {"missing or empty pmid": F.coalesce(F.col("pmid"), F.lit("")) == ""}).select("pmid").distinct()
 
 
@@ -96,7 +102,7 @@ def numeric_json_ids(spark: SparkSession, paths: Sequence[str], input_format: st
     they say."""
     if input_format == "jsonl":
         rows = json_lines(spark, paths)
-        strict(rows.withColumn("valid", F.lit(True)), {"not a numeric id": ~F.col("pmid").rlike(NUMERIC_ID)})
+        meeting(rows, {"not a numeric id": ~F.col("pmid").rlike(NUMERIC_ID)})
         return rows.select("pmid").distinct()
     if input_format != "sampling-manifest":
         raise ValueError(f"unknown input format {input_format!r}")
@@ -116,7 +122,7 @@ def raw_articles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     rows = parsed(numbered_lines(spark, paths), ARTICLE)
     demo = F.col("data_status") == "demo-only"
     form = F.when(demo, F.col("pmid").startswith("DEMO-")).otherwise(F.col("pmid").rlike("^[0-9]+\\z"))
-    strict(rows, {"id does not fit data_status": ~F.coalesce(form, F.lit(False)), "label": ~F.col("label").isin(0, 1), "no text": stripped(F.concat("title", "abstract")) == ""})
+    rows = strict(rows.drop("value"), {"id does not fit data_status": ~F.coalesce(form, F.lit(False)), "label": ~F.col("label").isin(0, 1), "no text": stripped(F.concat("title", "abstract")) == ""})
     if twice := rows.groupBy("pmid").count().where("count > 1").limit(5).collect():
         raise InvalidInput("duplicate pmid " + ", ".join(r.pmid for r in twice))
     return rows.select("pmid", "title", "abstract", "data_status", "label")
@@ -126,7 +132,7 @@ def predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Article predictions: all columns in range, decisions as the threshold says, ids once, at least one row."""
     rows = parsed(numbered_lines(spark, paths), PREDICTION)
     p, t = F.col("mean_positive_probability"), F.col("threshold")
-    strict(rows, {
+    rows = strict(rows.drop("value"), {
         "missing pmid": F.coalesce(F.col("pmid"), F.lit("")) == "", "label": ~F.col("label").isin(0, 1), "prediction": ~F.col("prediction").isin(0, 1), "n_chunks": F.col("n_chunks") < 1,
         "probability": F.isnan(p) | (p < 0) | (p > 1), "threshold": F.isnan(t) | (t < 0) | (t > 1), "prediction is not score >= threshold": F.col("prediction") != (p >= t).cast("int"),
     })
@@ -134,7 +140,7 @@ def predictions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         raise InvalidInput("no predictions")
     if twice := rows.groupBy("pmid").count().where("count > 1").limit(5).collect():
         raise InvalidInput("duplicate pmid " + ", ".join(r.pmid for r in twice))
-    return rows.drop("path", "line", "value", "valid")
+    return rows.drop("path", "line", "valid")
 
 
 def id_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
