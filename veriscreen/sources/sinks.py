@@ -11,7 +11,7 @@ from . import documents, storage
 from .scratch import drop, scratch
 from .storage import new_dir
 
-__all__ = ["fmt", "new_dir", "preprocess_manifest", "report", "write_id_file", "write_ids", "write_json", "write_jsonl", "write_lines", "write_ordered", "write_retrieval_manifest", "write_sampling_manifest", "write_split_manifest"]
+__all__ = ["fmt", "new_dir", "preprocess_manifest", "report", "retrieval_manifest", "write_id_file", "write_ids", "write_json", "write_jsonl", "write_lines", "write_ordered", "write_retrieval_manifest", "write_sampling_manifest", "write_split_manifest"]
 
 
 def write_json(path: str, payload: dict) -> None:
@@ -92,9 +92,21 @@ def preprocess_manifest(articles: DataFrame, chunks: DataFrame, parameters: dict
     return {"schema_version": 1, "articles": articles.count(), "chunks": chunks.count(), "parameters": parameters, "tokenizer_files": files}
 
 
+def _retrieval(articles: DataFrame, requested: int, endpoint: str, time: str) -> dict:
+    return {"schema_version": 1, "data_status": "reconstruction", "endpoint": endpoint, "retrieved_at": time, "requested": requested, "retrieved": articles.count()}
+
+
+def _without_abstract(articles: DataFrame) -> tuple[DataFrame, list]:
+    return articles.where("abstract = ''").select(F.col("pmid").alias("value")), [F.length("value"), "value"]
+
+
+def retrieval_manifest(articles: DataFrame, requested: int, endpoint: str, time: str, hashes: dict[str, str]) -> dict:
+    """The manifest of a small retrieval: its ids without an abstract come to the driver."""
+    rows, order = _without_abstract(articles)
+    return _retrieval(articles, requested, endpoint, time) | {"sha256": hashes, "missing_abstracts": [r.value for r in rows.orderBy(*order).collect()]}
+
+
 def write_retrieval_manifest(path: str, articles: DataFrame, responses: DataFrame, requested: int, endpoint: str, time: str) -> None:
-    """What a retrieval asked for and got: the hash of each response(batch, attempts, xml), and the ids that have no abstract."""
+    """What a retrieval asked for and got: the hash of each response(batch, attempts, xml), and the ids that have no abstract. Both lists are written by tasks."""
     raw = responses.select("batch", "attempts", F.sha2("xml", 256).alias("sha256"))
-    missing = articles.where("abstract = ''").select(F.col("pmid").alias("value"))
-    head = {"schema_version": 1, "data_status": "reconstruction", "endpoint": endpoint, "retrieved_at": time, "requested": requested, "retrieved": articles.count()}
-    documents.write(path, head, {"raw_xml": (raw, ["batch"]), "missing_abstracts": (missing, [F.length("value"), "value"])})
+    documents.write(path, _retrieval(articles, requested, endpoint, time), {"raw_xml": (raw, ["batch"]), "missing_abstracts": _without_abstract(articles)})
