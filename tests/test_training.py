@@ -126,3 +126,13 @@ def test_a_step_reads_only_its_own_windows(spark):
     assert sizes == {(k // 2, k): 4 if k < 7 else 2 for k in range(8)}
     shares = {r.step: r.s for r in dealt.groupBy("step").agg(F.sum("share").alias("s")).collect()}
     assert shares == pytest.approx({k: 1.0 for k in range(4)})
+
+
+def test_schedules_and_choice_as_columns(spark):
+    for kind in ("linear", "cosine", "cosine_with_restarts"):
+        rows = spark.range(0, 130).select("id", scoring.learning_rates(F.col("id"), 100, 0.12, kind, 3).alias("f")).collect()
+        assert [r.f for r in rows] == pytest.approx([scoring.learning_rate(r.id, 100, 0.12, kind, 3) for r in rows], abs=1e-12)
+    rng = random.Random(3)
+    histories = {f"h{k}": [(e, rng.choice([0.5, 0.5 + 1e-12, 0.4, 0.6]), rng.choice([0.7, 0.8])) for e in range(1, 7)] for k in range(30)}
+    df = spark.createDataFrame([(k, *x) for k, own in histories.items() for x in own], "run string, epoch int, loss double, area double").repartition(4)
+    assert {r.run: r.epoch for r in scoring.best_epochs(df, "run").collect()} == {k: scoring.best_epoch(own) for k, own in histories.items()}
