@@ -136,3 +136,22 @@ def test_schedules_and_choice_as_columns(spark):
     histories = {f"h{k}": [(e, rng.choice([0.5, 0.5 + 1e-12, 0.4, 0.6]), rng.choice([0.7, 0.8])) for e in range(1, 7)] for k in range(30)}
     df = spark.createDataFrame([(k, *x) for k, own in histories.items() for x in own], "run string, epoch int, loss double, area double").repartition(4)
     assert {r.run: r.epoch for r in scoring.best_epochs(df, "run").collect()} == {k: scoring.best_epoch(own) for k, own in histories.items()}
+
+
+@pytest.mark.parametrize("run", [1, 50, 1 << 16])
+def test_small_steps_are_taken_in_runs(spark, monkeypatch, run):
+    """Jobs are as many as runs of windows, not as steps; weights do not depend on how steps are cut into runs."""
+    monkeypatch.setattr(training, "RUN", run)
+    settings, rows = training.Settings(epochs=2, batch_size=3, accumulation=2), made(121, seed=9)
+    windows = training.windows_in_order(frame(spark, rows)).cache()
+    windows.count()
+    state, losses, jobs = training.AdamW(np.zeros(9)), [], []
+    for epoch in (1, 2):
+        spark.sparkContext.setJobGroup(f"epoch-{run}-{epoch}", "")
+        losses.append(training.train_epoch(spark, windows, len(rows), state, settings, epoch))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"epoch-{run}-{epoch}")))
+    want, weights = plain(rows, settings, 8)
+    assert losses == pytest.approx(want, abs=1e-9) and state.weights == pytest.approx(weights, abs=1e-8) and state.step == 42
+    if run == 1 << 16:
+        assert max(jobs) < settings.steps(len(rows))
+    windows.unpersist()

@@ -1,10 +1,12 @@
 """An epoch of AdamW over token windows, spread over the cluster.
 
 Windows are numbered once. An epoch deals them in a seeded order to batches of equal size: each row computes its place by a keyed
-permutation (functions/shuffle.py), and one shuffle writes the windows by optimiser step. A step is one job: tasks compute the gradient of
-their windows at the step's weights, which are broadcast and of fixed size, sums are merged feature by feature (within a
-task, then within the shuffle), and the driver gets at most a number a feature. Steps follow each other, as stochastic gradients do, so a batch should
-grow with the corpus: an epoch of some hundred steps costs little beyond its reading.
+permutation (functions/shuffle.py), and one shuffle writes the windows in this order. Steps follow each other, as stochastic gradients do; what a job does
+depends on how large they are. A large step is one job: tasks compute the gradient of their windows at the step's weights, which are broadcast and of fixed
+size, sums are merged feature by feature (within a task, then within the shuffle), and the driver gets at most a number a feature. Small steps are taken in
+runs of about RUN windows: tasks fold each window's tokens into counts of features before the shuffle, then a job takes a run, whose windows stream in
+order through one task that carries the state from step to step; state goes on to the next run. So an epoch has a job for RUN windows, however small its
+steps are, and no task sees more than a run.
 
 The model is logistic: a token counts for the feature of its id modulo `features`, weighted by one over the root of the window's length. Loss and
 gradient are means over a batch; `accumulation` batches make a step, whose gradient is the mean over as many batches as the step has, so the last one of an
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import numbered
 from ..functions.shuffle import shuffled
-from ..sources.scratch import drop, scratch
+from ..sources.scratch import drop, materialized, scratch
 from . import scoring
 
 SLICE = 50_000  # windows of a step that a task takes, about
+RUN = 1 << 16  # windows of a run of small steps, about
 LOSS, ROWS = -1, -2  # beside the features
 
 
@@ -104,7 +107,8 @@ def logits(weights: np.ndarray, ids: pa.Array) -> np.ndarray:
 def windows_in_order(chunks: DataFrame) -> DataFrame:
     """(row, label, input_ids): windows numbered from 0 by a hash of article and window."""
     key = F.md5(F.concat_ws(":", F.col("pmid").cast("string"), F.col("chunk_index").cast("string")).cast("binary"))
-    return numbered(chunks.select("pmid", "chunk_index", F.col("label").cast("int").alias("label"), "input_ids"), key, "row")
+    own = materialized(chunks.select("pmid", "chunk_index", F.col("label").cast("int").alias("label"), "input_ids"), "windows")  # numbering reads them a few times
+    return numbered(own, key, "row")
 
 
 def dealt(rows: DataFrame, n: int, settings: Settings, epoch: int) -> DataFrame:
@@ -138,11 +142,95 @@ def gradients(rows: DataFrame, weights) -> DataFrame:
     return rows.select("label", "input_ids", "share").mapInArrow(run, "feature long, g double").groupBy("feature").agg(F.sum("g").alias("g"))
 
 
+def _counted(rows: DataFrame, features: int) -> DataFrame:
+    """rows with the different features of each window's tokens and their weights in the window instead of input_ids."""
+    from pyspark.sql import types as T
+
+    kept = [f for f in rows.schema if f.name != "input_ids"]
+    schema = T.StructType([*kept, T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("parts", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("input_ids")
+            window, feature, _ = flat(ids, features)
+            own, count = np.unique(window * features + feature, return_counts=True)
+            size = np.maximum(np.diff(ids.offsets.to_numpy()), 1)
+            offsets = pa.array(np.searchsorted(own, np.arange(len(ids) + 1) * features).astype(np.int32))
+            parts = count / np.sqrt(size)[own // features]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((own % features).astype(np.int32), parts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *lists], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _run_of_steps(rows: DataFrame, state, settings: Settings, before: int, total: int) -> DataFrame:
+    """One row: weights, moments, summed loss and number of rows after the steps of rows(step, label, share, features, parts), which lie in order in one
+    partition. before: steps of the epochs before, total: of all epochs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, loss, count = state.value.copy(), None, 0.0, 0
+        gradient = np.zeros(len(own.weights))
+
+        def taken() -> None:
+            own.update(gradient, settings.learning_rate * scoring.learning_rate(before + at, total, settings.warmup_ratio, settings.scheduler), settings)
+
+        for batch in batches:
+            step, y, share = (batch.column(k).to_numpy() for k in range(3))
+            offsets = batch.column(3).offsets.to_numpy()
+            feature, part = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+            offsets = offsets - offsets[0]
+            window = np.repeat(np.arange(len(step)), np.diff(offsets))
+            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if at is not None and step[a] != at:
+                    taken()
+                    gradient[:] = 0
+                at = int(step[a])
+                some = slice(offsets[a], offsets[b])
+                f, x, at_window = feature[some], part[some], window[some] - a
+                z = np.bincount(at_window, own.weights[f] * x, b - a) + own.weights[-1]
+                d = (1 / (1 + np.exp(-z)) - y[a:b]) * share[a:b]
+                gradient[:-1] += np.bincount(f, d[at_window] * x, len(gradient) - 1)
+                gradient[-1] += d.sum()
+                loss += float(np.logaddexp(0, np.where(y[a:b] == 1, -z, z)).sum())
+                count += b - a
+        if at is not None:
+            taken()
+            yield pa.RecordBatch.from_arrays([*(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (own.weights, own.first, own.second)), pa.array([loss]), pa.array([count])], ["weights", "first", "second", "loss", "count"])
+
+    return rows.select("step", "label", "share", "features", "parts").mapInArrow(run, "weights array<double>, first array<double>, second array<double>, loss double, count long")
+
+
+def _by_runs(spark: SparkSession, windows: DataFrame, n: int, state: AdamW, settings: Settings, epoch: int, per_run: int) -> float:
+    """train_epoch where per_run steps make a run."""
+    path, steps = scratch(spark, "epoch"), settings.steps(n)
+    rows = _counted(dealt(windows, n, settings, epoch).select("place", "step", "label", "share", "input_ids"), len(state.weights) - 1)
+    runs = -(-steps // per_run)
+    rows = rows.withColumn("run", F.floor(F.col("step") / per_run))
+    rows.repartition(min(runs, 1000), "run").sortWithinPartitions("run", "place").write.partitionBy("run").parquet(path)
+    table = spark.read.schema("place long, step long, label int, share double, features array<int>, parts array<double>, run long").parquet(path)
+    total, count = 0.0, 0
+    for run in range(runs):
+        held = spark.sparkContext.broadcast(state)
+        own = table.where(F.col("run") == run).coalesce(1).sortWithinPartitions("place")
+        r = _run_of_steps(own, held, settings, (epoch - 1) * steps, settings.epochs * steps).first()  # three numbers a feature
+        held.destroy()
+        state.weights, state.first, state.second = (np.array(x) for x in (r.weights, r.first, r.second))
+        state.step += min(per_run, steps - run * per_run)
+        total, count = total + r.loss, count + r["count"]
+    drop(spark, path)
+    return total / count
+
+
 def train_epoch(spark: SparkSession, windows: DataFrame, n: int, state: AdamW, settings: Settings, epoch: int) -> float:
     """One epoch (from 1) over n windows(row, label, input_ids), which should be a table. state goes on; returns the mean loss over the epoch's windows, each
     at the weights of its step."""
     if not n:
         raise ValueError("there are no windows to train on")
+    if (per_run := RUN // (settings.batch_size * settings.accumulation)) > 1:
+        return _by_runs(spark, windows, n, state, settings, epoch, per_run)
     path, steps = scratch(spark, "epoch"), settings.steps(n)
     per_step = settings.batch_size * settings.accumulation
     rows = dealt(windows, n, settings, epoch).withColumn("slice", F.col("place") % max(1, per_step // SLICE))
