@@ -98,3 +98,34 @@ def test_groups_without_rows(spark):
     assert audit.resampled(spark.createDataFrame([], "g string, pmid long, x double"), "g", "x", 100).collect() == []
     with pytest.raises(ValueError, match="100 replicates"):
         audit.resampled(spark.createDataFrame([("a", 1, 1.0)], "g string, pmid long, x double"), "g", "x", 99)
+
+
+@pytest.mark.parametrize("n, leaf", [(1_003, 50), (997, 16), (16, 16), (5, 16)])
+def test_a_block_of_leaves_has_the_counts_of_its_leaves(monkeypatch, n, leaf):
+    key, leaves = mixed(np.arange(200, dtype=np.int64) ^ 5), -(-n // leaf)
+    for start, stop in ((0, leaves), (leaves // 2, leaves), (leaves // 3, leaves // 3 + 1)):
+        counts, keys = resampling.block_counts(n, leaf, start, stop, key)
+        for k in range(start, stop):
+            want = resampling.leaf_counts(n, leaf, k, key)
+            assert (counts[k - start] == want[0]).all() and (keys[k - start] == want[1]).all()
+    x = np.random.default_rng(2).random(n)
+    monkeypatch.setattr(resampling, "SPLITS", 300)
+    pieces = []
+    for draws in (1, 700, 1 << 20):  # sums do not depend on the pieces in which draws are made
+        monkeypatch.setattr(resampling, "DRAWS", draws)
+        pieces.append(resampling._folded(x, n, leaf, 0, 42, 200))
+    for one, two in pieces[1:]:
+        assert one == pytest.approx(pieces[0][0], rel=1e-12) and two == pytest.approx(pieces[0][1], rel=1e-12)
+
+
+def test_ranges_are_split_once_for_a_block_and_blocks_are_tasks(spark, monkeypatch):
+    calls = []
+    split = resampling.binomial
+    monkeypatch.setattr(resampling, "binomial", lambda *a: calls.append(len(a[0])) or split(*a))
+    resampling._folded(np.arange(1024.0), 1024, 16, 0, 1, 100)
+    assert sum(calls) == 63 * 100  # a split for each inner range and replicate; 6 for each of 64 leaves before
+    df = spark.createDataFrame([(g, k, k / 10) for g in "abcdef" for k in range(500)], "g string, pmid long, x double")
+    assert audit.resampled(df, "g", "x", 100).rdd.getNumPartitions() >= 1
+    monkeypatch.setattr(resampling, "BLOCK", 100)
+    plan = audit.resampled(df, "g", "x", 100, leaf=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 60" in plan.split("RepartitionByExpression")[1].split("\n")[0]

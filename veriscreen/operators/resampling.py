@@ -2,12 +2,13 @@
 
 A replicate of a group of n values is n draws with replacement. The group's values, numbered from 0, are cut into leaves of `leaf` values. How many of the
 draws fall into the left part of a range is binomial, so the tree of ranges is descended from the n draws of the whole group: at each range a
-number seeded by group, replicate and range is turned into a binomial count by its exact distribution function. A task that holds a leaf so
-finds its own count for each replicate alone, draws that many of its values, and folds them into their sum and sum of squares. What
-leaves it is a row a replicate; replicates are sums over leaves. Nothing is joined, and no draw becomes a row.
+number seeded by group, replicate and range is turned into a binomial count by its exact distribution function. A task that holds a block of leaves
+(about BLOCK values, one leaf at least) so finds its own counts for each replicate alone, and splits each range above or in its block once; it draws that many of
+its values, and folds them into their sum and sum of squares. What leaves it is a row a replicate and block; replicates are sums over blocks. Nothing is
+joined, and no draw becomes a row.
 
-The work that stays is a few machine operations a draw, in NumPy. Seeds are mixed from integers, so any engine can repeat the draws. A group of up to
-`leaf` values is one leaf.
+The work that stays is a few machine operations a draw, in NumPy, on pieces that a core's cache holds. Seeds are mixed from integers, so any engine can repeat
+the draws. A group of up to `leaf` values is one leaf.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from ..functions.shuffle import mixed
 from ..sources.scratch import materialized
 
 LEAF = 50_000
-DRAWS = 1 << 22  # draws that are held at once
+BLOCK = 1 << 14  # values of the leaves that a task takes together, about
+SPLITS = 1 << 20  # counts of leaves and replicates that are held at once
+DRAWS = 1 << 16  # draws that are held at once, or those of a replicate in a block
 LEFT, RIGHT, HIGH, LOW = 1, 2, 3, 4  # what a range's seed is mixed with: for its halves, and for its own number
 
 
@@ -36,7 +39,7 @@ def uniform(key: np.ndarray) -> np.ndarray:
 def binomial(total: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     """For each total the least k whose binomial distribution function reaches u."""
     out = np.zeros(len(total), np.int64)
-    order = np.argsort(total, kind="stable")
+    order = np.argsort(total.astype(np.uint16) if total.max(initial=0) < 1 << 16 else total, kind="stable")  # short numbers are sorted by digits
     values, starts = np.unique(total[order], return_index=True)
     odds = np.log(p) - np.log1p(-p)
     for t, own in zip(values.tolist(), np.split(order, starts[1:])):
@@ -63,21 +66,61 @@ def leaf_counts(n: int, leaf: int, index: int, key: np.ndarray) -> tuple[np.ndar
     return total, key
 
 
-def _folded(x: np.ndarray, n: int, leaf: int, index: int, seed: int, replicates: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and sum of squares of what each replicate draws of a leaf."""
-    count, key = leaf_counts(n, leaf, index, mixed(seed ^ np.arange(replicates, dtype=np.int64)))
-    one, two, square = np.zeros(replicates), np.zeros(replicates), x * x
-    upto = np.cumsum(count)
-    at = 0
-    while at < replicates:  # some replicates at once
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + DRAWS, "right")))
-        own = count[at:end]
-        which = np.repeat(np.arange(end - at), own)
-        draw = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own)
-        taken = mixed(key[at:end][which] ^ draw) % len(x)
-        one[at:end] = np.bincount(which, x[taken], end - at)
-        two[at:end] = np.bincount(which, square[taken], end - at)
-        at = end
+def block_counts(n: int, leaf: int, start: int, stop: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """leaf_counts of the leaves start .. stop - 1, a row each: the tree is descended level by level, all ranges that meet these leaves at once."""
+    first, last = np.array([0]), np.array([-(-n // leaf)])
+    total, key = np.full((1, len(key)), n, np.int64), key[None, :]
+    while (wide := last - first > 1).any():
+        middle = (first + last) // 2
+        share = (middle - first) * leaf / (np.minimum(last * leaf, n) - first * leaf)
+        left = np.zeros_like(total)
+        for p in np.unique(share[wide]).tolist():
+            own = np.flatnonzero(wide & (share == p))
+            left[own] = binomial(total[own].ravel(), p, uniform(key[own]).ravel()).reshape(len(own), -1)
+        parent = np.repeat(np.arange(len(first)), 1 + wide)
+        side = np.where(wide[parent], np.where(np.append(False, parent[1:] == parent[:-1]), RIGHT, LEFT), 0)
+        low, high = np.where(side == RIGHT, middle[parent], first[parent]), np.where(side == LEFT, middle[parent], last[parent])
+        kept = (high > start) & (low < stop)
+        parent, side, first, last = parent[kept], side[kept], low[kept], high[kept]
+        total, left, key = total[parent], left[parent], key[parent]
+        at = side > 0
+        total[at] = np.where((side[at] == LEFT)[:, None], left[at], total[at] - left[at])
+        key[at] = mixed(key[at] ^ side[at][:, None])
+    return total, key
+
+
+def _folded(x: np.ndarray, n: int, leaf: int, start: int, seed: int, replicates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and sum of squares of what each replicate draws of the leaves from `start` on that x is of."""
+    one, two = np.zeros(replicates), np.zeros(replicates)
+    leaves = -(-len(x) // leaf)
+    begin = np.arange(leaves, dtype=np.uint32) * np.uint32(min(leaf, len(x)))
+    size = np.minimum(begin.astype(np.int64) + leaf, len(x)).astype(np.uint32) - begin
+    wide, some = max(1, SPLITS // leaves), max(1, DRAWS // len(x))
+    keys = mixed(seed ^ np.arange(replicates, dtype=np.int64))
+    for a in range(0, replicates, wide):
+        counts, own = block_counts(n, leaf, start, start + leaves, keys[a : a + wide])
+        counts, own = counts.T, own.T.astype(np.uint32)
+        for b in range(0, len(counts), some):
+            count = counts[b : b + some].ravel()
+            ends = np.cumsum(count)
+            if not ends[-1]:
+                continue
+            if len(count) == 1:
+                taken = mixed(own[b, 0] ^ np.arange(ends[-1], dtype=np.uint32))
+            else:
+                taken = mixed(np.repeat(own[b : b + some].ravel(), count) ^ (np.arange(ends[-1], dtype=np.uint32) - np.repeat((ends - count).astype(np.uint32), count)))
+            if size[0] == size[-1]:
+                taken -= taken // size[0] * size[0]
+            else:
+                taken %= np.repeat(np.tile(size, len(count) // leaves), count)
+            if leaves > 1:
+                taken += np.repeat(np.tile(begin, len(count) // leaves), count)
+            drawn = x[taken]
+            each = count.reshape(-1, leaves).sum(axis=1)
+            full = np.flatnonzero(each)
+            at = (np.cumsum(each) - each)[full]
+            one[a + b + full] = np.add.reduceat(drawn, at)
+            two[a + b + full] = np.add.reduceat(drawn * drawn, at)
     return one, two
 
 
@@ -89,9 +132,11 @@ def resampled(values: DataFrame, by: str, value: str, replicates: int, seed: int
     values = materialized(numbered(values, F.md5(F.col("_id").cast("string").cast("binary")), "i", ["g"]).select("g", "i", "x"), "numbered")
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("g").cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
     sizes = values.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("middle")).withColumn("key", key)
-    index = F.floor(F.col("i") / leaf)
+    width = max(1, BLOCK // leaf) * leaf  # values of a block
+    blocks = sizes.agg(F.sum(F.ceil(F.col("n") / width))).first()[0] or 1
     rows = values.join(sizes, "g").select("g", "n", "key", "i", (F.col("x") - F.col("middle")).alias("x"))
-    rows = rows.repartition(F.xxhash64("g", index)).sortWithinPartitions("g", "i")
+    # a number of partitions is given, as few bytes are much work: adaptive execution would put all blocks into one task
+    rows = rows.repartition(min(2 * blocks, 4096), F.xxhash64("g", F.floor(F.col("i") / width))).sortWithinPartitions("g", "i")
     kind = rows.schema["g"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +148,10 @@ def resampled(values: DataFrame, by: str, value: str, replicates: int, seed: int
 
         for batch in batches:
             i, x = batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
-            edges = [0, *np.flatnonzero(i % leaf == 0).tolist(), len(i)]  # a leaf begins
+            edges = [0, *np.flatnonzero(i % width == 0).tolist(), len(i)]  # a block begins
             for a, b in zip(edges[:-1], edges[1:]):
                 if a < b:
-                    if i[a] % leaf == 0:
+                    if i[a] % width == 0:
                         if held:
                             yield folded()
                         g, n, own, index, held = batch.column(0)[a], batch.column(1)[a].as_py(), batch.column(2)[a].as_py(), int(i[a]) // leaf, []
