@@ -75,15 +75,15 @@ def preprocess(spark: SparkSession, a) -> None:
     else:
         ids = F.transform(text.tokens(whole), lambda w: (F.pmod(F.xxhash64(w), F.lit(a.vocabulary - 1000)) + 1000).cast("int"))
     text.check_windows(a.max_length - 2, a.overlap)
-    rows = rows.withColumn("ids", ids)
+    rows = materialized(rows.select("pmid", "label", "data_status", ids.alias("ids")), "tokens")  # texts are cut once; checks, sorting and writing read tokens
     if bad := rows.where(F.size("ids") < 1).limit(5).collect():
         raise ValueError(f"no tokens in {', '.join(r.pmid for r in bad)}")
     if rows.isEmpty():
         raise ValueError("no articles found")
-    spread = text.windows(rows, "ids", a.max_length, a.overlap)
+    spread = text.windows(rows.orderBy("pmid"), "ids", a.max_length, a.overlap)  # an article's windows follow each other: articles are sorted, not windows
     whole, mask, kinds = text.wrap(F.col("chunk"), cls, sep)
-    sinks.write_ordered(spread.select("pmid", "chunk_index", "label", "data_status", whole.alias("input_ids"), mask.alias("attention_mask"), kinds.alias("token_type_ids")), a.output)
-    made = spark.read.schema("pmid string").json(a.output)
+    sinks.write_jsonl(spread.select("pmid", "chunk_index", "label", "data_status", whole.alias("input_ids"), mask.alias("attention_mask"), kinds.alias("token_type_ids")), a.output)
+    made = spark.read.text(a.output)  # a line a window
     parameters = {"max_length": a.max_length, "overlap_content_tokens": a.overlap, "data_status": a.status, "inputs": _inputs(spark, a.input), "outputs": _inputs(spark, [a.output])}
     tokenizer = {r["path"]: r["sha256"] for r in _inputs(spark, [a.vocabulary_file])} if a.vocabulary_file else {}
     sinks.write_json(f"{a.output.rstrip('/')}.manifest.json", sinks.preprocess_manifest(rows, made, parameters, tokenizer))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 CLS, SEP, PAD = 101, 102, 0
 SPACES = r"[ \t\n\r\f]+"
+TEXT = r"[^\s\p{Z}\x{1C}-\x{1F}\x{85}]"  # anything but Unicode white space
 
 
 def stripped(c: Column) -> Column:

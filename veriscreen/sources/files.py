@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_id, stripped
+from ..functions.text import TEXT, clean_id
 from ..operators.cohorts import NUMERIC_ID
 from . import documents, storage
 from .scratch import materialized
@@ -34,8 +36,9 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    out = rows.join(blocks, ["path", "_block"]).withColumn("line", F.col("_id") - F.col("_first") + F.col("_before") + 1)
-    return out.select("path", "line", F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
+    out = rows.join(F.broadcast(blocks), ["path", "_block"]).withColumn("line", F.col("_id") - F.col("_first") + F.col("_before") + 1)  # a row a split
+    value = F.when(F.startswith("value", F.lit("\ufeff")), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value"))
+    return out.select("path", "line", value.alias("value")).where(F.trim("value") != "")
 
 
 def parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
@@ -122,7 +125,7 @@ def raw_articles(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     rows = parsed(numbered_lines(spark, paths), ARTICLE)
     demo = F.col("data_status") == "demo-only"
     form = F.when(demo, F.col("pmid").startswith("DEMO-")).otherwise(F.col("pmid").rlike("^[0-9]+\\z"))
-    rows = strict(rows.drop("value"), {"id does not fit data_status": ~F.coalesce(form, F.lit(False)), "label": ~F.col("label").isin(0, 1), "no text": stripped(F.concat("title", "abstract")) == ""})
+    rows = strict(rows.drop("value"), {"id does not fit data_status": ~F.coalesce(form, F.lit(False)), "label": ~F.col("label").isin(0, 1), "no text": ~F.concat("title", "abstract").rlike(TEXT)})
     if twice := rows.groupBy("pmid").count().where("count > 1").limit(5).collect():
         raise InvalidInput("duplicate pmid " + ", ".join(r.pmid for r in twice))
     return rows.select("pmid", "title", "abstract", "data_status", "label")
@@ -222,7 +225,8 @@ _MARK = b"\xef\xbb\xbf"  # which the text reader leaves out
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, sha256, git_sha1) of the lines of each file, which come in order. Whether a file began with a byte order mark and ended with a line feed follows from its size."""
+    """(path, sha256, git_sha1) of the lines of each file, which come in order with a line feed behind each. Whether a file began with a byte order mark and ended with a line
+    feed follows from its size."""
     out = []
     at, size, seen, states = None, 0, 0, []
 
@@ -237,39 +241,53 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return at, big.hexdigest(), git.hexdigest()
 
     for batch in batches:
-        paths, sizes, lines = (batch.column(k).to_pylist() for k in range(3))
+        runs, lines = pc.run_end_encode(batch.column(0)), batch.column(2)
+        offsets = np.frombuffer(lines.buffers()[1], np.int64 if pa.types.is_large_binary(lines.type) else np.int32)[lines.offset :]
         start = 0
-        for k in range(1, len(paths) + 1):
-            if k < len(paths) and paths[k] == paths[start]:
-                continue
-            raw = b"\n".join(lines[start:k])
-            if paths[start] != at:
+        for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            raw = memoryview(lines.buffers()[2])[offsets[start] : offsets[end] - 1]  # the last line feed waits
+            if path != at:
                 if at is not None:
                     out.append(closed())
-                at, size, seen = paths[start], sizes[start], len(raw)
+                at, size, seen = path, batch.column(1)[start].as_py(), len(raw)
                 states = [(hashlib.sha256(own), hashlib.sha1(b"blob %d\0" % size + own)) for own in (b"", _MARK)]
+                pieces = (raw,)
             else:
-                raw = b"\n" + raw
-                seen += len(raw)
+                seen += len(raw) + 1
+                pieces = (b"\n", raw)
             for pair in states:
                 for state in pair:
-                    state.update(raw)
-            start = k
+                    for piece in pieces:
+                        state.update(piece)
+            start = end
     if at is not None:
         out.append(closed())
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], ["path", "sha256", "git_sha1"])
 
 
+_WHOLE = 1 << 45  # bytes of a file that is not cut, at most
+
+
+def _uncut(spark: SparkSession) -> SparkSession:
+    """A session beside this one, in which the reader of lines cuts no file, and deals each to a partition of its own."""
+    out = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            out.conf.set(name, value)
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        out.conf.set(f"spark.sql.files.{name}", _WHOLE)
+    return out
+
+
 def fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, size, sha256, git_sha1) of whole files; the last as a version store names a blob. A file is read in its splits, and its lines pass
-    in order through one task, which carries the hash states on: a hash is sequential, and no file is a cell. Packed files are read as cells (2 GB at most);
-    empty files have no row, as Spark leaves them out."""
+    """(path, size, sha256, git_sha1) of whole files; the last as a version store names a blob. A file's lines pass in order through one task, which carries
+    the hash states on: a hash is sequential, so files are read uncut and nothing is shuffled or sorted, and no file is a cell. Packed files are read as cells
+    (2 GB at most); empty files have no row, as Spark leaves them out."""
     listed = spark.read.format("binaryFile").load(list(paths)).select("path", F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"))
     packed = rf"\.({'|'.join(_PACKED)})$"
-    lines = spark.read.option("lineSep", "\n").text(list(paths)).where(~F.col("_metadata.file_path").rlike(packed))
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    dealt = lines.repartition("file").sortWithinPartitions("file", "block", "id").select("file", "size", "value")
-    found = dealt.mapInArrow(_hashed, "file string, sha256 string, git_sha1 string")
+    lines = _uncut(spark).read.option("lineSep", "\n").text(list(paths)).where(~F.col("_metadata.file_path").rlike(packed))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("value"))
+    found = lines.mapInArrow(_hashed, "file string, sha256 string, git_sha1 string")
     mark = {"sha256": hashlib.sha256(_MARK).hexdigest(), "git_sha1": hashlib.sha1(b"blob 3\0" + _MARK).hexdigest()}  # has no line
     plain = listed.where(~F.col("path").rlike(packed)).join(found, "file", "left").select("path", "size", *(F.coalesce(c, F.when(F.col("size") == len(_MARK), mark[c])).alias(c) for c in mark))
     return plain.union(_cells(spark, paths))
