@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from veriscreen import cli
 from veriscreen.functions import text
+from veriscreen.operators import corpus
 from veriscreen.sources import files
 
 
@@ -32,3 +35,36 @@ def test_lines_meet_their_numbers_and_hashes_without_a_shuffle(spark, tmp_path):
     plan = files.fingerprints(spark, [str(tmp_path / "x")])._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan and "Sort" not in plan and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
     assert "SortMergeJoin" not in files.numbered_lines(spark, [str(tmp_path / "x")])._jdf.queryExecution().executedPlan().toString()
+
+
+def _windows(spark, more=()):
+    rows = [("f", k, f"p{k // 2}", k % 2, 1, 1, [2, k, 3], [1, 1, 1], [0, 0, 0]) for k in range(40)]
+    return spark.createDataFrame([*rows, *more], "path string, line long, pmid string, chunk_index int, label int, original_label int, input_ids array<int>, attention_mask array<int>, token_type_ids array<int>")
+
+
+def test_windows_that_occur_once_are_not_shuffled(spark):
+    plan = corpus.validated(_windows(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    twice = _windows(spark, [("g", 7, "p3", 1, 1, 0, [2, 7, 3], [1, 1, 1], [0, 0, 0])])
+    got, want = corpus.validated(twice), corpus.merged(twice)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("size(sources) = 2").count() == 1
+    with pytest.raises(ValueError, match="conflicting payloads: p3"):
+        corpus.validated(_windows(spark, [("g", 7, "p3", 1, 1, 0, [2, 8, 3], [1, 1, 1], [0, 0, 0])]))
+    with pytest.raises(ValueError, match="g:9: mask_values"):
+        corpus.validated(_windows(spark, [("g", 9, "q", 0, 1, 1, [2, 8, 3], [1, None, 2], [0, 0, 0])]))
+
+
+def test_windows_are_scored_once(spark, tmp_path, monkeypatch):
+    row = lambda k, y: json.dumps({"pmid": f"{y}{k}", "chunk_index": 0, "label": y, "input_ids": [2, 5, 3], "attention_mask": [1] * 3, "token_type_ids": [0] * 3}) + "\n"
+    for y in (0, 1):
+        (tmp_path / f"{y}").write_text("".join(row(k, y) for k in range(50)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return 0.25
+
+    monkeypatch.setattr(cli.scoring, "surrogate", lambda pmid, index: F.udf(counted, "double")(pmid))
+    cli.main(["evaluate", "--positive", str(tmp_path / "1"), "--negative", str(tmp_path / "0"), "--threshold", "0.5", "--output-dir", str(tmp_path / "out")], spark)
+    assert seen.value == 100  # several times that before
+    assert json.loads((tmp_path / "out/external_results.json").read_text())["metrics"]["n_articles"] == 100

@@ -54,9 +54,14 @@ def _versions(spark: SparkSession) -> dict:
     return {"spark": spark.version, "python": platform.python_version(), "platform": platform.platform(), **{name: metadata.version(name) for name in ("numpy", "pandas", "pyarrow")}}
 
 
+def _scores(score, chunks: DataFrame) -> DataFrame:
+    """Scored windows as a table without their arrays, which all that follows reads."""
+    return materialized(score(chunks).drop("input_ids", "attention_mask", "token_type_ids"), "scores")
+
+
 def _documents(scored: DataFrame, threshold: float) -> tuple[dict, DataFrame]:
     """Window loss, metrics and score summary, and the article rows that they are of."""
-    rows = A.checked(A.decide(A.article_scores(scored).join(A.with_sources(scored), "pmid"), threshold))
+    rows = A.checked(materialized(A.decide(A.article_scores(scored).join(A.with_sources(scored), "pmid"), threshold), "articles"))  # read by several passes
     loss = scoring.mean_loss(scored).first().loss
     return {"chunk_loss": loss, "article_metrics": A.metrics(rows).first().asDict(), "score_summary": A.score_summary(rows).first().asDict()}, rows
 
@@ -95,12 +100,14 @@ def train(spark: SparkSession, a) -> None:
     out, began = sinks.new_dir(a.output_dir), time.time()
     run = f"{int(began)}-{os.getpid()}"
     chunks, stats = _load(spark, a)
-    own = corpus.articles(chunks.withColumn("path", F.explode("sources")))
-    split = cohorts.stratified_split(own, a.train_ratio, a.validation_ratio, a.test_ratio, a.seed)
+    own = materialized(corpus.articles(chunks.withColumn("path", F.explode("sources"))), "articles")
+    split = materialized(cohorts.stratified_split(own, a.train_ratio, a.validation_ratio, a.test_ratio, a.seed), "split")
     fingerprints = [x | {"role": role} for role, paths in (("positive", a.positive), ("negative", a.negative)) for x in _inputs(spark, paths)]
     more = {"split_unit": "article/pmid", "stratified_by": "article label", "sources": [r.asDict() for r in stats.collect()], "input_files": fingerprints}
     sinks.write_split_manifest(f"{out}/split_manifest.json", split, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed, more)
-    parts = chunks.join(split.select("pmid", "split"), "pmid").cache()
+    parts = chunks.join(split.select("pmid", "split"), "pmid")
+    if a.scorer == "logistic":  # epochs read them again and again
+        parts = materialized(parts, "parts")
     part = lambda name: parts.where(F.col("split") == name).drop("split")
     config = {"run_id": run, "scorer": a.scorer, "max_length": a.max_length, "vocab_size": a.vocab_size, "type_vocab_size": a.type_vocab_size}
     history = []
@@ -117,15 +124,14 @@ def train(spark: SparkSession, a) -> None:
         score, _ = _scorer(spark, a)
     sinks.write_json(f"{out}/run_config.json", {"schema_version": 1, "command": " ".join(sys.argv), "arguments": {k: v for k, v in vars(a).items() if k != "run"}, "versions": _versions(spark), "config": config, "model_selection": {"metric": "validation chunk loss", "tie_break": "validation article AUROC"}})
     sinks.write_json(f"{out}/training_history.json", {"epochs": history})
-    validation = score(part("validation"))
+    validation = _scores(score, part("validation"))
     best = A.choose_threshold(A.checked(A.article_scores(validation).withColumn("threshold", F.lit(0.5))), a.threshold_objective).first()
     frozen, rows = _documents(validation, best.threshold)
     sinks.write_json(f"{out}/threshold.json", best.asDict() | {"run_id": run, "scorer": a.scorer, "aggregation": "mean", "best_epoch": config.get("best_epoch"), "selection_set": "internal_validation", "validation": frozen})
     sinks.write_ordered(rows, f"{out}/validation_predictions", ("pmid",))
-    tested, rows = _documents(score(part("test")), best.threshold)
+    tested, rows = _documents(_scores(score, part("test")), best.threshold)
     sinks.write_ordered(rows, f"{out}/predictions", ("pmid",))
     sinks.write_json(f"{out}/internal_results.json", {"run_id": run, "best_epoch": config.get("best_epoch"), "threshold": best.threshold, "metrics": tested["article_metrics"], "score_summary": tested["score_summary"], "validation": frozen, "internal_test": tested, "elapsed_seconds": time.time() - began})
-    parts.unpersist()
 
 
 def evaluate(spark: SparkSession, a) -> None:
@@ -149,7 +155,7 @@ def evaluate(spark: SparkSession, a) -> None:
         shared = [r.pmid for r in overlap.orderBy("pmid").collect()] if a.allow_overlap else [r.pmid for r in overlap.orderBy("pmid").limit(10).collect()]
         if shared and not a.allow_overlap:
             raise ValueError(f"external articles occur in the training manifest: {', '.join(shared)}")
-    scored = score(chunks)
+    scored = _scores(score, chunks)
     found, rows = _documents(scored, threshold)
     sinks.write_ordered(rows, f"{out}/predictions", ("pmid",))
     if a.save_chunk_predictions:
@@ -169,7 +175,8 @@ def sample(spark: SparkSession, a) -> None:
         excluded = excluded.union(files.json_ids(spark, a.exclude_jsonl))
     for path in a.exclude_manifest:
         excluded = excluded.union(files.manifest_ids(spark, path).select("pmid"))
-    chosen = cohorts.sample_checked(chunks, excluded, a.n_articles, a.seed)
+    excluded = materialized(excluded, "excluded")
+    chosen = materialized(cohorts.sample_checked(chunks.select("pmid"), excluded, a.n_articles, a.seed), "chosen")
     kept = cohorts.selected(chunks, chosen)
     sinks.write_jsonl(kept.drop("sources"), a.output)
     counts = cohorts.sample_counts(chunks, excluded, chunks, chosen).first().asDict()

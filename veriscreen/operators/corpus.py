@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialized
+
+KEY = ("pmid", "chunk_index")
 PAYLOAD = ("label", "input_ids", "attention_mask", "token_type_ids")
 
 
@@ -27,7 +33,7 @@ def row_rules(max_length: int = 512, vocabulary: int | None = None, types: int |
         "unequal_lengths": (sizes[0] != sizes[1]) | (sizes[0] != sizes[2]),
         "too_long": sizes[0] > max_length,
         "negative_id": F.array_min(ids) < 0,
-        "mask_values": F.exists(mask, lambda x: ~x.isin(0, 1)),
+        "mask_values": (F.array_min(mask) < 0) | (F.array_max(mask) > 1),
         "mask_all_zero": F.array_max(mask) == 0,
         "negative_type": F.array_min(kinds) < 0,
     }
@@ -42,6 +48,7 @@ def row_violations(rows: DataFrame, **limits) -> DataFrame:
     """(rule, path, line, pmid) of all rows and rules, in one pass."""
     rules = row_rules(**limits)
     found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
+    rows = rows.where(functools.reduce(operator.or_, rules.values()))  # few: names are looked for in these alone
     return rows.select("path", "line", "pmid", F.explode(found).alias("rule")).select("rule", "path", "line", "pmid")
 
 
@@ -93,8 +100,12 @@ def validated(rows: DataFrame, **limits) -> DataFrame:
     """merged(rows), or ValueError with the first violations in order of path and line."""
     rows = with_defaults(rows)
     found = [f"{r.path}:{r.line}: {r.rule}" for r in row_violations(rows, **limits).orderBy("path", "line", "rule").limit(20).collect()]
-    for name, bad in (("both labels", cross_label(rows)), ("conflicting payloads", conflicting(rows)), ("non-contiguous chunk indices", noncontiguous(rows))):
+    repeated = materialized(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated")
+    some = not repeated.isEmpty()
+    for name, bad in (("both labels", cross_label(rows)), *((("conflicting payloads", conflicting(rows)),) if some else ()), ("non-contiguous chunk indices", noncontiguous(rows))):
         found += [f"{name}: {r.pmid}" for r in bad.select("pmid").orderBy("pmid").limit(20).collect()]
     if found:
         raise ValueError("; ".join(found[:20]))
-    return merged(rows)
+    once = rows.join(repeated, [*KEY], "left_anti") if some else rows
+    once = once.select(*KEY, *PAYLOAD, F.array("path").alias("sources"))  # windows that occur once stay where they are
+    return once.unionByName(merged(rows.join(repeated, [*KEY], "left_semi"))) if some else once
