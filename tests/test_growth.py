@@ -68,3 +68,33 @@ def test_windows_are_scored_once(spark, tmp_path, monkeypatch):
     cli.main(["evaluate", "--positive", str(tmp_path / "1"), "--negative", str(tmp_path / "0"), "--threshold", "0.5", "--output-dir", str(tmp_path / "out")], spark)
     assert seen.value == 100  # several times that before
     assert json.loads((tmp_path / "out/external_results.json").read_text())["metrics"]["n_articles"] == 100
+
+
+def test_windows_are_written_once_and_training_keeps_ids_alone(spark, tmp_path, monkeypatch):
+    """Where no window repeats, checked windows are the table of parsed lines; the model's parts carry no masks."""
+    row = lambda k, y: json.dumps({"pmid": f" {y}{k} ", "chunk_index": 0, "label": y, "input_ids": [2, 5 + y, 3], "attention_mask": [1] * 3, "token_type_ids": [0] * 3}) + "\n"
+    for y in (0, 1):
+        (tmp_path / f"{y}").write_text("".join(row(k, y) for k in range(20)))
+    made = {}
+    for module in (cli, corpus, files):
+        monkeypatch.setattr(module, "materialized", lambda df, name, plain=module.materialized: (made.setdefault(name, df.columns), plain(df, name))[1])
+    cli.main(["train", "--positive", str(tmp_path / "1"), "--negative", str(tmp_path / "0"), "--output-dir", str(tmp_path / "out"), "--epochs", "1", "--features", "8", "--train-batch-size", "4"], spark)
+    assert "windows" not in made and not {"attention_mask", "token_type_ids"} & set(made["parts"]) and "input_ids" in made["lines"]  # a copy with all arrays, twice, before
+    articles = json.loads((tmp_path / "out/split_manifest.json").read_text())["articles"]
+    assert sorted(x["pmid"] for x in articles) == sorted(f"{y}{k}" for y in (0, 1) for k in range(20))
+    assert json.loads((tmp_path / "out/internal_results.json").read_text())["metrics"]["accuracy"] == 1.0
+
+
+def test_fitted_training_cuts_texts_once(spark, monkeypatch):
+    from veriscreen.plans import queries as Q
+    from veriscreen.plans import training_queries
+
+    seen, plain = spark.sparkContext.accumulator(0), text.tokens
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(text, "tokens", lambda c: plain(F.udf(counted, "string")(c)))
+    training_queries.command_train_fitted(spark, "/root/testdata/sf0.001").collect()
+    assert seen.value == Q.labelled(spark, "/root/testdata/sf0.001").count()  # several times that before

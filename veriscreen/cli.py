@@ -39,7 +39,7 @@ def _load(spark: SparkSession, a, config: dict | None = None) -> tuple[DataFrame
         raise ValueError(f"--max-length={a.max_length} exceeds the model's {config['max_length']}")
     rows = corpus.with_defaults(files.labelled_chunks(spark, a.positive, a.negative))
     limits = {"vocabulary": config.get("vocab_size") or a.vocab_size, "types": config.get("type_vocab_size") or a.type_vocab_size}
-    return materialized(corpus.validated(rows, max_length=a.max_length, **limits), "windows"), corpus.load_stats(rows)
+    return corpus.validated(rows, max_length=a.max_length, **limits), corpus.load_stats(rows)
 
 
 def _inputs(spark: SparkSession, paths) -> list[dict]:
@@ -106,8 +106,8 @@ def train(spark: SparkSession, a) -> None:
     more = {"split_unit": "article/pmid", "stratified_by": "article label", "sources": [r.asDict() for r in stats.collect()], "input_files": fingerprints}
     sinks.write_split_manifest(f"{out}/split_manifest.json", split, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed, more)
     parts = chunks.join(split.select("pmid", "split"), "pmid")
-    if a.scorer == "logistic":  # epochs read them again and again
-        parts = materialized(parts, "parts")
+    if a.scorer == "logistic":  # epochs read them again and again; the model reads ids alone
+        parts = materialized(parts.drop("attention_mask", "token_type_ids"), "parts")
     part = lambda name: parts.where(F.col("split") == name).drop("split")
     config = {"run_id": run, "scorer": a.scorer, "max_length": a.max_length, "vocab_size": a.vocab_size, "type_vocab_size": a.type_vocab_size}
     history = []
@@ -169,7 +169,7 @@ def evaluate(spark: SparkSession, a) -> None:
 
 def sample(spark: SparkSession, a) -> None:
     role = {"positive": [a.input], "negative": []} if a.label else {"positive": [], "negative": [a.input]}
-    chunks = materialized(corpus.validated(corpus.with_defaults(files.labelled_chunks(spark, **role)), max_length=a.max_length), "windows")
+    chunks = corpus.validated(corpus.with_defaults(files.labelled_chunks(spark, **role)), max_length=a.max_length)
     excluded = spark.createDataFrame([], "pmid string")
     if a.exclude_jsonl:
         excluded = excluded.union(files.json_ids(spark, a.exclude_jsonl))

@@ -97,7 +97,8 @@ def original_label_counts(rows: DataFrame) -> DataFrame:
 
 
 def validated(rows: DataFrame, **limits) -> DataFrame:
-    """merged(rows), or ValueError with the first violations in order of path and line."""
+    """merged(rows), or ValueError with the first violations in order of path and line. rows should be a table: where no window repeats, what returns is a view of it,
+    and nothing is written again."""
     rows = with_defaults(rows)
     found = [f"{r.path}:{r.line}: {r.rule}" for r in row_violations(rows, **limits).orderBy("path", "line", "rule").limit(20).collect()]
     repeated = materialized(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated")
@@ -108,4 +109,4 @@ def validated(rows: DataFrame, **limits) -> DataFrame:
         raise ValueError("; ".join(found[:20]))
     once = rows.join(repeated, [*KEY], "left_anti") if some else rows
     once = once.select(*KEY, *PAYLOAD, F.array("path").alias("sources"))  # windows that occur once stay where they are
-    return once.unionByName(merged(rows.join(repeated, [*KEY], "left_semi"))) if some else once
+    return materialized(once.unionByName(merged(rows.join(repeated, [*KEY], "left_semi"))), "windows") if some else once

@@ -129,7 +129,8 @@ def command_train_fitted(spark, sf_dir):
     """The training command with the model that it fits: two epochs over four features, the better one by its validation loss, a threshold on the validation part, counts of the test part."""
     rows = Q.labelled(spark, sf_dir)
     ids = F.transform(text.tokens(F.concat_ws(" ", "source", F.coalesce("text", F.lit("")))), lambda x: F.length(x))
-    rows = text.windows(rows.select(F.col("pmid").cast("string").alias("pmid"), "label", ids.alias("ids")), "ids", Q.MAX_LENGTH, Q.OVERLAP)
+    rows = materialized(rows.select(F.col("pmid").cast("string").alias("pmid"), "label", ids.alias("ids")), "tokens")  # texts are cut once, for both roles
+    rows = text.windows(rows, "ids", Q.MAX_LENGTH, Q.OVERLAP)
     size = F.size("chunk")
     rows = rows.select("pmid", "chunk_index", "label", F.col("chunk").alias("input_ids"), F.array_repeat(F.lit(1), size).alias("attention_mask"), F.array_repeat(F.lit(0), size).alias("token_type_ids"))
     roles = {label: _lines(rows.where(F.col("label") == label), f"fitted-{label}") for label in (0, 1)}

@@ -83,9 +83,9 @@ def labelled_chunks(spark: SparkSession, positive: Sequence[str] = (), negative:
     for label in (1, 0):
         paths = [p for p, own in role_paths(positive, negative) if own == label]
         if paths:
-            rows = strict(parsed(numbered_lines(spark, paths), CHUNK).drop("value")).withColumn("original_label", F.col("label")).withColumn("label", F.lit(label))
+            rows = strict(parsed(numbered_lines(spark, paths), CHUNK).drop("value").withColumn("pmid", clean_id(F.col("pmid")))).withColumn("original_label", F.col("label")).withColumn("label", F.lit(label))
             out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("pmid", clean_id(F.col("pmid"))).select("path", "line", "pmid", "chunk_index", "label", "original_label", "input_ids", "attention_mask", "token_type_ids")
+    return out.select("path", "line", "pmid", "chunk_index", "label", "original_label", "input_ids", "attention_mask", "token_type_ids")
 
 
 def json_ids(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
