@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veriscreen import cli
 from veriscreen.functions import text
-from veriscreen.operators import corpus
+from veriscreen.operators import audit, corpus
 from veriscreen.sources import files
 
 
@@ -98,3 +98,21 @@ def test_fitted_training_cuts_texts_once(spark, monkeypatch):
     monkeypatch.setattr(text, "tokens", lambda c: plain(F.udf(counted, "string")(c)))
     training_queries.command_train_fitted(spark, "/root/testdata/sf0.001").collect()
     assert seen.value == Q.labelled(spark, "/root/testdata/sf0.001").count()  # several times that before
+
+
+def test_analysis_draws_once_for_groups_and_pairs(spark, tmp_path, monkeypatch):
+    row = lambda k, g: json.dumps({"pmid": f"{g}{k}", "label": k % 2, "n_chunks": 1, "mean_positive_probability": (k * 7 + g) % 10 / 10, "prediction": int((k * 7 + g) % 10 >= 5), "threshold": 0.5, "sources": ["a"]}) + "\n"
+    for g in (0, 1):
+        (tmp_path / f"{g}").write_text("".join(row(k, g) for k in range(30)))
+    drawn, plain = [], audit.resampled
+    monkeypatch.setattr(audit, "resampled", lambda values, by, value, *rest, **more: (drawn.append(value), plain(values, by, value, *rest, **more))[1])
+    cli.main(["analyze", "--group", f"a={tmp_path / '0'}", "--group", f"b={tmp_path / '1'}", "--output-dir", str(tmp_path / "out"), "--bootstrap-replicates", "100"], spark)
+    assert sorted(drawn) == ["mean_positive_probability", "prediction"]  # twice each before
+    found = json.loads((tmp_path / "out/analysis.json").read_text())
+    own = files.predictions(spark, [str(tmp_path / "0")]).withColumn("group", F.lit("a")).union(files.predictions(spark, [str(tmp_path / "1")]).withColumn("group", F.lit("b")))
+    for c, low, high in (("mean_positive_probability", "low", "high"), ("prediction", "rate_low", "rate_high")):
+        want = audit.bootstrap_differences(own, "group", c, 100, groups=["a", "b"]).first()
+        assert (found["pairwise_comparisons"][0][low], found["pairwise_comparisons"][0][high]) == pytest.approx((want.low, want.high))
+        groups = {r.group: r for r in audit.bootstrap(own, "group", c, 100).collect()}
+        for g in found["groups"]:
+            assert g["bootstrap" if c != "prediction" else "rate_bootstrap"]["mean_low"] == pytest.approx(groups[g["group"]].mean_low)

@@ -194,15 +194,15 @@ def analyze(spark: SparkSession, a) -> None:
     if audit.threshold_conflicts(rows).first():
         raise ValueError("all groups must use the same frozen threshold")
     options = (a.bootstrap_replicates, a.confidence_level, a.seed)
-    boot = audit.bootstrap(rows, "group", "mean_positive_probability", *options)
-    rates = audit.bootstrap(rows, "group", "prediction", *options)
+    drawn = {c: materialized(audit.resampled(rows, "group", c, a.bootstrap_replicates, a.seed), "replicates") for c in ("mean_positive_probability", "prediction")}  # groups and pairs read the same draws
+    boot, rates = (audit.bootstrap(rows, "group", c, *options, drawn=own) for c, own in drawn.items())
     groups = audit.group_summary(rows, "group", confidence=a.confidence_level).join(boot.select("group", F.struct("mean_low", "mean_high", "variance_low", "variance_high").alias("bootstrap")), "group")
     groups = groups.join(rates.select("group", F.struct("mean_low", "mean_high").alias("rate_bootstrap")), "group").join(A.metrics(rows, ["group"]).select("group", F.struct("*").alias("metrics")), "group")
     levels = audit.group_quantiles(rows, "group").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("level", "value"))).alias("quantiles"))
     groups = groups.join(levels, "group")
     names, key = list(specs), ["first_group", "second_group"]
-    pairs = audit.pairwise(rows, "group", groups=names).join(audit.bootstrap_differences(rows, "group", "mean_positive_probability", *options, groups=names), key)
-    pairs = pairs.join(audit.bootstrap_differences(rows, "group", "prediction", *options, groups=names).toDF(*key, "rate_low", "rate_high"), key)
+    pairs = audit.pairwise(rows, "group", groups=names).join(audit.bootstrap_differences(rows, "group", "mean_positive_probability", *options, groups=names, drawn=drawn["mean_positive_probability"]), key)
+    pairs = pairs.join(audit.bootstrap_differences(rows, "group", "prediction", *options, groups=names, drawn=drawn["prediction"]).toDF(*key, "rate_low", "rate_high"), key)
     groups, pairs = [r.asDict(True) for r in groups.collect()], [r.asDict(True) for r in pairs.collect()]
     groups.sort(key=lambda g: names.index(g["group"]))
     pairs.sort(key=lambda p: (names.index(p["first_group"]), names.index(p["second_group"])))

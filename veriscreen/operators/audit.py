@@ -71,15 +71,17 @@ def _interval(x: str, confidence: float) -> Column:
     return F.percentile(x, F.array(F.lit(a), F.lit(1 - a)))
 
 
-def bootstrap(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid", leaf: int = LEAF) -> DataFrame:
-    """Percentile intervals of each group's mean and sample variance."""
-    out = resampled(values, by, value, replicates, seed, order, leaf).groupBy(by).agg(_interval("mean", confidence).alias("m"), _interval("variance", confidence).alias("v"))
+def bootstrap(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid", leaf: int = LEAF, drawn: DataFrame | None = None) -> DataFrame:
+    """Percentile intervals of each group's mean and sample variance. drawn: the replicates, where they are there already."""
+    drawn = resampled(values, by, value, replicates, seed, order, leaf) if drawn is None else drawn
+    out = drawn.groupBy(by).agg(_interval("mean", confidence).alias("m"), _interval("variance", confidence).alias("v"))
     return out.select(by, F.col("m")[0].alias("mean_low"), F.col("m")[1].alias("mean_high"), F.col("v")[0].alias("variance_low"), F.col("v")[1].alias("variance_high"))
 
 
-def bootstrap_differences(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid", groups: list[str] | None = None) -> DataFrame:
-    """Percentile intervals of the difference of means of all pairs of groups, resampled independently."""
-    both = _pairs(resampled(values, by, value, replicates, seed, order), by, ["mean"], groups, ["replicate"])
+def bootstrap_differences(values: DataFrame, by: str, value: str, replicates: int = REPLICATES, confidence: float = 0.95, seed: int = 42, order: str = "pmid", groups: list[str] | None = None, drawn: DataFrame | None = None) -> DataFrame:
+    """Percentile intervals of the difference of means of all pairs of groups, resampled independently. drawn: as in bootstrap()."""
+    drawn = resampled(values, by, value, replicates, seed, order) if drawn is None else drawn
+    both = _pairs(drawn, by, ["mean"], groups, ["replicate"])
     out = both.withColumn("d", F.col("first_mean") - F.col("second_mean")).groupBy("first_group", "second_group").agg(_interval("d", confidence).alias("q"))
     return out.select("first_group", "second_group", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
