@@ -116,3 +116,15 @@ def test_analysis_draws_once_for_groups_and_pairs(spark, tmp_path, monkeypatch):
         groups = {r.group: r for r in audit.bootstrap(own, "group", c, 100).collect()}
         for g in found["groups"]:
             assert g["bootstrap" if c != "prediction" else "rate_bootstrap"]["mean_low"] == pytest.approx(groups[g["group"]].mean_low)
+
+
+def test_keys_of_windows_meet_once(spark, monkeypatch):
+    """Repeats, labels and gaps are found in one table of keys; the messages are those of the separate checks, in their order."""
+    for name in ("cross_label", "noncontiguous"):  # a shuffle of all keys each before
+        monkeypatch.setattr(corpus, name, lambda rows, name=name: pytest.fail(f"{name} shuffles the windows again"))
+    whole = [("f", k, f"p{k // 2}", k % 2, 1, 1, [2, k, 3], [1, 1, 1], [0, 0, 0]) for k in range(40)]
+    assert corpus.validated(_windows(spark)).count() == len(whole)
+    bad = [("g", 1, "p9", 0, 0, 0, [2, 18, 3], [1, 1, 1], [0, 0, 0]), ("g", 2, "p3", 3, 1, 1, [2, 9, 3], [1, 1, 1], [0, 0, 0]), ("g", 3, "q", 1, 1, 1, [2, 9, 3], [1, 1, 1], [0, 0, 0])]
+    with pytest.raises(ValueError) as found:
+        corpus.validated(_windows(spark, bad))
+    assert str(found.value) == "both labels: p9; conflicting payloads: p9; non-contiguous chunk indices: p3; non-contiguous chunk indices: q"

@@ -101,9 +101,14 @@ def validated(rows: DataFrame, **limits) -> DataFrame:
     and nothing is written again."""
     rows = with_defaults(rows)
     found = [f"{r.path}:{r.line}: {r.rule}" for r in row_violations(rows, **limits).orderBy("path", "line", "rule").limit(20).collect()]
-    repeated = materialized(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY), "repeated")
+    # windows meet by their keys once: repeats, labels and gaps are all seen in this table
+    keys = materialized(rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")), "keys")
+    repeated = keys.where("n > 1").select(*KEY)
     some = not repeated.isEmpty()
-    for name, bad in (("both labels", cross_label(rows)), *((("conflicting payloads", conflicting(rows)),) if some else ()), ("non-contiguous chunk indices", noncontiguous(rows))):
+    own = keys.groupBy("pmid").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"), F.count("*").alias("n_chunks"))
+    own = materialized(own.where("low < high or first_index <> 0 or last_index <> n_chunks - 1"), "suspects")
+    both, gaps = own.where("low < high"), own.where("first_index <> 0 or last_index <> n_chunks - 1")
+    for name, bad in (("both labels", both), *((("conflicting payloads", conflicting(rows)),) if some else ()), ("non-contiguous chunk indices", gaps)):
         found += [f"{name}: {r.pmid}" for r in bad.select("pmid").orderBy("pmid").limit(20).collect()]
     if found:
         raise ValueError("; ".join(found[:20]))
