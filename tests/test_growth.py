@@ -128,3 +128,12 @@ def test_keys_of_windows_meet_once(spark, monkeypatch):
     with pytest.raises(ValueError) as found:
         corpus.validated(_windows(spark, bad))
     assert str(found.value) == "both labels: p9; conflicting payloads: p9; non-contiguous chunk indices: p3; non-contiguous chunk indices: q"
+
+
+def test_articles_of_checked_windows_are_one_aggregation(spark):
+    twice = _windows(spark, [(path, 7, "p3", k, 1, 0, [2, 6 + k, 3], [1, 1, 1], [0, 0, 0]) for k in (0, 1) for path in ("g", "e")][:3])
+    windows = corpus.validated(twice)
+    got, want = corpus.articles_of(windows), corpus.articles(windows.withColumn("path", F.explode("sources")))  # which shuffles windows and paths, before
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {tuple(r.sources) for r in got.collect()} == {("f",), ("e", "f", "g")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1 < want._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")

@@ -100,7 +100,7 @@ def train(spark: SparkSession, a) -> None:
     out, began = sinks.new_dir(a.output_dir), time.time()
     run = f"{int(began)}-{os.getpid()}"
     chunks, stats = _load(spark, a)
-    own = materialized(corpus.articles(chunks.withColumn("path", F.explode("sources"))), "articles")
+    own = materialized(corpus.articles_of(chunks), "articles")
     split = materialized(cohorts.stratified_split(own, a.train_ratio, a.validation_ratio, a.test_ratio, a.seed), "split")
     fingerprints = [x | {"role": role} for role, paths in (("positive", a.positive), ("negative", a.negative)) for x in _inputs(spark, paths)]
     more = {"split_unit": "article/pmid", "stratified_by": "article label", "sources": [r.asDict() for r in stats.collect()], "input_files": fingerprints}

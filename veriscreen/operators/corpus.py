@@ -81,6 +81,12 @@ def articles(rows: DataFrame) -> DataFrame:
     return counts.join(paths, "pmid")
 
 
+def articles_of(windows: DataFrame) -> DataFrame:
+    """articles() of windows that are validated(): each occurs once, so one aggregation by article gives counts and paths. An article has few different sources."""
+    paths = F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources"))))
+    return windows.groupBy("pmid").agg(F.first("label").alias("label"), F.count("*").alias("n_chunks"), paths.alias("sources"))
+
+
 def load_stats(rows: DataFrame) -> DataFrame:
     """Of each path: lines, windows that are new or merged (in the order of paths and lines), label overrides."""
     first = Window.partitionBy("pmid", "chunk_index").orderBy("path", "line")
